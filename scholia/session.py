@@ -1,0 +1,49 @@
+"""Session defaults and checkpoint folder handling shared by every job."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def get_session(app: str = "scholia", master: str | None = None, partitions: int | None = None) -> SparkSession:
+    """A session with the settings the library relies on: UTC, AQE, Arrow.
+
+    On a cluster, master and partitions stay unset and the submit settings hold.
+    """
+    builder = (
+        SparkSession.builder.appName(app)
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.enabled", "false")
+    )
+    if master:
+        builder = builder.master(master)
+    if partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    return builder.getOrCreate()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The parquet table `name` under `sf_dir`; read by Spark alone, so any store works."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir()
+    if not found:
+        found = context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "scholia-checkpoints")
+        context.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

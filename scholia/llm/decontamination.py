@@ -1,0 +1,308 @@
+"""Benchmark decontamination by Wu-Manber multi-pattern search over words.
+
+A text's words are its runs of ASCII digits, letters and non-ASCII characters
+after lower-casing A-Z. A benchmark item gives one pattern per window of 13
+consecutive words; an item of fewer words is one pattern, an item of none gives
+nothing. Patterns of one length share a Wu-Manber table: the last two words
+under the cursor look up how far it may jump, and where the jump is zero the
+bucket of that suffix is compared word by word.
+
+Each task scans whole texts against the patterns, which are sent to tasks in
+blocks of bounded size (`block_bytes` of benchmark text). More items mean more
+blocks, scanned one after the other; spans found so far ride along as a column.
+
+Defined results: null or empty text has no words, no hits and is clean; null
+benchmark text gives no pattern; items with a null id mark words as hit but are
+not counted; repeated rows are judged one by one; an empty benchmark hits
+nothing. Columns beyond the id and the text are never looked at.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scholia.session import cut
+
+WINDOW = 13
+BLOCK_BYTES = 16 << 20
+#: A document is contaminated if hit words * RATIO >= words.
+RATIO = 20
+
+_KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
+_FOLD = bytes(
+    b if b >= 0x80 or b in _KEEP else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
+)
+
+
+def words_of(data: bytes | None) -> list[bytes]:
+    """Words of UTF-8 text; splitting bytes equals splitting characters here."""
+    return data.translate(_FOLD).split() if data else []
+
+
+class WuManber:
+    """Multi-pattern search for word sequences of one common length."""
+
+    def __init__(self, patterns: dict[tuple[bytes, ...], set[int]]):
+        self.length = length = len(next(iter(patterns)))
+        self.block = min(2, length)
+        self.jump = length - self.block + 1
+        self.shift: dict[tuple[bytes, ...], int] = {}
+        self.bucket: dict[tuple[bytes, ...], list[tuple[list[bytes], set[int]]]] = {}
+        for pattern, owners in patterns.items():
+            for end in range(self.block, length + 1):
+                key = pattern[end - self.block : end]
+                self.shift[key] = min(self.shift.get(key, self.jump), length - end)
+            self.bucket.setdefault(pattern[length - self.block :], []).append((list(pattern), owners))
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, set[int]]]:
+        """(start, end, owners) of every occurrence, by start."""
+        shift, bucket, length, jump, total = self.shift.get, self.bucket, self.length, self.jump, len(words)
+        at = length - 1
+        pairs = self.block == 2
+        while at < total:
+            key = (words[at - 1], words[at]) if pairs else (words[at],)
+            step = shift(key, jump)
+            if step:
+                at += step
+                continue
+            start = at - length + 1
+            for pattern, owners in bucket[key]:
+                if pattern[0] == words[start] and words[start : at + 1] == pattern:
+                    yield start, at + 1, owners
+            at += 1
+
+
+class Matcher:
+    """Wu-Manber tables for every pattern length of a block of items."""
+
+    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
+        found: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
+        for item, text in items:
+            words = words_of(text)
+            size = min(window, len(words))
+            for start in range(len(words) - size + 1 if size else 0):
+                owners = found.setdefault(size, {}).setdefault(tuple(words[start : start + size]), set())
+                if item is not None:
+                    owners.add(item)
+        self.tables = [WuManber(patterns) for _, patterns in sorted(found.items())]
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Spans of hit words, merged and in order, and the items that occur."""
+        spans: list[tuple[int, int]] = []
+        items: set[int] = set()
+        for table in self.tables:
+            for start, end, owners in table.find(words):
+                spans.append((start, end))
+                items |= owners
+        return merge(spans), items
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            if end > out[-1][1]:
+                out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
+    hit = sum(end - start for start, end in spans)
+    return hit > 0 and RATIO * hit >= n_words
+
+
+def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
+    """The benchmark in blocks that hold about block_bytes of text each."""
+    items = bench.select(
+        F.col(item_col).cast("long").alias("item"), F.encode(F.col(text_col), "utf-8").alias("text")
+    ).where(F.length("text") > 0)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    count = max(1, math.ceil(total / block_bytes))
+    if count == 1:
+        yield [tuple(row) for row in items.collect()]
+        return
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+    for k in range(count):
+        yield [tuple(row) for row in items.where(part == k).collect()]
+
+
+def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+    return batch.column(name).cast(pa.binary()).to_pylist()
+
+
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def contamination(
+    docs: DataFrame,
+    bench: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """One row per document: id, n_words, spans of hit words, item_ids that occur in it."""
+    spark = docs.sparkSession
+    schema = T.StructType(
+        [
+            T.StructField(id_col, docs.schema[id_col].dataType),
+            T.StructField("n_words", T.LongType()),
+            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+            T.StructField("item_ids", T.ArrayType(T.LongType())),
+        ]
+    )
+    carried = T.StructType([*schema.fields, T.StructField("_text", T.StringType())])
+    state = docs.select(
+        F.col(id_col),
+        F.lit(0).cast("long").alias("n_words"),
+        F.lit(None).cast(schema["spans"].dataType).alias("spans"),
+        F.lit(None).cast(schema["item_ids"].dataType).alias("item_ids"),
+        F.col(text_col).alias("_text"),
+    )
+    blocks = list(_blocks(bench, item_col, item_text_col, block_bytes))
+    for k, block in enumerate(blocks):
+        sent, last = spark.sparkContext.broadcast(block), k == len(blocks) - 1
+        state = state.mapInArrow(_scanner(sent, window, id_col, last), schema if last else carried)
+        if not last:
+            state = cut(state)
+    return state
+
+
+def _scanner(sent, window: int, id_col: str, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, window)
+        spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            before = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)
+            counts, spans, items = [], [], []
+            for text, (old_spans, old_items) in zip(_binary(batch, "_text"), before, strict=True):
+                words = words_of(text)
+                got, owners = matcher.scan(words)
+                got = merge([(s["start"], s["end"]) for s in old_spans or []] + got) if old_spans else got
+                counts.append(len(words))
+                spans.append([{"start": s, "end": e} for s, e in got])
+                items.append(sorted(owners | set(old_items or [])))
+            columns = [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))]
+            names = [id_col, "n_words", "spans", "item_ids"]
+            if not last:
+                columns, names = [*columns, batch.column("_text")], [*names, "_text"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def decontaminate(
+    docs: DataFrame,
+    bench: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """docs without its contaminated rows; columns, order within tasks and other rows stay.
+
+    With one block a row is judged where it is read; with more blocks, hits of
+    all blocks are gathered before the judgement.
+    """
+    spark = docs.sparkSession
+    blocks = list(_blocks(bench, item_col, item_text_col, block_bytes))
+    names = docs.columns
+    kept = docs
+    for k, block in enumerate(blocks):
+        sent, first, last = spark.sparkContext.broadcast(block), k == 0, k == len(blocks) - 1
+        if first:
+            kept = kept.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{text_col}`").alias("_text"), F.lit(None).cast(SPANS).alias("spans"))
+        kept = kept.mapInArrow(_filterer(sent, window, last), kept.schema)
+        if not last:
+            kept = cut(kept)
+    return kept.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _filterer(sent, window: int, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, window)
+        for batch in batches:
+            spans, keep = [], []
+            for text, old in zip(_binary(batch, "_text"), batch.column("spans").to_pylist(), strict=True):
+                words = words_of(text)
+                got, _ = matcher.scan(words)
+                got = merge([(s["start"], s["end"]) for s in old or []] + got) if old else got
+                keep.append(not (last and contaminated(len(words), got)))
+                spans.append([{"start": s, "end": e} for s, e in got])
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("_text"), pa.array(spans, batch.schema.field("spans").type)], schema=batch.schema
+            )
+            yield out.filter(pa.array(keep))
+
+    return run
+
+
+def digest(report: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The report of contamination() as counts and a hash of the item ids."""
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    names = F.array_sort(F.transform("item_ids", lambda item: item.cast("string")))
+    return report.select(
+        id_col,
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        ((hit > 0) & (F.lit(RATIO) * hit >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def brute_force(docs: list[tuple], bench: list[tuple], window: int = WINDOW) -> list[tuple]:
+    """The digest's rows by comparing every window at every place; for tests."""
+    patterns = []
+    for item, text in bench:
+        words = words_of(text.encode() if text else None)
+        size = min(window, len(words))
+        patterns += [(item, words[i : i + size]) for i in range(len(words) - size + 1)] if size else []
+    out = []
+    for doc, text in docs:
+        words = words_of(text.encode() if text else None)
+        hit, items = set(), set()
+        for item, pattern in patterns:
+            for i in range(len(words) - len(pattern) + 1):
+                if words[i : i + len(pattern)] == pattern:
+                    hit |= set(range(i, i + len(pattern)))
+                    items |= {item} - {None}
+        joined = ",".join(sorted(map(str, items)))
+        out.append((doc, len(words), len(hit), len(items), hashlib.sha256(joined.encode()).hexdigest(), bool(hit) and RATIO * len(hit) >= len(words)))
+    return out
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+pat AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS p
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM pat),
+win AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS p
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes WHERE len(ws) >= n)),
+occ AS (SELECT win.doc_id, win.i, win.n, pat.item_id FROM win JOIN pat ON win.n = pat.n AND win.p = pat.p),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hit ON w.doc_id = hit.doc_id LEFT JOIN its ON w.doc_id = its.doc_id
+"""

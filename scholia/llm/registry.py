@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import decontamination
+from scholia.llm import decontamination, simhash
 from scholia.session import table
 
 
@@ -11,9 +11,14 @@ def op1_decontamination(spark, sf_dir):
     return decontamination.digest(report)
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
+        "op6_simhash": op6_simhash,
     }
 
 

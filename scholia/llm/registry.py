@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import decontamination, simhash
+from scholia.llm import decontamination, sharding, simhash
 from scholia.session import table
 
 
@@ -15,10 +15,15 @@ def op6_simhash(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_sharding(spark, sf_dir):
+    return sharding.digest(sharding.balanced_shards(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
         "op6_simhash": op6_simhash,
+        "op8_sharding": op8_sharding,
     }
 
 

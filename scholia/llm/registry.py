@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import decontamination, sharding, simhash
+from scholia.llm import decontamination, language, sharding, simhash
 from scholia.session import table
 
 
@@ -19,11 +19,17 @@ def op8_sharding(spark, sf_dir):
     return sharding.digest(sharding.balanced_shards(table(spark, sf_dir, "documents")))
 
 
+def op10_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.digest(language.identify(docs, language.fit(docs)))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
         "op6_simhash": op6_simhash,
         "op8_sharding": op8_sharding,
+        "op10_language": op10_language,
     }
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from scholia.llm import decontamination, language, sharding, simhash
+from scholia.llm import bpe, decontamination, language, sharding, simhash
 from scholia.session import table
 
+#: Place of the public tokenizer file; every executor reads the same one.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def op1_decontamination(spark, sf_dir):
     report = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -24,9 +33,14 @@ def op10_language(spark, sf_dir):
     return language.digest(language.identify(docs, language.fit(docs)))
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
+        "op4_bpe": op4_bpe,
         "op6_simhash": op6_simhash,
         "op8_sharding": op8_sharding,
         "op10_language": op10_language,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import bpe, decontamination, language, sharding, simhash
+from pyspark.sql import functions as F
+
+from scholia.llm import bpe, decontamination, html_text, language, neighbours, sharding, simhash
 from scholia.session import table
 
 #: Place of the public tokenizer file; every executor reads the same one.
@@ -37,9 +39,19 @@ def op4_bpe(spark, sf_dir):
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_html_text(spark, sf_dir):
+    return html_text.digest(html_text.main_text(table(spark, sf_dir, "pages")))
+
+
+def op3_neighbours(spark, sf_dir):
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_html_text": op2_html_text,
+        "op3_neighbours": op3_neighbours,
         "op4_bpe": op4_bpe,
         "op6_simhash": op6_simhash,
         "op8_sharding": op8_sharding,

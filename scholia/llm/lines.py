@@ -1,0 +1,282 @@
+"""Line dedup with a deletion-neighbourhood join.
+
+A line's words are its runs of non-white-space bytes after lower-casing A-Z.
+Lines of at least MIN_WORDS words are duplicates if their words are equal or one
+word apart (a word replaced, added or left out), a similarity of 0.8 or more.
+Shorter lines stay. Order is by document id, then line number. A line goes if
+its words came before, or if an earlier line is one word apart from it.
+
+Stages, all joins and sums on hashed keys:
+1. every line's hash finds the distinct lines and the first place of each;
+2. a filter that loses nothing: two lines one word apart share their first or
+   their last half, so lines alone with all their halves are done;
+3. the others emit their deletion neighbourhood, every variant with one word
+   left out and the line itself, as hashed keys with the place left out;
+4. equal keys meet: variants with the same place left out are one replacement
+   apart, a variant equal to a whole line is one addition apart. Each key keeps
+   its earliest line, so that a large family of lines makes no pairs;
+5. edit distance is verified on the words of the line and its earliest partner;
+6. dropped line numbers go back to the documents.
+
+Defined results: null text stays null, empty lines and short lines stay, a text
+whose lines all go becomes empty and its row stays; rows of one id and text are
+one document and keep the same lines; a null id comes before all others.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scholia.session import cut
+
+MIN_WORDS = 5
+#: Rows handed on at a time by the stages that make several rows of one.
+ROWS = 20_000
+
+#: Odd multipliers and their inverses modulo 2**64, one pair for each half of a key.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+
+
+def halves(words: list[bytes]) -> list[int]:
+    """Hashes of the halves that a line one word away has too."""
+    found = set()
+    for size in {len(words) // 2, (len(words) - 1) // 2}:
+        found.add(xxhash.xxh3_64_intdigest(b" ".join(words[:size]), 2 * size))
+        found.add(xxhash.xxh3_64_intdigest(b" ".join(words[-size:]), 2 * size + 1))
+    return [x - (1 << 64) if x >> 63 else x for x in found]
+
+
+def neighbourhood(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys for the whole line (first) and for each variant with word i left out.
+
+    Keys are sums of word hashes times powers of a base, so that leaving out a
+    word takes one step whatever the length of the line.
+    """
+    keys = []
+    for seed, (base, inverse) in enumerate(zip(_BASES, _INVERSES, strict=True)):
+        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], np.uint64)
+        powers = np.cumprod(np.full(len(words), base, np.uint64), dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+        without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(inverse)
+        keys.append(np.concatenate([sums[-1:], without]).view(np.int64))
+    return keys[0], keys[1]
+
+
+def one_apart(a: list, b: list) -> bool:
+    """Whether the edit distance of two word lists is one at most."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    short, long = sorted((a, b), key=len)
+    at = 0
+    while at < len(short) and short[at] == long[at]:
+        at += 1
+    return short[at + (len(short) == len(long)) :] == long[at + 1 :]
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+
+
+def _lines(docs: DataFrame, with_halves: bool) -> DataFrame:
+    """id, tk, line, h (hash of the words), halves of every line long enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, numbers, hashes, parts = [], [], [], []
+
+            def flush(batch: pa.RecordBatch = batch):
+                at = pa.array(rows, pa.int32())
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())]
+                names = ["id", "tk", "line", "h"]
+                if with_halves:
+                    columns, names = [*columns, pa.array(parts, pa.list_(pa.int64()))], [*names, "halves"]
+                out = pa.RecordBatch.from_arrays(columns, names)
+                for kept in (rows, numbers, hashes, parts):
+                    kept.clear()
+                return out
+
+            for row, text in enumerate(batch.column(2).cast(pa.binary())):
+                for number, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
+                    words = line.split()
+                    if len(words) < MIN_WORDS:
+                        continue
+                    rows.append(row)
+                    numbers.append(number)
+                    hashes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    if with_halves:
+                        parts.append(halves(words))
+                    if len(rows) >= ROWS:
+                        yield flush()
+            if rows:
+                yield flush()
+
+    fields = [docs.schema["id"], T.StructField("tk", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType())]
+    if with_halves:
+        fields.append(T.StructField("halves", T.ArrayType(T.LongType())))
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
+def _variants(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Keys of the neighbourhoods of `lines` (h, first): h, first, pos, k1, k2, words.
+
+    pos is the word left out, -1 for the whole line, which brings its words.
+    """
+    by_doc = lines.groupBy(F.col("first.id").alias("id_"), F.col("first.tk").alias("tk_")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h")).alias("wanted"))
+    joined = docs.join(by_doc, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tk") == F.col("tk_"))).select("id", "tk", "text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(2)[row].as_py().encode().lower().split(b"\n")
+                for wanted in batch.column(3)[row].as_py():
+                    words = text[wanted["line"]].split()
+                    k1, k2 = neighbourhood(words)
+                    n = len(k1)
+                    at = pa.array([row] * n, pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([wanted["h"]] * n, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array([wanted["line"]] * n, pa.int32()),
+                            pa.array(range(-1, n - 1), pa.int32()), pa.array(k1), pa.array(k2), pa.array([b" ".join(words), *[None] * (n - 1)], pa.binary()),
+                        ],
+                        ["h", "id", "tk", "line", "pos", "k1", "k2", "words"],
+                    )
+
+    fields = T.StructType([T.StructField("h", T.BinaryType()), docs.schema["id"], *T.StructType.fromDDL("tk long, line int, pos int, k1 long, k2 long, words binary").fields])
+    return joined.mapInArrow(run, fields).select("h", F.struct("id", "tk", "line").alias("first"), "pos", "k1", "k2", "words")
+
+
+def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """h of the distinct lines (h, first, halves) with an earlier line one word apart."""
+    parts = distinct.select("h", F.explode("halves").alias("half"))
+    shared = parts.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    left = parts.join(shared, "half", "left_semi").select("h").distinct()
+    variants = cut(_variants(distinct.join(left, "h").select("h", "first"), docs))
+
+    keys = ["k1", "k2"]
+    who = F.min(F.struct("first", "h"))
+    cells = variants.groupBy(*keys, "pos").agg(who.alias("low"), F.count("*").alias("n"))
+    by_key = cells.groupBy(*keys).agg(F.min(F.when(F.col("pos") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("low"))).alias("part"), F.sum("n").alias("all"))
+    cells = cells.join(by_key.where("all > 1"), keys)
+    # A variant's partners: variants with the same word left out, and the line that it equals; a whole line's: the variants that equal it.
+    low = F.when(F.col("pos") < 0, F.col("part")).otherwise(F.least("low", F.coalesce("whole", "low")))
+    earliest = cells.select(*keys, "pos", low.alias("low")).where("low is not null")
+    pairs = variants.join(earliest, [*keys, "pos"]).where("low.first < first").select("h", F.col("low.h").alias("with")).distinct()
+
+    words = variants.where("pos < 0").select("h", "words").dropDuplicates(["h"])
+    both = pairs.join(words, "h").join(words.select(F.col("h").alias("with"), F.col("words").alias("other")), "with").select("h", "words", "other")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [one_apart(a.as_py().split(b" "), b.as_py().split(b" ")) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], ["h"])
+
+    return both.mapInArrow(verify, "h binary").distinct()
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, tk (hash of the text), exact, near: numbers of the lines that go; documents that lose none are absent."""
+    source = _documents(docs, id_col, text_col)
+    place = F.struct("id", "tk", "line")
+    distinct = cut(
+        _lines(source, True).groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    )
+    near = cut(near_lines(distinct, source))
+    marked = distinct.join(near.withColumn("near", F.lit(True)), "h", "left").select("h", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    lost = _lines(source, False).join(marked.where("n > 1 or near"), "h").select("id", "tk", "line", (place == F.col("first")).alias("is_first"), "near")
+    lost = lost.where("near or not is_first")
+    return lost.groupBy("id", "tk").agg(F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("exact"), F.collect_set(F.when(F.col("is_first"), F.col("line"))).alias("near"))
+
+
+def _without(text: str | None, *gone: list[int] | None) -> str | None:
+    lost = {n for numbers in gone for n in numbers or ()}
+    if not lost or text is None:
+        return text
+    return "\n".join([line for n, line in enumerate(text.split("\n")) if n not in lost])
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+    """docs with the lines that stay; with report, also arrays `exact` and `near` of lines that go."""
+    lost = dropped_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "exact", "near")
+    names = docs.columns
+    at = names.index(text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tk"))
+    joined = packed.join(lost, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left").select("row", "exact", "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            texts = [_without(t.as_py(), e.as_py(), n.as_py()) for t, e, n in zip(row.field(at), batch.column("exact"), batch.column("near"), strict=True)]
+            columns = [pa.array(texts, pa.string()) if i == at else row.field(i) for i in range(len(names))]
+            if report:
+                columns += [batch.column("exact"), batch.column("near")]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    kinds = [docs.schema[n].dataType if n != text_col else T.StringType() for n in names]
+    if report:
+        kinds += [T.ArrayType(T.IntegerType())] * 2
+    out = joined.mapInArrow(run, T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
+    return out.toDF(*names, *(["exact", "near"] if report else []))
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_exact, n_near: lines gone; n_chars, text_sha256 of what stays."""
+    found = deduplicate(docs.select(id_col, text_col), id_col, text_col, report=True)
+    gone = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return found.select(
+        id_col, gone("exact").alias("n_exact"), gone("near").alias("n_near"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256")
+    )
+
+
+def brute_force(docs: list[tuple]) -> dict:
+    """Remaining text by id, comparing every pair of lines; for tests."""
+    seen: list[list[bytes]] = []
+    out = {}
+    for doc, text in sorted(docs, key=lambda r: r[0]):
+        if text is None:
+            out[doc] = None
+            continue
+        kept = []
+        for line in text.split("\n"):
+            words = line.encode().lower().split()
+            if len(words) >= MIN_WORDS:
+                repeat = any(one_apart(words, other) for other in seen)
+                seen.append(words)
+                if repeat:
+                    continue
+            kept.append(line)
+        out[doc] = "\n".join(kept)
+    return out
+
+
+ORACLE = r"""
+WITH l AS (
+  SELECT doc_id, i, ls[i] AS line,
+    regexp_extract_all(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+long AS (SELECT doc_id, i, array_to_string(ws, ' ') AS k, ws FROM l WHERE len(ws) >= 5),
+d AS (SELECT k, any_value(ws) AS ws, min(row(doc_id, i)) AS f FROM long GROUP BY k),
+v AS (SELECT k, f, len(ws) AS n, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS x FROM (SELECT k, f, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+sub AS (SELECT x, p, min(f) AS f FROM v GROUP BY x, p),
+near AS (
+  SELECT v.k FROM v JOIN sub ON v.x = sub.x AND v.p = sub.p WHERE sub.f < v.f
+  UNION SELECT v.k FROM v JOIN d ON v.x = d.k WHERE d.f < v.f
+  UNION SELECT d.k FROM v JOIN d ON v.x = d.k WHERE v.f < d.f),
+mark AS (
+  SELECT l.doc_id, l.i, l.line, long.k IS NOT NULL AND d.f <> row(l.doc_id, l.i) AS exact, long.k IS NOT NULL AND d.f = row(l.doc_id, l.i) AND near.k IS NOT NULL AS near
+  FROM l LEFT JOIN long ON l.doc_id = long.doc_id AND l.i = long.i LEFT JOIN d ON long.k = d.k LEFT JOIN (SELECT DISTINCT k FROM near) near ON long.k = near.k),
+t AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT exact AND NOT near), '') AS text
+  FROM mark GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_exact, 0) AS BIGINT) AS n_exact, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(length(coalesce(t.text, '')) AS BIGINT) AS n_chars, sha256(coalesce(t.text, '')) AS text_sha256
+FROM documents LEFT JOIN t USING (doc_id)
+"""

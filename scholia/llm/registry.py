@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, decontamination, html_text, language, neighbours, sharding, simhash
+from scholia.llm import bpe, decontamination, html_text, language, lines, neighbours, sharding, simhash
 from scholia.session import table
 
 #: Place of the public tokenizer file; every executor reads the same one.
@@ -47,12 +47,17 @@ def op3_neighbours(spark, sf_dir):
     return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op5_lines(spark, sf_dir):
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
         "op2_html_text": op2_html_text,
         "op3_neighbours": op3_neighbours,
         "op4_bpe": op4_bpe,
+        "op5_lines": op5_lines,
         "op6_simhash": op6_simhash,
         "op8_sharding": op8_sharding,
         "op10_language": op10_language,
@@ -62,4 +67,5 @@ def queries():
 def oracle_sql():
     return {
         "op1_decontamination": decontamination.ORACLE,
+        "op5_lines": lines.ORACLE,
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, decontamination, html_text, language, lines, neighbours, sharding, simhash
+from scholia.llm import bpe, chat, decontamination, html_text, language, lines, neighbours, sharding, simhash, training_order
 from scholia.session import table
 
 #: Place of the public tokenizer file; every executor reads the same one.
@@ -51,6 +51,14 @@ def op5_lines(spark, sf_dir):
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark, sf_dir):
+    return chat.digest(chat.rendered(table(spark, sf_dir, "conversations")))
+
+
+def op9_training_order(spark, sf_dir):
+    return training_order.digest(training_order.shards(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
@@ -59,7 +67,9 @@ def queries():
         "op4_bpe": op4_bpe,
         "op5_lines": op5_lines,
         "op6_simhash": op6_simhash,
+        "op7_chat": op7_chat,
         "op8_sharding": op8_sharding,
+        "op9_training_order": op9_training_order,
         "op10_language": op10_language,
     }
 
@@ -68,4 +78,5 @@ def oracle_sql():
     return {
         "op1_decontamination": decontamination.ORACLE,
         "op5_lines": lines.ORACLE,
+        "op7_chat": chat.ORACLE,
     }

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.functions.text import blank_to_null, strip, two_digits
 
@@ -156,7 +157,7 @@ def _merged(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_column(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: split_text(t) if t else [])
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scholia.functions.text import contains_any
 
@@ -75,12 +76,15 @@ def nearest(
     source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *[F.col(c).cast("string").alias("scope") for c in scopes]).where("v is not null")
     asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v"), *[F.col(c).cast("string").alias("scope") for c in scopes])
     kinds = {"q": asked.schema["q"].dataType.simpleString(), "id": source.schema["id"].dataType.simpleString()}
+    query_type = to_arrow_type(asked.schema["q"].dataType)
     schema = f"q {kinds['q']}, id {kinds['id']}, distance double" + (", v array<double>" if with_vectors else "")
 
     def block_search(names: list, matrix: np.ndarray, own: list | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, pd.DataFrame] = {}
+            id_type = None
             for batch in batches:
+                id_type = batch.schema.field("id").type
                 frame = batch.to_pandas()
                 if not len(frame):
                     continue
@@ -89,15 +93,19 @@ def nearest(
                     if not len(chosen):
                         continue
                     away = _distances(matrix[chosen], np.stack(part["v"].to_list()), metric)
+                    # Rounded, so that equal distances are equal in whatever batch they were computed.
+                    away = away.round(9)
+                    ids, held = part["id"].to_numpy(), part["v"].to_numpy()
                     for row, q in enumerate(chosen):
-                        few = pd.DataFrame({"id": part["id"].to_numpy(), "distance": away[row], "v": part["v"].to_numpy()})
-                        # Rounded, so that equal distances are equal in whatever batch they were computed.
-                        few["distance"] = few["distance"].round(9)
+                        near = np.flatnonzero(away[row] <= np.partition(away[row], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
+                        few = pd.DataFrame({"id": ids[near], "distance": away[row][near], "v": held[near]})
                         few = pd.concat([best[q], few]) if q in best else few
                         best[q] = few.sort_values(["distance", "id"], kind="stable").head(k)
             for q, few in best.items():
-                columns = {"q": [names[q]] * len(few), "id": few["id"], "distance": few["distance"]} | ({"v": few["v"]} if with_vectors else {})
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(columns), preserve_index=False)
+                columns = {"q": pa.array([names[q]] * len(few), query_type), "id": pa.array(few["id"], id_type), "distance": pa.array(few["distance"], pa.float64())}
+                if with_vectors:
+                    columns["v"] = pa.array(few["v"].to_list(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         return run
 

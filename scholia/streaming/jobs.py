@@ -1,0 +1,61 @@
+"""Ingest jobs as streams: requests in, a status log out, timeouts and expiry by timers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from scholia.operators.topics import COMPLETED, FAILED, PROCESSING, TIMEOUT
+
+REQUESTS = "topic_id string, query string, max_results int, ts timestamp"
+EVENTS = "topic_id string, event string, max_results int, ts timestamp"
+STATUS = "topic_id string, status string, ts timestamp"
+#: Events that end a job, with the status that they give.
+ENDS = {"done": COMPLETED, "error": FAILED}
+
+
+def status_machine(events: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """topic_id, status, ts from events start, done and error, by event time.
+
+    A job that has not ended 60 + 2 * max_results seconds after its start times
+    out when the watermark passes; what comes after an end changes nothing. Use
+    as a stream, appended.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = []
+        status, due = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            rows.append((key[0], TIMEOUT, pd.Timestamp(due, unit="ms")))
+            state.remove()
+        else:
+            found = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for row in found.itertuples(index=False):
+                if row.event == "start" and status is None:
+                    status, due = PROCESSING, int(row.ts.timestamp() * 1000) + 1000 * (60 + 2 * int(row.max_results))
+                    rows.append((key[0], PROCESSING, row.ts))
+                elif row.event in ENDS and status == PROCESSING:
+                    status = ENDS[row.event]
+                    rows.append((key[0], status, row.ts))
+            if status is not None:
+                state.update((status, due))
+                if status == PROCESSING:
+                    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["topic_id", "status", "ts"])
+
+    watched = events.withWatermark("ts", delay)
+    return watched.groupBy("topic_id").applyInPandasWithState(step, STATUS, "status string, due long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def read_events(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
+    """Events as they arrive as JSON files in a folder."""
+    return spark.readStream.schema(schema).json(path)
+
+
+def run_ingest(requests: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Every batch of requests through ingest(batch, id), once each, with what is there now."""
+    return requests.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,15 +3,15 @@
 A line's words are its runs of non-white-space bytes after lower-casing A-Z.
 Lines of at least MIN_WORDS words are duplicates if their words are equal or one
 word apart (a word replaced, added or left out), a similarity of 0.8 or more.
-Shorter lines stay. Order is by document id, then line number. A line goes if
-its words came before, or if an earlier line is one word apart from it.
+Shorter lines stay. Order is by document id, then line number, then text hash. A
+line goes if its words came before, or if an earlier line is one word apart.
 
 Stages, all joins and sums on hashed keys:
-1. every line's hash finds the distinct lines and the first place of each;
+1. every long line's hash, place and hashes of its two ends are stored once;
 2. a filter that loses nothing: two lines one word apart share their first or
-   their last half, so lines alone with all their halves are done;
+   their last words, so lines alone with both their ends are done;
 3. the others emit their deletion neighbourhood, every variant with one word
-   left out and the line itself, as hashed keys with the place left out;
+   left out, as hashed keys with the place left out;
 4. equal keys meet: variants with the same place left out are one replacement
    apart, a variant equal to a whole line is one addition apart. Each key keeps
    its earliest line, so that a large family of lines makes no pairs;
@@ -34,23 +34,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.session import cut
+from scholia.session import stored
 
 MIN_WORDS = 5
 #: Rows handed on at a time by the stages that make several rows of one.
 ROWS = 20_000
+#: Most lines or ends that are sent to every task; beyond it, shuffle joins.
+BROADCAST_LINES = 500_000
 
 #: Odd multipliers and their inverses modulo 2**64, one pair for each half of a key.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Hashes of the halves that a line one word away has too."""
-    found = set()
-    for size in {len(words) // 2, (len(words) - 1) // 2}:
-        found.add(xxhash.xxh3_64_intdigest(b" ".join(words[:size]), 2 * size))
-        found.add(xxhash.xxh3_64_intdigest(b" ".join(words[-size:]), 2 * size + 1))
+def _end_size(n: int) -> int:
+    """Words in each end of a line of n words: half at most, in steps, so that neighbours in length mostly agree."""
+    step = 2 if n < 16 else 4
+    return n // 2 // step * step
+
+
+def ends(words: list[bytes]) -> list[int]:
+    """Hashes of the ends, one of which a line one word away has too."""
+    found = []
+    for size in {_end_size(len(words)), _end_size(len(words) - 1)}:
+        found.append(xxhash.xxh3_64_intdigest(b" ".join(words[:size]), 2 * size))
+        found.append(xxhash.xxh3_64_intdigest(b" ".join(words[-size:]), 2 * size + 1))
     return [x - (1 << 64) if x >> 63 else x for x in found]
 
 
@@ -86,8 +94,8 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def _lines(docs: DataFrame, with_halves: bool) -> DataFrame:
-    """id, tk, line, h (hash of the words), halves of every line long enough."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """id, line, tk, h1, h2 (hash of the words), ends of every line long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,14 +103,11 @@ def _lines(docs: DataFrame, with_halves: bool) -> DataFrame:
 
             def flush(batch: pa.RecordBatch = batch):
                 at = pa.array(rows, pa.int32())
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())]
-                names = ["id", "tk", "line", "h"]
-                if with_halves:
-                    columns, names = [*columns, pa.array(parts, pa.list_(pa.int64()))], [*names, "halves"]
-                out = pa.RecordBatch.from_arrays(columns, names)
+                pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                columns = [batch.column(0).take(at), pa.array(numbers, pa.int32()), batch.column(1).take(at), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(parts, pa.list_(pa.int64()))]
                 for kept in (rows, numbers, hashes, parts):
                     kept.clear()
-                return out
+                return pa.RecordBatch.from_arrays(columns, ["id", "line", "tk", "h1", "h2", "ends"])
 
             for row, text in enumerate(batch.column(2).cast(pa.binary())):
                 for number, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
@@ -112,86 +117,108 @@ def _lines(docs: DataFrame, with_halves: bool) -> DataFrame:
                     rows.append(row)
                     numbers.append(number)
                     hashes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    if with_halves:
-                        parts.append(halves(words))
+                    parts.append(ends(words))
                     if len(rows) >= ROWS:
                         yield flush()
             if rows:
                 yield flush()
 
-    fields = [docs.schema["id"], T.StructField("tk", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.BinaryType())]
-    if with_halves:
-        fields.append(T.StructField("halves", T.ArrayType(T.LongType())))
-    return docs.mapInArrow(run, T.StructType(fields))
+    fields = T.StructType.fromDDL("line int, tk long, h1 long, h2 long, ends array<long>").fields
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *fields]))
 
 
-def _variants(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Keys of the neighbourhoods of `lines` (h, first): h, first, pos, k1, k2, words.
-
-    pos is the word left out, -1 for the whole line, which brings its words.
-    """
-    by_doc = lines.groupBy(F.col("first.id").alias("id_"), F.col("first.tk").alias("tk_")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h")).alias("wanted"))
-    joined = docs.join(by_doc, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tk") == F.col("tk_"))).select("id", "tk", "text", "wanted")
+def _words(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """lines (h1, h2, first) with their words, taken from the documents where they come first."""
+    by_doc = lines.groupBy(F.col("first.id").alias("id_"), F.col("first.tk").alias("tk_")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2")).alias("wanted"))
+    small = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    joined = docs.join(F.broadcast(by_doc) if small else by_doc, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tk") == F.col("tk_"))).select("id", "tk", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 text = batch.column(2)[row].as_py().encode().lower().split(b"\n")
-                for wanted in batch.column(3)[row].as_py():
-                    words = text[wanted["line"]].split()
-                    k1, k2 = neighbourhood(words)
-                    n = len(k1)
-                    at = pa.array([row] * n, pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([wanted["h"]] * n, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array([wanted["line"]] * n, pa.int32()),
-                            pa.array(range(-1, n - 1), pa.int32()), pa.array(k1), pa.array(k2), pa.array([b" ".join(words), *[None] * (n - 1)], pa.binary()),
-                        ],
-                        ["h", "id", "tk", "line", "pos", "k1", "k2", "words"],
-                    )
-
-    fields = T.StructType([T.StructField("h", T.BinaryType()), docs.schema["id"], *T.StructType.fromDDL("tk long, line int, pos int, k1 long, k2 long, words binary").fields])
-    return joined.mapInArrow(run, fields).select("h", F.struct("id", "tk", "line").alias("first"), "pos", "k1", "k2", "words")
-
-
-def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """h of the distinct lines (h, first, halves) with an earlier line one word apart."""
-    parts = distinct.select("h", F.explode("halves").alias("half"))
-    shared = parts.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    left = parts.join(shared, "half", "left_semi").select("h").distinct()
-    variants = cut(_variants(distinct.join(left, "h").select("h", "first"), docs))
+                wanted = batch.column(3)[row].as_py()
+                at = pa.array([row] * len(wanted), pa.int32())
+                values = [pa.array([w[n] for w in wanted], t) for n, t in (("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()))]
+                words = pa.array([b" ".join(text[w["line"]].split()) for w in wanted], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), values[0], batch.column(1).take(at), *values[1:], words], ["id", "line", "tk", "h1", "h2", "words"])
+
+    fields = T.StructType.fromDDL("line int, tk long, h1 long, h2 long, words binary").fields
+    # Repeated rows of a document bring its lines again.
+    return joined.mapInArrow(run, T.StructType([docs.schema["id"], *fields])).dropDuplicates(["h1", "h2"])
+
+
+def _variants(lines: DataFrame, whole: bool) -> DataFrame:
+    """k1, k2, pos, id, line, h1: the keys of lines with word pos left out, or of whole lines (pos -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, counts = [], []
+            for row, words in enumerate(batch.column("words")):
+                k1, k2 = neighbourhood(words.as_py().split(b" "))
+                held.append((k1[:1], k2[:1]) if whole else (k1[1:], k2[1:]))
+                counts.append(len(held[-1][0]))
+                if sum(counts) >= ROWS or row == batch.num_rows - 1:
+                    at = pa.array(np.repeat(np.arange(row + 1 - len(counts), row + 1), counts))
+                    pos = np.full(len(counts), -1) if whole else np.concatenate([np.arange(n) for n in counts])
+                    columns = [pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held])), pa.array(pos.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(batch.column(n).take(at) for n in ("id", "line", "h1"))], ["k1", "k2", "pos", "id", "line", "h1"])
+                    held, counts = [], []
+
+    fields = T.StructType.fromDDL("k1 long, k2 long, pos int").fields
+    return lines.select("id", "line", "h1", "words").mapInArrow(run, T.StructType([*fields, lines.schema["id"], *T.StructType.fromDDL("line int, h1 long").fields]))
+
+
+def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """h1, h2, first of the lines with an earlier line one word apart.
+
+    lines: every occurrence with its ends; docs: id, tk, text.
+    """
+    parts = lines.select("h1", F.explode("ends").alias("end"))
+    shared = parts.groupBy("end").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("end")
+    shared = stored(shared)
+    small = shared.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    spread = lines.select("h1", "h2", _place(), F.explode("ends").alias("end")).join(F.broadcast(shared) if small else shared, "end", "left_semi")
+    left = spread.groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    left = stored(_words(stored(left), docs))
 
     keys = ["k1", "k2"]
-    who = F.min(F.struct("first", "h"))
-    cells = variants.groupBy(*keys, "pos").agg(who.alias("low"), F.count("*").alias("n"))
-    by_key = cells.groupBy(*keys).agg(F.min(F.when(F.col("pos") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("low"))).alias("part"), F.sum("n").alias("all"))
-    cells = cells.join(by_key.where("all > 1"), keys)
-    # A variant's partners: variants with the same word left out, and the line that it equals; a whole line's: the variants that equal it.
-    low = F.when(F.col("pos") < 0, F.col("part")).otherwise(F.least("low", F.coalesce("whole", "low")))
-    earliest = cells.select(*keys, "pos", low.alias("low")).where("low is not null")
-    pairs = variants.join(earliest, [*keys, "pos"]).where("low.first < first").select("h", F.col("low.h").alias("with")).distinct()
-
-    words = variants.where("pos < 0").select("h", "words").dropDuplicates(["h"])
-    both = pairs.join(words, "h").join(words.select(F.col("h").alias("with"), F.col("words").alias("other")), "with").select("h", "words", "other")
+    where = F.struct("id", "line", "h1")
+    variants = _variants(left, False)
+    # Variants that several lines share, and whole lines, with the earliest line of each.
+    cells = variants.groupBy(*keys, "pos").agg(F.min(where).alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    wholes = _variants(left, True).select(*keys, "pos", where.alias("low"))
+    known = cells.unionByName(wholes).withColumnRenamed("pos", "pos_")
+    met = variants.select(*keys, "pos", where.alias("own")).join(known, keys).where("pos_ = pos or pos_ = -1")
+    later = F.when(F.col("low") < F.col("own"), F.struct(F.col("own").alias("gone"), F.col("low").alias("with")))
+    # Of a whole line and a variant the later line goes, of variants the one that is not the earliest.
+    pairs = met.select(F.coalesce(later, F.when((F.col("pos_") == -1) & (F.col("own") < F.col("low")), F.struct(F.col("low").alias("gone"), F.col("own").alias("with")))).alias("pair"))
+    pairs = pairs.where("pair is not null").groupBy(F.col("pair.gone").alias("gone")).agg(F.min("pair.with").alias("with"))
+
+    side = lambda name: left.select(where.alias(name), F.col("words").alias(f"{name}_words"))
+    both = pairs.join(left.select(where.alias("gone"), "h1", "h2", _place(), "words"), "gone").join(side("with"), "with").select("h1", "h2", "first", "words", "with_words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [one_apart(a.as_py().split(b" "), b.as_py().split(b" ")) for a, b in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], ["h"])
+            near = [one_apart(a.as_py().split(b" "), b.as_py().split(b" ")) for a, b in zip(batch.column(3), batch.column(4), strict=True)]
+            yield batch.select(["h1", "h2", "first"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(verify, "h binary").distinct()
+    return both.mapInArrow(verify, both.select("h1", "h2", "first").schema)
+
+
+def _place() -> F.Column:
+    return F.struct("id", "line", "tk").alias("first")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tk (hash of the text), exact, near: numbers of the lines that go; documents that lose none are absent."""
     source = _documents(docs, id_col, text_col)
-    place = F.struct("id", "tk", "line")
-    distinct = cut(
-        _lines(source, True).groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    )
-    near = cut(near_lines(distinct, source))
-    marked = distinct.join(near.withColumn("near", F.lit(True)), "h", "left").select("h", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
-    lost = _lines(source, False).join(marked.where("n > 1 or near"), "h").select("id", "tk", "line", (place == F.col("first")).alias("is_first"), "near")
+    lines = stored(_lines(source))
+    near = stored(near_lines(lines, source))
+    repeated = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marks = repeated.select("h1", "h2", "first", F.lit(False).alias("near")).unionByName(near.select("h1", "h2", "first", F.lit(True).alias("near")))
+    marks = marks.groupBy("h1", "h2").agg(F.min("first").alias("earliest"), F.max("near").alias("near"))
+    lost = lines.select("id", "line", "tk", "h1", "h2").join(marks, ["h1", "h2"]).select("id", "tk", "line", (_place() == F.col("earliest")).alias("is_first"), "near")
     lost = lost.where("near or not is_first")
     return lost.groupBy("id", "tk").agg(F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("exact"), F.collect_set(F.when(F.col("is_first"), F.col("line"))).alias("near"))
 

@@ -88,14 +88,20 @@ def folder_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.agg(F.count_distinct(below).alias("topics"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+# Elements whose end, or start, ends an open paragraph, and elements without an end.
+_CLOSING = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li td".split())
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
 class _Items(HTMLParser):
-    """Title, paragraphs and first link of every item element of a page."""
+    """First title, paragraphs' own texts and first link of every item element of a page."""
 
     def __init__(self, item: tuple[str, str | None], title: str, paragraph: str):
         super().__init__(convert_charrefs=True)
         self.item, self.title, self.paragraph = item, title, paragraph
         self.items: list[dict] = []
-        self.depth, self.inside = 0, None
+        # How deep in an item, in which text element, and how deep in that.
+        self.depth, self.inside, self.nested = 0, None, 0
 
     def handle_starttag(self, tag, attributes):
         attributes = dict(attributes)
@@ -105,27 +111,33 @@ class _Items(HTMLParser):
         if not self.depth and tag == name and (wanted is None or wanted in (attributes.get("class") or "").split()):
             self.depth = 1
             self.items.append({"title": None, "content": [], "href": None})
-        if self.depth:
-            now = self.items[-1]
-            if tag == "a" and now["href"] is None:
-                now["href"] = attributes.get("href")
-            if tag in (self.title, self.paragraph):
-                self.inside = tag
+        if not self.depth:
+            return
+        if tag == "a" and self.items[-1]["href"] is None:
+            self.items[-1]["href"] = attributes.get("href")
+        if tag in _CLOSING:
+            self.inside = None
+        if tag in (self.title, self.paragraph):
+            self.inside, self.nested = tag, 0
+        elif self.inside and tag not in _VOID:
+            self.nested += 1
 
     def handle_endtag(self, tag):
         if self.depth and tag == self.item[0]:
             self.depth -= 1
-        if tag == self.inside:
+        if tag == self.inside or tag in _CLOSING:
             self.inside = None
+        elif self.inside:
+            self.nested = max(0, self.nested - 1)
 
     def handle_data(self, data):
-        if not self.depth or self.inside is None:
+        if not self.depth or self.inside is None or self.nested:
             return
         now = self.items[-1]
-        if self.inside == self.title and now["title"] is None:
-            now["title"] = data
-        elif self.inside == self.paragraph:
+        if self.inside == self.paragraph:
             now["content"].append(data)
+        elif now["title"] is None:
+            now["title"] = data
 
 
 def crawl_items(pages: DataFrame, id_col: str = "page_id", item: tuple[str, str | None] = ("div", "article"), title: str = "h2", paragraph: str = "p") -> DataFrame:

@@ -1,0 +1,244 @@
+"""XML records, quality, chunks, stores, crawl, retrieval, answers, topics, streams, the engine end to end."""
+
+import json
+import random
+from datetime import date, datetime
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from scholia.operators import answers, articles, retrieval, topics
+from scholia.plans import engine
+from scholia.plans.request import TopicRequest
+from scholia.sources import records
+from scholia.streaming import jobs
+
+XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle Status="x"><PMID>11</PMID><ArticleTitle>Plain title <i>of</i> the thing</ArticleTitle>
+<Abstract><AbstractText Label="BACKGROUND">One &lt; two</AbstractText><AbstractText> </AbstractText><AbstractText Label="">Three <i>it</i> tail</AbstractText></Abstract>
+<AuthorList><Author><LastName>Li</LastName><ForeName>Ann</ForeName><Initials>A</Initials></Author><Author><LastName>Bo</LastName><Initials>B</Initials></Author><Author><LastName>Solo</LastName></Author><Author><ForeName>No</ForeName></Author><Author><CollectiveName> The Group </CollectiveName></Author><Author><CollectiveName/></Author></AuthorList>
+<Journal><Title/></Journal><MedlineTA>J Med</MedlineTA><PubDate><Year>2022</Year><Month>Dec</Month><Day>3</Day></PubDate><ArticleId IdType="pii">p</ArticleId><ArticleId IdType="doi">10.1/x</ArticleId>
+<MeshHeading><DescriptorName>Humans</DescriptorName></MeshHeading><MeshHeading><DescriptorName>Mice</DescriptorName></MeshHeading><Keyword>k1</Keyword><Keyword/><PublicationType>Review</PublicationType></PubmedArticle>
+<PubmedArticle><PMID>12</PMID><ArticleTitle><i>Lead</i> rest</ArticleTitle><Journal><Title>J</Title></Journal><PubDate><MedlineDate>2020 Jan-Feb</MedlineDate></PubDate></PubmedArticle>
+<PubmedArticle><PMID>13</PMID><ArticleTitle>x</bad></PubmedArticle>
+<PubmedArticle><ArticleTitle>Four</ArticleTitle><PubDate/><ArticleDate><Year>2021</Year><Month>Spring</Month></ArticleDate></PubmedArticle>
+<PubmedArticle><PMID>11</PMID><PubDate><Year>2022</Year><Day>4</Day></PubDate></PubmedArticle></PubmedArticleSet>"""
+
+
+@pytest.fixture(scope="module")
+def extracted(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("xml")
+    (folder / "a.xml").write_text(XML)
+    return articles.extract_articles(records.read_xml_records(spark, str(folder)))
+
+
+def test_extraction(extracted):
+    rows = {r["article_index"]: r.asDict() for r in extracted.collect()}
+    assert sorted(rows) == [1, 2, 4, 5]
+    assert rows[1] == {
+        "article_index": 1, "pmid": "11", "title": "Plain title ", "abstract": "BACKGROUND: One < two Three", "authors": "Li, Ann; Bo, B; Solo; The Group", "journal": "J Med",
+        "publication_date": "2022-12-03", "doi": "10.1/x", "mesh_terms": ["Humans", "Mice"], "keywords": ["k1"], "publication_types": ["Review"],
+    }
+    assert (rows[2]["title"], rows[2]["publication_date"], rows[2]["journal"], rows[2]["doi"]) == ("No Title", "Unknown Date", "J", None)
+    assert (rows[4]["pmid"], rows[4]["publication_date"], rows[4]["abstract"], rows[4]["authors"]) == ("unknown", "2021-Spring", "No Abstract", "Unknown Authors")
+    assert rows[5]["publication_date"] == "2022" and rows[5]["mesh_terms"] == []
+
+
+@pytest.mark.parametrize(
+    ("pmid", "title", "abstract", "good"),
+    [("1", "t" * 10, "a" * 50, True), ("1", "t" * 9, "a" * 50, False), ("1", "t" * 49, "a" * 49, False), ("1", "t" * 50, "a" * 49, True), ("1", "t" * 50, "No Abstract", True), ("unknown", "t" * 50, "a" * 50, False), (None, "t" * 50, "a" * 50, False), ("1", "No Title", "a" * 50, False), ("1", " " * 5 + "t" * 9, "a" * 50, False), ("1", "t" * 10, None, False)],
+)
+def test_quality(spark, pmid, title, abstract, good):
+    frame = spark.createDataFrame([(pmid, title, abstract)], "p string, t string, a string")
+    assert frame.select(articles.is_valid(F.col("p"), F.col("t"), F.col("a"))).first()[0] is good
+
+
+def test_date_bounds(spark):
+    frame = articles.with_date_bounds(spark.createDataFrame([("2022-02-03",), ("2020-02",), ("2021",), ("Unknown Date",)], "publication_date string"))
+    assert [(str(r[1]), str(r[2])) for r in frame.collect()] == [("2022-02-03", "2022-02-03"), ("2020-02-01", "2020-02-29"), ("2021-01-01", "2021-12-31"), ("None", "None")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=3000))
+def test_splitter(text):
+    pieces = articles.split_text(text)
+    assert all(len(p) <= 400 or not any(s in p[1:] for s in articles.SEPARATORS) for p in pieces)
+    squeezed = lambda t: "".join(t.split())
+    at, whole = 0, squeezed(text)
+    for piece in map(squeezed, pieces):  # pieces cover the text in order, with overlaps
+        found = whole.find(piece, max(0, at - 60))
+        assert 0 <= found <= at
+        at = max(at, found + len(piece))
+    assert at == len(whole)
+
+
+def test_splitter_keeps_separators_in_front():
+    text = ". ".join(f"Sentence number {i} of a long abstract" for i in range(40))
+    pieces = articles.split_text(text)
+    assert len(pieces) > 3 and all(p.startswith(". ") for p in pieces[1:]) and pieces[0].startswith("Sentence")
+
+
+def test_chunks(spark):
+    base = articles.articles_of_documents(spark.createDataFrame([(1, "T" * 20 + "\n" + "word " * 155 + "word", "en", "s"), (3, "T" * 20 + "\n" + "word " * 156, "en", "s"), (2, "A title here\n" + "w. " * 300, "en", "s")], "doc_id long, text string, lang string, source string"))
+    rows = articles.chunks(base).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["metadata"]["pubmed_id"], []).append(r)
+    assert len(by["1"]) == 1 and len(by["3"]) > 2
+    split = [r for r in by["2"] if r["metadata"]["chunk_type"] == "abstract_split"]
+    assert split[1]["content"].startswith("Abstract Chunk 2: ") and split[1]["metadata"]["chunk_id"] == "2_abs_1" and split[0]["metadata"]["chunk_index"] == 0
+    main = next(r for r in by["2"] if r["metadata"]["chunk_type"] == "title_abstract")
+    assert main["content"].startswith("[PMID: 2]\nTitle: A title here\nAuthors: Unknown Authors\n\nAbstract: A title") and main["metadata"]["chunk_id"] is None
+
+
+def test_stores(spark, tmp_path):
+    base = articles.articles_of_documents(spark.createDataFrame([(1, "A title here\n" + "w. " * 300, "en", "s"), (2, "B title", "en", "t")], "doc_id long, text string, lang string, source string"))
+    records.write_chunk_store(articles.chunks(base), str(tmp_path / "chunks"))
+    found = records.read_chunk_store(spark, str(tmp_path / "chunks"), "s")
+    assert found.count() == articles.chunks(base).where("metadata.topic_id = 's'").count()
+    with pytest.raises(records.NotFound):
+        records.read_chunk_store(spark, str(tmp_path / "chunks"), "zzz")
+    (tmp_path / "one.json").write_text(json.dumps([{"content": "c", "metadata": {"topic_id": "q", "pubmed_id": "5"}}]))
+    assert records.read_chunk_store(spark, str(tmp_path / "one.json"), "q", multiline=True).first()["metadata"]["pubmed_id"] == "5"
+    (tmp_path / "search.json").write_text(json.dumps({"esearchresult": {"count": "7", "idlist": ["3", "4"]}}))
+    assert sorted(map(tuple, records.read_search_response(spark, str(tmp_path / "search.json")).collect())) == [(7, "3"), (7, "4")]
+
+
+def test_crawl(spark):
+    html = '<div class="article big"><h2>Head &amp; more</h2><p>One <b>bold</b> end</p><div><p>Two</div><a href="/x?y=1">go</a></div><div class="article"><h2></h2><p>no title</p></div><div class="other"><h2>No</h2><p>No</p></div>'
+    found = records.crawl_items(spark.createDataFrame([(1, "http://h.example/a/b", html), (2, None, None)], "page_id long, url string, html string")).collect()
+    assert [tuple(r) for r in found] == [(1, "Head & more", ["One ", " end", "Two"], "http://h.example/x?y=1")]
+
+
+def test_nearest_scopes_and_ties(spark):
+    rows = [(i, "a" if i % 2 else "b", [1.0, 0.0] if i < 8 else [0.0, float(i)]) for i in range(20)] + [(99, "a", None)]
+    frame = spark.createDataFrame(rows, "vec_id long, scope string, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "c", [1.0, 0.0])], "query_id long, scope string, query_embedding array<double>")
+    found = retrieval.nearest(frame, asked, 4, scope_col="scope").orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [1, 3, 5, 7] and {r["query_id"] for r in found} == {1}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows, asks = rng.normal(size=(200, 8)), rng.normal(size=(7, 8))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(asks)], "query_id long, query_embedding array<double>")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    found = retrieval.nearest(frame, asked, 5).toPandas()
+    for q, part in found.groupby("query_id"):
+        want = np.argsort(np.linalg.norm(rows - asks[q], axis=1))[:5]
+        assert part.sort_values("rank")["vec_id"].tolist() == want.tolist()
+
+
+def slow_mmr(query, rows, k, weight):
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    chosen = []
+    while len(chosen) < min(k, len(rows)):
+        best, score = None, -np.inf
+        for i in range(len(rows)):
+            if i not in chosen:
+                now = weight * cosine(query, rows[i]) - (1 - weight) * max([cosine(rows[i], rows[j]) for j in chosen], default=0) if chosen else cosine(query, rows[i])
+                if now > score + 1e-12:
+                    best, score = i, now
+        chosen.append(best)
+    return chosen
+
+
+def test_mmr():
+    rng = np.random.default_rng(1)
+    rows, query = rng.normal(size=(40, 6)), rng.normal(size=6)
+    assert retrieval.mmr_order(query, rows, 15) == slow_mmr(query, rows, 15, 0.7)
+    by_cosine = np.argsort(-(rows @ query) / np.linalg.norm(rows, axis=1))
+    assert retrieval.mmr_order(query, rows, 10, 1.0) == by_cosine[:10].tolist()
+    assert sorted(retrieval.mmr_order(query, rows, 99)) == list(range(40))
+
+
+def test_embedding_is_stable(spark):
+    frame = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "i int, t string")
+    rows = {r["i"]: np.array(r["embedding"]) for r in retrieval.embed(frame, "t").collect()}
+    assert np.allclose(rows[1], retrieval.hash_embedder()(["a b a"])[0]) and abs(np.linalg.norm(rows[1]) - 1) < 1e-6 and not rows[2].any() and not rows[3].any()
+    custom = retrieval.embed(frame, "t", lambda texts: np.ones((len(texts), 3), np.float32))
+    assert custom.first()["embedding"] == [1.0, 1.0, 1.0]
+
+
+def test_answers(spark):
+    asked = spark.createDataFrame([(1, "s", "What about insulin resistance?"), (2, "s", "Anything on volcanoes?"), (3, "t", "insulin")], "query_id long, topic_id string, text string")
+    passages = spark.createDataFrame([(1, 2, "Insulin falls. Cats sleep."), (1, 1, "Birds fly. There is insulin resistance in mice."), (2, 1, "Nothing fits.")], "query_id long, position int, content string")
+    counts = spark.createDataFrame([("s", 3)], "topic_id string, articles long")
+    found = dict(map(tuple, answers.answer_questions(asked, passages, counts).collect()))
+    assert found[1].startswith("There is insulin resistance in mice. Insulin falls.")
+    assert found[2] == found[3] and found[2].startswith("I don't have specific information")
+    loud = dict(map(tuple, answers.answer_questions(asked, passages, counts, lambda prompts: [p.upper() for p in prompts]).collect()))
+    assert "INSULIN RESISTANCE" in loud[1]
+
+
+def test_paging_parts_the_whole(spark):
+    frame = spark.range(95).select(F.lit("s").alias("topic_id"), F.col("id").alias("pmid"))
+    seen = [r["pmid"] for o in range(0, 100, 20) for r in topics.page(frame, F.col("topic_id") == "s", 20, o).collect()]
+    assert seen == list(range(95))
+    assert topics.page_info(frame, F.col("topic_id") == "s", 20, 80).first()["has_more"] is False
+    with pytest.raises(ValueError):
+        topics.expired(frame, F.current_timestamp(), 0)
+
+
+def test_status_stream(spark, tmp_path):
+    source = tmp_path / "events"
+    source.mkdir()
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s).isoformat()
+
+    def drop(name, *events):
+        (source / name).write_text("\n".join(json.dumps({"topic_id": t, "event": e, "max_results": n, "ts": at(s)}) for t, e, n, s in events))
+
+    stream = jobs.status_machine(jobs.read_events(spark, str(source)), "1 second")
+    query = stream.writeStream.outputMode("append").format("memory").queryName("statuses").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        drop("1.json", ("a", "start", 1, 0), ("b", "start", 1, 0), ("c", "start", 1, 1), ("c", "error", 1, 5))
+        query.processAllAvailable()
+        drop("2.json", ("a", "done", 1, 30), ("z", "start", 1, 5000))
+        query.processAllAvailable()
+        drop("3.json", ("z", "done", 1, 5001), ("a", "error", 1, 5002))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    found = {}
+    for r in spark.sql("select topic_id, status from statuses").collect():
+        found.setdefault(r["topic_id"], []).append(r["status"])
+    assert found["a"] == ["processing", "completed"] and found["b"] == ["processing", "timeout"] and found["c"] == ["processing", "failed"] and found["z"][0] == "processing"
+
+
+def test_ingest_stream(spark, tmp_path):
+    source = tmp_path / "requests"
+    source.mkdir()
+    (source / "1.json").write_text(json.dumps({"topic_id": "t", "query": "x", "max_results": 5, "ts": "2024-01-01T00:00:00"}))
+    seen = []
+    stream = jobs.read_events(spark, str(source), jobs.REQUESTS)
+    jobs.run_ingest(stream, lambda batch, number: seen.extend(r["topic_id"] for r in batch.collect()), str(tmp_path / "cp")).awaitTermination(60)
+    assert seen == ["t"]
+
+
+def test_engine_end_to_end(spark, small, tmp_path):
+    source = articles.articles_of_documents(spark.read.parquet(f"{small}/documents.parquet"))
+    path = str(tmp_path / "store")
+    done = engine.ingest(source, spark, TopicRequest(topic="the", max_results=30), "t1", path, date(2024, 1, 1))
+    assert done["status"] == "completed" and 0 < done["article_count"] <= 30
+    bare = engine.ingest(source, spark, TopicRequest(topic="the", max_results=5, create_embeddings=False), "t2", path, date(2024, 1, 1))
+    none = engine.ingest(source, spark, TopicRequest(topic="qqqqqq"), "t3", path, date(2024, 1, 1))
+    assert bare["article_count"] > 0 and none["article_count"] == 0
+    rows, info = engine.articles_page(spark, path, "t1", 10, 0)
+    assert rows.count() == min(10, done["article_count"]) and info.first()["total"] == done["article_count"]
+    asked = spark.createDataFrame([(1, "tell me about the thing " + random.Random(0).choice(["thhe", "then"]))], "query_id long, text string")
+    assert engine.answer(spark, path, asked, "t1").count() == 1
+    with pytest.raises(records.NotFound):
+        engine.answer(spark, path, asked, "t2")
+    assert engine.storage_status(spark, path)["topics"] == 1
+    log = spark.createDataFrame([("t1", "completed", datetime(2024, 1, 1)), ("t9", "completed", datetime(2024, 1, 1)), ("t2", "cleaned", datetime(2024, 1, 1))], "topic_id string, status string, created_at timestamp")
+    assert engine.cleanup_old(spark, path, log, "2024-02-01 00:00:00") == {"total": 2, "cleaned": 1, "failed": 1}
+    assert engine.health(spark)["status"] == "ok"
+
+
+def test_newest_conversations_keep_first_seen_order(spark):
+    frame = spark.createDataFrame(pd.DataFrame({"conv_id": [1, 2, 3, 1], "at": [1, 2, 3, 9]}))
+    assert [r["conv_id"] for r in answers.newest_conversations(frame, "at", keep=2).collect()] == [3, 2]

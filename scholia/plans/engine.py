@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+import time
+from datetime import date, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,56 @@ def cleanup_old(spark: SparkSession, path: str, log: DataFrame, as_of: str, days
     return {"total": total, "cleaned": cleaned, "failed": total - cleaned}
 
 
+def topic_status(log: DataFrame, topic_id: str) -> str:
+    """The last status of a topic in the log, or not_found."""
+    row = topics.latest(log.where(F.col("topic_id") == topic_id)).select("status").first()
+    return row["status"] if row else topics.NOT_FOUND
+
+
+def append_status(spark: SparkSession, path: str, topic_id: str, status: str, at: datetime, event_id: int = 0) -> None:
+    """One more entry in the log of statuses, which is never rewritten."""
+    spark.createDataFrame([(topic_id, status, at, event_id)], "topic_id string, status string, ts timestamp, event_id long").write.mode("append").parquet(f"{path}/log")
+
+
+def require_answerable(status: str) -> None:
+    """Questions are for completed topics."""
+    if status == topics.NOT_FOUND:
+        raise records.NotFound("no such topic")
+    if status != topics.COMPLETED:
+        raise RuntimeError(f"the topic is {status}")
+
+
+def active_tasks(log: DataFrame) -> int:
+    """Topics whose last status is processing."""
+    return topics.latest(log).where(F.col("status") == topics.PROCESSING).count()
+
+
+def catalog_status(spark: SparkSession, path: str) -> dict:
+    """Which of the store's tables can be read, with their rows."""
+    found = {}
+    for name in ("articles", "chunks", "index", "log"):
+        try:
+            reader = spark.read.schema(records.CHUNK_SCHEMA).json if name == "chunks" else spark.read.parquet
+            found[name] = reader(f"{path}/{name}").count()
+        except AnalysisException:
+            found[name] = None
+    return found
+
+
+def model_status(embedder: retrieval.Embedder | None = None, generator: answers.Generator | None = None) -> dict:
+    """Which models are in use, and the length of vectors."""
+    vector = (embedder or retrieval.hash_embedder())(["probe"])
+    return {"embedder": "custom" if embedder else "hashing", "dims": int(vector.shape[1]), "generator": "custom" if generator else "extractive"}
+
+
+def embedding_rate(spark: SparkSession, texts: DataFrame, text_col: str = "text", embedder: retrieval.Embedder | None = None) -> dict:
+    """Seconds to embed all texts, and texts a second."""
+    began = time.perf_counter()
+    count = retrieval.embed(texts.select(text_col), text_col, embedder).where(F.size("embedding") > 0).count()
+    took = time.perf_counter() - began
+    return {"texts": count, "seconds": round(took, 3), "per_second": round(count / took, 1)}
+
+
 def storage_status(spark: SparkSession, path: str) -> dict:
     """Topics indexed and megabytes used."""
     row = records.folder_sizes(spark, f"{path}/index").first()

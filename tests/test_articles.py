@@ -234,6 +234,20 @@ def test_engine_end_to_end(spark, small, tmp_path):
     with pytest.raises(records.NotFound):
         engine.answer(spark, path, asked, "t2")
     assert engine.storage_status(spark, path)["topics"] == 1
+    engine.append_status(spark, path, "t1", "processing", datetime(2024, 1, 1))
+    engine.append_status(spark, path, "t1", "completed", datetime(2024, 1, 2))
+    engine.append_status(spark, path, "t2", "processing", datetime(2024, 1, 2))
+    kept = spark.read.parquet(f"{path}/log")
+    assert [engine.topic_status(kept, t) for t in ("t1", "t2", "t8")] == ["completed", "processing", "not_found"] and engine.active_tasks(kept) == 1
+    engine.require_answerable("completed")
+    with pytest.raises(records.NotFound):
+        engine.require_answerable("not_found")
+    with pytest.raises(RuntimeError):
+        engine.require_answerable("processing")
+    found = engine.catalog_status(spark, path)
+    assert found["log"] == 3 and found["articles"] > 0 and engine.catalog_status(spark, str(tmp_path / "none"))["index"] is None
+    assert engine.model_status() == {"embedder": "hashing", "dims": 256, "generator": "extractive"}
+    assert engine.embedding_rate(spark, spark.createDataFrame([("a b",)], "text string"))["texts"] == 1
     log = spark.createDataFrame([("t1", "completed", datetime(2024, 1, 1)), ("t9", "completed", datetime(2024, 1, 1)), ("t2", "cleaned", datetime(2024, 1, 1))], "topic_id string, status string, created_at timestamp")
     assert engine.cleanup_old(spark, path, log, "2024-02-01 00:00:00") == {"total": 2, "cleaned": 1, "failed": 1}
     assert engine.health(spark)["status"] == "ok"

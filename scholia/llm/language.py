@@ -128,11 +128,14 @@ def held_out(id_col: str) -> F.Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Centroids from at most `sample` labelled documents of each language."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = (
-        labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-        .withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("id").distinct()
-    )
+    named = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"))
+    # Hashes below a bound that some four times the sample pass, so that ranks are taken of few rows however large a language is.
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    bounds = [F.lit(x) for lang, n in sizes.items() if n > 8 * sample for x in (lang, int(-(2**63) + 2**64 * 4 * sample / n))]
+    if bounds:
+        named = named.where(F.coalesce(F.try_element_at(F.create_map(*bounds), F.col("lang")), F.lit(2**63 - 1)) > F.col("hash"))
+    order = Window.partitionBy("lang").orderBy("hash", "id")
+    ids = named.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("id").distinct()
     # At most `sample` ids of each language.
     chosen = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id", "left_semi")
 

@@ -16,9 +16,10 @@ shards: the smaller of the two opposite flows, which swaps, plus a share of the
 room left in the target. Rounds end when no unit moves or at `max_rounds`; each
 is cut by a checkpoint.
 
-Exact sizes: in every shard linked documents keep their place up to the shard's
-quota of rows; the others and the unlinked documents fill the gaps in order of
-their group. Ranks come from counts of buckets (bounded tables) and a window
+While labels move, a shard may exceed an even share by SLACK. Exact sizes: then
+linked documents keep their place up to the shard's quota of rows; the others
+and the unlinked documents fill the gaps in order of their group, so that few
+groups are cut. Ranks come from counts of buckets (bounded tables) and a window
 within each bucket, never from one window over a shard or over everything.
 
 Defined results: a null text counts as the empty text, of size 8; repeated rows
@@ -40,6 +41,10 @@ LANES = 384
 FLOW_BUCKETS = 64
 #: Buckets of groups and of ids within a group for ranks.
 GROUP_BUCKETS, ID_BUCKETS = 128, 16
+#: Rows of a group that one bucket holds at least.
+LARGE = 1000
+#: Share by which a shard may exceed an even one while labels move; the last step makes it even.
+SLACK = 0.5
 
 
 def _ranked(rows: DataFrame, within: list[str], order: list[str]) -> DataFrame:
@@ -60,8 +65,7 @@ def _ranked(rows: DataFrame, within: list[str], order: list[str]) -> DataFrame:
 def propagate(units: DataFrame, shards: int, capacity: int, max_rounds: int = 6) -> DataFrame:
     """units (g, lane, n, label) with labels moved along links under quotas.
 
-    The labels of linked documents hold about `capacity` rows at most; what goes
-    beyond by the width of a bucket is put right by balanced_shards().
+    A label takes rows up to about `capacity`; balanced_shards() evens the rest.
     """
     for _ in range(max_rounds):
         cells = units.groupBy("g", "label").agg(F.sum("n").alias("held"))
@@ -113,13 +117,17 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     total = base.count()
     units = base.groupBy("g", "lane").agg(F.count("*").alias("n"))
-    linked = units.groupBy("g").agg(F.sum("n").alias("rows")).where("rows > 1").select("g")
-    start = units.join(linked, "g").select("g", "lane", "n", F.pmod("lane", F.lit(shards)).alias("label"))
-    labels = propagate(cut(start), shards, -(-total // shards), max_rounds)
-
-    hashed = F.pmod(F.xxhash64("g", F.lit(1)), F.lit(GROUP_BUCKETS)).alias("gb")
-    spread = F.pmod("lane", F.lit(ID_BUCKETS)).alias("ib")
-    placed = base.join(labels.select("g", "lane", "label"), ["g", "lane"], "left").select("id", "size", "crc", "g", "label", hashed, spread)
+    linked = units.groupBy("g").agg(F.sum("n").alias("rows")).where("rows > 1")
+    start = cut(units.join(linked, "g").select("g", "lane", "n", "rows", F.pmod("lane", F.lit(shards)).alias("label")))
+    labels = propagate(start.drop("rows"), shards, int((1 + SLACK) * -(-total // shards)), max_rounds)
+    large = F.col("rows") > max(LARGE, total // (GROUP_BUCKETS * ID_BUCKETS))
+    labels = labels.join(start.select("g", "lane", large.alias("large")), ["g", "lane"])
+
+    # A group lies in one bucket, so that a border cuts one group; a large one in many neighbouring buckets.
+    near = F.when(F.col("large"), F.floor(F.col("lane") / 48)).otherwise(0)
+    hashed = F.pmod(F.xxhash64("g", F.lit(1)) + near, F.lit(GROUP_BUCKETS)).alias("gb")
+    spread = F.when(F.col("large"), F.pmod("lane", F.lit(ID_BUCKETS))).otherwise(F.pmod(F.xxhash64("g", F.lit(2)), F.lit(ID_BUCKETS))).alias("ib")
+    placed = base.join(labels.select("g", "lane", "label", "large"), ["g", "lane"], "left").select("id", "size", "crc", "g", "label", hashed, spread)
 
     # Shard k gets one row more than the others while rows are left over.
     quota = F.lit(total // shards) + F.when(F.col("label") < total % shards, 1).otherwise(0)

@@ -217,7 +217,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = stored(near_lines(lines, source))
     repeated = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
     marks = repeated.select("h1", "h2", "first", F.lit(False).alias("near")).unionByName(near.select("h1", "h2", "first", F.lit(True).alias("near")))
-    marks = marks.groupBy("h1", "h2").agg(F.min("first").alias("earliest"), F.max("near").alias("near"))
+    # Stored, so that both sides of the next join are dealt out for it alone and a frequent line's rows can be split.
+    marks = stored(marks.groupBy("h1", "h2").agg(F.min("first").alias("earliest"), F.max("near").alias("near")))
     lost = lines.select("id", "line", "tk", "h1", "h2").join(marks, ["h1", "h2"]).select("id", "tk", "line", (_place() == F.col("earliest")).alias("is_first"), "near")
     lost = lost.where("near or not is_first")
     return lost.groupBy("id", "tk").agg(F.collect_set(F.when(~F.col("is_first"), F.col("line"))).alias("exact"), F.collect_set(F.when(F.col("is_first"), F.col("line"))).alias("near"))

@@ -99,6 +99,8 @@ def nearest(
                     for row, q in enumerate(chosen):
                         near = np.flatnonzero(away[row] <= np.partition(away[row], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
                         few = pd.DataFrame({"id": ids[near], "distance": away[row][near], "v": held[near]})
+                        if metric == "l2":  # of the few that stay, without the error of the expanded square
+                            few["distance"] = np.sqrt(((np.stack(few["v"].to_list()) - matrix[q]) ** 2).sum(axis=1)).round(9)
                         few = pd.concat([best[q], few]) if q in best else few
                         best[q] = few.sort_values(["distance", "id"], kind="stable").head(k)
             for q, few in best.items():

@@ -16,6 +16,24 @@ def latest(log: DataFrame, key: str = "topic_id", at: str = "ts", tie: str = "ev
     return log.groupBy(key).agg(last.alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
+def outcomes(events: DataFrame, as_of: Column, key: str = "topic_id") -> DataFrame:
+    """key, status, ts of every started job at a time: its first end if that came in time, else timeout, else processing.
+
+    events: key, event (start, done, error), max_results, ts, event_id. A job has
+    60 + 2 * max_results seconds from its first start.
+    """
+    order = F.struct("ts", "event_id")
+    starts = events.where("event = 'start'").groupBy(key).agg(F.min(F.struct("ts", "event_id", "max_results")).alias("start"))
+    due = F.col("start.ts") + F.make_dt_interval(secs=60 + 2 * F.col("start.max_results"))
+    later = events.where(F.col("event").isin("done", "error")).join(starts, key).where(order > F.struct("start.ts", "start.event_id"))
+    ends = later.groupBy(key).agg(F.min(F.struct("ts", "event_id", "event")).alias("end"))
+    ended = F.col("end.ts") <= F.col("due")
+    found = starts.withColumn("due", due).join(ends, key, "left")
+    status = F.when(ended, F.when(F.col("end.event") == "done", COMPLETED).otherwise(FAILED)).when(F.col("due") < as_of, TIMEOUT).otherwise(PROCESSING)
+    at = F.when(ended, F.col("end.ts")).when(F.col("due") < as_of, F.col("due")).otherwise(F.col("start.ts"))
+    return found.select(key, status.alias("status"), at.alias("ts"))
+
+
 def status_of(asked: DataFrame, tasks: DataFrame, topics: DataFrame, key: str = "topic_id") -> DataFrame:
     """asked with status: that of a running task, else of the topic table, else not_found."""
     joined = asked.join(tasks.select(key, F.col("status").alias("_task")), key, "left").join(topics.select(key, F.col("status").alias("_topic")), key, "left")

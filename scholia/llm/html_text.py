@@ -57,7 +57,8 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search me
 DROPPED_WORDS = frozenset(
     "nav navigation navbar menu menubar breadcrumb breadcrumbs footer sidebar aside widget ad ads advert adverts advertisement advertising"
     " sponsor sponsored promo promotion related recommended share sharing social subscribe newsletter signup login cookie cookies consent"
-    " gdpr notice notices alert popup modal overlay banner masthead comment comments reply replies respond disqus pagination pager toolbar".split()
+    " gdpr notice notices announcement disclaimer alert popup modal overlay banner masthead comment comments reply replies respond responses"
+    " discussion feedback disqus pagination pager toolbar promoted commercial".split()
 )
 HEADER_WORDS = frozenset(["header"])
 GOOD_WORDS = frozenset("article content entry post story text main body".split())

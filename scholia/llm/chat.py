@@ -9,7 +9,7 @@ A perspective is rendered turn by turn; its rows carry the rendered segment, its
 place in the whole and whether it is masked, so that a conversation of any
 length is spread over tasks. Turns are numbered through counts of blocks of turn
 numbers and a window within each block. rendered() joins segments to strings of
-at most `turns` turns each.
+at most `block` turns each.
 
 Defined results: rows without a conversation, turn number or role are left out,
 as is a null text; an empty text is a turn like any other; repeated rows count
@@ -35,20 +35,20 @@ def segments(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
     head + body + tail is the rendered turn; `place` counts turns from 0.
     """
-    rows = turns.select(
+    named = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(speaker_col).cast("string").alias("speaker"), F.col(text_col).cast("string").alias("text")
-    ).dropna().distinct()
-    # The place of a turn: turns in earlier stretches of turn numbers, and its number in its own stretch.
-    rows = rows.withColumn("stretch", F.floor(F.col("turn") / block))
-    counts = rows.groupBy("conv_id", "stretch").agg(F.count("*").alias("n"))
+    ).dropna().withColumn("stretch", F.floor(F.col("turn") / block))
+    # Without texts: how many turns lie in earlier stretches of turn numbers, and who speaks.
+    slim = named.select("conv_id", "stretch", "turn", "speaker", F.xxhash64("text").alias("h")).distinct()
+    counts = slim.groupBy("conv_id", "stretch").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("conv_id", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    cast = slim.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    scenes = offsets.join(cast, "conv_id")
+    # Texts are dealt out by stretch once, for their numbers and for all perspectives.
     inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "speaker", "text")
-    placed = rows.withColumn("k", F.row_number().over(inside)).join(offsets, ["conv_id", "stretch"])
-    placed = placed.select("conv_id", "turn", "speaker", "text", (F.col("offset") + F.col("k") - 1).alias("place"))
-
-    cast = rows.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    rotated = placed.join(cast, "conv_id")
+    numbered = named.distinct().withColumn("k", F.row_number().over(inside))
+    rotated = numbered.join(scenes, ["conv_id", "stretch"]).withColumn("place", F.col("offset") + F.col("k") - 1)
     learned = F.col("speaker") == F.col("perspective")
     safe = F.replace(F.replace(F.col("text"), F.lit(START), F.lit("<im_start>")), F.lit(END), F.lit("<im_end>"))
     name = F.regexp_replace("speaker", r"[^\w.-]", "_")

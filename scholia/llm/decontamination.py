@@ -9,7 +9,7 @@ bucket of that suffix is compared word by word.
 
 Each task scans whole texts against the patterns, which are sent to tasks in
 blocks of bounded size (`block_bytes` of benchmark text). More items mean more
-blocks, scanned one after the other; spans found so far ride along as a column.
+blocks, each scanned on its own; hits of all blocks are gathered by document.
 
 Defined results: null or empty text has no words, no hits and is clean; null
 benchmark text gives no pattern; items with a null id mark words as hit but are
@@ -22,16 +22,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.session import cut
-
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+#: Benchmark text of a block; a task's tables take about a hundred times as much memory.
+BLOCK_BYTES = 2 << 20
 #: A document is contaminated if hit words * RATIO >= words.
 RATIO = 20
 
@@ -140,7 +140,58 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
-SPANS = "array<struct<start:int,end:int>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<long>"
+
+
+def _scan(docs: DataFrame, sent, window: int, hits_only: bool) -> DataFrame:
+    """id, tk, n_words, spans, item_ids of documents (id, tk, text) against one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, window)
+        for batch in batches:
+            rows, counts, spans, items = [], [], [], []
+            for row, text in enumerate(_binary(batch, "text")):
+                words = words_of(text)
+                got, owners = matcher.scan(words)
+                if got or not hits_only:
+                    rows.append(row)
+                    counts.append(len(words))
+                    spans.append([{"start": s, "end": e} for s, e in got])
+                    items.append(sorted(owners))
+            at = pa.array(rows, pa.int32())
+            columns = [batch.column("id").take(at), batch.column("tk").take(at), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tk", "n_words", "spans", "item_ids"])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
+
+
+def _report(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """id, tk (hash of the text), n_words, spans, item_ids of every document.
+
+    The first block's scan brings a row for each document, the others' rows for
+    hits alone; these are gathered by document without its text.
+    """
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    send = docs.sparkSession.sparkContext.broadcast
+    parts = [_scan(source, send(block), window, k > 0) for k, block in enumerate(_blocks(bench, item_col, item_text_col, block_bytes))]
+    if len(parts) == 1:
+        return parts[0]
+    rest = reduce(DataFrame.unionByName, parts[1:]).groupBy(F.col("id").alias("id_"), F.col("tk").alias("tk_"))
+    rest = rest.agg(F.flatten(F.collect_set("spans")).alias("more_spans"), F.flatten(F.collect_set("item_ids")).alias("more_items"))
+    joined = parts[0].join(rest, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tk") == F.col("tk_")), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, items = [], []
+            for one, more, own, other in zip(*(batch.column(n).to_pylist() for n in ("spans", "more_spans", "item_ids", "more_items")), strict=True):
+                spans.append([{"start": s, "end": e} for s, e in merge([(s["start"], s["end"]) for s in one + (more or [])])])
+                items.append(sorted({*own, *(other or [])}))
+            columns = [*(batch.column(n) for n in ("id", "tk", "n_words")), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tk", "n_words", "spans", "item_ids"])
+
+    return joined.mapInArrow(run, parts[0].schema)
 
 
 def contamination(
@@ -154,105 +205,54 @@ def contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_words, spans of hit words, item_ids that occur in it."""
-    spark = docs.sparkSession
-    schema = T.StructType(
-        [
-            T.StructField(id_col, docs.schema[id_col].dataType),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-            T.StructField("item_ids", T.ArrayType(T.LongType())),
-        ]
-    )
-    carried = T.StructType([*schema.fields, T.StructField("_text", T.StringType())])
-    state = docs.select(
-        F.col(id_col),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast(schema["spans"].dataType).alias("spans"),
-        F.lit(None).cast(schema["item_ids"].dataType).alias("item_ids"),
-        F.col(text_col).alias("_text"),
-    )
-    blocks = list(_blocks(bench, item_col, item_text_col, block_bytes))
-    for k, block in enumerate(blocks):
-        sent, last = spark.sparkContext.broadcast(block), k == len(blocks) - 1
-        state = state.mapInArrow(_scanner(sent, window, id_col, last), schema if last else carried)
-        if not last:
-            state = cut(state)
-    return state
-
-
-def _scanner(sent, window: int, id_col: str, last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, window)
-        spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            before = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)
-            counts, spans, items = [], [], []
-            for text, (old_spans, old_items) in zip(_binary(batch, "_text"), before, strict=True):
-                words = words_of(text)
-                got, owners = matcher.scan(words)
-                got = merge([(s["start"], s["end"]) for s in old_spans or []] + got) if old_spans else got
-                counts.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in got])
-                items.append(sorted(owners | set(old_items or [])))
-            columns = [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))]
-            names = [id_col, "n_words", "spans", "item_ids"]
-            if not last:
-                columns, names = [*columns, batch.column("_text")], [*names, "_text"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return run
+    found = _report(docs, bench, id_col, text_col, item_col, item_text_col, window, block_bytes)
+    return found.select(F.col("id").alias(id_col), "n_words", "spans", "item_ids")
 
 
 def decontaminate(
     docs: DataFrame,
     bench: DataFrame,
+    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """docs without its contaminated rows; columns, order within tasks and other rows stay.
+    """docs without its contaminated rows; columns and other rows stay as they are.
 
-    With one block a row is judged where it is read; with more blocks, hits of
-    all blocks are gathered before the judgement.
+    With one block a row is judged where it is read; with more, the judgement on
+    all blocks' hits comes back to the documents in a join.
     """
-    spark = docs.sparkSession
     blocks = list(_blocks(bench, item_col, item_text_col, block_bytes))
     names = docs.columns
-    kept = docs
-    for k, block in enumerate(blocks):
-        sent, first, last = spark.sparkContext.broadcast(block), k == 0, k == len(blocks) - 1
-        if first:
-            kept = kept.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{text_col}`").alias("_text"), F.lit(None).cast(SPANS).alias("spans"))
-        kept = kept.mapInArrow(_filterer(sent, window, last), kept.schema)
-        if not last:
-            kept = cut(kept)
+    packed = docs.select(
+        F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("id")
+    )
+    if len(blocks) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, window)
+            for batch in batches:
+                words = map(words_of, _binary(batch, "text"))
+                yield batch.select(["row"]).filter(pa.array([not contaminated(len(w), matcher.scan(w)[0]) for w in words], pa.bool_()))
+
+        kept = packed.select("row", "text").mapInArrow(run, packed.select("row").schema)
+    else:
+        found = _report(docs, bench, id_col, text_col, item_col, item_text_col, window, block_bytes)
+        gone = found.where((_hit() > 0) & (F.lit(RATIO) * _hit() >= F.col("n_words"))).select(F.col("id").alias("id_"), F.col("tk").alias("tk_"))
+        kept = packed.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("tk_")), "left_anti")
     return kept.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])
 
 
-def _filterer(sent, window: int, last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, window)
-        for batch in batches:
-            spans, keep = [], []
-            for text, old in zip(_binary(batch, "_text"), batch.column("spans").to_pylist(), strict=True):
-                words = words_of(text)
-                got, _ = matcher.scan(words)
-                got = merge([(s["start"], s["end"]) for s in old or []] + got) if old else got
-                keep.append(not (last and contaminated(len(words), got)))
-                spans.append([{"start": s, "end": e} for s, e in got])
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("_text"), pa.array(spans, batch.schema.field("spans").type)], schema=batch.schema
-            )
-            yield out.filter(pa.array(keep))
-
-    return run
+def _hit() -> F.Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
 
 
 def digest(report: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The report of contamination() as counts and a hash of the item ids."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    hit = _hit()
     names = F.array_sort(F.transform("item_ids", lambda item: item.cast("string")))
     return report.select(
         id_col,

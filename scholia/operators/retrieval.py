@@ -62,24 +62,26 @@ def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, queries: DataFrame, k: int | str, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding",
     query_col: str = "query_id", query_vector_col: str = "query_embedding", scope_col: str | None = None, with_vectors: bool = False,
 ) -> DataFrame:
     """query, id, distance, rank of the k nearest vectors of each query; ties to the smaller id.
 
     Queries are few beside the vectors: they come in blocks of QUERY_BLOCK, and a
     task keeps the k best of a block over all rows that it reads, so that k rows
-    for each task and query are shuffled. With scope_col a query sees only
-    vectors of its own scope. metric: l2, cosine (distance) or dot (negative).
+    for each task and query are shuffled. k is a number or a column of queries.
+    With scope_col a query sees only vectors of its own scope. metric: l2, cosine
+    (distance) or dot (negative).
     """
     scopes = [scope_col] if scope_col else []
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *[F.col(c).cast("string").alias("scope") for c in scopes]).where("v is not null")
-    asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v"), *[F.col(c).cast("string").alias("scope") for c in scopes])
+    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *[F.col(c).cast("string").alias("scope") for c in scopes]).where("v is not null")
+    asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v"), (F.lit(k) if isinstance(k, int) else F.col(k)).cast("int").alias("k"), *[F.col(c).cast("string").alias("scope") for c in scopes])
     kinds = {"q": asked.schema["q"].dataType.simpleString(), "id": source.schema["id"].dataType.simpleString()}
     query_type = to_arrow_type(asked.schema["q"].dataType)
-    schema = f"q {kinds['q']}, id {kinds['id']}, distance double" + (", v array<double>" if with_vectors else "")
+    schema = f"q {kinds['q']}, k int, id {kinds['id']}, distance double" + (f", v {source.schema['v'].dataType.simpleString()}" if with_vectors else "")
+    vector_type = to_arrow_type(source.schema["v"].dataType)
 
-    def block_search(names: list, matrix: np.ndarray, own: list | None):
+    def block_search(names: list, depths: list[int], matrix: np.ndarray, own: list | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, pd.DataFrame] = {}
             id_type = None
@@ -92,21 +94,22 @@ def nearest(
                     chosen = np.arange(len(names)) if own is None else np.array([i for i, s in enumerate(own) if s == scope], int)
                     if not len(chosen):
                         continue
-                    away = _distances(matrix[chosen], np.stack(part["v"].to_list()), metric)
+                    away = _distances(matrix[chosen], np.stack(part["v"].to_list()).astype(np.float64), metric)
                     # Rounded, so that equal distances are equal in whatever batch they were computed.
                     away = away.round(9)
                     ids, held = part["id"].to_numpy(), part["v"].to_numpy()
                     for row, q in enumerate(chosen):
-                        near = np.flatnonzero(away[row] <= np.partition(away[row], k - 1)[k - 1]) if len(ids) > k else np.arange(len(ids))
+                        most = depths[q]
+                        near = np.flatnonzero(away[row] <= np.partition(away[row], most - 1)[most - 1]) if len(ids) > most else np.arange(len(ids))
                         few = pd.DataFrame({"id": ids[near], "distance": away[row][near], "v": held[near]})
                         if metric == "l2":  # of the few that stay, without the error of the expanded square
-                            few["distance"] = np.sqrt(((np.stack(few["v"].to_list()) - matrix[q]) ** 2).sum(axis=1)).round(9)
+                            few["distance"] = np.sqrt(((np.stack(few["v"].to_list()).astype(np.float64) - matrix[q]) ** 2).sum(axis=1)).round(9)
                         few = pd.concat([best[q], few]) if q in best else few
-                        best[q] = few.sort_values(["distance", "id"], kind="stable").head(k)
+                        best[q] = few.sort_values(["distance", "id"], kind="stable").head(most)
             for q, few in best.items():
-                columns = {"q": pa.array([names[q]] * len(few), query_type), "id": pa.array(few["id"], id_type), "distance": pa.array(few["distance"], pa.float64())}
+                columns = {"q": pa.array([names[q]] * len(few), query_type), "k": pa.array([depths[q]] * len(few), pa.int32()), "id": pa.array(few["id"], id_type), "distance": pa.array(few["distance"], pa.float64())}
                 if with_vectors:
-                    columns["v"] = pa.array(few["v"].to_list(), pa.list_(pa.float64()))
+                    columns["v"] = pa.array(few["v"].to_list(), vector_type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         return run
@@ -122,10 +125,10 @@ def nearest(
     found = None
     for block in [*parts, held] if held or not parts else parts:
         matrix = np.array([r["v"] for r in block], float)
-        some = source.mapInArrow(block_search([r["q"] for r in block], matrix, [r["scope"] for r in block] if scopes else None), schema)
+        some = source.mapInArrow(block_search([r["q"] for r in block], [r["k"] for r in block], matrix, [r["scope"] for r in block] if scopes else None), schema)
         found = some if found is None else found.unionByName(some)
     order = Window.partitionBy("q").orderBy("distance", "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
     extra = [F.col("v").alias(vector_col)] if with_vectors else []
     return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "distance", "rank", *extra)
 
@@ -182,6 +185,6 @@ def retrieve(chunk_vectors: DataFrame, questions: DataFrame, counts: DataFrame |
     else:
         asked = asked.withColumn("articles", F.lit(None).cast("long"))
     asked = embed(asked, "text", embedder).withColumnRenamed("embedding", "query_embedding").withColumn("k", depth(F.col("text"), F.col("articles")))
-    found = nearest(chunk_vectors, asked, 2 * MOST_K, metric, "chunk_id", scope_col=scope_col, with_vectors=True)
-    found = found.join(asked.select("query_id", F.col("k").alias("_wanted")), "query_id").where(F.col("rank") <= 2 * F.col("_wanted")).drop("_wanted")
+    asked = asked.withColumn("fetch", 2 * F.col("k"))
+    found = nearest(chunk_vectors, asked, "fetch", metric, "chunk_id", scope_col=scope_col, with_vectors=True)
     return rerank(found, asked, "k", weight, "chunk_id")

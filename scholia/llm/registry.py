@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholia.llm import bpe, chat, decontamination, html_text, language, lines, neighbours, sharding, simhash, training_order
-from scholia.session import table
+from scholia.session import spread, table
 
 #: Place of the public tokenizer file; every executor reads the same one.
 TOKENIZER = "word_bpe_49k.json"
@@ -18,12 +18,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_decontamination(spark, sf_dir):
-    report = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    report = decontamination.contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return decontamination.digest(report)
 
 
 def op6_simhash(spark, sf_dir):
-    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+    return simhash.digest(simhash.near_duplicates(spread(table(spark, sf_dir, "documents"))))
 
 
 def op8_sharding(spark, sf_dir):
@@ -31,16 +31,16 @@ def op8_sharding(spark, sf_dir):
 
 
 def op10_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return language.digest(language.identify(docs, language.fit(docs)))
 
 
 def op4_bpe(spark, sf_dir):
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return bpe.digest(bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer_path()))
 
 
 def op2_html_text(spark, sf_dir):
-    return html_text.digest(html_text.main_text(table(spark, sf_dir, "pages")))
+    return html_text.digest(html_text.main_text(spread(table(spark, sf_dir, "pages"))))
 
 
 def op3_neighbours(spark, sf_dir):
@@ -48,7 +48,7 @@ def op3_neighbours(spark, sf_dir):
 
 
 def op5_lines(spark, sf_dir):
-    return lines.digest(table(spark, sf_dir, "documents"))
+    return lines.digest(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_chat(spark, sf_dir):

@@ -99,6 +99,10 @@ class Model:
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], usual: np.ndarray):
         self.idf, self.centroids, self.langs, self.usual = idf, centroids.astype(np.float32), langs, usual
 
+    def parts(self) -> tuple:
+        """What the model is made of, to be sent to tasks."""
+        return self.idf, self.centroids, self.langs, self.usual
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (cosine) and whether it is rejected, of each text."""
         langs, scores, rejected = [], np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -176,11 +180,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score, rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value)
         for batch in batches:
-            langs, scores, rejected = sent.value.predict(batch.column(1).to_pylist())
+            langs, scores, rejected = own.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -189,13 +194,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text is rejected; columns stay as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.parts())
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value)
         for batch in batches:
-            _, _, rejected = sent.value.predict(batch.column("_text").to_pylist())
+            _, _, rejected = own.predict(batch.column("_text").to_pylist())
             yield batch.filter(pa.array(~rejected))
 
     return packed.mapInArrow(run, packed.schema).select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])

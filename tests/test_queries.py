@@ -48,6 +48,21 @@ def test_query(spark, small, duck, name):
     assert same_rows(rows, want, columns)
 
 
+def test_boolean_normalisation_of_every_item(spark, tmp_path):
+    texts = ["été and hiver", "où or là", "não not já", "  caféand  thé AND\teau  ", "éor orée andá", "plain and simple", "Ärzte oder Pfleger NOT Löwe", ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def normal(text):
+        out = re.sub(r"\s+", " ", text.strip())
+        for word in ("AND", "OR", "NOT"):
+            out = re.sub(rf"\s*\b{word}\b\s*", f" {word} ", out, flags=re.IGNORECASE)
+        return out
+
+    got = {r["item_id"]: r["query"] for r in entry.queries()["parse_boolean_normalize_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: normal(t) for i, t in enumerate(texts)}
+    assert got[0] == "été AND hiver" and got[3] == "caféand thé AND eau" and got[4] == "éor orée andá"
+
+
 def test_entry_gives_rows(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["query_id", "chunk_id", "position"] and frame.count() > 0

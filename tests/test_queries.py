@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from scholia.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = sorted(n for n in entry.queries() if not re.match(r"op\d", n) and n != "pipeline")
@@ -63,6 +64,21 @@ def test_boolean_normalisation_of_every_item(spark, tmp_path):
     assert got[0] == "été AND hiver" and got[3] == "caféand thé AND eau" and got[4] == "éor orée andá"
 
 
+def test_compressed_passages_are_those_retrieved(spark, small):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    held = {r["chunk_id"]: r["content"] for r in catalogue._chunks(spark, small).collect()}
+    words = lambda text: {w for w in re.split(r"[\W_]+", text.lower()) if w}
+    want = {}
+    for r in entry.queries()["rag_retrieve"](spark, small).collect():
+        asked = {w for w in words(items[r["query_id"]]) if len(w) >= 4}
+        kept = " ".join(s for s in re.split(r"(?<=[.!?])\s+|\n+", held[r["chunk_id"]]) if words(s) & asked)
+        if kept:
+            want[r["query_id"], r["chunk_id"]] = (r["position"], kept)
+    rows = entry.queries()["compressed_passages"](spark, small).collect()
+    assert {(r["query_id"], r["chunk_id"]): (r["position"], r["content"]) for r in rows} == want and len(rows) == len(want)
+    assert {q for q, _ in want} == set(items) and any("abstract_split" in c for _, c in want)
+
+
 def test_entry_gives_rows(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["query_id", "chunk_id", "position"] and frame.count() > 0

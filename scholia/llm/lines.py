@@ -3,11 +3,12 @@
 A line's words are its runs of non-white-space bytes after lower-casing A-Z.
 Lines of at least MIN_WORDS words are duplicates if their words are equal or one
 word apart (a word replaced, added or left out), a similarity of 0.8 or more.
-Shorter lines stay. Order is by document id, then line number, then text hash. A
+Shorter lines stay, unless `short` is set: then exact repeats of every line with a
+word go, and only the search for lines one word apart keeps its floor. Order is by document id, then line number, then text hash. A
 line goes if its words came before, or if an earlier line is one word apart.
 
 Stages, all joins and sums on hashed keys:
-1. every long line's hash, place and hashes of its two ends are stored once;
+1. every long line's (with `short`, every non-empty line's) hash, place and hashes of its two ends are stored once;
 2. a filter that loses nothing: two lines one word apart share their first or
    their last words, so lines alone with both their ends are done;
 3. the others emit their deletion neighbourhood, every variant with one word
@@ -94,8 +95,12 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, line, tk, h1, h2 (hash of the words), ends of every line long enough."""
+def _lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """id, line, tk, h1, h2 (hash of the words), ends of every line long enough; with short, of every line with a word.
+
+    Lines under MIN_WORDS have no ends and so never meet others one word apart.
+    """
+    least = 1 if short else MIN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +117,12 @@ def _lines(docs: DataFrame) -> DataFrame:
             for row, text in enumerate(batch.column(2).cast(pa.binary())):
                 for number, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
                     words = line.split()
-                    if len(words) < MIN_WORDS:
+                    if len(words) < least:
                         continue
                     rows.append(row)
                     numbers.append(number)
                     hashes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    parts.append(ends(words))
+                    parts.append(ends(words) if len(words) >= MIN_WORDS else [])
                     if len(rows) >= ROWS:
                         yield flush()
             if rows:
@@ -210,10 +215,10 @@ def _place() -> F.Column:
     return F.struct("id", "line", "tk").alias("first")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """id, tk (hash of the text), exact, near: numbers of the lines that go; documents that lose none are absent."""
     source = _documents(docs, id_col, text_col)
-    lines = stored(_lines(source))
+    lines = stored(_lines(source, short))
     near = stored(near_lines(lines, source))
     repeated = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
     marks = repeated.select("h1", "h2", "first", F.lit(False).alias("near")).unionByName(near.select("h1", "h2", "first", F.lit(True).alias("near")))
@@ -231,9 +236,12 @@ def _without(text: str | None, *gone: list[int] | None) -> str | None:
     return "\n".join([line for n, line in enumerate(text.split("\n")) if n not in lost])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """docs with the lines that stay; with report, also arrays `exact` and `near` of lines that go."""
-    lost = dropped_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "exact", "near")
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, short: bool = False) -> DataFrame:
+    """docs with the lines that stay; with report, also arrays `exact` and `near` of lines that go.
+
+    short: exact repeats of lines under MIN_WORDS go too.
+    """
+    lost = dropped_lines(docs, id_col, text_col, short).select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "exact", "near")
     names = docs.columns
     at = names.index(text_col)
     packed = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tk"))

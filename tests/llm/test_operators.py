@@ -235,6 +235,23 @@ def test_lines_match_brute_force(spark, monkeypatch, most):
     assert any(got[d] != t for d, t in docs)
 
 
+def test_short_lines_lose_exact_repeats(spark):
+    docs = [*line_docs(), (300, "All rights reserved.\nand ornd.\n\n \nx"), (301, "ALL  rights reserved.\nand ornd\n\n \nand ornd."), (302, "x")]
+    found = lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), short=True)
+    seen, want = set(), {}
+    for doc, text in docs:
+        kept = []
+        for line in (text or "").split("\n"):
+            words = tuple(line.lower().split())
+            near = len(words) >= lines.MIN_WORDS and any(len(other) >= lines.MIN_WORDS and lines.one_apart(list(words), list(other)) for other in seen)
+            if not words or not (words in seen or near):
+                kept.append(line)
+            seen.add(words)
+        want[doc] = None if text is None else "\n".join(kept)
+    assert dict(map(tuple, found.collect())) == want
+    assert want[300] == "All rights reserved.\nand ornd.\n\n \nx" and want[301] == "and ornd\n\n " and want[302] == ""
+
+
 def test_lines_edit_distance():
     words = "a b c d e".split()
     assert lines.one_apart(words, words)

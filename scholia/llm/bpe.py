@@ -254,8 +254,11 @@ def combine(codec: Codec, parts: list[tuple[Open | None, bytes, Open | None]]) -
     return b"".join(out)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
-    """One row per document: id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", part: int = PART, digests: bool = True) -> DataFrame:
+    """One row per document: id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256.
+
+    Without digests nothing is decoded and the last two are null.
+    """
     kind = docs.schema[id_col].dataType
     schema = T.StructType(
         [
@@ -269,7 +272,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > part
 
-    def row(codec: Codec, data: bytes) -> tuple[int, bytes, str, str]:
+    def row(codec: Codec, data: bytes) -> tuple[int, bytes, str | None, str | None]:
+        if not digests:
+            return len(data) // 4, data, None, None
         decoded = codec.decode(np.frombuffer(data, "<u4"))
         return len(data) // 4, data, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
@@ -337,5 +342,12 @@ def _unpack(stretch: dict | None) -> Open | None:
     return stretch and (stretch["text"], np.frombuffer(stretch["ids"], "<u4"), np.frombuffer(stretch["spans"], np.int64).reshape(-1, 2))
 
 
+def vocabulary(path: str) -> int:
+    """One more than the greatest id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_tokens", "ids_sha256", "decoded_sha256")

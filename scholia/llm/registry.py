@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholia.llm import bpe, chat, decontamination, html_text, language, lines, neighbours, sharding, simhash, training_order
-from scholia.session import spread, table
+from scholia.session import checkpoint_dir, spread, stored, table
 
 #: Place of the public tokenizer file; every executor reads the same one.
 TOKENIZER = "word_bpe_49k.json"
@@ -56,7 +58,15 @@ def op7_chat(spark, sf_dir):
 
 
 def op9_training_order(spark, sf_dir):
-    return training_order.digest(training_order.shards(table(spark, sf_dir, "documents")))
+    """Every document's ids from the encoder, written as shards and read again."""
+    tokenizer = tokenizer_path()
+    size = bpe.vocabulary(tokenizer)
+    found = bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer, digests=False)
+    # Stored, as the ids are read for their number, their place and themselves.
+    ids = stored(found.select("doc_id", training_order.narrow(F.col("ids"), 4, size).alias("ids")))
+    path = f"{checkpoint_dir(spark)}/order-{uuid.uuid4().hex}"
+    training_order.write(ids, path, text_col="ids", width=training_order.id_width(size), vocabulary=size)
+    return training_order.digest(spark.read.parquet(path))
 
 
 def queries():

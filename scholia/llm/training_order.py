@@ -1,22 +1,25 @@
 """Training-order materialisation: a keyed permutation of all sequences into fixed-stride shards.
 
-Texts become token ids, ids become sequences of `length` tokens, the last one
-padded. Every sequence has an index from 0 without gaps; a keyed Feistel network
+Token ids come as arrays, or as little-endian binary of a stated width as op4
+gives them; a text column's ids are its bytes. Ids become sequences of `length`
+tokens, the last one padded. Every sequence has an index from 0 without gaps; a keyed Feistel network
 over the next power of four, walked until it falls below the number of sequences
 (cycle-walking), maps the index to a slot. No sort and no table of the order is
 needed, and the key alone gives the order again, in both directions.
 
 Slots are written in shards of `records` records of equal stride: a record is
-its number of tokens, then its ids, little-endian. Shards lie in ranges of slots
+its number of tokens, then its ids, little-endian and of two bytes, or of four for
+a vocabulary that needs them. Shards lie in ranges of slots
 over partitions, so that slot s is record s % records of shard s // records, at
 a byte offset that needs no index; reading goes on from any slot.
 
 The index counts the sequences of hash buckets of ids (a table of bounded size)
 and then the sequences before a document in its bucket.
 
-Defined results: null and empty texts give no sequence; repeated rows are
-sequences of their own; documents of one id follow each other by their text's
-hash; an empty table gives no shard.
+Defined results: null and empty texts (or ids) give no sequence; an id outside the
+vocabulary, a null id and binary that ends inside an id are errors; repeated rows are
+sequences of their own; documents of one id follow each other by the hash of
+their text or ids; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LENGTH, RECORDS, KEY = 2048, 1024, 2024
-#: Ids of text bytes are the bytes; what pads a record.
-PAD = 256
+#: Ids of text bytes are the bytes. What pads a record is the first number past the vocabulary.
+BYTES = 256
 BUCKETS = 4096
 ROUNDS = 4
 
@@ -67,11 +71,55 @@ def permute(index: np.ndarray, total: int, key: int, back: bool = False) -> np.n
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """index (from 0, gapless), id, part, tokens (bytes of the text) of every sequence."""
-    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("data")).where(F.length("data") > 0)
-    rows = rows.withColumn("n", F.ceil(F.length("data") / length)).withColumn("tie", F.xxhash64("data"))
+def id_width(vocabulary: int) -> int:
+    """Bytes of an id in a record: two if all ids and what pads fit, else four."""
+    return 2 if vocabulary < 1 << 16 else 4
+
+
+def _ids(docs: DataFrame, text_col: str, width: int | None, vocabulary: int) -> tuple[Column, int]:
+    """The column's ids as little-endian binary, and bytes of each; a text's ids are its bytes."""
+    kind = docs.schema[text_col].dataType
+    if isinstance(kind, T.BinaryType) and width:
+        if width not in (1, 2, 4, 8):
+            raise ValueError(f"ids of {width} bytes")
+        return F.coalesce(F.col(text_col), F.lit(b"")), width
+    if isinstance(kind, T.ArrayType):
+
+        @F.pandas_udf("binary")
+        def packed(arrays: pd.Series) -> pd.Series:
+            return pd.Series([_packed(ids, vocabulary) for ids in arrays], dtype=object)
+
+        return packed(text_col), id_width(vocabulary)
+    return F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8"), 1
+
+
+def narrow(ids: Column, width: int, vocabulary: int) -> Column:
+    """Binary ids of `width` bytes in the width of a record."""
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else _packed(np.frombuffer(r, f"<u{width}"), vocabulary) for r in rows], dtype=object)
+
+    return run(ids)
+
+
+def _packed(ids: np.ndarray | None, vocabulary: int) -> bytes:
+    if ids is None or not len(ids):
+        return b""
+    found = np.asarray(ids)
+    if found.dtype.kind not in "iu" or found.min() < 0 or found.max() >= vocabulary:
+        raise ValueError(f"ids are not whole numbers from 0 to {vocabulary - 1}")
+    return found.astype(f"<u{id_width(vocabulary)}").tobytes()
+
+
+def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
+    """index (from 0, gapless), id, part, tokens (little-endian ids, of a text its bytes) of every sequence.
+
+    text_col has arrays of ids, binary ids of `width` bytes each, or texts.
+    """
+    data, size = _ids(docs, text_col, width, vocabulary)
+    rows = docs.select(F.col(id_col).alias("id"), data.alias("data")).where(F.length("data") > 0)
+    rows = rows.withColumn("n", F.ceil(F.length("data") / (size * length))).withColumn("tie", F.xxhash64("data"))
     # The text's hash spreads documents of one id.
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "tie"), F.lit(BUCKETS)))
     counts = rows.groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -81,14 +129,21 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     placed = rows.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     # At most BUCKETS rows.
     placed = placed.join(F.broadcast(offsets), "bucket")
-    pieces = F.expr(f"transform(sequence(0L, n - 1), p -> substring(data, cast(p * {length} + 1 as int), {length}))")
+    stride = size * length
+    pieces = F.expr(f"transform(sequence(0L, n - 1), p -> substring(data, cast(p * {stride} + 1 as int), {stride}))")
     parts = placed.select("id", (F.col("offset") + F.col("first")).alias("first"), F.posexplode(pieces).alias("part", "tokens"))
     return parts.select((F.col("first") + F.col("part")).alias("index"), "id", "part", "tokens")
 
 
-def total_of(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> int:
+def total_of(docs: DataFrame, text_col: str = "text", length: int = LENGTH, width: int | None = None) -> int:
     """The number of sequences of all documents."""
-    size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kind = docs.schema[text_col].dataType
+    if isinstance(kind, T.ArrayType):
+        size = F.coalesce(F.array_size(text_col), F.lit(0))
+    elif isinstance(kind, T.BinaryType) and width:
+        size = F.coalesce(F.octet_length(text_col), F.lit(0)) / width
+    else:
+        size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return docs.agg(F.coalesce(F.sum(F.ceil(size / length)), F.lit(0))).first()[0]
 
 
@@ -100,17 +155,18 @@ def _slots(total: int, key: int) -> Callable:
     return slot
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, records: int = RECORDS, key: int = KEY, partitions: int | None = None) -> DataFrame:
-    """shard, first_slot, n_records, n_tokens, stride, payload of every shard."""
-    total = total_of(docs, text_col, length)
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, records: int = RECORDS, key: int = KEY, partitions: int | None = None, width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
+    """shard, first_slot, n_records, n_tokens, stride, payload of every shard; text_col, width and vocabulary as for sequences()."""
+    total = total_of(docs, text_col, length, width)
+    size = _ids(docs, text_col, width, vocabulary)[1]
     count = -(-total // records)
     spark = docs.sparkSession
-    width = max(1, min(count, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    stride = 4 + 2 * length
-    rows = sequences(docs, id_col, text_col, length).select(_slots(max(1, total), key)("index").alias("slot"), "tokens")
+    lanes = max(1, min(count, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    stride = 4 + id_width(vocabulary) * length
+    rows = sequences(docs, id_col, text_col, length, width, vocabulary).select(_slots(max(1, total), key)("index").alias("slot"), "tokens")
     rows = rows.withColumn("shard", F.floor(F.col("slot") / records).cast("int"))
     # Slots are 0..total-1 without gaps, so ranges of shards are known without a look at the data.
-    ranged = rows.repartitionById(width, F.floor(F.col("shard").cast("long") * width / max(1, count)).cast("int")).sortWithinPartitions("slot")
+    ranged = rows.repartitionById(lanes, F.floor(F.col("shard").cast("long") * lanes / max(1, count)).cast("int")).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, tokens = None, [], 0
@@ -126,8 +182,8 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
                     if parts:
                         yield flush()
                     at, parts, tokens = shard, [], 0
-                parts.append(record(data.as_py(), length))
-                tokens += len(data.as_py())
+                parts.append(record(data.as_py(), length, size, vocabulary))
+                tokens += len(data.as_py()) // size
         if parts:
             yield flush()
 
@@ -138,11 +194,14 @@ _NAMES = ["shard", "first_slot", "n_records", "n_tokens", "stride", "payload"]
 _KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def record(data: bytes, length: int) -> bytes:
-    """A record: the number of tokens, the ids, padding."""
-    ids = np.full(length, PAD, "<u2")
-    ids[: len(data)] = np.frombuffer(data, np.uint8)
-    return len(data).to_bytes(4, "little") + ids.tobytes()
+def record(data: bytes, length: int, width: int = 1, vocabulary: int = BYTES) -> bytes:
+    """A record of ids of `width` bytes: the number of tokens, the ids, padding."""
+    found = np.frombuffer(data, f"<u{width}")
+    if found.size and found.max() >= vocabulary:
+        raise ValueError(f"id {found.max()} in a vocabulary of {vocabulary}")
+    ids = np.full(length, vocabulary, f"<u{id_width(vocabulary)}")
+    ids[: len(found)] = found
+    return len(found).to_bytes(4, "little") + ids.tobytes()
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
@@ -150,8 +209,9 @@ def write(docs: DataFrame, path: str, **options) -> None:
     shards(docs, **options).write.mode("overwrite").parquet(path)
 
 
-def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS) -> Iterator[tuple[int, bytes]]:
-    """(slot, token bytes) from a slot on; earlier shards are not read."""
+def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS, vocabulary: int = BYTES) -> Iterator[tuple[int, bytes]]:
+    """(slot, ids as in a record, of a text its bytes) from a slot on; earlier shards are not read."""
+    kind = f"<u{id_width(vocabulary)}"
     rest = spark.read.parquet(path).where(F.col("shard") >= slot // records).orderBy("shard")
     for row in rest.toLocalIterator():
         for k in range(row["n_records"]):
@@ -159,7 +219,7 @@ def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS)
             if here >= slot:
                 raw = row["payload"][k * row["stride"] : (k + 1) * row["stride"]]
                 size = int.from_bytes(raw[:4], "little")
-                yield here, np.frombuffer(raw[4:], "<u2")[:size].astype(np.uint8).tobytes()
+                yield here, np.frombuffer(raw[4:], kind)[:size].astype(np.uint8 if vocabulary == BYTES else kind).tobytes()
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -426,6 +426,57 @@ def test_training_order_round_trip(spark, tmp_path):
     assert next(training_order.read_from(spark, str(tmp_path / "shards"), total // 2, 16))[0] == total // 2
 
 
+def read_back(spark, frame, path, length, **options):
+    """Ids of every document from written shards."""
+    vocabulary = options["vocabulary"]
+    training_order.write(frame, path, text_col="ids", length=length, records=8, key=5, **options)
+    read = dict(training_order.read_from(spark, path, 0, 8, vocabulary))
+    width = options.get("width")
+    total = training_order.total_of(frame, "ids", length, width)
+    assert sorted(read) == list(range(total))
+    slots = training_order.permute(np.arange(total), total, 5)
+    out: dict[int, list[int]] = {}
+    for r in sorted(training_order.sequences(frame, text_col="ids", length=length, width=width, vocabulary=vocabulary).collect(), key=lambda r: (r["id"], r["part"])):
+        out.setdefault(r["id"], []).extend(np.frombuffer(read[int(slots[r["index"]])], "<u4" if vocabulary >= 1 << 16 else "<u2").tolist())
+    return out
+
+
+@pytest.mark.parametrize(("vocabulary", "stride"), [(49_152, 4 + 2 * 16), (65_535, 4 + 2 * 16), (65_536, 4 + 4 * 16), (200_000, 4 + 4 * 16)])
+def test_training_order_takes_ids(spark, tmp_path, vocabulary, stride):
+    rnd = random.Random(4)
+    docs = [(i, [rnd.randrange(vocabulary) for _ in range(n)]) for i, n in enumerate([1, 15, 16, 17, 32, 33, 100])]
+    docs[3][1][:2] = [0, vocabulary - 1]
+    want = dict(docs)
+    arrays = spark.createDataFrame([*docs, (90, []), (91, None)], "doc_id long, ids array<int>")
+    assert read_back(spark, arrays, str(tmp_path / "arrays"), 16, vocabulary=vocabulary) == want
+    binary = spark.createDataFrame([(d, bytearray(np.array(ids, "<u4").tobytes())) for d, ids in docs] + [(90, bytearray()), (91, None)], "doc_id long, ids binary")
+    assert read_back(spark, binary, str(tmp_path / "binary"), 16, vocabulary=vocabulary, width=4) == want
+    rows = spark.read.parquet(str(tmp_path / "binary")).collect()
+    assert {r["stride"] for r in rows} == {stride} and all(len(r["payload"]) == stride * r["n_records"] for r in rows)
+    assert sum(r["n_tokens"] for r in rows) == sum(len(ids) for _, ids in docs)
+
+
+def test_training_order_refuses_other_ids():
+    with pytest.raises(ValueError):
+        training_order.record(np.array([7, 300], "<u4").tobytes(), 4, 4, 300)
+    with pytest.raises(ValueError):
+        training_order.record(b"12345", 4, 4, 300)
+    for ids in ([-1, 2], [300], [1.0, float("nan")]):
+        with pytest.raises(ValueError):
+            training_order._packed(np.array(ids), 300)
+
+
+def test_training_order_query_has_the_encoder_s_ids(spark, small):
+    from tokenizers import Tokenizer
+
+    import __spark_entry__ as entry
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    counts = [len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    got = entry.queries()["op9_training_order"](spark, small).agg(F.sum("n_records"), F.sum("n_tokens"), F.max("stride")).first()
+    assert tuple(got) == (sum(-(-n // training_order.LENGTH) for n in counts), sum(counts), 4 + 2 * training_order.LENGTH)
+
+
 def test_training_order_awkward(spark):
     frame = awkward(spark)
     found = training_order.shards(frame).agg(F.sum("n_tokens"), F.sum("n_records")).first()

@@ -1,12 +1,13 @@
 """BPE encoding and decoding by tree concatenation, exact to the tokenizers library.
 
-A text is cut into parts. Short texts are one part and are encoded where they
-are read; long texts are spread as parts over tasks. Runs without white space
-are encoded apart, as white space ends every piece here, and a run too long for
-one call is encoded as a tree: its halves on their own, then a window around the
-join again, with more and more text on either side, until it gives tokens of
-both sides at their own places; what lies between replaces the edges. Parts of a
-long text meet in the same way, at white space without any window.
+A long text is a tree: it is halved, wherever its middle falls, until no part is
+longer than `part`; the parts are encoded by different tasks and joined again in
+the order of the tree. At a join a window around it is encoded again, with more
+and more text on either side, until it gives tokens of both sides at their own
+places; what lies between replaces the edges. White space ends every piece of the
+supported files, so a join concerns the run that the cut goes through, and a run
+too long for one call is a tree of its own. Short texts are encoded where they
+are read, many at a time, and a task keeps what it has encoded of frequent runs.
 
 Why agreement is enough: a BPE sequence is the encoding of its text if every two
 neighbours are, and each pair of neighbours in the result comes from one of the
@@ -18,8 +19,13 @@ must agree on either side. Parts are cut where composition does not reach across
 Decoding looks ids up and joins the tokens as the library does, special tokens
 included.
 
+Other kinds of tokenizer files (byte-level ones, or with other normalizers) cut
+pieces at other places and are refused with UnsupportedTokenizer.
+
 Defined results: null is the empty text, which has no ids and decodes to the
-empty text; repeated rows give repeated results; other columns are not looked at.
+empty text; a text of any length is encoded whole; repeated rows give repeated
+results; an empty table gives no rows; other columns, whatever their names, are
+not looked at.
 """
 
 from __future__ import annotations
@@ -44,13 +50,49 @@ PART = 1 << 16
 LEAF = 1 << 12
 #: First window on either side of a join; it doubles until both sides agree.
 WINDOW = 64
-#: Encoded runs a task keeps; memory, not results, depends on it.
-MEMO = 200_000
+#: Encoded runs a task keeps, in two generations of half as many; memory, not results, depends on it.
+MEMO = 400_000
+#: Texts encoded together, and runs in one call.
+TEXTS, RUNS = 256, 200
 
 #: A stretch of a run that a cut goes through: its composed text, ids and spans.
 Open = tuple[str, np.ndarray, np.ndarray]
 
 _SPACE = re.compile(r"[ \t\n\r]+")
+#: White space that not every library counts as such; texts with it are split at the four sure ones alone.
+_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+# The parts of a tokenizer file for which runs between white space can be encoded apart.
+SUPPORTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+
+
+class UnsupportedTokenizer(ValueError):
+    """A tokenizer file whose pieces may reach across white space."""
+
+
+def read_spec(path: str) -> dict:
+    """The tokenizer file, if its texts can be encoded run by run."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    wrong = [name for name, value in SUPPORTED.items() if spec.get(name) != value]
+    model = spec.get("model", {})
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        wrong.append("model")
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", [])):
+        wrong.append("added_tokens")
+    if wrong:
+        raise UnsupportedTokenizer(f"{path}: {', '.join(wrong)} of another kind than this encoder splits texts for")
+    return spec
 
 
 class Codec:
@@ -60,38 +102,55 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
-        self.path, self.leaf, self.window = path, leaf, window
+        spec = read_spec(path)
+        self.leaf, self.window = leaf, window
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        # Without a decoder the library joins tokens by one space.
-        self.plain = spec.get("decoder") is None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.tokens = np.array([self.tokenizer.id_to_token(i) or "" for i in range(size)], object)
         self.added = {token["content"]: token["id"] for token in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")" if self.added else "(?!)")
         self.compose = normalizers.NFC().normalize_str
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.joins = 0
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        return self.runs(_SPACE.split(text)) if text else b""
-
-    def runs(self, runs: list[str]) -> bytes:
-        """Ids of runs without white space, one after the other."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        missing = [r for r in set(runs) if r not in memo]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text."""
+        split = [runs_of(text) for text in texts]
+        tall = self._learn({run for runs in split for run in runs})
+        if not tall:
+            return [b"".join(map(self.memo.__getitem__, runs)) for runs in split]
+        return [b"".join([tall[r] if r in tall else self.memo[r] for r in runs]) for runs in split]
+
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Have every run in the memo, but for those too long for one call, which are returned with their ids."""
+        missing = runs - self.memo.keys()
+        if len(self.memo) + len(missing) > MEMO // 2:
+            # What these texts need stays; what earlier ones needed goes on as the older generation.
+            self.older, self.memo = self.memo, {r: self.memo[r] for r in runs if r in self.memo}
+        for run in list(missing):
+            if (known := self.older.get(run)) is not None:
+                self.memo[run] = known
+                missing.discard(run)
         short = [r for r in missing if len(r) <= self.leaf]
-        for run, got in zip(short, self.tokenizer.encode_batch(short, add_special_tokens=False), strict=True):
-            memo[run] = np.array(got.ids, "<u4").tobytes()
-        if len(short) == len(missing):
-            return b"".join([memo[r] for r in runs])
-        tall = {r: self.open(r)[1].tobytes() for r in missing if len(r) > self.leaf}
-        return b"".join([tall[r] if r in tall else memo[r] for r in runs])
+        for at in range(0, len(short), RUNS):
+            few = short[at : at + RUNS]
+            self.memo.update(zip(few, self._encode_runs(few), strict=True))
+        return {r: self.open(r)[1].tobytes() for r in missing if len(r) > self.leaf} if len(short) < len(missing) else {}
+
+    def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
+        """Ids of each run, all runs in one call: white space between them ends pieces, and spans say whose a token is."""
+        ids, spans = self.spans(" ".join(runs))
+        ends = np.cumsum([len(r) + 1 for r in runs])
+        cuts = [0, *np.searchsorted(spans[:, 0], ends).tolist()]
+        data = ids.tobytes()
+        return (data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a short text and where each begins and ends in it."""
@@ -131,6 +190,7 @@ class Codec:
         both sides come out again, at the worst over the whole text.
         """
         wide = self.window
+        self.joins += 1
         while True:
             lo, hi = start_before(text, at - wide), min(len(text), at + wide)
             ids, spans = self.spans(text[lo:hi])
@@ -143,11 +203,15 @@ class Codec:
             wide *= 2
 
     def decode(self, ids: np.ndarray) -> str:
-        """The library's decode(ids, skip_special_tokens=False)."""
-        if self.plain:
-            tokens = self.tokens
-            return " ".join([tokens[i] for i in ids.tolist()])
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        """The library's decode(ids, skip_special_tokens=False): without a decoder, tokens joined by one space."""
+        return " ".join(self.tokens[ids].tolist())
+
+
+def runs_of(text: str | None) -> list[str]:
+    """Runs of a text without white space, none of them empty."""
+    if not text:
+        return []
+    return text.split() if _ODD_SPACE.search(text) is None else [r for r in _SPACE.split(text) if r]
 
 
 def _common(side: tuple[np.ndarray, np.ndarray], window: tuple[np.ndarray, np.ndarray], limit: int, before: bool) -> tuple[int, int] | None:
@@ -194,18 +258,15 @@ def start_before(text: str, at: int) -> int:
 
 
 def parts_of(text: str, size: int = PART) -> Iterator[tuple[str, bool]]:
-    """Parts of about `size` characters, and whether the cut at the end goes through a run.
-
-    A part ends after white space where its last quarter has some.
-    """
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            space = max(text.rfind(c, end - size // 4, end) for c in " \t\n\r")
-            end = space + 1 if space >= 0 else cut_near(text, end)
-        yield text[at:end], end < len(text) and text[end - 1] not in " \t\n\r" and text[end] not in " \t\n\r"
-        at = end
+    """The leaves of a text's tree of halves, of at most about `size` characters, and whether the cut at the end goes through a run."""
+    stack = [(0, len(text))]
+    while stack:
+        lo, hi = stack.pop()
+        mid = cut_near(text, (lo + hi) // 2) if hi - lo > size else hi
+        if mid < hi:
+            stack += [(mid, hi), (lo, mid)]
+        elif lo < hi:
+            yield text[lo:hi], hi < len(text) and text[hi - 1] not in " \t\n\r" and text[hi] not in " \t\n\r"
 
 
 def encode_part(codec: Codec, text: str, open_left: bool, open_right: bool) -> tuple[Open | None, bytes, Open | None]:
@@ -213,15 +274,15 @@ def encode_part(codec: Codec, text: str, open_left: bool, open_right: bool) -> t
 
     A part that is one run open at both sides is the left stretch alone.
     """
-    runs = _SPACE.split(text)
     head = tail = None
     if open_left:
-        head = codec.open(runs[0])
-        runs = runs[1:]
-    if open_right and runs:
-        tail = codec.open(runs[-1])
-        runs = runs[:-1]
-    return head, codec.runs(runs), tail
+        found = _SPACE.search(text)
+        end = found.start() if found else len(text)
+        head, text, open_right = codec.open(text[:end]), text[end:], open_right and found is not None
+    if open_right:
+        start = max(text.rfind(c) for c in " \t\n\r") + 1
+        text, tail = text[:start], codec.open(text[start:])
+    return head, codec.encode(text), tail
 
 
 def join_all(codec: Codec, stretches: list[Open]) -> Open:
@@ -255,38 +316,40 @@ def combine(codec: Codec, parts: list[tuple[Open | None, bytes, Open | None]]) -
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", part: int = PART, digests: bool = True) -> DataFrame:
-    """One row per document: id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256.
+    """One row per document: id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256, joins.
 
-    Without digests nothing is decoded and the last two are null.
+    joins: how many windows put the text's parts and long runs together. Without
+    digests nothing is decoded and the digests are null.
     """
+    read_spec(path)
     kind = docs.schema[id_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField(id_col, kind),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
-            T.StructField("ids_sha256", T.StringType()),
-            T.StructField("decoded_sha256", T.StringType()),
-        ]
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string, joins int").fields])
+    name = f"`{id_col}`"
+    texts = docs.select(F.col(name).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > part
 
-    def row(codec: Codec, data: bytes) -> tuple[int, bytes, str | None, str | None]:
+    def row(codec: Codec, data: bytes, joins: int) -> tuple[int, bytes, str | None, str | None, int]:
         if not digests:
-            return len(data) // 4, data, None, None
+            return len(data) // 4, data, None, None, joins
         decoded = codec.decode(np.frombuffer(data, "<u4"))
-        return len(data) // 4, data, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return len(data) // 4, data, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), joins
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        kinds = (pa.int64(), pa.binary(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int32())
         for batch in batches:
             codec = codec or Codec(path)
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                rows = [row(codec, codec.encode(x.as_py())) for x in few.column(1)]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            for at in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(at, TEXTS)
+                found = few.column(1).to_pylist()
+                if any(len(x) > codec.leaf for x in found):  # these may have runs that are trees
+                    rows = []
+                    for text in found:
+                        before = codec.joins
+                        rows.append((codec.encode(text), codec.joins - before))
+                else:
+                    rows = [(data, 0) for data in codec.encode_all(found)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*(row(codec, *r) for r in rows), strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([few.column(0), *columns], schema.fieldNames())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,10 +366,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         codec = None
         for batch in batches:
             codec = codec or Codec(path)
-            rows = batch.select(["part", "before", "after"]).to_pylist()
-            got = [encode_part(codec, r["part"], r["before"], r["after"]) for r in rows]
-            columns = [pa.array([_pack(head) for head, _, _ in got], _OPEN), pa.array([body for _, body, _ in got], pa.binary()), pa.array([_pack(tail) for _, _, tail in got], _OPEN)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), batch.column("k"), *columns], ["id", "name", "k", "head", "body", "tail"])
+            got, joins = [], []
+            for r in batch.select(["part", "before", "after"]).to_pylist():
+                before = codec.joins
+                got.append(encode_part(codec, r["part"], r["before"], r["after"]))
+                joins.append(codec.joins - before)
+            columns = [pa.array([_pack(head) for head, _, _ in got], _OPEN), pa.array([body for _, body, _ in got], pa.binary()), pa.array([_pack(tail) for _, _, tail in got], _OPEN), pa.array(joins, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), batch.column("k"), *columns], ["id", "name", "k", "head", "body", "tail", "joins"])
 
     made: list[Codec] = []
 
@@ -316,16 +382,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         codec = made[0]
         copies = int((pdf["k"] == 0).sum())
         pdf = pdf.sort_values("k").drop_duplicates("k")
+        before = codec.joins
         data = combine(codec, [(_unpack(h), b, _unpack(t)) for h, b, t in zip(pdf["head"], pdf["body"], pdf["tail"], strict=True)])
-        n, ids, digest_ids, digest_text = row(codec, data)
-        out = pd.DataFrame({"n_tokens": [n], "ids": [ids], "ids_sha256": [digest_ids], "decoded_sha256": [digest_text]})
+        values = row(codec, data, int(pdf["joins"].sum()) + codec.joins - before)
+        out = pd.DataFrame([values], columns=schema.fieldNames()[1:])
         out.insert(0, id_col, pdf["id"].iloc[:1].to_numpy())
         return out.loc[out.index.repeat(copies)]
 
     id_field = T.StructField("id", kind)
     parts = texts.where(long).mapInArrow(spread, T.StructType([id_field, *T.StructType.fromDDL("name binary, k int, part string, before boolean, after boolean").fields]))
     stretch = "struct<text:string,ids:binary,spans:binary>"
-    coded = parts.repartition("id", "name", "k").mapInArrow(each, T.StructType([id_field, *T.StructType.fromDDL(f"name binary, k int, head {stretch}, body binary, tail {stretch}").fields]))
+    coded = parts.repartition("id", "name", "k").mapInArrow(each, T.StructType([id_field, *T.StructType.fromDDL(f"name binary, k int, head {stretch}, body binary, tail {stretch}, joins int").fields]))
     joined = coded.groupBy("id", "name").applyInPandas(gather, schema)
     return texts.where(~long).mapInArrow(whole, schema).unionByName(joined)
 

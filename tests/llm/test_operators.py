@@ -197,6 +197,49 @@ def test_bpe_whole_texts(spark):
     assert rows_of(bpe.digest(found)) == sorted(want, key=repr)
     assert bpe.encode(frame, tokenizer_path()).count() == frame.count()
     assert bpe.encode(empty(frame), tokenizer_path()).count() == 0
+    dotted = frame.select("doc_id", "text").toDF("doc.id", "the text").withColumn("ids", F.lit(1))
+    assert bpe.encode(dotted, tokenizer_path(), "doc.id", "the text").count() == frame.count()
+
+
+def test_bpe_long_texts_are_trees(spark):
+    """Halves are cut wherever the middle falls, so nearly every cut goes through a run and is joined by a window."""
+    rnd, tokenizer = random.Random(12), library()
+    texts = {1: sentence(rnd, 20000), 2: "short text", 3: "x" * 30000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in bpe.encode(docs, tokenizer_path(), part=2000).collect()}
+    for doc, text in texts.items():
+        assert np.frombuffer(found[doc]["ids"], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    leaves = [p for p, _ in bpe.parts_of(texts[1], 2000)]
+    assert "".join(leaves) == texts[1] and len(leaves) == 64 and max(map(len, leaves)) <= 2000
+    opened = sum(after for _, after in bpe.parts_of(texts[1], 2000))
+    assert found[1]["joins"] == opened > 30 and found[2]["joins"] == 0 and found[3]["joins"] == 15
+
+
+def test_bpe_query_joins_parts_of_the_longest_texts(spark):
+    """On the tables themselves: texts over one part come out of joins, and equal the library's."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    long = docs.where(F.length("text") > bpe.PART)
+    found = bpe.encode(long, tokenizer_path()).join(long, "doc_id").collect()
+    assert found and sum(r["joins"] for r in found) > 0
+    tokenizer = library()
+    for r in found:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == tokenizer.encode(r["text"], add_special_tokens=False).ids
+
+
+def test_bpe_memo_does_not_change_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 12)
+    monkeypatch.setattr(bpe, "RUNS", 3)
+    rnd, tokenizer, codec = random.Random(2), library(), bpe.Codec(tokenizer_path(), leaf=50)
+    texts = [" ".join(rnd.choice(["Été", "ab-c", "İx", "한국", "x" * 60, "a\xa0b", "\u0301q", "don't", "<|endoftext|>", "e\u0301t"]) for _ in range(rnd.randint(0, 9))) + rnd.choice(["", "\x1c", " \u2003 "]) for _ in range(300)]
+    for at in range(0, 300, 7):
+        for text, got in zip(texts[at : at + 7], codec.encode_all(texts[at : at + 7]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_refuses_other_kinds_of_files(spark):
+    frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(bpe.UnsupportedTokenizer):
+        bpe.encode(frame, tokenizer_path("byte_bpe_50k.json"))
 
 
 # --- 5 --------------------------------------------------------------------------------------------------------------

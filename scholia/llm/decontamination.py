@@ -7,31 +7,44 @@ nothing. Patterns of one length share a Wu-Manber table: the last two words
 under the cursor look up how far it may jump, and where the jump is zero the
 bucket of that suffix is compared word by word.
 
-Each task scans whole texts against the patterns, which are sent to tasks in
-blocks of bounded size (`block_bytes` of benchmark text). More items mean more
-blocks, each scanned on its own; hits of all blocks are gathered by document.
+Each task scans whole texts. A benchmark of up to `block_bytes` of text is sent to
+the tasks with its tables. A larger one never leaves the executors: its windows
+are a table, and the shift tables of all pattern lengths are hashed into one of
+at most MOST_SLOTS bytes, where blocks that meet keep the smaller jump. That is
+all the tasks get; where the jump is zero they give out the words under the
+cursor, and Spark's equality join of these with the windows is the bucket and
+the comparison. Texts are read once whatever the benchmark's size.
 
 Defined results: null or empty text has no words, no hits and is clean; null
 benchmark text gives no pattern; items with a null id mark words as hit but are
 not counted; repeated rows are judged one by one; an empty benchmark hits
-nothing. Columns beyond the id and the text are never looked at.
+nothing, an empty table gives no rows; texts and items of any length are taken
+whole; columns beyond the id and the text, whatever their names, are passed
+through by decontaminate() and not looked at elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.session import stored
+
 WINDOW = 13
-#: Benchmark text of a block; a task's tables take about a hundred times as much memory.
+#: Benchmark text that is sent to tasks; a task's tables take about a hundred times as much memory.
 BLOCK_BYTES = 2 << 20
+#: Sizes of the hashed shift table: some eight bytes to a word of the benchmark, within bounds.
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 26
+#: Slots of the table that one task gathers, and rows handed on at a time.
+PAGE, ROWS = 1 << 16, 20_000
 #: A document is contaminated if hit words * RATIO >= words.
 RATIO = 20
 
@@ -121,19 +134,14 @@ def contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
     return hit > 0 and RATIO * hit >= n_words
 
 
-def _blocks(bench: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """The benchmark in blocks that hold about block_bytes of text each."""
-    items = bench.select(
-        F.col(item_col).cast("long").alias("item"), F.encode(F.col(text_col), "utf-8").alias("text")
-    ).where(F.length("text") > 0)
+def _items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return bench.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.encode(F.col(f"`{text_col}`").cast("string"), "utf-8").alias("text")).where(F.length("text") > 0)
+
+
+def _sent(items: DataFrame, block_bytes: int) -> list[tuple] | None:
+    """The items, if they are few enough to be sent to every task."""
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = max(1, math.ceil(total / block_bytes))
-    if count == 1:
-        yield [tuple(row) for row in items.collect()]
-        return
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
-    for k in range(count):
-        yield [tuple(row) for row in items.where(part == k).collect()]
+    return [tuple(row) for row in items.collect()] if total <= block_bytes else None
 
 
 def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -144,54 +152,132 @@ _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _FOUND = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<long>"
 
 
-def _scan(docs: DataFrame, sent, window: int, hits_only: bool) -> DataFrame:
-    """id, tk, n_words, spans, item_ids of documents (id, tk, text) against one block."""
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+
+
+def _scan(source: DataFrame, items: list[tuple], window: int) -> DataFrame:
+    """id, tk, n_words, spans, item_ids of documents (id, tk, text) against items that every task gets."""
+    sent = source.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, window)
         for batch in batches:
-            rows, counts, spans, items = [], [], [], []
-            for row, text in enumerate(_binary(batch, "text")):
+            counts, spans, items = [], [], []
+            for text in _binary(batch, "text"):
                 words = words_of(text)
                 got, owners = matcher.scan(words)
-                if got or not hits_only:
-                    rows.append(row)
-                    counts.append(len(words))
-                    spans.append([{"start": s, "end": e} for s, e in got])
-                    items.append(sorted(owners))
-            at = pa.array(rows, pa.int32())
-            columns = [batch.column("id").take(at), batch.column("tk").take(at), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))]
+                counts.append(len(words))
+                spans.append([{"start": s, "end": e} for s, e in got])
+                items.append(sorted(owners))
+            columns = [batch.column("id"), batch.column("tk"), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "tk", "n_words", "spans", "item_ids"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
+    return source.mapInArrow(run, T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
 
 
-def _report(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
-    """id, tk (hash of the text), n_words, spans, item_ids of every document.
+def block_hash(words: list[bytes], end: int, length: int) -> int:
+    """Hash of the block of words that ends there, for patterns of that length."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words[max(0, end - min(2, length)) : end]), length)
 
-    The first block's scan brings a row for each document, the others' rows for
-    hits alone; these are gathered by document without its text.
-    """
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    send = docs.sparkSession.sparkContext.broadcast
-    parts = [_scan(source, send(block), window, k > 0) for k, block in enumerate(_blocks(bench, item_col, item_text_col, block_bytes))]
-    if len(parts) == 1:
-        return parts[0]
-    rest = reduce(DataFrame.unionByName, parts[1:]).groupBy(F.col("id").alias("id_"), F.col("tk").alias("tk_"))
-    rest = rest.agg(F.flatten(F.collect_set("spans")).alias("more_spans"), F.flatten(F.collect_set("item_ids")).alias("more_items"))
-    joined = parts[0].join(rest, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tk") == F.col("tk_")), "left")
+
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """n, words, item: every window of the items (item, text), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, items = [], []
-            for one, more, own, other in zip(*(batch.column(n).to_pylist() for n in ("spans", "more_spans", "item_ids", "more_items")), strict=True):
-                spans.append([{"start": s, "end": e} for s, e in merge([(s["start"], s["end"]) for s in one + (more or [])])])
-                items.append(sorted({*own, *(other or [])}))
-            columns = [*(batch.column(n) for n in ("id", "tk", "n_words")), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "tk", "n_words", "spans", "item_ids"])
+            for item, text in zip(batch.column("item").to_pylist(), _binary(batch, "text"), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                count = len(words) - size + 1 if size else 0
+                for at in range(0, count, ROWS):
+                    found = [b" ".join(words[k : k + size]) for k in range(at, min(count, at + ROWS))]
+                    yield pa.RecordBatch.from_arrays([pa.array([size] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([item] * len(found), pa.int64())], ["n", "words", "item"])
+
+    return items.mapInArrow(run, "n int, words binary, item long").distinct()
+
+
+def shift_table(items: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """The hashed shift table of all windows (255: no block there), and the lengths of patterns."""
+    words = items.agg(F.sum(F.length("text"))).first()[0] // 6
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (8 * words).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in _binary(batch, "text"):
+                words = words_of(text)
+                size = min(window, len(words))
+                # Of all windows that a block ends in, the one that ends last jumps least.
+                ends = range(min(2, size), len(words) + 1) if size else range(0)
+                for at in range(0, len(ends), ROWS):
+                    some = ends[at : at + ROWS]
+                    columns = [pa.array([size] * len(some), pa.int32()), pa.array([block_hash(words, e, size) % slots for e in some], pa.int64()), pa.array([max(0, size - e) for e in some], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["n", "slot", "shift"])
+
+    shifts = stored(items.mapInArrow(run, "n int, slot long, shift int").groupBy("n", "slot").agg(F.min("shift").alias("shift")))
+
+    def page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.full(min(PAGE, slots), 255, np.uint8)
+        out[pdf["slot"].to_numpy() % PAGE] = pdf["shift"].to_numpy()
+        return pd.DataFrame({"page": [key[0]], "data": [out.tobytes()]})
+
+    table = np.full(slots, 255, np.uint8)
+    merged = shifts.groupBy("slot").agg(F.min("shift").alias("shift")).withColumn("page", F.floor(F.col("slot") / PAGE))
+    # At most MOST_SLOTS bytes in pages.
+    for row in merged.groupBy("page").applyInPandas(page, "page long, data binary").toLocalIterator():
+        table[row["page"] * PAGE : (row["page"] + 1) * PAGE] = np.frombuffer(row["data"], np.uint8)
+    return table, sorted(r["n"] for r in shifts.select("n").distinct().collect())
+
+
+def candidates(words: list[bytes], table: np.ndarray, length: int) -> Iterator[int]:
+    """Places where a pattern of that length may start: the jump is zero at its last block."""
+    at, jump, slots = length, length - min(2, length) + 1, len(table)
+    while at <= len(words):
+        step = int(table[block_hash(words, at, length) % slots])
+        if step == 0:
+            yield at - length
+            step = 1
+        at += min(step, jump)
+
+
+def _routed(source: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """What _scan() gives, for items of any size: possible places are joined with the table of windows."""
+    table, lengths = shift_table(items, window)
+    sent = source.sparkSession.sparkContext.broadcast((table.tobytes(), lengths))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, sizes = sent.value
+        shifts = np.frombuffer(data, np.uint8)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                counts, places = [], []
+                for text in _binary(few, "text"):
+                    words = words_of(text)
+                    counts.append(len(words))
+                    places.append([{"n": n, "start": k, "words": b" ".join(words[k : k + n])} for n in sizes for k in candidates(words, shifts, n)])
+                yield pa.RecordBatch.from_arrays([few.column("id"), few.column("tk"), pa.array(counts, pa.int64()), pa.array(places, _PLACES)], ["id", "tk", "n_words", "places"])
+
+    schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("tk long, n_words long, places array<struct<n:int,start:int,words:binary>>").fields])
+    scanned = stored(source.mapInArrow(run, schema))
+    tried = scanned.select("id", "tk", F.inline("places"))
+    met = tried.join(windows_of(items, window), ["n", "words"])
+    hits = met.groupBy(F.col("id").alias("id_"), F.col("tk").alias("tk_")).agg(
+        F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids")
+    )
+    joined = scanned.drop("places").join(hits, F.col("id").eqNullSafe(F.col("id_")) & (F.col("tk") == F.col("tk_")), "left").drop("id_", "tk_")
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": s, "end": e} for s, e in merge([(x["start"], x["end"]) for x in row or []])] for row in batch.column("spans").to_pylist()]
+            items = [row or [] for row in batch.column("item_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "tk", "n_words")), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))], ["id", "tk", "n_words", "spans", "item_ids"])
+
+    return joined.mapInArrow(union, T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
+
 
-    return joined.mapInArrow(run, parts[0].schema)
+_PLACES = pa.list_(pa.struct([("n", pa.int32()), ("start", pa.int32()), ("words", pa.binary())]))
 
 
 def contamination(
@@ -205,7 +291,9 @@ def contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_words, spans of hit words, item_ids that occur in it."""
-    found = _report(docs, bench, id_col, text_col, item_col, item_text_col, window, block_bytes)
+    source, items = _source(docs, id_col, text_col), _items(bench, item_col, item_text_col)
+    few = _sent(items, block_bytes)
+    found = _routed(source, items, window) if few is None else _scan(source, few, window)
     return found.select(F.col("id").alias(id_col), "n_words", "spans", "item_ids")
 
 
@@ -221,16 +309,17 @@ def decontaminate(
 ) -> DataFrame:
     """docs without its contaminated rows; columns and other rows stay as they are.
 
-    With one block a row is judged where it is read; with more, the judgement on
-    all blocks' hits comes back to the documents in a join.
+    With a small benchmark a row is judged where it is read; with a larger one the
+    judgement comes back to the documents in a join.
     """
-    blocks = list(_blocks(bench, item_col, item_text_col, block_bytes))
+    items = _items(bench, item_col, item_text_col)
+    few = _sent(items, block_bytes)
     names = docs.columns
     packed = docs.select(
         F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("id")
     )
-    if len(blocks) == 1:
-        sent = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    if few is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(few)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, window)
@@ -240,7 +329,7 @@ def decontaminate(
 
         kept = packed.select("row", "text").mapInArrow(run, packed.select("row").schema)
     else:
-        found = _report(docs, bench, id_col, text_col, item_col, item_text_col, window, block_bytes)
+        found = _routed(_source(docs, id_col, text_col), items, window)
         gone = found.where((_hit() > 0) & (F.lit(RATIO) * _hit() >= F.col("n_words"))).select(F.col("id").alias("id_"), F.col("tk").alias("tk_"))
         kept = packed.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("tk_")), "left_anti")
     return kept.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])
@@ -255,7 +344,7 @@ def digest(report: DataFrame, id_col: str = "doc_id") -> DataFrame:
     hit = _hit()
     names = F.array_sort(F.transform("item_ids", lambda item: item.cast("string")))
     return report.select(
-        id_col,
+        F.col(f"`{id_col}`"),
         "n_words",
         hit.alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),

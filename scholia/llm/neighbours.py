@@ -1,24 +1,36 @@
-"""Nearest neighbours by inner product with vantage-point trees, one for each shard.
+"""Nearest neighbours by inner product with vantage-point trees, one forest for each shard.
 
-Vectors are dealt to shards by a hash of their id, about `shard_rows` to each;
-a task builds a shard's tree, and the trees are written as an index. Inner
-products become distances by one more coordinate that gives all vectors the
-length of the longest; queries are scaled to it. A node keeps a vantage point
-and, for each half of its points, the least and largest distance to it.
+Vectors are dealt to shards by a hash of their row, about `shard_rows` to each,
+and a task builds a shard's trees, which are written as an index. Inside a shard
+vectors lie in bands of similar length; a band is a tree of its own, in which
+inner products become distances by one more coordinate that gives all its
+vectors the length of the longest; queries are scaled to it. A node keeps a
+vantage point and, for each half of its points, the least and largest distance
+to it.
 
-A search goes down the nearer half first and into a half only if the triangle
-inequality allows a nearer point: a half is left out if its lower bound times
-`factor` is beyond the k-th distance found. Factor one is exact search; larger
-factors leave out more. Queries are packed in blocks; every pair of a block and
-a shard is a row of its own, and the k best of a query over all shards remain.
+A search takes the bands from the longest vectors down and leaves out those
+whose length cannot reach the k-th product found. In a tree it goes down the
+nearer half first and into a half only if the triangle inequality allows a
+nearer point: a half is left out if its lower bound times `factor` is beyond the
+k-th distance found. Factor one is exact search; larger factors leave out more.
+Without a given factor the largest one of FACTORS is taken that finds RECALL of
+the true neighbours on a bounded sample of the table (SAMPLE rows of the
+smallest hashes, SAMPLE_QUERIES of them as queries), so that it fits the data.
+
+Queries are packed in blocks; every pair of a block and a shard is a row of its
+own, and the k best of a query over all shards remain.
 
 Scores are inner products of the original vectors in double precision, summed in
 the same order for every pair; ties go to the smaller id.
 
 Defined results: null vectors, zero vectors and those with null or non-finite
-components take no part, nor do vectors of another length than most; of rows
-with one id the smallest vector stands for all; a query is not its own
-neighbour; fewer candidates than k are all returned; an empty table gives none.
+components take no part, nor do rows with a null id; vectors of different
+lengths (numbers of components) have no product, so that a query's candidates
+are the vectors of its own length; rows that share an id are candidates and
+queries of their own, and each such query has its ranks from 1; a query row is
+not its own neighbour, another row of its id may be; fewer candidates than k are
+all returned; an empty table gives none; columns beyond the id and the vector
+are not looked at.
 """
 
 from __future__ import annotations
@@ -35,25 +47,53 @@ from pyspark.sql import functions as F
 from scholia.session import cut
 
 K = 20
-#: Pruning factor; recall on the test tables is in the README.
-FACTOR = 4.0
+#: Pruning factors tried on the sample, and the recall that one needs there.
+FACTORS = (16.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5)
+RECALL = 0.97
+SAMPLE, SAMPLE_QUERIES = 4096, 128
 SHARD_ROWS, QUERY_ROWS = 8192, 1024
 LEAF = 128
+#: Least length in a band, as a share of the longest.
+BAND = 0.8
 #: Slack for rounding in bounds and in products that only pick candidates.
 EPS = 1e-9
 
+Forest = dict[str, np.ndarray]
+
 
-def build(ids: np.ndarray, rows: np.ndarray, longest: float, leaf: int = LEAF) -> dict[str, np.ndarray]:
-    """A vantage-point tree as arrays; nodes hold ranges of the reordered points.
+def build(ids: np.ndarray, marks: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Forest:
+    """Vantage-point trees as arrays; nodes hold ranges of the reordered points.
 
+    marks: a number for each row, by which a query knows itself.
     nodes: vantage point, first child, second child (-1: leaf), start, end.
     bounds: least and largest distance of each half to the vantage point.
+    bands: root node and longest vector of each tree, longest first.
     """
-    rest = np.sqrt(np.maximum(0.0, longest**2 - np.einsum("ij,ij->i", rows, rows)))
-    order = np.argsort(ids, kind="stable")
+    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    order = np.lexsort((marks, ids, -norms))
     nodes: list[list[int]] = []
     bounds: list[list[float]] = []
-    stack = [(0, len(ids), -1, 0)]
+    bands: list[list[float]] = []
+    begin = 0
+    while begin < len(order):
+        longest = float(norms[order[begin]])
+        # Shorter vectors join while the band would be less than a leaf.
+        end = max(int(np.searchsorted(-norms[order], -BAND * longest, side="right")), min(len(order), begin + leaf))
+        bands.append([len(nodes), longest])
+        _grow(order, begin, end, rows, norms, longest, leaf, nodes, bounds)
+        begin = end
+    table = np.array(nodes, np.int64).reshape(-1, 5)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    inner = table[:, 0] >= 0
+    table[inner, 0] = place[table[inner, 0]]
+    return {"ids": ids[order], "marks": marks[order], "rows": rows[order], "nodes": table, "bounds": np.array(bounds).reshape(-1, 4), "bands": np.array(bands).reshape(-1, 2)}
+
+
+def _grow(order: np.ndarray, begin: int, finish: int, rows: np.ndarray, norms: np.ndarray, longest: float, leaf: int, nodes: list, bounds: list) -> None:
+    """Add the nodes of one tree over order[begin:finish], which is reordered."""
+    rest = np.sqrt(np.maximum(0.0, longest**2 - norms**2))
+    stack = [(begin, finish, -1, 0)]
     while stack:
         start, end, parent, side = stack.pop()
         here = len(nodes)
@@ -73,26 +113,21 @@ def build(ids: np.ndarray, rows: np.ndarray, longest: float, leaf: int = LEAF) -
         nodes[here][0] = int(far)
         bounds[here] = [away[0], away[half - 1], away[half], away[-1]]
         stack += [(start + half, end, here, 1), (start, start + half, here, 0)]
-    table = np.array(nodes, np.int64).reshape(-1, 5)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    inner = table[:, 0] >= 0
-    table[inner, 0] = place[table[inner, 0]]
-    return {"ids": ids[order], "rows": rows[order], "nodes": table, "bounds": np.array(bounds).reshape(-1, 4)}
 
 
 class Search:
-    """The k best of a block of queries in one tree."""
+    """The k best of a block of queries in one shard."""
 
-    def __init__(self, tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, longest: float, k: int, factor: float):
-        self.tree, self.query_ids, self.queries, self.k, self.factor = tree, query_ids, queries, k, factor
-        self.longest = longest
-        self.scale = longest / np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    def __init__(self, trees: Forest, query_marks: np.ndarray, queries: np.ndarray, k: int, factor: float):
+        self.tree, self.query_marks, self.queries, self.k, self.factor = trees, query_marks, queries, k, factor
+        self.norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.compared = 0
-        if len(tree["ids"]):
-            self._visit(0, np.arange(len(queries)))
+        for root, longest in trees["bands"].tolist():
+            self.longest, self.scale = longest, longest / self.norms
+            able = longest * self.norms * (1 + EPS) >= self.scores[:, -1]
+            self._visit(int(root), np.flatnonzero(able))
 
     def _reach(self, active: np.ndarray) -> np.ndarray:
         """Distance of the k-th best so far."""
@@ -120,7 +155,7 @@ class Search:
         rough = self.queries[active] @ rows.T
         slack = EPS * self.longest / self.scale[active] * self.longest
         hits, at = np.nonzero(rough >= (self.scores[active, -1] - slack)[:, None])
-        other = self.query_ids[active[hits]] != ids[at]
+        other = self.query_marks[active[hits]] != self.tree["marks"][start:end][at]
         hits, at = hits[other], at[other]
         if not len(hits):
             return
@@ -137,75 +172,102 @@ class Search:
         self.scores[who], self.found[who] = score[keep].reshape(-1, self.k), name[keep].reshape(-1, self.k)
 
 
-def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, float]:
-    """id, vector (doubles) of the vectors that take part, and the length of the longest."""
+def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, vector (doubles) of the rows that take part."""
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = rows.where(F.col("id").isNotNull() & F.forall("vector", number) & F.exists("vector", lambda x: x != 0))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max(norm).alias("longest"))
-    top = sizes.orderBy(F.desc("n"), F.desc("size")).first()
-    if top is None:
-        return rows, 0.0
-    return rows.where(F.size("vector") == top["size"]).groupBy("id").agg(F.min("vector").alias("vector")), float(top["longest"])
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    return rows.where(F.col("id").isNotNull() & F.forall("vector", number) & F.exists("vector", lambda x: x != 0))
+
+
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["vector"].to_list()).astype(np.float64)
+
+
+def choose_factor(rows: DataFrame, k: int = K, recall: float = RECALL, leaf: int = LEAF) -> float:
+    """The largest of FACTORS with that recall on the sample; one if none has it."""
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = pdf["vector"].map(len)
+        pdf = pdf[size == size.mode().iloc[0]].sort_values("hash", kind="stable")
+        trees = build(pdf["id"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64), _matrix(pdf), leaf)
+        asked = pdf.head(SAMPLE_QUERIES)
+        marks, queries = asked["mark"].to_numpy(np.int64), _matrix(asked)
+        # Scores, not ids, so that ties are no misses.
+        least = Search(trees, marks, queries, k, 1.0).scores
+        for factor in FACTORS:
+            got = Search(trees, marks, queries, k, factor).scores
+            hits = sum(np.isin(np.round(g[g > -np.inf], 12), np.round(w, 12)).sum() for g, w in zip(got, least, strict=True))
+            if hits >= recall * (least > -np.inf).sum():
+                return pd.DataFrame({"factor": [factor]})
+        return pd.DataFrame({"factor": [1.0]})
+
+    # At most SAMPLE rows.
+    sample = rows.withColumn("hash", F.xxhash64("id", "vector")).orderBy("hash", "mark").limit(SAMPLE)
+    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(measure, "factor double").first()
+    return found["factor"] if found else 1.0
 
 
 def neighbours(
     vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
-    factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf: int = LEAF,
+    factor: float | None = None, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, leaf: int = LEAF,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found of each query.
 
     queries: a condition on the column `id` that picks the query rows.
+    factor: None for the one that choose_factor() measures.
     """
-    rows, longest = valid_vectors(vectors, id_col, vector_col)
-    rows = cut(rows)
+    # Rows are numbered once: the checkpoint keeps the numbers.
+    rows = cut(valid_vectors(vectors, id_col, vector_col).withColumn("mark", F.monotonically_increasing_id()).withColumn("dims", F.size("vector")))
     count, asked = rows.agg(F.count("*"), F.count_if(queries)).first()
     shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-asked // query_rows))
-
-    def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        return np.stack(pdf["vector"].to_list()).astype(np.float64)
+    chosen = factor if factor is not None else choose_factor(rows, k, leaf=leaf)
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = build(pdf["id"].to_numpy(np.int64), matrix(pdf), longest, leaf)
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "size": [len(pdf)], **{n: [tree[n].tobytes()] for n in ("ids", "rows", "nodes", "bounds")}})
+        trees = build(pdf["id"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64), _matrix(pdf), leaf)
+        return pd.DataFrame({"dims": [int(pdf["dims"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], **{n: [trees[n].tobytes()] for n in _FOREST}})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "query_ids": [pdf["id"].to_numpy(np.int64).tobytes()], "queries": [matrix(pdf).tobytes()]})
+        pdf = pdf.sort_values("mark")
+        names = {n: [pdf[c].to_numpy(np.int64).tobytes()] for n, c in (("query_ids", "id"), ("query_marks", "mark"))}
+        return pd.DataFrame({"dims": [int(pdf["dims"].iloc[0])], **names, "queries": [_matrix(pdf).tobytes()]})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    trees = cut(dealt.groupBy("shard").applyInPandas(index, "shard int, size int, ids binary, rows binary, nodes binary, bounds binary"))
-    packed = rows.where(queries).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int"))
-    packed = packed.groupBy("block").applyInPandas(pack, "block int, query_ids binary, queries binary")
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "shard")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int"))
+    trees = cut(dealt.groupBy("dims", "shard").applyInPandas(index, "dims int, shard int, " + ", ".join(f"{n} binary" for n in _FOREST)))
+    packed = rows.where(queries).withColumn("block", F.pmod(F.xxhash64("mark", F.lit(7)), F.lit(blocks)).cast("int"))
+    packed = packed.groupBy("dims", "block").applyInPandas(pack, "dims int, query_ids binary, query_marks binary, queries binary")
+    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dims", "shard"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
-                size = row["size"]
-                tree = {
-                    "ids": np.frombuffer(row["ids"], np.int64), "rows": np.frombuffer(row["rows"]).reshape(size, -1),
-                    "nodes": np.frombuffer(row["nodes"], np.int64).reshape(-1, 5), "bounds": np.frombuffer(row["bounds"]).reshape(-1, 4),
-                }
-                names = np.frombuffer(row["query_ids"], np.int64)
-                done = Search(tree, names, np.frombuffer(row["queries"]).reshape(len(names), -1), longest, k, factor)
+                dims = row["dims"]
+                found = {n: np.frombuffer(row[n], kind).reshape(shape(dims)) for n, (kind, shape) in _FOREST.items()}
+                names, marks = (np.frombuffer(row[n], np.int64) for n in ("query_ids", "query_marks"))
+                done = Search(found, marks, np.frombuffer(row["queries"]).reshape(-1, dims), k, chosen)
                 real = done.scores > -np.inf
-                owner = np.repeat(names, k).reshape(-1, k)[real]
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(done.found[real]), pa.array(done.scores[real])], ["query_id", "vec_id", "score"])
+                owner, mark = (np.repeat(x, k).reshape(-1, k)[real] for x in (names, marks))
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(mark), pa.array(done.found[real]), pa.array(done.scores[real])], ["query_id", "mark", "vec_id", "score"])
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(search, "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def brute_force(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, k: int = K) -> dict[int, list[tuple[int, float]]]:
-    """The exact k nearest of every query; for tests and recall."""
-    out = {}
-    place = {int(i): n for n, i in enumerate(ids)}
-    for q in query_ids:
-        scores = np.einsum("ij,j->i", rows, rows[place[int(q)]])
-        order = [n for n in np.lexsort((ids, -scores)) if ids[n] != q][:k]
-        out[int(q)] = [(int(ids[n]), float(scores[n])) for n in order]
+#: What a shard's row in the index holds, with types and shapes.
+_FOREST = {
+    "ids": (np.int64, lambda dims: (-1,)), "marks": (np.int64, lambda dims: (-1,)), "rows": (np.float64, lambda dims: (-1, dims)),
+    "nodes": (np.int64, lambda dims: (-1, 5)), "bounds": (np.float64, lambda dims: (-1, 4)), "bands": (np.float64, lambda dims: (-1, 2)),
+}
+
+
+def brute_force(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, k: int = K) -> dict[int, list[list[tuple[int, float]]]]:
+    """The exact k nearest of every query row, a list for each row of an id; for tests and recall."""
+    out: dict[int, list] = {}
+    wanted = set(query_ids.tolist())
+    for place, q in enumerate(ids.tolist()):
+        if q in wanted:
+            scores = np.einsum("ij,j->i", rows, rows[place])
+            order = [n for n in np.lexsort((ids, -scores)) if n != place][:k]
+            out.setdefault(q, []).append([(int(ids[n]), float(scores[n])) for n in order])
     return out

@@ -62,6 +62,12 @@ _SPACE = re.compile(r"[ \t\n\r]+")
 #: White space that not every library counts as such; texts with it are split at the four sure ones alone.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: Runs that are two pieces at most, Latin letters in composed form and then marks: what normalizer and pre-tokenizer do to them is known.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes as the characters that stand for them in byte-level files: printable ones for themselves, the others from 256 on in order.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
 # The parts of a tokenizer file for which runs between white space can be encoded apart.
 SUPPORTED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -112,37 +118,54 @@ class Codec:
         self.added = {token["content"]: token["id"] for token in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")" if self.added else "(?!)")
         self.compose = normalizers.NFC().normalize_str
+        self.tokenize = self.tokenizer.model.tokenize
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.joins = 0
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0][0]
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text."""
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, int]]:
+        """Ids of every text, and joins made for its long runs."""
         split = [runs_of(text) for text in texts]
         tall = self._learn({run for runs in split for run in runs})
         if not tall:
-            return [b"".join(map(self.memo.__getitem__, runs)) for runs in split]
-        return [b"".join([tall[r] if r in tall else self.memo[r] for r in runs]) for runs in split]
-
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Have every run in the memo, but for those too long for one call, which are returned with their ids."""
-        missing = runs - self.memo.keys()
-        if len(self.memo) + len(missing) > MEMO // 2:
+            return [(b"".join(map(self.memo.__getitem__, runs)), 0) for runs in split]
+        pieces = [[tall[r] if r in tall else (self.memo[r], 0) for r in runs] for runs in split]
+        return [(b"".join([data for data, _ in found]), sum(joins for _, joins in found)) for found in pieces]
+
+    def _learn(self, runs: set[str]) -> dict[str, tuple[bytes, int]]:
+        """Have every run in the memo, but for those too long for one call, which are returned with their ids and joins."""
+        memo, older = self.memo, self.older
+        missing = [r for r in runs if r not in memo]
+        if len(memo) + len(missing) > MEMO // 2:
             # What these texts need stays; what earlier ones needed goes on as the older generation.
-            self.older, self.memo = self.memo, {r: self.memo[r] for r in runs if r in self.memo}
-        for run in list(missing):
-            if (known := self.older.get(run)) is not None:
-                self.memo[run] = known
-                missing.discard(run)
-        short = [r for r in missing if len(r) <= self.leaf]
+            self.older, self.memo = older, memo = memo, {r: memo[r] for r in runs if r in memo}
+        short, tall = [], {}
+        for run in missing:
+            if (known := older.get(run)) is not None:
+                memo[run] = known
+            elif len(run) <= self.leaf:
+                if (plain := _PLAIN.fullmatch(run)) is not None:
+                    memo[run] = self._pieces(*plain.groups())
+                else:
+                    short.append(run)
+            else:
+                before = self.joins
+                tall[run] = (self.open(run)[1].tobytes(), self.joins - before)
         for at in range(0, len(short), RUNS):
             few = short[at : at + RUNS]
-            self.memo.update(zip(few, self._encode_runs(few), strict=True))
-        return {r: self.open(r)[1].tobytes() for r in missing if len(r) > self.leaf} if len(short) < len(missing) else {}
+            memo.update(zip(few, self._encode_runs(few), strict=True))
+        return tall
+
+    def _pieces(self, letters: str, marks: str) -> bytes:
+        """Ids of a plain run, whose pieces go to the model without a search for them."""
+        ids = [t.id for t in self.tokenize(letters.lower().encode().decode("latin-1").translate(_BYTES))] if letters else []
+        if marks:
+            ids += [t.id for t in self.tokenize(marks)]
+        return np.array(ids, "<u4").tobytes()
 
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
         """Ids of each run, all runs in one call: white space between them ends pieces, and spans say whose a token is."""
@@ -341,15 +364,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             codec = codec or Codec(path)
             for at in range(0, batch.num_rows, TEXTS):
                 few = batch.slice(at, TEXTS)
-                found = few.column(1).to_pylist()
-                if any(len(x) > codec.leaf for x in found):  # these may have runs that are trees
-                    rows = []
-                    for text in found:
-                        before = codec.joins
-                        rows.append((codec.encode(text), codec.joins - before))
-                else:
-                    rows = [(data, 0) for data in codec.encode_all(found)]
-                columns = [pa.array(c, t) for c, t in zip(zip(*(row(codec, *r) for r in rows), strict=True), kinds, strict=True)]
+                rows = [row(codec, *found) for found in codec.encode_all(few.column(1).to_pylist())]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([few.column(0), *columns], schema.fieldNames())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,16 +1,16 @@
 """Line dedup with a deletion-neighbourhood join.
 
 A line's words are its runs of non-white-space bytes after lower-casing A-Z.
-Lines of at least MIN_WORDS words are duplicates if their words are equal or one
-word apart (a word replaced, added or left out), a similarity of 0.8 or more.
-Shorter lines stay, unless `short` is set: then exact repeats of every line with a
-word go, and only the search for lines one word apart keeps its floor. Order is by document id, then line number, then text hash. A
-line goes if its words came before, or if an earlier line is one word apart.
+Lines are exact repeats if their words are equal, whatever their number; lines of
+at least MIN_WORDS words are near repeats if they are one word apart (a word
+replaced, added or left out), a similarity of 0.8 or more. Order is by document
+id, then line number, then text hash. A line goes if its words came before, or
+if an earlier line is one word apart.
 
 Stages, all joins and sums on hashed keys:
-1. every long line's (with `short`, every non-empty line's) hash, place and hashes of its two ends are stored once;
+1. the hash and place of every line with a word, and hashes of a long line's two ends, are stored once;
 2. a filter that loses nothing: two lines one word apart share their first or
-   their last words, so lines alone with both their ends are done;
+   their last words, so lines alone with both their ends have no near repeat;
 3. the others emit their deletion neighbourhood, every variant with one word
    left out, as hashed keys with the place left out;
 4. equal keys meet: variants with the same place left out are one replacement
@@ -19,9 +19,11 @@ Stages, all joins and sums on hashed keys:
 5. edit distance is verified on the words of the line and its earliest partner;
 6. dropped line numbers go back to the documents.
 
-Defined results: null text stays null, empty lines and short lines stay, a text
-whose lines all go becomes empty and its row stays; rows of one id and text are
-one document and keep the same lines; a null id comes before all others.
+Defined results: null text stays null, lines without a word stay, a text whose
+lines all go becomes empty and its row stays; rows of one id and text are one
+document and keep the same lines; a null id comes before all others; a line of
+any length is one line, and texts of any length are read whole; an empty table
+gives no rows; other columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from pyspark.sql import types as T
 
 from scholia.session import stored
 
+#: Words of a line from which it may have near repeats.
 MIN_WORDS = 5
 #: Rows handed on at a time by the stages that make several rows of one.
 ROWS = 20_000
@@ -91,16 +94,15 @@ def one_apart(a: list, b: list) -> bool:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
 
 
-def _lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """id, line, tk, h1, h2 (hash of the words), ends of every line long enough; with short, of every line with a word.
+def _lines(docs: DataFrame) -> DataFrame:
+    """id, line, tk, h1, h2 (hash of the words), ends of every line with a word.
 
     Lines under MIN_WORDS have no ends and so never meet others one word apart.
     """
-    least = 1 if short else MIN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +119,7 @@ def _lines(docs: DataFrame, short: bool = False) -> DataFrame:
             for row, text in enumerate(batch.column(2).cast(pa.binary())):
                 for number, line in enumerate((text.as_py() or b"").lower().split(b"\n")):
                     words = line.split()
-                    if len(words) < least:
+                    if not words:
                         continue
                     rows.append(row)
                     numbers.append(number)
@@ -215,10 +217,10 @@ def _place() -> F.Column:
     return F.struct("id", "line", "tk").alias("first")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tk (hash of the text), exact, near: numbers of the lines that go; documents that lose none are absent."""
     source = _documents(docs, id_col, text_col)
-    lines = stored(_lines(source, short))
+    lines = stored(_lines(source))
     near = stored(near_lines(lines, source))
     repeated = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
     marks = repeated.select("h1", "h2", "first", F.lit(False).alias("near")).unionByName(near.select("h1", "h2", "first", F.lit(True).alias("near")))
@@ -236,12 +238,9 @@ def _without(text: str | None, *gone: list[int] | None) -> str | None:
     return "\n".join([line for n, line in enumerate(text.split("\n")) if n not in lost])
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, short: bool = False) -> DataFrame:
-    """docs with the lines that stay; with report, also arrays `exact` and `near` of lines that go.
-
-    short: exact repeats of lines under MIN_WORDS go too.
-    """
-    lost = dropped_lines(docs, id_col, text_col, short).select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "exact", "near")
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+    """docs with the lines that stay; with report, also arrays `exact` and `near` of lines that go."""
+    lost = dropped_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), "exact", "near")
     names = docs.columns
     at = names.index(text_col)
     packed = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("tk"))
@@ -265,11 +264,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_exact, n_near: lines gone; n_chars, text_sha256 of what stays."""
-    found = deduplicate(docs.select(id_col, text_col), id_col, text_col, report=True)
+    found = deduplicate(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, report=True)
     gone = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return found.select(
-        id_col, gone("exact").alias("n_exact"), gone("near").alias("n_near"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256")
+        F.col(f"`{id_col}`"), gone("exact").alias("n_exact"), gone("near").alias("n_near"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256")
     )
 
 
@@ -284,12 +283,11 @@ def brute_force(docs: list[tuple]) -> dict:
         kept = []
         for line in text.split("\n"):
             words = line.encode().lower().split()
-            if len(words) >= MIN_WORDS:
-                repeat = any(one_apart(words, other) for other in seen)
+            near = len(words) >= MIN_WORDS and any(len(other) >= MIN_WORDS and one_apart(words, other) for other in seen)
+            if not words or not (near or words in seen):
+                kept.append(line)
+            if words:
                 seen.append(words)
-                if repeat:
-                    continue
-            kept.append(line)
         out[doc] = "\n".join(kept)
     return out
 
@@ -299,17 +297,18 @@ WITH l AS (
   SELECT doc_id, i, ls[i] AS line,
     regexp_extract_all(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
-long AS (SELECT doc_id, i, array_to_string(ws, ' ') AS k, ws FROM l WHERE len(ws) >= 5),
-d AS (SELECT k, any_value(ws) AS ws, min(row(doc_id, i)) AS f FROM long GROUP BY k),
-v AS (SELECT k, f, len(ws) AS n, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS x FROM (SELECT k, f, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
+worded AS (SELECT doc_id, i, array_to_string(ws, ' ') AS k, ws FROM l WHERE len(ws) >= 1),
+d AS (SELECT k, any_value(ws) AS ws, min(row(doc_id, i)) AS f FROM worded GROUP BY k),
+long AS (SELECT * FROM d WHERE len(ws) >= 5),
+v AS (SELECT k, f, len(ws) AS n, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS x FROM (SELECT k, f, ws, unnest(range(1, len(ws) + 1)) AS p FROM long)),
 sub AS (SELECT x, p, min(f) AS f FROM v GROUP BY x, p),
 near AS (
   SELECT v.k FROM v JOIN sub ON v.x = sub.x AND v.p = sub.p WHERE sub.f < v.f
-  UNION SELECT v.k FROM v JOIN d ON v.x = d.k WHERE d.f < v.f
-  UNION SELECT d.k FROM v JOIN d ON v.x = d.k WHERE v.f < d.f),
+  UNION SELECT v.k FROM v JOIN long ON v.x = long.k WHERE long.f < v.f
+  UNION SELECT long.k FROM v JOIN long ON v.x = long.k WHERE v.f < long.f),
 mark AS (
-  SELECT l.doc_id, l.i, l.line, long.k IS NOT NULL AND d.f <> row(l.doc_id, l.i) AS exact, long.k IS NOT NULL AND d.f = row(l.doc_id, l.i) AND near.k IS NOT NULL AS near
-  FROM l LEFT JOIN long ON l.doc_id = long.doc_id AND l.i = long.i LEFT JOIN d ON long.k = d.k LEFT JOIN (SELECT DISTINCT k FROM near) near ON long.k = near.k),
+  SELECT l.doc_id, l.i, l.line, w.k IS NOT NULL AND d.f <> row(l.doc_id, l.i) AS exact, w.k IS NOT NULL AND d.f = row(l.doc_id, l.i) AND near.k IS NOT NULL AS near
+  FROM l LEFT JOIN worded w ON l.doc_id = w.doc_id AND l.i = w.i LEFT JOIN d ON w.k = d.k LEFT JOIN (SELECT DISTINCT k FROM near) near ON w.k = near.k),
 t AS (
   SELECT doc_id, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT exact AND NOT near), '') AS text
   FROM mark GROUP BY doc_id)

@@ -7,8 +7,9 @@ frequency, scaled to length one, make the vector. Every language has up to
 CLUSTERS centroids from spherical k-means over its training vectors; a text gets
 the language of the centroid of the largest cosine.
 
-Training uses at most SAMPLE labelled documents of each language, those of the
-smallest hashes of their ids: a documented bound, whatever the size of the table.
+Training uses at most SAMPLE different labelled texts of each language, those of
+the smallest hashes: a documented bound, whatever the size of the table. A text
+counts once however many documents have it, and in whatever order they come.
 
 Rejection by distance: a text is rejected if its cosine is below REJECT times
 the median cosine of that centroid's training members, scaled down by the
@@ -16,8 +17,11 @@ square root of its n-grams over SHORT for shorter texts, which fill fewer places
 
 Defined results: null texts and texts without a letter are `und` with score 0
 and are rejected; without any labelled row every text is `und`; ties go to the
-language first in alphabetical order; rows with a null id or language teach
-nothing; repeated rows are predicted alike.
+language first in alphabetical order; rows with a null id, text or language
+teach nothing; repeated rows are predicted alike and teach once; a text of any
+length counts whole; an empty table gives no rows and a model that knows no
+language; other columns, whatever their names, are passed through by accepted()
+and not looked at elsewhere.
 """
 
 from __future__ import annotations
@@ -126,35 +130,35 @@ class Model:
 
 def held_out(id_col: str) -> F.Column:
     """Documents kept from training: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.encode(F.col(f"`{id_col}`").cast("string"), "utf-8")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Centroids from at most `sample` labelled documents of each language."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    named = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"))
+    """Centroids from at most `sample` labelled texts of each language."""
+    labelled = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & ~held_out(id_col))
+    labelled = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").withColumn("hash", F.xxhash64("text"))
+    named = labelled.select("lang", "hash").distinct()
     # Hashes below a bound that some four times the sample pass, so that ranks are taken of few rows however large a language is.
     sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     bounds = [F.lit(x) for lang, n in sizes.items() if n > 8 * sample for x in (lang, int(-(2**63) + 2**64 * 4 * sample / n))]
     if bounds:
         named = named.where(F.coalesce(F.try_element_at(F.create_map(*bounds), F.col("lang")), F.lit(2**63 - 1)) > F.col("hash"))
-    order = Window.partitionBy("lang").orderBy("hash", "id")
-    ids = named.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("id").distinct()
-    # At most `sample` ids of each language.
-    chosen = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id", "left_semi")
+    order = Window.partitionBy("lang").orderBy("hash")
+    picked = named.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "hash")
+    # At most `sample` hashes of each language; each text once, before it leaves its task.
+    chosen = labelled.join(F.broadcast(picked), ["lang", "hash"], "left_semi").groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(i, c) for i, x in enumerate(batch.column("text")) if (c := counts_of(x.as_py())) is not None]
             rows = pa.array([c.astype(np.float32).tobytes() for _, c in found], pa.binary())
-            ids, langs = (batch.column(name).take(pa.array([i for i, _ in found], pa.int32())) for name in ("id", "lang"))
-            yield pa.RecordBatch.from_arrays([ids, langs, rows], ["id", "lang", "counts"])
+            hashes, langs = (batch.column(name).take(pa.array([i for i, _ in found], pa.int32())) for name in ("hash", "lang"))
+            yield pa.RecordBatch.from_arrays([hashes, langs, rows], ["hash", "lang", "counts"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang", T.StringType()), T.StructField("counts", T.BinaryType())])
-    rows = cut(chosen.mapInArrow(vectors, schema).dropDuplicates(["id"]))
+    rows = cut(chosen.mapInArrow(vectors, "hash long, lang string, counts binary"))
 
     def matrix(pdf: pd.DataFrame) -> np.ndarray:
-        pdf = pdf.sort_values("id", kind="stable")
+        pdf = pdf.sort_values("hash", kind="stable")
         return np.frombuffer(b"".join(pdf["counts"]), np.float32).reshape(-1, DIMS)
 
     def seen(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +193,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -208,4 +212,26 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return found.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select(F.col(f"`{id_col}`"), held_out(id_col).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def brute_force(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of texts, n-gram by n-gram and centroid by centroid; for tests."""
+    out = []
+    for text in texts:
+        folded = (text or "").lower().encode().translate(_FOLD).split()
+        if not any(c.isalpha() for c in text or ""):
+            out.append((UNKNOWN, 0.0))
+            continue
+        data = b" " + b" ".join(folded) + b" "
+        counts: dict[int, int] = {}
+        for size, mark in ((2, 0), (3, 1 << 31)):
+            for at in range(len(data) - size + 1):
+                place = (int.from_bytes(data[at : at + size], "big") | mark) * 2654435761 % (1 << 32) >> 21
+                counts[place] = counts.get(place, 0) + 1
+        weights = {place: n**0.5 * float(model.idf[place]) for place, n in counts.items()}
+        length = sum(w * w for w in weights.values()) ** 0.5
+        scores = [sum(w * float(c[place]) for place, w in weights.items()) / length for c in model.centroids]
+        best = max(range(len(scores)), key=lambda k: (scores[k], -k))
+        out.append((model.langs[best], min(1.0, max(0.0, scores[best]))))
+    return out

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from scholia.llm import bpe, chat, decontamination, html_text, language, lines, neighbours, sharding, simhash, training_order
-from scholia.session import checkpoint_dir, spread, stored, table
+from scholia.session import checkpoint_dir, spread, table
 
 #: Place of the public tokenizer file; every executor reads the same one.
 TOKENIZER = "word_bpe_49k.json"
@@ -54,18 +54,16 @@ def op5_lines(spark, sf_dir):
 
 
 def op7_chat(spark, sf_dir):
-    return chat.digest(chat.rendered(table(spark, sf_dir, "conversations")))
+    return chat.digest(chat.turns_of(table(spark, sf_dir, "conversations")))
 
 
 def op9_training_order(spark, sf_dir):
     """Every document's ids from the encoder, written as shards and read again."""
     tokenizer = tokenizer_path()
     size = bpe.vocabulary(tokenizer)
-    found = bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer, digests=False)
-    # Stored, as the ids are read for their number, their place and themselves.
-    ids = stored(found.select("doc_id", training_order.narrow(F.col("ids"), 4, size).alias("ids")))
+    ids = bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer, digests=False)
     path = f"{checkpoint_dir(spark)}/order-{uuid.uuid4().hex}"
-    training_order.write(ids, path, text_col="ids", width=training_order.id_width(size), vocabulary=size)
+    training_order.write(ids, path, text_col="ids", width=4, vocabulary=size)
     return training_order.digest(spark.read.parquet(path))
 
 

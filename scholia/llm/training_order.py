@@ -1,44 +1,56 @@
 """Training-order materialisation: a keyed permutation of all sequences into fixed-stride shards.
 
 Token ids come as arrays, or as little-endian binary of a stated width as op4
-gives them; a text column's ids are its bytes. Ids become sequences of `length`
-tokens, the last one padded. Every sequence has an index from 0 without gaps; a keyed Feistel network
-over the next power of four, walked until it falls below the number of sequences
-(cycle-walking), maps the index to a slot. No sort and no table of the order is
-needed, and the key alone gives the order again, in both directions.
+gives them; a text column's ids are its bytes. The documents' ids, each followed
+by an end mark (the first number past the vocabulary), are one stream, cut into
+sequences of `length` tokens; the last one alone is padded, with end marks. A
+document's place in the stream is the sum over the tasks and rows before it, in
+the order in which documents are stored: the ids are stored once with the number
+of their task and their place in it, and only the tasks' sums, a row for each,
+are added up over the table.
+
+Every sequence has an index from 0 without gaps; a keyed Feistel network over the
+next power of four, walked until it falls below the number of sequences
+(cycle-walking), maps the index to a slot. No sort of the order and no table of
+it is needed, and the key alone gives the order again, in both directions.
 
 Slots are written in shards of `records` records of equal stride: a record is
 its number of tokens, then its ids, little-endian and of two bytes, or of four for
-a vocabulary that needs them. Shards lie in ranges of slots
-over partitions, so that slot s is record s % records of shard s // records, at
-a byte offset that needs no index; reading goes on from any slot.
-
-The index counts the sequences of hash buckets of ids (a table of bounded size)
-and then the sequences before a document in its bucket.
-
-Defined results: null and empty texts (or ids) give no sequence; an id outside the
-vocabulary, a null id and binary that ends inside an id are errors; repeated rows are
-sequences of their own; documents of one id follow each other by the hash of
-their text or ids; an empty table gives no shard.
+a vocabulary that needs them. Slot s is record s % records of shard s // records,
+at byte (s % records) * stride of that shard's payload. Shards lie in lanes of
+`lane` neighbouring shards, a folder for each; a reader goes from lane to lane and
+shard to shard from any slot on, without a sort of the table, and needs nothing
+before that slot. The ids cross the network once.
+
+Defined results: null and empty texts (or ids) add nothing; an id outside the
+vocabulary, a null id and binary that ends inside an id are errors; repeated rows
+are in the stream as often as in the table; a document of any length goes on over
+as many sequences as it needs; an empty table gives no shard; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.session import stored
+
 LENGTH, RECORDS, KEY = 2048, 1024, 2024
-#: Ids of text bytes are the bytes. What pads a record is the first number past the vocabulary.
+#: Shards of a lane: what a reader orders at a time.
+LANE = 32
+#: Ids of text bytes are the bytes. The end mark is the first number past the vocabulary.
 BYTES = 256
-BUCKETS = 4096
 ROUNDS = 4
+#: Rows, and bytes of ids, handed on at a time.
+ROWS, CHUNK = 4096, 32 << 20
 
 
 def _mix(x: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -72,154 +84,161 @@ def permute(index: np.ndarray, total: int, key: int, back: bool = False) -> np.n
 
 
 def id_width(vocabulary: int) -> int:
-    """Bytes of an id in a record: two if all ids and what pads fit, else four."""
+    """Bytes of an id in a record: two if all ids and the end mark fit, else four."""
     return 2 if vocabulary < 1 << 16 else 4
 
 
-def _ids(docs: DataFrame, text_col: str, width: int | None, vocabulary: int) -> tuple[Column, int]:
-    """The column's ids as little-endian binary, and bytes of each; a text's ids are its bytes."""
-    kind = docs.schema[text_col].dataType
-    if isinstance(kind, T.BinaryType) and width:
-        if width not in (1, 2, 4, 8):
-            raise ValueError(f"ids of {width} bytes")
-        return F.coalesce(F.col(text_col), F.lit(b"")), width
-    if isinstance(kind, T.ArrayType):
-
-        @F.pandas_udf("binary")
-        def packed(arrays: pd.Series) -> pd.Series:
-            return pd.Series([_packed(ids, vocabulary) for ids in arrays], dtype=object)
-
-        return packed(text_col), id_width(vocabulary)
-    return F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8"), 1
-
-
-def narrow(ids: Column, width: int, vocabulary: int) -> Column:
-    """Binary ids of `width` bytes in the width of a record."""
-
-    @F.pandas_udf("binary")
-    def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else _packed(np.frombuffer(r, f"<u{width}"), vocabulary) for r in rows], dtype=object)
-
-    return run(ids)
-
-
-def _packed(ids: np.ndarray | None, vocabulary: int) -> bytes:
+def packed(ids: bytes | list | np.ndarray | None, width: int | None, vocabulary: int) -> bytes:
+    """Ids in the width of a record; ValueError for what is no id."""
     if ids is None or not len(ids):
         return b""
-    found = np.asarray(ids)
+    found = np.frombuffer(ids, f"<u{width}") if isinstance(ids, bytes) else np.asarray(ids)
     if found.dtype.kind not in "iu" or found.min() < 0 or found.max() >= vocabulary:
         raise ValueError(f"ids are not whole numbers from 0 to {vocabulary - 1}")
     return found.astype(f"<u{id_width(vocabulary)}").tobytes()
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
-    """index (from 0, gapless), id, part, tokens (little-endian ids, of a text its bytes) of every sequence.
+def streamed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
+    """id, task, first, n, data: packed ids of every document with any, its first place among its task's tokens, its tokens with the end mark. Stored.
 
     text_col has arrays of ids, binary ids of `width` bytes each, or texts.
     """
-    data, size = _ids(docs, text_col, width, vocabulary)
-    rows = docs.select(F.col(id_col).alias("id"), data.alias("data")).where(F.length("data") > 0)
-    rows = rows.withColumn("n", F.ceil(F.length("data") / (size * length))).withColumn("tie", F.xxhash64("data"))
-    # The text's hash spreads documents of one id.
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "tie"), F.lit(BUCKETS)))
-    counts = rows.groupBy("bucket").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket").orderBy("id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    # At most BUCKETS rows.
-    placed = placed.join(F.broadcast(offsets), "bucket")
-    stride = size * length
-    pieces = F.expr(f"transform(sequence(0L, n - 1), p -> substring(data, cast(p * {stride} + 1 as int), {stride}))")
-    parts = placed.select("id", (F.col("offset") + F.col("first")).alias("first"), F.posexplode(pieces).alias("part", "tokens"))
-    return parts.select((F.col("first") + F.col("part")).alias("index"), "id", "part", "tokens")
-
-
-def total_of(docs: DataFrame, text_col: str = "text", length: int = LENGTH, width: int | None = None) -> int:
-    """The number of sequences of all documents."""
     kind = docs.schema[text_col].dataType
-    if isinstance(kind, T.ArrayType):
-        size = F.coalesce(F.array_size(text_col), F.lit(0))
-    elif isinstance(kind, T.BinaryType) and width:
-        size = F.coalesce(F.octet_length(text_col), F.lit(0)) / width
-    else:
-        size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.agg(F.coalesce(F.sum(F.ceil(size / length)), F.lit(0))).first()[0]
-
-
-def _slots(total: int, key: int) -> Callable:
-    @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), total, key))
-
-    return slot
-
-
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, records: int = RECORDS, key: int = KEY, partitions: int | None = None, width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
-    """shard, first_slot, n_records, n_tokens, stride, payload of every shard; text_col, width and vocabulary as for sequences()."""
-    total = total_of(docs, text_col, length, width)
-    size = _ids(docs, text_col, width, vocabulary)[1]
-    count = -(-total // records)
-    spark = docs.sparkSession
-    lanes = max(1, min(count, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    stride = 4 + id_width(vocabulary) * length
-    rows = sequences(docs, id_col, text_col, length, width, vocabulary).select(_slots(max(1, total), key)("index").alias("slot"), "tokens")
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / records).cast("int"))
+    column = F.col(f"`{text_col}`")
+    if isinstance(kind, T.BinaryType):
+        if width not in (1, 2, 4, 8):
+            raise ValueError(f"binary ids of {width} bytes")
+    elif not isinstance(kind, T.ArrayType):
+        column, width = F.encode(column.cast("string"), "utf-8"), 1
+    size = id_width(vocabulary)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), column.alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                few = batch.slice(low, ROWS)
+                data = [packed(x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) and x.is_valid else x.as_py(), width, vocabulary) for x in few.column(1)]
+                keep = [i for i, d in enumerate(data) if d]
+                counts = np.array([len(data[i]) // size + 1 for i in keep], np.int64)
+                firsts = at + np.concatenate([[0], np.cumsum(counts)])
+                at = int(firsts[-1])
+                columns = [few.column(0).take(pa.array(keep, pa.int32())), pa.array([task] * len(keep), pa.int32()), pa.array(firsts[:-1]), pa.array(counts), pa.array([data[i] for i in keep], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "task", "first", "n", "data"])
+
+    return stored(rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("task int, first long, n long, data binary").fields])))
+
+
+def offsets(stream: DataFrame) -> DataFrame:
+    """task, offset, tokens: what lies before each task's tokens, and how many it has; a row for each task that had any."""
+    sums = stream.groupBy("task").agg(F.sum("n").alias("tokens"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("task", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"), "tokens")
+
+
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, records: int = RECORDS, key: int = KEY, lane: int = LANE, partitions: int | None = None, width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
+    """lane, shard, first_slot, n_records, n_tokens, stride, payload of every shard; text_col, width and vocabulary as for streamed()."""
+    stream = streamed(docs, id_col, text_col, width, vocabulary)
+    places = stored(offsets(stream))
+    tokens = places.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    total, size = -(-tokens // length), id_width(vocabulary)
+    count = max(1, -(-total // records))
+    parts = max(1, min(-(-count // lane), partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    stride = 4 + size * length
+    end = np.array([vocabulary], f"<u{size}").tobytes()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, bytes]] = []
+            held = 0
+            for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whole = data.as_py() + end
+                done = 0
+                while done < len(whole):
+                    index, at = divmod(first + done // size, length)
+                    piece = whole[done : done + (length - at) * size]
+                    rows.append((index, at, piece))
+                    done += len(piece)
+                    held += len(piece)
+                    if held >= CHUNK or len(rows) >= ROWS:
+                        yield _pieces(rows, total, key)
+                        rows, held = [], 0
+            if rows:
+                yield _pieces(rows, total, key)
+
+    # One row for each task of the scan.
+    placed = stream.join(F.broadcast(places), "task").select((F.col("offset") + F.col("first")).alias("first"), "data")
+    pieces = placed.mapInArrow(cut_up, "slot long, at int, tokens binary").withColumn("shard", F.floor(F.col("slot") / records).cast("int"))
     # Slots are 0..total-1 without gaps, so ranges of shards are known without a look at the data.
-    ranged = rows.repartitionById(lanes, F.floor(F.col("shard").cast("long") * lanes / max(1, count)).cast("int")).sortWithinPartitions("slot")
+    ranged = pieces.repartitionById(parts, F.floor(F.col("shard").cast("long") * parts / count).cast("int")).sortWithinPartitions("slot", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, tokens = None, [], 0
+        shard, slots, held, filled = None, [], [], 0
+
+        def close():
+            """The record that is being filled, as part of the shard."""
+            nonlocal held, filled
+            data = b"".join(held)
+            slots.append((len(data) // size).to_bytes(4, "little") + data + end * (length - len(data) // size))
+            filled += len(data) // size
+            held = []
 
         def flush():
-            data = b"".join(parts)
-            values = [at, at * records, len(parts), tokens, stride, data]
+            values = [shard // lane, shard, shard * records, len(slots), filled, stride, b"".join(slots)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS, strict=True)], _NAMES)
 
+        at = None
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if shard != at:
-                    if parts:
-                        yield flush()
-                    at, parts, tokens = shard, [], 0
-                parts.append(record(data.as_py(), length, size, vocabulary))
-                tokens += len(data.as_py()) // size
-        if parts:
+            for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if slot != at:
+                    if held:
+                        close()
+                    if slot // records != shard:
+                        if slots:
+                            yield flush()
+                        shard, slots, filled = slot // records, [], 0
+                    at = slot
+                held.append(data.as_py())
+        if held:
+            close()
+        if slots:
             yield flush()
 
-    return ranged.select("shard", "tokens").mapInArrow(run, "shard int, first_slot long, n_records int, n_tokens long, stride int, payload binary")
+    return ranged.select("slot", "tokens").mapInArrow(run, "lane int, shard int, first_slot long, n_records int, n_tokens long, stride int, payload binary")
 
 
-_NAMES = ["shard", "first_slot", "n_records", "n_tokens", "stride", "payload"]
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+def _pieces(rows: list[tuple[int, int, bytes]], total: int, key: int) -> pa.RecordBatch:
+    slots = permute(np.array([r[0] for r in rows], np.int64), total, key)
+    return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["slot", "at", "tokens"])
 
 
-def record(data: bytes, length: int, width: int = 1, vocabulary: int = BYTES) -> bytes:
-    """A record of ids of `width` bytes: the number of tokens, the ids, padding."""
-    found = np.frombuffer(data, f"<u{width}")
-    if found.size and found.max() >= vocabulary:
-        raise ValueError(f"id {found.max()} in a vocabulary of {vocabulary}")
-    ids = np.full(length, vocabulary, f"<u{id_width(vocabulary)}")
-    ids[: len(found)] = found
-    return len(found).to_bytes(4, "little") + ids.tobytes()
+_NAMES = ["lane", "shard", "first_slot", "n_records", "n_tokens", "stride", "payload"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
-    """Write the shards as Parquet rows, sorted by shard within each file."""
-    shards(docs, **options).write.mode("overwrite").parquet(path)
+    """Write the shards as Parquet rows, a folder for each lane and sorted by shard in it."""
+    shards(docs, **options).write.mode("overwrite").partitionBy("lane").parquet(path)
+
 
+def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS, vocabulary: int = BYTES, lane: int = LANE) -> Iterator[tuple[int, bytes]]:
+    """(slot, ids as in a record, of a text its bytes) from a slot on, lane by lane; what lies before is not read.
 
-def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS, vocabulary: int = BYTES) -> Iterator[tuple[int, bytes]]:
-    """(slot, ids as in a record, of a text its bytes) from a slot on; earlier shards are not read."""
+    The end marks between documents stay in, as the number past the vocabulary.
+    """
     kind = f"<u{id_width(vocabulary)}"
-    rest = spark.read.parquet(path).where(F.col("shard") >= slot // records).orderBy("shard")
-    for row in rest.toLocalIterator():
-        for k in range(row["n_records"]):
-            here = row["first_slot"] + k
-            if here >= slot:
-                raw = row["payload"][k * row["stride"] : (k + 1) * row["stride"]]
-                size = int.from_bytes(raw[:4], "little")
-                yield here, np.frombuffer(raw[4:], kind)[:size].astype(np.uint8 if vocabulary == BYTES else kind).tobytes()
+    table = spark.read.parquet(path)
+    last = table.agg(F.max("lane")).first()[0]
+    for k in range(slot // records // lane, -1 if last is None else last + 1):
+        # One folder, at most `lane` rows.
+        rows = table.where((F.col("lane") == k) & (F.col("shard") >= slot // records)).orderBy("shard")
+        for row in rows.toLocalIterator():
+            for n in range(row["n_records"]):
+                here = row["first_slot"] + n
+                if here >= slot:
+                    raw = row["payload"][n * row["stride"] : (n + 1) * row["stride"]]
+                    size = int.from_bytes(raw[:4], "little")
+                    yield here, np.frombuffer(raw[4:], kind)[:size].tobytes()
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -227,10 +246,29 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("shard", "first_slot", "n_records", "n_tokens", "stride", F.sha2("payload", 256).alias("payload_sha256"))
 
 
-def brute_force(docs: list[tuple], length: int, records: int, total: int, key: int, indexes: dict[tuple, int]) -> dict[int, str]:
-    """SHA-256 of every shard from sequences placed one by one; for tests."""
+def brute_force(docs: list[list[int]], length: int, records: int, key: int, vocabulary: int) -> dict[int, str]:
+    """SHA-256 of every shard of documents in order, token by token and slot by slot; for tests."""
+    stream = [t for ids in docs if ids for t in [*ids, vocabulary]]
+    rows = [stream[at : at + length] for at in range(0, len(stream), length)]
+    half = max(1, -(-(len(rows) - 1).bit_length() // 2))
+    size, low, full = id_width(vocabulary), (1 << half) - 1, (1 << 64) - 1
+
+    def mixed(x: int, turn: int) -> int:
+        x ^= (key * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03) & full
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
     slots = {}
-    for (doc, part), index in indexes.items():
-        text = next(t for d, t in docs if d == doc).encode()
-        slots[int(permute(np.array([index]), total, key)[0])] = record(text[part * length : (part + 1) * length], length)
-    return {s: hashlib.sha256(b"".join(slots[k] for k in range(s * records, min(total, (s + 1) * records)))).hexdigest() for s in range(-(-total // records))}
+    for index, ids in enumerate(rows):
+        at = index
+        while True:
+            left, right = at >> half, at & low
+            for turn in range(ROUNDS):
+                left, right = right, left ^ (mixed(right, turn) & low)
+            at = left << half | right
+            if at < len(rows):
+                break
+        filled = ids + [vocabulary] * (length - len(ids))
+        slots[at] = len(ids).to_bytes(4, "little") + b"".join(t.to_bytes(size, "little") for t in filled)
+    return {s: hashlib.sha256(b"".join(slots[k] for k in range(s * records, min(len(rows), (s + 1) * records)))).hexdigest() for s in range(-(-len(rows) // records))}

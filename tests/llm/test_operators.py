@@ -76,6 +76,27 @@ def test_decontamination_awkward(spark):
     assert decontamination.decontaminate(frame, empty(bench)).columns == frame.columns
     assert decontamination.decontaminate(frame, empty(bench)).count() == frame.count()
     assert decontamination.contamination(empty(frame), bench).count() == 0
+    assert decontamination.contamination(empty(frame), bench, block_bytes=1).count() == 0
+    dotted = frame.select("doc_id", "text").toDF("doc.id", "the text").withColumn("meta.src", F.lit(1))
+    for size in (1, 1 << 20):
+        assert decontamination.decontaminate(dotted, bench, "doc.id", "the text", block_bytes=size).columns == dotted.columns
+        assert rows_of(decontamination.digest(decontamination.contamination(dotted, bench, "doc.id", "the text", block_bytes=size), "doc.id")) == rows_of(decontamination.digest(decontamination.contamination(frame, bench)))
+
+
+@pytest.mark.parametrize("slots", [1 << 16, 128])
+def test_decontamination_tables_of_both_kinds_agree(spark, monkeypatch, slots):
+    """The hashed shift table, also one so small that blocks meet, loses no place that the exact one stops at."""
+    monkeypatch.setattr(decontamination, "LEAST_SLOTS", slots)
+    monkeypatch.setattr(decontamination, "MOST_SLOTS", slots)
+    rnd = random.Random(21)
+    items = [(i, sentence(rnd, rnd.randint(1, 30)).encode()) for i in range(40)]
+    frame = spark.createDataFrame([(i, bytearray(t)) for i, t in items], "item long, text binary")
+    table, lengths = decontamination.shift_table(frame, 13)
+    assert len(table) == slots and lengths == sorted({min(13, len(t.split())) for _, t in items})
+    for words in ([w for _, t in rnd.sample(items, 6) for w in t.split()] + sentence(rnd, 40).encode().split() for _ in range(20)):
+        for matcher in decontamination.Matcher(items).tables:
+            starts = {s for s, _, _ in matcher.find(words)}
+            assert starts <= set(decontamination.candidates(words, table, matcher.length))
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------
@@ -131,19 +152,45 @@ def vectors(spark, n=700, dims=12, seed=0):
     return rows, spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
 
 
+def grouped(found) -> dict[int, list[tuple[int, float]]]:
+    got: dict[int, list] = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
+def recall_of(found, want) -> float:
+    got = grouped(found)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in lists[0]}) for q, lists in want.items())
+    return hits / sum(len(lists[0]) for lists in want.values())
+
+
 def test_neighbours_exact_at_factor_one(spark):
     rows, frame = vectors(spark)
-    bad = spark.createDataFrame([(1000, None), (1001, [0.0] * 12), (1020, [float("nan")] + [1.0] * 11), (1040, [float("inf")] * 12), (1060, [None] + [1.0] * 11), (1080, [1.0, 2.0]), (None, [1.0] * 12)], frame.schema)
-    repeated = frame.where("vec_id = 20")
-    found = neighbours.neighbours(frame.unionByName(bad).unionByName(repeated), F.col("id") % 20 == 0, factor=1.0, shard_rows=100, query_rows=16, leaf=16)
+    bad = spark.createDataFrame([(1000, None), (1001, [0.0] * 12), (1020, [float("nan")] + [1.0] * 11), (1040, [float("inf")] * 12), (1060, [None] + [1.0] * 11), (None, [1.0] * 12)], frame.schema)
+    frame = frame.unionByName(bad).withColumns({"vector": F.lit("clash"), "mark": F.lit(1), "dims": F.lit(2), "a.b": F.lit(3)})
+    found = neighbours.neighbours(frame, F.col("id") % 20 == 0, factor=1.0, shard_rows=100, query_rows=16, leaf=16)
     want = neighbours.brute_force(np.arange(700), rows.astype(float), np.arange(0, 700, 20))
-    got = {}
-    for r in found.orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    got = grouped(found)
     assert got.keys() == want.keys()
     for q in want:
-        assert [v for v, _ in got[q]] == [v for v, _ in want[q]]
-        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=0, atol=1e-12)
+        assert [v for v, _ in got[q]] == [v for v, _ in want[q][0]]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q][0]], rtol=0, atol=1e-12)
+
+
+def test_neighbours_take_every_row_of_an_id(spark):
+    rows = [(1, [0.5, 0.5]), (1, [0.9, 0.1]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [0.1, 0.1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in neighbours.neighbours(frame, F.col("id") == 20, factor=1.0).collect())
+    ids, matrix = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    want = sorted((k, v, s) for ranks in neighbours.brute_force(ids, matrix, np.array([20]))[20] for k, (v, s) in enumerate(ranks, 1))
+    assert got == want and len(got) == 15 and (1, 1, 0.9) in got and (1, 20, 1.0) in got
+
+
+def test_neighbours_keep_to_vectors_of_one_length(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 8)] + [(i, [1.0, float(i), 2.0]) for i in range(20, 25)] + [(40, [1.0] * 5)]
+    found = grouped(neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id").isin(2, 20, 40), shard_rows=3))
+    assert {v for v, _ in found[2]} == {1, 3, 4, 5, 6, 7} and {v for v, _ in found[20]} == {21, 22, 23, 24} and 40 not in found
 
 
 def test_neighbours_recall_and_few_rows(spark, small):
@@ -151,14 +198,27 @@ def test_neighbours_recall_and_few_rows(spark, small):
     pdf = frame.toPandas()
     ids, rows = pdf["vec_id"].to_numpy(), np.stack(pdf["embedding"]).astype(float)
     want = neighbours.brute_force(ids, rows, ids[ids % 20 == 0])
-    found = neighbours.neighbours(frame, F.col("id") % 20 == 0, shard_rows=64, leaf=8).toPandas()
-    hits = sum(len(set(part["vec_id"]) & {v for v, _ in want[q]}) for q, part in found.groupby("query_id"))
-    assert hits >= 0.9 * 20 * len(want)
+    assert recall_of(neighbours.neighbours(frame, F.col("id") % 20 == 0, shard_rows=64, leaf=8), want) >= 0.9
     few = neighbours.neighbours(frame.where("vec_id < 5"), F.col("id") % 20 == 0)
     assert few.count() == 4
     assert neighbours.neighbours(empty(frame), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["unequal norms", "clusters", "one direction"])
+def test_neighbours_recall_where_norms_differ(spark, kind):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(6000, 64))
+    if kind == "unequal norms":
+        rows *= rng.lognormal(sigma=3, size=(6000, 1))
+    elif kind == "clusters":
+        rows = rng.normal(size=(60, 64))[rng.integers(60, size=6000)] + 0.3 * rows
+    else:
+        rows[:, 0] += 8 * rng.exponential(size=6000)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    want = neighbours.brute_force(np.arange(6000), rows, np.arange(0, 6000, 20))
+    assert recall_of(neighbours.neighbours(frame, F.col("id") % 20 == 0, shard_rows=1500), want) >= 0.9
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
@@ -232,10 +292,20 @@ def test_bpe_memo_does_not_change_ids(monkeypatch):
     rnd, tokenizer, codec = random.Random(2), library(), bpe.Codec(tokenizer_path(), leaf=50)
     texts = [" ".join(rnd.choice(["Été", "ab-c", "İx", "한국", "x" * 60, "a\xa0b", "\u0301q", "don't", "<|endoftext|>", "e\u0301t"]) for _ in range(rnd.randint(0, 9))) + rnd.choice(["", "\x1c", " \u2003 "]) for _ in range(300)]
     for at in range(0, 300, 7):
-        for text, got in zip(texts[at : at + 7], codec.encode_all(texts[at : at + 7]), strict=True):
+        for text, (got, _) in zip(texts[at : at + 7], codec.encode_all(texts[at : at + 7]), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_plain_runs_equal_the_library():
+    rnd, tokenizer, codec = random.Random(7), library(), bpe.Codec(tokenizer_path())
+    letters, marks = "abcdefgxyzABÀÉßàéèñöüÿØÞ", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    runs = {"".join(rnd.choice(letters) for _ in range(rnd.randint(0, 14))) + "".join(rnd.choice(marks) for _ in range(rnd.choice([0, 0, 1, 1, 2, 5]))) for _ in range(5000)} - {""}
+    assert all(bpe._PLAIN.fullmatch(r) for r in runs)
+    for run, (got, _) in zip(runs, codec.encode_all(list(runs)), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(run, add_special_tokens=False).ids
+    assert not any(bpe._PLAIN.fullmatch(r) for r in ["don't", "a1", "<|endoftext|>", "e\u0301", "Σ", "a.b", "\x7f"])
+
+
 def test_bpe_refuses_other_kinds_of_files(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(bpe.UnsupportedTokenizer):
@@ -279,20 +349,10 @@ def test_lines_match_brute_force(spark, monkeypatch, most):
 
 
 def test_short_lines_lose_exact_repeats(spark):
-    docs = [*line_docs(), (300, "All rights reserved.\nand ornd.\n\n \nx"), (301, "ALL  rights reserved.\nand ornd\n\n \nand ornd."), (302, "x")]
-    found = lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), short=True)
-    seen, want = set(), {}
-    for doc, text in docs:
-        kept = []
-        for line in (text or "").split("\n"):
-            words = tuple(line.lower().split())
-            near = len(words) >= lines.MIN_WORDS and any(len(other) >= lines.MIN_WORDS and lines.one_apart(list(words), list(other)) for other in seen)
-            if not words or not (words in seen or near):
-                kept.append(line)
-            seen.add(words)
-        want[doc] = None if text is None else "\n".join(kept)
-    assert dict(map(tuple, found.collect())) == want
-    assert want[300] == "All rights reserved.\nand ornd.\n\n \nx" and want[301] == "and ornd\n\n " and want[302] == ""
+    docs = [(1, "All rights reserved.\nand ornd.\n\n \nx"), (2, "ALL  rights reserved.\nand ornd\n\n \nand ornd."), (3, "x"), (4, "one two three four\none two three four five"), (5, "one two three four six")]
+    found = dict(map(tuple, lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert found == lines.brute_force(docs)
+    assert found[1] == "All rights reserved.\nand ornd.\n\n \nx" and found[2] == "and ornd\n\n " and found[3] == "" and found[4] == docs[3][1] and found[5] == ""
 
 
 def test_lines_edit_distance():
@@ -310,6 +370,8 @@ def test_lines_awkward(spark):
     before = {r["doc_id"]: r["text"] for r in frame.collect()}
     assert texts[0] is None and texts[6] == "" and texts[5] == before[5] and texts[8] == before[8] and texts[None] == before[None]
     assert lines.deduplicate(empty(frame)).count() == 0
+    dotted = frame.select("doc_id", "text").toDF("doc.id", "the text").withColumn("meta.src", F.lit(1))
+    assert lines.deduplicate(dotted, "doc.id", "the text").columns == dotted.columns and lines.deduplicate(dotted, "doc.id", "the text").count() == frame.count()
 
 
 # --- 6 --------------------------------------------------------------------------------------------------------------
@@ -337,8 +399,9 @@ def test_simhash_matches_brute_force(spark):
     assert sorted(kept) == sorted({c for _, _, c in want})
 
 
-def test_simhash_finds_every_pair(spark):
-    """Every way to differ in up to five bits meets in some segment."""
+@pytest.mark.parametrize("long_keys", [False, True])
+def test_simhash_finds_every_pair(spark, long_keys):
+    """Every way to differ in up to four bits meets in some segment, and in some part of the other bits."""
     rnd = random.Random(8)
     prints = set()
     for _ in range(150):
@@ -347,7 +410,7 @@ def test_simhash_finds_every_pair(spark):
         for _ in range(4):
             prints.add(base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 6))))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4)
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4, long_keys)
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
@@ -361,6 +424,22 @@ def test_components_of_paths_and_stars(spark):
     assert {roots[x] for x in path} == {1000} and roots[39] == 5 and {roots[x] for x in range(60, 100)} == {60} and roots[201] == 200 and 1 not in roots
 
 
+def test_hot_keys_are_looked_up_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10)
+    monkeypatch.setattr(simhash, "HOT_KEYS", 5)
+    test_components_of_paths_and_stars(spark)
+    test_simhash_matches_brute_force(spark)
+    docs = [(i, f"copies of one text {i // 40}") for i in range(100)] + near_docs()
+    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows_of(simhash.digest(found)) == sorted(simhash.brute_force(docs), key=repr)
+
+
+def test_simhash_takes_any_column_name(spark):
+    docs = spark.createDataFrame(near_docs(), "`doc.id` long, `the text` string").withColumns({"meta.src": F.lit(1), "id": F.lit("x"), "row": F.lit(2), "component_id": F.lit(3)})
+    kept = simhash.deduplicate(docs, "doc.id", "the text")
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == sorted({c for _, _, c in simhash.brute_force(near_docs())})
+
+
 def test_simhash_awkward(spark):
     frame = awkward(spark)
     assert simhash.near_duplicates(frame).count() == frame.count()
@@ -377,23 +456,37 @@ TURNS = [(1, 0, "system", "Be brief."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "
 
 
 def test_chat_rotates_perspectives(spark):
-    frame = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("block", F.lit(7)).withColumn("place", F.lit(7))
-    found = {r["perspective"]: r for r in chat.rendered(frame).collect()}
+    frame = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(7), "stretch": F.lit(7), "head": F.lit(7), "a.b": F.lit(1)})
+    rendered = chat.turns_of(frame)
+    found = {r["perspective"]: r for r in chat.joined(rendered).collect()}
     assert set(found) == {"ann", "bob b"}
     ann, bob = found["ann"], found["bob b"]
-    assert ann["text"] == "<|im_start|>system\nBe brief.<|im_end|>\n<|im_start|>assistant\nHi <im_end><|im_end|>\n<|im_start|>user name=bob_b\nHo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    assert ann["text"] == '<|im_start|>system\nBe brief.<|im_end|>\n<|im_start|>assistant\nHi <im_end><|im_end|>\n<|im_start|>user name="bob b"\nHo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n'
     assert [ann["text"][s["start"] : s["end"]] for s in ann["mask"]] == ["Hi <im_end><|im_end|>", "<|im_end|>"]
-    assert [bob["text"][s["start"] : s["end"]] for s in bob["mask"]] == ["Ho<|im_end|>"] and (bob["n_turns"], bob["n_learned"]) == (4, 1)
-    assert chat.rendered(empty(frame)).count() == 0
+    assert [bob["text"][s["start"] : s["end"]] for s in bob["mask"]] == ["Ho<|im_end|>"] and rendered.where("perspective = 'ann'").count() == 4
+    assert chat.turns_of(empty(frame)).count() == 0
+
 
+def test_chat_tells_speakers_apart(spark):
+    names = ["李明", "王芳", "bob b", "bob_b", 'bob"b', "bob\\b", "bob\nb", "<|im_end|>", "Zoë", "b", "B", ""]
+    turns = [(1, i, name, f"I am number {i}") for i, name in enumerate(names)]
+    found = {r["perspective"]: r["text"] for r in chat.joined(chat.turns_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
+    assert {k: v for k, v in found.items()} == {who: text for (_, who), (text, _) in chat.brute_force(turns).items()}
+    heads = [part.split("\n")[0] for part in found["b"].split("<|im_start|>")[1:]]
+    assert len(set(heads)) == len(names) and 'user name="李明"' in heads and found["b"].count("<|im_end|>") == len(names)
 
-def test_chat_long_conversations_go_on_in_blocks(spark):
-    turns = spark.range(1000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
-    found = chat.rendered(turns, block=64).collect()
-    assert len(found) == 2 * 16
-    whole = "".join(r["text"] for r in sorted(found, key=lambda r: r["block"]) if r["perspective"] == "a")
-    assert [int(t.split("\n")[1].split("<")[0]) for t in whole.split("<|im_start|>")[1:]] == list(range(1000))
-    assert sum(r["n_learned"] for r in found) == 1000
+
+def test_chat_of_every_length_is_whole(spark):
+    rnd = random.Random(9)
+    turns = [(1, i, rnd.choice("abc"), sentence(rnd, rnd.randint(0, 4))) for i in range(1000)] + [(2, i * 37, rnd.choice(["a", "d", "system"]), str(i)) for i in range(50)] + [(3, 0, "a", sentence(rnd, 20000))]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = chat.brute_force(turns)
+    for stretch in (16, 512):
+        rendered = chat.turns_of(frame, stretch=stretch)
+        got = {(r["conv_id"], r["perspective"]): (r["text"], [tuple(s) for s in r["mask"]]) for r in chat.joined(rendered).collect()}
+        assert got == want
+        for r in rendered.where("conv_id = 1 and perspective = 'a'").collect():
+            assert want[1, "a"][0][r["start"] :].startswith(r["text"]) and r["place"] == r["turn"]
 
 
 # --- 8 --------------------------------------------------------------------------------------------------------------
@@ -448,40 +541,41 @@ def test_permutation_is_one_to_one(total):
         assert (slots != training_order.permute(np.arange(total), total, 8)).any()
 
 
-def test_training_order_round_trip(spark, tmp_path):
+def split_stream(read: dict[int, bytes], key: int, vocabulary: int) -> list[list[int]]:
+    """Documents in order from the sequences of all slots."""
+    order = training_order.permute(np.arange(len(read)), len(read), key)
+    ids = np.concatenate([np.frombuffer(read[int(s)], "<u2" if vocabulary < 1 << 16 else "<u4") for s in order]).tolist()
+    ends = [i for i, t in enumerate(ids) if t == vocabulary]
+    return [ids[a + 1 : b] for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
+
+
+def test_training_order_matches_brute_force(spark, tmp_path):
     rnd = random.Random(1)
-    docs = [(i, sentence(rnd, rnd.randint(1, 200))) for i in range(40)] + [(90, ""), (91, None)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    parts = training_order.sequences(frame, length=128).select("index", "id", "part").collect()
-    total = training_order.total_of(frame, length=128)
-    assert sorted(r["index"] for r in parts) == list(range(total))
-    indexes = {(r["id"], r["part"]): r["index"] for r in parts}
-    want = training_order.brute_force(docs, 128, 16, total, 5, indexes)
-    got = {r["shard"]: r["payload_sha256"] for r in training_order.digest(training_order.shards(frame, length=128, records=16, key=5)).collect()}
-    assert got == want
-    training_order.write(frame, str(tmp_path / "shards"), length=128, records=16, key=5)
-    read = dict(training_order.read_from(spark, str(tmp_path / "shards"), 0, 16))
-    order = {s: i for i, s in enumerate(training_order.permute(np.arange(total), total, 5))}
-    by_index = {order[s]: t for s, t in read.items()}
-    for doc, text in docs:
-        pieces = [by_index[indexes[(doc, p)]] for p in range(-(-len((text or "").encode()) // 128))]
-        assert b"".join(pieces) == (text or "").encode()
-    assert next(training_order.read_from(spark, str(tmp_path / "shards"), total // 2, 16))[0] == total // 2
-
-
-def read_back(spark, frame, path, length, **options):
-    """Ids of every document from written shards."""
-    vocabulary = options["vocabulary"]
-    training_order.write(frame, path, text_col="ids", length=length, records=8, key=5, **options)
-    read = dict(training_order.read_from(spark, path, 0, 8, vocabulary))
-    width = options.get("width")
-    total = training_order.total_of(frame, "ids", length, width)
-    assert sorted(read) == list(range(total))
-    slots = training_order.permute(np.arange(total), total, 5)
-    out: dict[int, list[int]] = {}
-    for r in sorted(training_order.sequences(frame, text_col="ids", length=length, width=width, vocabulary=vocabulary).collect(), key=lambda r: (r["id"], r["part"])):
-        out.setdefault(r["id"], []).extend(np.frombuffer(read[int(slots[r["index"]])], "<u4" if vocabulary >= 1 << 16 else "<u2").tolist())
-    return out
+    docs = [(i, sentence(rnd, rnd.randint(1, 200))) for i in range(40)] + [(90, ""), (91, None), (92, "x" * 700), (92, "x" * 700)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"data": F.lit("clash"), "task": F.lit(1), "a.b": F.lit(2)})
+    want = training_order.brute_force([list((t or "").encode()) for _, t in docs], 128, 16, 5, 256)
+    one = training_order.digest(training_order.shards(frame.coalesce(1), length=128, records=16, key=5))
+    assert {r["shard"]: r["payload_sha256"] for r in one.collect()} == want
+    path = str(tmp_path / "shards")
+    training_order.write(frame.repartition(5), path, length=128, records=16, key=5, lane=2)
+    read = dict(training_order.read_from(spark, path, 0, 16, lane=2))
+    total = -(-sum(len((t or "").encode()) + 1 for _, t in docs if t) // 128)
+    assert list(read) == list(range(total)) and {len(t) for s, t in read.items()} <= {256, len(read[training_order.permute(np.array([total - 1]), total, 5)[0]])}
+    assert sorted(split_stream(read, 5, 256)) == sorted(list(t.encode()) for _, t in docs if t)
+    for slot in (1, total // 2, total - 1):
+        assert list(training_order.read_from(spark, path, slot, 16, lane=2)) == [(s, t) for s, t in read.items() if s >= slot]
+    assert list(training_order.read_from(spark, path, total, 16, lane=2)) == []
+
+
+def test_training_order_reads_by_lane(spark, tmp_path):
+    """A reader's plan has the one folder it needs and no shuffle of the table."""
+    frame = spark.createDataFrame([(i, "y" * 500) for i in range(60)], "doc_id long, text string")
+    path = str(tmp_path / "lanes")
+    training_order.write(frame, path, length=64, records=4, lane=4)
+    rows = spark.read.parquet(path).where("lane = 3")
+    assert rows.select("shard").distinct().count() == 4 == rows.count()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lane" in plan and "Exchange" not in plan
 
 
 @pytest.mark.parametrize(("vocabulary", "stride"), [(49_152, 4 + 2 * 16), (65_535, 4 + 2 * 16), (65_536, 4 + 4 * 16), (200_000, 4 + 4 * 16)])
@@ -489,24 +583,27 @@ def test_training_order_takes_ids(spark, tmp_path, vocabulary, stride):
     rnd = random.Random(4)
     docs = [(i, [rnd.randrange(vocabulary) for _ in range(n)]) for i, n in enumerate([1, 15, 16, 17, 32, 33, 100])]
     docs[3][1][:2] = [0, vocabulary - 1]
-    want = dict(docs)
     arrays = spark.createDataFrame([*docs, (90, []), (91, None)], "doc_id long, ids array<int>")
-    assert read_back(spark, arrays, str(tmp_path / "arrays"), 16, vocabulary=vocabulary) == want
     binary = spark.createDataFrame([(d, bytearray(np.array(ids, "<u4").tobytes())) for d, ids in docs] + [(90, bytearray()), (91, None)], "doc_id long, ids binary")
-    assert read_back(spark, binary, str(tmp_path / "binary"), 16, vocabulary=vocabulary, width=4) == want
-    rows = spark.read.parquet(str(tmp_path / "binary")).collect()
-    assert {r["stride"] for r in rows} == {stride} and all(len(r["payload"]) == stride * r["n_records"] for r in rows)
-    assert sum(r["n_tokens"] for r in rows) == sum(len(ids) for _, ids in docs)
+    for name, frame, width in (("arrays", arrays, None), ("binary", binary, 4)):
+        path = str(tmp_path / name)
+        training_order.write(frame, path, text_col="ids", length=16, records=8, key=5, vocabulary=vocabulary, width=width)
+        read = dict(training_order.read_from(spark, path, 0, 8, vocabulary))
+        assert sorted(split_stream(read, 5, vocabulary)) == sorted(ids for _, ids in docs)
+        rows = spark.read.parquet(path).collect()
+        assert {r["stride"] for r in rows} == {stride} and all(len(r["payload"]) == stride * r["n_records"] for r in rows)
+        assert sum(r["n_tokens"] for r in rows) == sum(len(ids) + 1 for _, ids in docs)
 
 
-def test_training_order_refuses_other_ids():
-    with pytest.raises(ValueError):
-        training_order.record(np.array([7, 300], "<u4").tobytes(), 4, 4, 300)
-    with pytest.raises(ValueError):
-        training_order.record(b"12345", 4, 4, 300)
+def test_training_order_refuses_other_ids(spark):
     for ids in ([-1, 2], [300], [1.0, float("nan")]):
         with pytest.raises(ValueError):
-            training_order._packed(np.array(ids), 300)
+            training_order.packed(np.array(ids), None, 300)
+    for data in (np.array([7, 300], "<u4").tobytes(), b"12345"):
+        with pytest.raises(ValueError):
+            training_order.packed(data, 4, 300)
+    with pytest.raises(ValueError):
+        training_order.shards(spark.createDataFrame([(1, bytearray(b"ab"))], "doc_id long, text binary"))
 
 
 def test_training_order_query_has_the_encoder_s_ids(spark, small):
@@ -516,14 +613,15 @@ def test_training_order_query_has_the_encoder_s_ids(spark, small):
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
     counts = [len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    tokens = sum(n + 1 for n in counts if n)
     got = entry.queries()["op9_training_order"](spark, small).agg(F.sum("n_records"), F.sum("n_tokens"), F.max("stride")).first()
-    assert tuple(got) == (sum(-(-n // training_order.LENGTH) for n in counts), sum(counts), 4 + 2 * training_order.LENGTH)
+    assert tuple(got) == (-(-tokens // training_order.LENGTH), tokens, 4 + 2 * training_order.LENGTH)
 
 
 def test_training_order_awkward(spark):
     frame = awkward(spark)
     found = training_order.shards(frame).agg(F.sum("n_tokens"), F.sum("n_records")).first()
-    assert found[0] == frame.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert found[0] == frame.where("text <> ''").agg(F.sum(F.octet_length("text") + 1)).first()[0]
     assert training_order.shards(empty(frame)).count() == 0
 
 
@@ -547,6 +645,24 @@ def test_language_rejects_what_is_far(spark):
     assert set(langs[:2]) <= {"en", "fr", "de", "es"}
 
 
+def test_language_matches_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.fit(docs)
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()][:60] + [None, "", "12 !?", "x", "Été à l'œuvre", "漢字 kanji"]
+    langs, scores, _ = model.predict(texts)
+    want = language.brute_force(model, texts)
+    assert langs == [lang for lang, _ in want] and np.allclose(scores, [s for _, s in want], atol=1e-4)
+
+
+def test_language_learns_from_a_text_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs, sample=20)
+    one = docs.where("lang = 'en' and length(text) > 500").limit(1)
+    copies = one.crossJoin(spark.range(400).withColumnRenamed("id", "n")).select((F.col("n") * 4 + 10**6).alias("doc_id"), "text", "lang")
+    again = language.fit(docs.unionByName(docs).unionByName(copies).repartition(5), sample=20)
+    assert model.langs == again.langs and (model.centroids == again.centroids).all() and (model.idf == again.idf).all()
+
+
 def test_language_counts_do_not_depend_on_chunks(monkeypatch):
     text = sentence(random.Random(2), 500)
     whole = language.counts_of(text)
@@ -563,6 +679,9 @@ def test_language_awkward(spark):
         assert kept.columns == frame.columns and kept.where("text is null or text = ''").count() == 0
     assert language.fit(empty(frame)).predict(["some text"])[0] == ["und"]
     assert language.identify(empty(frame), language.fit(frame)).count() == 0
+    dotted = frame.select("doc_id", "text", "lang").toDF("doc.id", "the text", "the.lang")
+    model = language.fit(dotted, "doc.id", "the text", "the.lang")
+    assert language.digest(language.identify(dotted, model, "doc.id", "the text"), "doc.id").count() == frame.count() and language.accepted(dotted, model, "the text").columns == dotted.columns
 
 
 def test_no_operator_hides_import_errors():

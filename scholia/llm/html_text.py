@@ -1,21 +1,37 @@
 """Main-text extraction from web pages by consensus of host paths.
 
-Pass one parses every page, scores its containers by the text of their blocks
-less link text, and votes for the best one's path: tags from the root down with
-their classes, digits generalised. Spark sums votes by host and path and keeps
-the paths that lead on each host. Pass two parses the pages again and takes what
-stands at the host's winning paths, or the page's own best container where none
-of them is present or holds little beside it.
-
-Text is every block of the container in page order: character references
-decoded, white space turned into one space, blocks joined by a line feed. Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments
-of readers and hidden parts are left out; of a header inside the container only
-the headings stay.
+Pass one parses every page and scores its containers by the text of their blocks
+less link text. What stands in elements for navigation, or named like something
+beside an article, counts less; such names weigh and do not decide. Every
+container votes for its path, tags from the root down with their classes, digits
+generalised, with the cube of its share of the page's best score; every region
+reports a hash of its text. Spark adds both up by host, each different page
+counted once however many copies it has:
+
+* main paths, with their share of the host's votes;
+* stock: texts that stand at the same path of at least three pages and two in a
+  hundred of the host, and classed paths four in five of whose texts are such.
+
+Pass two parses the pages again. A page's article stands at the path with the
+largest product of squared share and score on this page, so that a path that the host's
+pages agree on beats a longer thread of comments, while a page of another kind
+has its own. Text is every block of that container in page order: character
+references decoded, white space turned into one space, blocks joined by a line
+feed. What holds the chosen container is never left out, whatever its name.
+Inside, these are: the host's stock; elements for navigation, footers, asides,
+forms, scripts and hidden parts; nested articles (readers' comments by the
+markup's definition); adverts by name; boxes by name, where names that articles
+use too (discussion, related) need links, a form or a thread to speak for them;
+and threads, which are neighbours of one kind that each have an author or a time.
+Of the article's own header its headings and paragraphs stay, bylines go.
 
 Defined results: null or blank html gives an empty text; pages without a valid
-url share one nameless host; repeated rows are pages of their own; broken markup
-is read as browsers do, unclosed elements ending where their parent does.
+url share one nameless host; hosts of fewer than three different pages have no
+stock; repeated rows are pages of their own in the result; a page of any length
+is read whole, elements nested deeper than DEPTH stand side by side; broken
+markup is read as browsers do, unclosed elements ending where their parent does;
+an empty table gives no rows; other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -25,18 +41,21 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.session import cut
 
-#: Winning paths kept of a host, and the share of its votes that each needs.
-PATHS, SHARE = 8, 0.02
-#: Most hosts whose paths are sent to every task; beyond it, a shuffle join.
-BROADCAST_HOSTS = 50_000
-#: A winning path's text must be this large a share of the page's own best.
-PRESENT = 0.25
+#: Share of a host's votes that a main path needs, and of its pages that stock needs.
+SHARE = 0.02
+#: Different pages that a stock text needs at least, and the share of a path's texts that makes the path stock.
+STOCK_PAGES, STOCK_SHARE = 3, 0.8
+#: What a page's own best path counts for at least.
+OWN = 0.05
+#: Most paths and stock texts of all hosts that are sent to every task; beyond it, a shuffle join.
+BROADCAST_PATHS = 200_000
 #: Elements nested deeper than this stand side by side, as in browsers.
 DEPTH = 200
 
@@ -50,16 +69,26 @@ BLOCKS = frozenset(
 CLOSE_P = BLOCKS - frozenset("html head body tbody td tfoot th thead tr caption".split())
 CONTAINERS = frozenset("article body div main section td blockquote center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset(
-    "nav footer aside form script style noscript template iframe button select textarea input svg canvas object embed audio video dialog menu head title".split()
+#: Elements whose text is never read.
+UNREAD = frozenset("script style noscript template iframe button select textarea input svg canvas object embed audio video head title".split())
+#: Elements beside an article, and roles that say the same.
+BESIDE = frozenset("nav footer aside form menu dialog".split())
+BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert".split())
+#: Elements that are judged by their names, and votes' regions.
+BOXES = frozenset("div section article ul ol dl table aside header footer form nav main figure td".split())
+# Names that weigh: of adverts, of what stands beside an article, and those that articles use too.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted commercial".split())
+BESIDE_WORDS = frozenset(
+    "nav navigation navbar menu menubar breadcrumb breadcrumbs footer sidebar widget share sharing subscribe newsletter signup login cookie cookies"
+    " consent gdpr notice notices popup modal masthead comment comments disqus pagination pager toolbar".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert".split())
-DROPPED_WORDS = frozenset(
-    "nav navigation navbar menu menubar breadcrumb breadcrumbs footer sidebar aside widget ad ads advert adverts advertisement advertising"
-    " sponsor sponsored promo promotion related recommended share sharing social subscribe newsletter signup login cookie cookies consent"
-    " gdpr notice notices announcement disclaimer alert popup modal overlay banner masthead comment comments reply replies respond responses"
-    " discussion feedback disqus pagination pager toolbar promoted commercial".split()
+DOUBTFUL_WORDS = frozenset(
+    "aside related recommended social announcement disclaimer alert overlay banner reply replies respond responses discussion feedback user users"
+    " visitor visitors reader readers guest posts opinions thread forum".split()
 )
+#: In a name with one of these, the rest says what a page has or lacks, not what the element is.
+STATE_WORDS = frozenset("no not without with has have is open closed enabled disabled".split())
+BYLINE_WORDS = frozenset("author user username avatar byline date time timestamp posted reply permalink likes votes meta".split())
 HEADER_WORDS = frozenset(["header"])
 GOOD_WORDS = frozenset("article content entry post story text main body".split())
 #: An element that opens closes these open ones, up to the listed bounds.
@@ -82,11 +111,24 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "depth")
+    """An element; measure() fills in text and link characters below it and the hash of its text."""
+
+    __slots__ = ("tag", "attributes", "parent", "children", "depth", "size", "links", "mark", "path")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
         self.depth = parent.depth + 1 if parent else 0
+        self.size = self.links = 0
+        self.mark, self.path = b"", ""
+
+    def within(self) -> Iterator[Node]:
+        """Every element below, in page order, but for what is not read."""
+        stack = [self]
+        while stack:
+            here = stack.pop()
+            if here is not self:
+                yield here
+            stack += [c for c in reversed(here.children) if isinstance(c, Node) and c.tag not in UNREAD]
 
     def has(self, tags: frozenset[str]) -> bool:
         return any(isinstance(c, Node) and (c.tag in tags or c.has(tags)) for c in self.children)
@@ -145,126 +187,214 @@ def _close(at: Node, tags: frozenset[str], bounds: frozenset[str]) -> Node:
 
 
 def words_in(node: Node) -> set[str]:
-    names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-    return {w.lower() for w in _WORD.findall(names)} if names != " " else set()
+    """Words of an element's classes and id, but for names of states."""
+    found: set[str] = set()
+    for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        if STATE_WORDS.isdisjoint(words):
+            found |= words
+    return found
+
+
+def step_of(node: Node) -> str:
+    if "class" not in node.attributes:
+        return node.tag
+    classes = sorted({_DIGITS.sub("#", c) for c in node.attributes["class"].split()})
+    return ".".join([node.tag, *classes])
 
 
-def is_dropped(node: Node) -> bool:
-    """Whether an element is left out with all that it holds."""
-    tag, attributes = node.tag, node.attributes
-    if tag in DROPPED:
+def measure(root: Node) -> None:
+    """Sizes, links, marks and paths of all elements, from the leaves up."""
+    order = [root]
+    for node in root.within():
+        node.path = f"{node.parent.path}>{step_of(node)}" if node.parent.parent else step_of(node)
+        order.append(node)
+    for node in reversed(order):
+        parts = []
+        for child in node.children:
+            if isinstance(child, Node):
+                if child.tag not in UNREAD:
+                    node.size += child.size
+                    node.links += child.size if child.tag == "a" else child.links
+                    parts.append(child.mark)
+            elif text := " ".join(child.split()):
+                node.size += len(text)
+                parts.append(text.encode())
+        if node.size:
+            node.mark = xxhash.xxh3_64_digest(b" ".join(parts))
+
+
+def is_hidden(node: Node) -> bool:
+    attributes = node.attributes
+    return bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true" or ("style" in attributes and re.search(r"display\s*:\s*none", attributes["style"]) is not None))
+
+
+def is_thread(node: Node) -> bool:
+    """Whether an element, or the one list in it, has neighbours of one kind that each have an author or a time."""
+    tops = [node, *[c for c in node.children if isinstance(c, Node) and c.tag in BOXES]]
+    for top in tops:
+        kinds: dict[str, int] = {}
+        for child in top.children:
+            if isinstance(child, Node) and child.tag in _ITEMS and any(n.tag in ("time", "cite") or not BYLINE_WORDS.isdisjoint(words_in(n)) for n in child.within()):
+                step = step_of(child)
+                kinds[step] = kinds.get(step, 0) + 1
+        if any(n > 1 for n in kinds.values()):
+            return True
+    return False
+
+
+_ITEMS = frozenset("div li article section dd tr".split())
+
+
+def is_beside(node: Node) -> bool:
+    """Whether an element inside an article is no part of it, from what it is and holds."""
+    if node.tag in BESIDE or is_hidden(node) or node.attributes.get("role", "").lower() in BESIDE_ROLES:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if node.tag == "article":
+        up = node.parent
+        while up is not None and up.tag != "article":
+            up = up.parent
+        if up is not None:
+            return True
+    words = words_in(node) if node.attributes else set()
+    if not ADVERT_WORDS.isdisjoint(words):
+        return True
+    if node.tag not in BOXES:
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+    if not BESIDE_WORDS.isdisjoint(words):
         return True
-    if attributes.get("role", "").lower() in DROPPED_ROLES:
+    doubts = len(words & DOUBTFUL_WORDS)
+    if doubts > 1:
         return True
-    # A wrapper named after what stands beside the article holds the article too.
-    return not DROPPED_WORDS.isdisjoint(words_in(node)) and not node.has(_ARTICLES)
-
-
-_ARTICLES = frozenset(["article", "main", "h1"])
+    thread = node.tag != "table" and is_thread(node)
+    return thread or (doubts == 1 and (2 * node.links > node.size or any(n.tag == "form" for n in node.within())))
 
 
 def is_header(node: Node) -> bool:
-    return node.tag == "header" or (node.tag not in HEADINGS and node.tag not in ("html", "body", "article", "main") and bool(node.attributes) and not HEADER_WORDS.isdisjoint(words_in(node)) and not node.has(frozenset(["article", "main", "p"])))
-
-
-def step_of(node: Node) -> str:
-    classes = sorted({_DIGITS.sub("#", c) for c in node.attributes.get("class", "").split()})
-    return ".".join([node.tag, *classes])
-
-
-def path_of(node: Node) -> str:
-    steps = []
-    while node.parent is not None:
-        steps.append(step_of(node))
-        node = node.parent
-    return ">".join(reversed(steps))
+    return node.tag == "header" or (node.tag in BOXES and bool(node.attributes) and not HEADER_WORDS.isdisjoint(words_in(node)))
 
 
 class Blocks:
-    """Text blocks below a container, in page order."""
-
-    def __init__(self, top: Node):
-        self.blocks: list[tuple[str, int, Node]] = []
+    """Text blocks below a container, in page order; `chosen` and what holds it stay whatever they are."""
+
+    def __init__(self, top: Node, chosen: Node, stock: dict[str, set[int]] | None = None):
+        self.blocks: list[str] = []
+        self.stock = stock or {}
+        self.safe: set[int] = set()
+        up: Node | None = chosen
+        while up is not None:
+            self.safe.add(id(up))
+            up = up.parent
         self._text: list[str] = []
-        self._links = 0
-        self._walk(top, top, False, False)
-        self._flush(top)
+        self._walk(top, False)
+        self._flush()
 
-    def _flush(self, owner: Node) -> None:
+    def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.blocks.append((text, self._links, owner))
-            self._text, self._links = [], 0
-
-    def _walk(self, node: Node, owner: Node, linked: bool, header: bool) -> None:
+                self.blocks.append(text)
+            self._text = []
+
+    def _dropped(self, node: Node) -> bool:
+        if node.tag in UNREAD:
+            return True
+        if id(node) in self.safe:
+            return False
+        known = self.stock.get(node.path)
+        return (known is not None and (ANY in known or signed(node.mark) in known)) or is_beside(node)
+
+    def _walk(self, node: Node, header: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
                 if not header:
-                    text = entities.unescape(child) if "&" in child else child
-                    self._text.append(text)
-                    if linked:
-                        self._links += len(text)
-                continue
-            if child.tag == "br":
+                    self._text.append(entities.unescape(child) if "&" in child else child)
+            elif child.tag == "br":
                 self._text.append(" ")
-                continue
-            if is_dropped(child):
-                continue
-            inside = (header and child.tag not in HEADINGS) or is_header(child)
-            if child.tag in BLOCKS:
-                self._flush(owner)
-                self._walk(child, child, linked, inside)
-                self._flush(child)
-            else:
-                self._walk(child, owner, linked or child.tag == "a", inside)
+            elif not self._dropped(child):
+                inside = (header and child.tag not in _SPOKEN) or (id(child) not in self.safe and is_header(child))
+                if child.tag in BLOCKS:
+                    self._flush()
+                    self._walk(child, inside)
+                    self._flush()
+                else:
+                    self._walk(child, inside)
 
     def text(self) -> str:
-        return "\n".join(text for text, _, _ in self.blocks)
+        return "\n".join(self.blocks)
+
+
+#: Stands for every text of a path.
+ANY = 0
+_SPOKEN = HEADINGS | {"p"}
+
+
+def signed(mark: bytes) -> int:
+    return int.from_bytes(mark, "big", signed=True)
+
 
+def _weight(node: Node) -> float:
+    """What the text below an element counts for, beside that of its neighbours."""
+    weight = 1.0
+    if node.tag in BESIDE or is_hidden(node) or node.attributes.get("role", "").lower() in BESIDE_ROLES:
+        weight = 0.5 if node.tag == "form" else 0.1
+    if node.attributes and node.tag in BOXES:
+        words = words_in(node)
+        if not (ADVERT_WORDS | BESIDE_WORDS).isdisjoint(words):
+            weight *= 0.2
+        elif not DOUBTFUL_WORDS.isdisjoint(words):
+            weight *= 0.6
+    return weight * (0.5 if node.tag == "header" else 1.0)
 
-def best_container(root: Node) -> tuple[Node, float] | None:
-    """The container with the most text in its own blocks, and its score."""
-    scores: dict[int, list] = {}
-    for text, links, owner in Blocks(root).blocks:
-        worth = max(0, len(text) - 2 * links)
-        share, node = 1.0, owner
-        while node is not None and share > 0.2:
+
+def scores(root: Node) -> list[tuple[float, Node]]:
+    """Scored containers of a measured page, best first."""
+    found: dict[int, list] = {}
+
+    def add(owner: Node, size: int, links: int, weight: float) -> None:
+        worth, share, node = weight * max(0, size - 2 * links), 1.0, owner
+        while node is not None and share > 0.2 and worth > 0:
             if node.tag in CONTAINERS or node.parent is None:
-                entry = scores.setdefault(id(node), [node, 0.0])
-                entry[1] += share * worth
+                found.setdefault(id(node), [node, 0.0])[1] += share * worth
                 share /= 2
             node = node.parent
-    if not scores:
-        return None
 
-    def weight(entry: list) -> float:
-        node, score = entry
-        good = 1.5 if node.tag in ("article", "main") else 1.25 if not GOOD_WORDS.isdisjoint(words_in(node)) else 1.0
-        return score * good
+    stack = [(root, 1.0, False)]
+    while stack:
+        node, weight, inside = stack.pop()
+        size = links = 0
+        for child in node.children:
+            if isinstance(child, str):
+                size += len(" ".join(child.split()))
+            elif child.tag in UNREAD:
+                continue
+            elif child.tag in BLOCKS:
+                # An article in an article is a reader's comment by the markup's definition.
+                nested = inside and child.tag == "article"
+                stack.append((child, weight * _weight(child) * (0.3 if nested else 1.0), inside or child.tag == "article"))
+            else:
+                size += child.size
+                links += child.size if child.tag == "a" else child.links
+                # Blocks inside an inline element are its own.
+        if size:
+            add(node, size, links, weight)
+
+    def good(node: Node) -> float:
+        return 1.5 if node.tag in ("article", "main") else 1.25 if not GOOD_WORDS.isdisjoint(words_in(node)) else 1.0
 
-    node, _ = top = max(scores.values(), key=weight)
-    return widened(node), weight(top)
+    return sorted(((score * good(node), node) for node, score in found.values()), key=lambda x: -x[0])
 
 
 def widened(node: Node) -> Node:
-    """The article around a container, or the wrapper that adds its heading and little else."""
-    up = node
+    """The outermost article around a container, else the main element, else the wrapper that adds its heading and little else."""
+    up, article, main = node, None, None
     while up is not None:
-        if up.tag == "article":
-            return up
+        article, main = (up, main) if up.tag == "article" else (article, main or up) if up.tag == "main" else (article, main)
         up = up.parent
-    up = node
-    while up is not None and up.tag != "main":
-        up = up.parent
-    if up is not None:
-        return up
-    size = len(Blocks(node).text())
-    while not node.has(_H1) and node.parent is not None and node.parent.tag in CONTAINERS and node.parent.has(_H1) and len(Blocks(node.parent).text()) <= 1.5 * size:
+    if article is not None or main is not None:
+        return article if article is not None else main
+    size = len(Blocks(node, node).text())
+    while not node.has(_H1) and node.parent is not None and (node.parent.tag in CONTAINERS or node.parent.parent is None) and node.parent.has(_H1) and len(Blocks(node.parent, node).text()) <= 1.5 * size:
         node = node.parent
     return node
 
@@ -272,80 +402,101 @@ def widened(node: Node) -> Node:
 _H1 = frozenset(["h1"])
 
 
-def vote(html: str | None) -> tuple[str, float] | None:
-    """The path that a page votes for, and its score."""
-    found = best_container(parse(html)) if html and html.strip() else None
-    return (path_of(found[0]), found[1]) if found and found[1] > 0 else None
-
-
-def extract(html: str | None, paths: list[str]) -> str:
-    """The main text of a page, at the first of its host's paths that holds it."""
+def read(html: str | None) -> Node | None:
+    """A measured page; None if it has no text."""
     if not html or not html.strip():
-        return ""
+        return None
     root = parse(html)
-    found = best_container(root)
-    if found is None:
+    measure(root)
+    return root if root.size else None
+
+
+def votes(html: str | None) -> list[tuple[str, int, float]]:
+    """(path, hash of the text, score from 0 to 1) of a page's regions; the page itself has the empty path."""
+    root = read(html)
+    if root is None:
+        return []
+    ranked = scores(root)
+    best = ranked[0][0] if ranked else 0.0
+    shares = {id(node): (score / best) ** 3 for score, node in ranked} if best > 0 else {}
+    regions = [n for n in root.within() if n.size and (n.tag in BOXES or n.tag in CONTAINERS or ("class" in n.attributes and n.tag in BLOCKS))]
+    return [("", signed(root.mark), 0.0), *[(n.path, signed(n.mark), shares.get(id(n), 0.0)) for n in regions]]
+
+
+def extract(html: str | None, main: dict[str, float] | None = None, stock: dict[str, set[int]] | None = None) -> str:
+    """The main text of a page, with its host's main paths (shares) and stock (hashes of texts by path)."""
+    root = read(html)
+    if root is None:
         return ""
-    own = Blocks(found[0]).text()
-    own_path = path_of(found[0])
-    nodes: dict[str, list[Node]] = {}
-    if any(p != own_path for p in paths):
-        _collect(root, "", nodes, set(paths))
-    for path in paths:
-        if path == own_path and path not in nodes:
-            return own
-        text = "\n".join(t for t in (Blocks(n).text() for n in nodes.get(path, ())) if t)
-        if text and len(text) >= PRESENT * len(own):
-            return text
-    return own
-
-
-def _collect(node: Node, path: str, out: dict[str, list[Node]], wanted: set[str]) -> None:
-    for child in node.children:
-        if isinstance(child, Node) and not is_dropped(child):
-            here = f"{path}>{step_of(child)}" if path else step_of(child)
-            if here in wanted:
-                out.setdefault(here, []).append(child)
-            _collect(child, here, out, wanted)
-
-
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, paths: the leading paths of every host, most votes first."""
+    main, stock = main or {}, stock or {}
+    ranked = [(score, node) for score, node in scores(root) if ANY not in stock.get(node.path, ()) and signed(node.mark) not in stock.get(node.path, ())]
+    if not ranked:
+        return "" if stock else Blocks(root, root).text()
+    own = ranked[0][1]
+    chosen = max(ranked, key=lambda x: x[0] * max(main.get(x[1].path, 0.0), OWN if x[1] is own else 0.0) ** 2)[1]
+    # Neighbours of the same classes that hold as much are parts of one article.
+    worth = {id(node): score for score, node in ranked}
+    while "class" in chosen.attributes and chosen.parent is not None and any(
+        isinstance(c, Node) and c is not chosen and c.path == chosen.path and 2 * worth.get(id(c), 0.0) >= worth.get(id(chosen), 0.0) for c in chosen.parent.children
+    ):
+        chosen = chosen.parent
+    return Blocks(widened(chosen), chosen, stock).text()
+
+
+def host_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, main (path, share), stock (path, text: its hash, or 0 for every text) of every host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vote(x.as_py()) for x in batch.column("html")]
-            keep = pa.array([v is not None for v in found])
-            hosts = batch.column("host").filter(keep)
-            votes = [v for v in found if v is not None]
-            yield pa.RecordBatch.from_arrays([hosts, pa.array([p for p, _ in votes], pa.string()), pa.array([s for _, s in votes], pa.float64())], ["host", "path", "score"])
-
-    source = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    # Scores are rounded so that their sum does not depend on the order.
-    votes = source.mapInArrow(run, "host string, path string, score double").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum(F.round("score").cast("long")).alias("score"))
-    votes = cut(votes)
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")
-    leading = votes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PATHS)
-    total = votes.groupBy("host").agg(F.sum("votes").alias("all"))
-    leading = leading.join(total, "host").where((F.col("k") == 1) | (F.col("votes") >= SHARE * F.col("all")))
-    ordered = F.array_sort(F.collect_list(F.struct("k", "path")))
-    return leading.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+            for low in range(0, batch.num_rows, 256):
+                few = batch.slice(low, 256)
+                found = [votes(x.as_py()) for x in few.column("html")]
+                at = pa.array([i for i, v in enumerate(found) for _ in v], pa.int32())
+                rows = [(*r, v[0][1]) for v in found for r in v]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([few.column("host").take(at), *columns], ["host", "path", "text", "score", "page"])
+
+    source = pages.select(host_of(url_col).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    # Scores are whole thousandths, so that sums do not depend on the order; copies of a page count once.
+    found = source.mapInArrow(run, "host string, path string, text long, score double, page long").withColumn("score", F.round(1000 * F.col("score")).cast("long"))
+    each = found.groupBy("host", "path", "text", "page").agg(F.max("score").alias("score"))
+    texts = cut(each.groupBy("host", "path", "text").agg(F.count("*").alias("pages"), F.sum("score").alias("score")))
+    hosts = texts.where("path = ''").groupBy("host").agg(F.count("*").alias("all"))
+    # A row for a host; joined by size like any other table.
+    texts = texts.where("path <> ''").join(hosts, "host").withColumn("stock", F.col("pages") >= F.greatest(F.lit(STOCK_PAGES), F.ceil(SHARE * F.col("all"))))
+    classed = F.contains(F.substring_index("path", ">", -1), F.lit("."))
+    paths = texts.groupBy("host", "path").agg(
+        F.first("all").alias("all"), F.sum("pages").alias("total"), F.sum(F.when(F.col("stock"), F.col("pages")).otherwise(0)).alias("repeated"), F.sum(F.when(F.col("stock"), 0).otherwise(F.col("score"))).alias("score")
+    ).withColumn("stock", classed & (F.col("repeated") >= STOCK_PAGES) & (F.col("repeated") >= STOCK_SHARE * F.col("total"))).withColumn("share", F.col("score") / (1000 * F.col("all")))
+    main = paths.where((F.col("share") >= SHARE) & ~F.col("stock")).groupBy("host").agg(F.collect_list(F.struct("path", "share")).alias("main"))
+    stock = texts.where("stock").select("host", "path", "text").unionByName(paths.where("stock").select("host", "path", F.lit(ANY).cast("long").alias("text")))
+    stock = stock.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("stock"))
+    return main.join(stock, "host", "full").select("host", "main", "stock")
 
 
 def host_of(url_col: str) -> F.Column:
-    return F.lower(F.coalesce(F.try_parse_url(F.col(url_col), F.lit("HOST")), F.lit("")))
+    return F.lower(F.coalesce(F.try_parse_url(F.col(f"`{url_col}`").cast("string"), F.lit("HOST")), F.lit("")))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text."""
-    rules = cut(host_paths(pages, url_col, html_col))
-    small = rules.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
-    joined = source.join(F.broadcast(rules) if small else rules, "host", "left").select("id", "url", "html", "paths")
+    rules = cut(host_rules(pages, url_col, html_col))
+    size = rules.agg(F.coalesce(F.sum(F.greatest(F.size("main"), F.lit(0)) + F.greatest(F.size("stock"), F.lit(0))), F.lit(0))).first()[0]
+    source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"), host_of(url_col).alias("host"))
+    joined = source.join(F.broadcast(rules) if size <= BROADCAST_PATHS else rules, "host", "left").select("id", "url", "html", "host", "main", "stock")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h.as_py(), p.as_py() or []) for h, p in zip(batch.column("html"), batch.column("paths"), strict=True)]
+            # Rules come with every page of a host and are read once in a batch.
+            known: dict[str, tuple] = {}
+            texts = []
+            for row, host in enumerate(batch.column("host").to_pylist()):
+                if host not in known:
+                    stock: dict[str, set[int]] = {}
+                    for entry in batch.column("stock")[row].as_py() or []:
+                        stock.setdefault(entry["path"], set()).add(entry["text"])
+                    known[host] = ({entry["path"]: entry["share"] for entry in batch.column("main")[row].as_py() or []}, stock)
+                texts.append(extract(batch.column("html")[row].as_py(), *known[host]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], [id_col, "url", "text"])
 
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType())])
@@ -354,3 +505,35 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def digest(found: DataFrame) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def brute_force(pages: list[tuple]) -> dict:
+    """Text by page from (id, host, html): hosts' votes counted page by page in plain dictionaries; for tests."""
+    out = {}
+    for host in {h for _, h, _ in pages}:
+        own = [(page, html) for page, h, html in pages if h == host]
+        different = {v[0][1]: v for _, html in own if (v := votes(html))}
+        counts: dict[tuple, int] = {}
+        points: dict[tuple, int] = {}
+        for found in different.values():
+            best: dict[tuple, int] = {}
+            for path, text, score in found[1:]:
+                best[path, text] = max(best.get((path, text), 0), int(1000 * score + 0.5))
+            for key, score in best.items():
+                counts[key] = counts.get(key, 0) + 1
+                points[key] = points.get(key, 0) + score
+        least = max(STOCK_PAGES, -(-len(different) * SHARE // 1))
+        stock: dict[str, set[int]] = {}
+        main: dict[str, float] = {}
+        for path in {p for p, _ in counts}:
+            texts = {t: n for (p, t), n in counts.items() if p == path}
+            repeated = {t for t, n in texts.items() if n >= least}
+            stock[path] = set(repeated)
+            if "." in path.rsplit(">", 1)[-1] and (total := sum(texts[t] for t in repeated)) >= max(STOCK_PAGES, STOCK_SHARE * sum(texts.values())):
+                stock[path].add(ANY)
+            share = sum(points[path, t] for t in texts if t not in repeated) / (1000 * len(different))
+            if share >= SHARE and ANY not in stock[path]:
+                main[path] = share
+        for page, html in own:
+            out[page] = extract(html, main, stock)
+    return out

@@ -124,20 +124,77 @@ def test_html_text_takes_the_article(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+PROSE = "Plain prose that goes on for a while, with words enough to be an article. " * 4
+LONG, P = " ".join(PROSE.split()), f"<p>{PROSE}</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<h1>T</h1><div class="content no-sidebar">{P}</div>', "T\nLONG"),
+        (f'<h1>T</h1><div class="entry comments-open">{P}</div>', "T\nLONG"),
+        (f'<body class="has-ads"><form id="aspnetForm"><div><h1>T</h1>{P}</div></form></body>', "T\nLONG"),
+        (f'<article><h1>T</h1>{P}<section id="discussion"><h2>Discussion</h2>{P}</section><p class="related">Related prose.</p></article>', "T\nLONG\nDiscussion\nLONG\nRelated prose."),
+        (f'<article><header><h1>T</h1><p>A lede.</p><span>by me</span></header>{P}</article>', "T\nA lede.\nLONG"),
+        (f'<div><div class="cookie-banner"><h1>Cookies</h1><p>We use cookies.</p></div><h1>T</h1>{P}</div>', "T\nLONG"),
+        (f'<article><h1>T</h1>{P}<div class="user-posts"><p>Great read.</p></div><div class="related"><a href="/a">Another one</a></div></article>', "T\nLONG"),
+        (f'<article><h1>T</h1>{P}<div class="zz"><div class=i><b class="author">Al</b><p>I disagree.</p></div><div class=i><b class="author">Bo</b><p>No.</p></div></div></article>', "T\nLONG"),
+        (f"<article><h1>T</h1>{P}<article>{P * 4}</article></article>", "T\nLONG"),
+        (f'<div class="post">{P}<p class="ad">Buy this.</p><ul class="share"><li>Share</ul><ul><li>One<li>Two</ul><table><tr><td>a<td>b</table></div>', "LONG\nOne\nTwo\na\nb"),
+        (f'<div class="liveblog"><div class=e><time>9:00</time>{P}</div><div class=e><time>9:30</time>{P}</div></div>', "9:00\nLONG\n9:30\nLONG"),
+    ],
+)
+def test_html_text_names_weigh_and_do_not_decide(html, want):
+    assert html_text.extract(html).replace(LONG, "LONG") == want
+
+
+def host_pages():
+    """A host whose promotion is longer than most articles, with a page of another kind and copies of one page; a host with a thread."""
+    promo = f"<div class='zq'>{P}{P}<p>Always the same offer.</p></div>"
+    pages = [(i, "a.example", f"<div class='top{i}'>{promo}<div class='kk'><h2>Title {i}</h2><p>{'Words of page number %d here. ' % i * 9}</p></div><p class='lic'>Free to use.</p></div>") for i in range(8)]
+    pages += [(100 + i, "a.example", pages[3][2]) for i in range(6)] + [(200, "a.example", f"<div class='other'>{P}<p>An odd page.</p></div>"), (201, "a.example", None), (202, "a.example", " ")]
+    for i in range(20):
+        article, talk = "Short article text %d. " % i * (4 if i else 2), "A long opinion on number %d that goes on. " % i * (1 if i else 12)
+        pages.append((300 + i, "b.example", f"<div class='wrap'><div class='art'><p>{article}</p></div><div class='talk'><p>{talk}</p></div></div>"))
+    return [*pages, (400, "", "<p>one page without a host"), (401, "c.example", f"<div class='x'>{P}</div>"), (402, "c.example", f"<div class='x'>{P}</div>")]
+
+
+def test_html_text_follows_the_host(spark):
+    pages = host_pages()
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}" if h else None, html) for i, h, html in pages], "page_id long, url string, html string").withColumns({"host": F.lit(1), "main": F.lit(2), "a.b": F.lit(3)})
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame.repartition(5)).collect()}
+    assert got == html_text.brute_force(pages)
+    # The promotion is the best container of every page by itself, and stock of the host; the thread is longer than page 300's article.
+    alone = {i: html_text.extract(html) for i, _, html in pages}
+    assert alone[2].startswith("Plain prose") and got[2] == "Title 2\n" + " ".join(("Words of page number 2 here. " * 9).split())
+    assert got[100] == got[3] and "offer" not in got[3] and "Free to use" not in got[3]
+    assert alone[300].startswith("A long opinion") and got[300] == "Short article text 0. Short article text 0."
+    assert got[200].endswith("An odd page.") and got[201] == got[202] == "" and got[401] == got[402] == LONG
+
+
+def test_html_text_share_of_votes_decides(monkeypatch):
+    html = f"<div class='a'><p>{'Few words. ' * 8}</p></div><div class='b'><p>{'Many more words. ' * 20}</p></div>"
+    assert html_text.extract(html).startswith("Many") and html_text.extract(html, {"div.a": 0.9, "div.b": 0.02}).startswith("Few")
+    assert html_text.extract(html, {"div.a": 0.1, "div.b": 0.9}).startswith("Many")
+    assert html_text.extract(html, {"div.a": 0.9}, {"div.a": {html_text.ANY}}).startswith("Many")
+
+
 def test_html_text_broken_markup_and_depth(spark):
     deep = "<div>" * 3000 + "<p>deep down there is text" + "</div>" * 10
-    assert html_text.extract(deep, []) == "deep down there is text"
-    assert html_text.extract("<" * 5000, []) == "<" * 5000
-    assert html_text.extract('<p title="a > b">quoted <b>x</p><p>y', []) == "quoted x\ny"
-    pages = spark.createDataFrame([(1, "u", deep)], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("paths", F.lit(2))
+    assert html_text.extract(deep) == "deep down there is text"
+    assert html_text.extract("<" * 5000) == "<" * 5000
+    assert html_text.extract('<p title="a > b">quoted <b>x</p><p>y') == "quoted x\ny"
+    pages = spark.createDataFrame([(1, "u", deep)], "page_id long, url string, html string").withColumns({"host": F.lit(1), "paths": F.lit(2), "meta.src": F.lit(3)})
     assert html_text.main_text(pages).count() == 1
     assert html_text.main_text(empty(pages)).count() == 0
+    dotted = pages.select("page_id", "url", "html").toDF("page.id", "the url", "page.html")
+    assert html_text.digest(html_text.main_text(dotted, "page.id", "the url", "page.html")).columns == ["page.id", "url", "text", "n_chars"]
 
 
 def test_html_text_joins_hosts_either_way(spark, small, monkeypatch):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     want = rows_of(html_text.main_text(pages))
-    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 1)
+    monkeypatch.setattr(html_text, "BROADCAST_PATHS", 0)
     assert rows_of(html_text.main_text(pages)) == want
 
 

@@ -35,11 +35,13 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +54,8 @@ LEAF = 1 << 12
 WINDOW = 64
 #: Encoded runs a task keeps, in two generations of half as many; memory, not results, depends on it.
 MEMO = 400_000
-#: Texts encoded together, and runs in one call.
-TEXTS, RUNS = 256, 200
+#: Characters of texts encoded together, and runs in one call.
+TOGETHER, RUNS = 4 << 20, 200
 
 #: A stretch of a run that a cut goes through: its composed text, ids and spans.
 Open = tuple[str, np.ndarray, np.ndarray]
@@ -119,6 +121,7 @@ class Codec:
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")" if self.added else "(?!)")
         self.compose = normalizers.NFC().normalize_str
         self.tokenize = self.tokenizer.model.tokenize
+        self.marks: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.joins = 0
@@ -136,6 +139,34 @@ class Codec:
         pieces = [[tall[r] if r in tall else (self.memo[r], 0) for r in runs] for runs in split]
         return [(b"".join([data for data, _ in found]), sum(joins for _, joins in found)) for found in pieces]
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, where each text's end, and the joins made for each.
+
+        Every different run is looked at once; its ids are then copied to all its places.
+        """
+        if pc.any(pc.match_substring_regex(texts, _ODD_SPACE.pattern)).as_py():
+            found = self.encode_all(texts.to_pylist())
+            counts = np.array([len(data) // 4 for data, _ in found], np.int64)
+            return np.frombuffer(b"".join(data for data, _ in found), "<u4"), np.cumsum(counts), np.array([joins for _, joins in found], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        tall = self._learn(set(runs))
+        pieces = [tall[r][0] if r in tall else self.memo[r] for r in runs]
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        sizes = np.array([len(p) // 4 for p in pieces], np.int64)
+        place = coded.indices.to_numpy()
+        counts = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        starts = np.cumsum(sizes) - sizes
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[place] - ends[:-1], counts)]
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        joins = np.zeros(len(texts), np.int64)
+        if tall:
+            each = np.concatenate([[0], np.cumsum(np.array([tall[r][1] if r in tall else 0 for r in runs], np.int64)[place])])
+            joins = each[bounds[1:]] - each[bounds[:-1]]
+        return ids, ends[bounds[1:]], joins
+
     def _learn(self, runs: set[str]) -> dict[str, tuple[bytes, int]]:
         """Have every run in the memo, but for those too long for one call, which are returned with their ids and joins."""
         memo, older = self.memo, self.older
@@ -162,10 +193,17 @@ class Codec:
 
     def _pieces(self, letters: str, marks: str) -> bytes:
         """Ids of a plain run, whose pieces go to the model without a search for them."""
-        ids = [t.id for t in self.tokenize(letters.lower().encode().decode("latin-1").translate(_BYTES))] if letters else []
-        if marks:
-            ids += [t.id for t in self.tokenize(marks)]
-        return np.array(ids, "<u4").tobytes()
+        tail = b""
+        if marks and (tail := self.marks.get(marks)) is None:
+            tail = array("I", [t.id for t in self.tokenize(marks)]).tobytes()
+            if len(marks) < 8:  # few enough to be kept
+                self.marks[marks] = tail
+        if not letters:
+            return tail
+        word = letters.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes() + tail
 
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
         """Ids of each run, all runs in one call: white space between them ends pieces, and spans say whose a token is."""
@@ -237,6 +275,17 @@ def runs_of(text: str | None) -> list[str]:
     return text.split() if _ODD_SPACE.search(text) is None else [r for r in _SPACE.split(text) if r]
 
 
+def slices(batch: pa.RecordBatch, size: int, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows with about `size` characters of text together."""
+    ends = np.cumsum(pc.utf8_length(batch.column(text)).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _common(side: tuple[np.ndarray, np.ndarray], window: tuple[np.ndarray, np.ndarray], limit: int, before: bool) -> tuple[int, int] | None:
     """Places of a token that a side and the window share at the same characters.
 
@@ -362,9 +411,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         kinds = (pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int32())
         for batch in batches:
             codec = codec or Codec(path)
-            for at in range(0, batch.num_rows, TEXTS):
-                few = batch.slice(at, TEXTS)
-                rows = [row(codec, *found) for found in codec.encode_all(few.column(1).to_pylist())]
+            for few in slices(batch, TOGETHER):
+                ids, ends, joins = codec.encode_column(few.column(1))
+                rows = [row(codec, ids[a:b].tobytes(), n) for a, b, n in zip([0, *ends[:-1].tolist()], ends.tolist(), joins.tolist(), strict=True)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([few.column(0), *columns], schema.fieldNames())
 

@@ -172,6 +172,7 @@ def rewrite_questions(questions: DataFrame, text_col: str = "text", fallback: Ca
 
 def explanation(original: Column, transformed: Column) -> Column:
     """What a rewrite did, in a few lines."""
+    # The notes, in this order.
     notes = [
         ("[MeSH]", "Added MeSH terms for precise medical concept matching"),
         (" OR ", "Included synonyms to capture more relevant articles"),

@@ -80,6 +80,7 @@ def with_coverage_note(question: Column, answer: Column, expected: Column) -> Co
     """The cleaned answer; if a question about all studies got less than half of them, with a note."""
     cleaned = clean_answer(answer)
     cited = F.size(cited_ids(cleaned))
+    # Fixed value: the note.
     note = F.format_string(
         "\n\n*Note: This analysis covers %d of %d available studies. For a complete analysis of all studies,"
         " consider breaking down your query into specific aspects.*",

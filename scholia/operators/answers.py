@@ -59,15 +59,27 @@ def generate(prompts: DataFrame, generator: Generator | None = None, prompt_col:
 def answer_questions(questions: DataFrame, passages: DataFrame, counts: DataFrame, generator: Generator | None = None) -> DataFrame:
     """query_id, answer for questions (query_id, topic_id, text); without passages, the sentence that says so.
 
-    counts: topic_id and its number of articles.
+    questions may have `standalone`, the question with what a conversation said
+    before it, which passages are compressed for; the note on coverage follows the
+    question as asked. counts: topic_id and its number of articles.
     """
-    context = stuffed(compress(passages.join(questions.select("query_id", F.col("text").alias("question")), "query_id")))
-    asked = questions.join(context, "query_id", "left").join(counts, "topic_id", "left")
-    drafted = generate(asked, generator)
+    asked = questions if "standalone" in questions.columns else questions.withColumn("standalone", F.col("text"))
+    context = stuffed(compress(passages.join(asked.select("query_id", F.col("standalone").alias("question")), "query_id")))
+    drafted = generate(asked.join(context, "query_id", "left").join(counts, "topic_id", "left"), generator)
     raw = F.when(F.coalesce("passages", F.lit(0)) == 0, F.lit(NO_DOCUMENTS)).otherwise(F.col("answer"))
     return drafted.select("query_id", with_coverage_note(F.col("text"), raw, F.coalesce("articles", F.lit(0))).alias("answer"))
 
 
+def retrieved_coverage(found: DataFrame, counts: DataFrame, key: str = "topic_id", query_col: str = "query_id", article_col: str = "pubmed_id") -> DataFrame:
+    """query, chunks, articles (different ones among its chunks), expected (articles of the topic), percent of what was retrieved for each query.
+
+    found has a row for each retrieved chunk with its topic.
+    """
+    held = found.groupBy(query_col, key).agg(F.count("*").alias("chunks"), F.count_distinct(article_col).alias("articles"))
+    joined = held.join(counts.select(key, F.col("articles").alias("expected")), key, "left")
+    return joined.select(query_col, "chunks", "articles", "expected", F.when(F.col("expected") > 0, F.round(100.0 * F.col("articles") / F.col("expected"), 1)).alias("percent"))
+
+
 def coverage(answers: DataFrame, expected: DataFrame, key: str = "topic_id", answer_col: str = "answer") -> DataFrame:
     """answers with cited (distinct ids), expected (articles of the topic) and percent."""
     joined = answers.join(expected.select(key, F.col("articles").alias("expected")), key, "left").withColumn("cited", F.size(cited_ids(F.col(answer_col))).cast("long"))

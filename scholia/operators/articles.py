@@ -16,6 +16,12 @@ UNKNOWN_ID, NO_TITLE, NO_ABSTRACT = "unknown", "No Title", "No Abstract"
 UNKNOWN_AUTHORS, UNKNOWN_JOURNAL, UNKNOWN_DATE = "Unknown Authors", "Unknown Journal", "Unknown Date"
 ARTICLE_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+# Languages and record states of the XML with the names that searches use.
+LANGUAGE_CODES = {
+    "eng": "en", "spa": "es", "fre": "fr", "ger": "de", "ita": "it", "jpn": "ja", "por": "pt", "rus": "ru", "chi": "zh", "dut": "nl", "pol": "pl",
+    "swe": "sv", "dan": "da", "nor": "no", "fin": "fi", "cze": "cs", "hun": "hu", "kor": "ko", "tur": "tr", "ara": "ar", "heb": "he",
+}
+RECORD_STATES = {"MEDLINE": "medline", "PubMed-not-MEDLINE": "pubmed not medline", "In-Process": "in process", "In-Data-Review": "in process", "Publisher": "publisher"}
 #: Size and overlap of chunks in characters, separators in order, and the length from which an abstract is split.
 CHUNK_SIZE, CHUNK_OVERLAP, SEPARATORS, SPLIT_FROM = 400, 50, ("\n\n", "\n", ".", " "), 800
 
@@ -69,13 +75,29 @@ def _date(xml: Column) -> Column:
     return F.coalesce(F.when(found["y"] != "", value), F.lit(UNKNOWN_DATE))
 
 
+def _language(xml: Column) -> Column:
+    """The search's code of the first language, its own code where there is none; null without one."""
+    code = F.lower(_first_text(xml, "//Language"))
+    return F.coalesce(F.get(F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LANGUAGE_CODES.items()]), lambda e: e["a"] == code), F.lit(0))["b"], code)
+
+
+def _subsets(xml: Column) -> Column:
+    """Which subsets of the catalogue a record is in: its state, and full texts that its identifiers speak of."""
+    state = F.xpath_string(xml, F.lit("//MedlineCitation/@Status"))
+    has = lambda kind: F.xpath_boolean(xml, F.lit(f"//ArticleId[@IdType='{kind}']"))
+    named = [F.when(state == name, F.lit(value)) for name, value in RECORD_STATES.items()]
+    free = [F.when(has("pmc"), F.lit(value)) for value in ("pmc", "full text", "free full text")]
+    others = [F.when(has("doi"), F.lit("full text")), F.when(has("mid"), F.lit("nihms"))]
+    return F.array_distinct(F.array_compact(F.array(*named, *free, *others)))
+
+
 def well_formed(xml: Column) -> Column:
     """Whether a record is XML; others are passed over."""
     return F.from_xml(xml, "PMID STRING, _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNull()
 
 
 def extract_articles(records: DataFrame, xml_col: str = "xml", index_col: str = "article_index") -> DataFrame:
-    """The eleven fields of every well-formed record; others go, and keep their number."""
+    """The eleven fields of every well-formed record, its language and subsets; others go, and keep their number."""
     xml = F.col("_xml")
     journal = F.coalesce(_first_text(xml, "//Journal/Title"), _first_text(xml, "//MedlineTA"), F.lit(UNKNOWN_JOURNAL))
     good = records.where(F.col(xml_col).isNotNull()).withColumn("_xml", F.when(well_formed(F.col(xml_col)), F.col(xml_col))).where("_xml is not null")
@@ -91,6 +113,8 @@ def extract_articles(records: DataFrame, xml_col: str = "xml", index_col: str =
         _texts(xml, "//MeshHeading/DescriptorName").alias("mesh_terms"),
         _texts(xml, "//Keyword").alias("keywords"),
         _texts(xml, "//PublicationType").alias("publication_types"),
+        _language(xml).alias("lang"),
+        _subsets(xml).alias("subsets"),
     )
 
 

@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scholia.functions.text import contains_any
+from scholia.session import stored
 
 DIMS = 256
-#: Queries scored together in every task; more are taken in further blocks.
-QUERY_BLOCK = 512
+#: Queries in a block, and vectors in a shard: what a task compares at a time.
+QUERY_BLOCK, SHARD_ROWS = 512, 8192
+#: Bytes of all query blocks that are sent to every task; beyond it vectors and blocks meet in a shuffle join.
+BROADCAST_BYTES = 64 << 20
+#: Words whose place a task keeps.
+WORDS = 200_000
 LAMBDA = 0.7
 FOCUSED_K, MOST_K, PER_ARTICLE, DEFAULT_ARTICLES = 30, 100, 3, 20
 # Words of questions that ask about all articles.
@@ -28,14 +33,21 @@ Embedder = Callable[[list[str]], np.ndarray]
 def hash_embedder(dims: int = DIMS) -> Embedder:
     """The default model: signed feature hashing of words, of unit length; the same everywhere."""
 
+    known: dict[str, int] = {}
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims), np.float32)
-        for row, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                code = xxhash.xxh64_intdigest(word)
-                out[row, code % dims] += 1.0 if code >> 63 else -1.0
+        if len(known) > WORDS:
+            known.clear()
+        words = [(text or "").lower().split() for text in texts]
+        for word in {w for own in words for w in own} - known.keys():
+            code = xxhash.xxh64_intdigest(word)
+            # The place, and the sign in the lowest bit.
+            known[word] = code % dims * 2 + (code >> 63)
+        codes = np.fromiter((known[w] for own in words for w in own), np.int64)
+        rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        out = np.bincount(rows * dims + codes // 2, np.where(codes % 2, 1.0, -1.0), len(texts) * dims).reshape(len(texts), dims)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms > 0, norms, 1)
+        return (out / np.where(norms > 0, norms, 1)).astype(np.float32)
 
     return embed
 
@@ -61,74 +73,112 @@ def _distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray
     return 1 - norm(queries) @ norm(rows).T
 
 
+def _columns(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    return {name: batch.column(name) for name in batch.schema.names}
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths, as doubles."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1)
+
+
+def _packed(source: DataFrame, size: int) -> DataFrame:
+    """Vectors (id, v, scope) in shards of up to `size` where they are read: number, ids, scopes, vectors (doubles, row by row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                few = _columns(batch.slice(low, size))
+                held = [pa.array([few[n].to_pylist()], pa.list_(few[n].type)) for n in ("id", "scope")]
+                yield pa.RecordBatch.from_arrays([*held, pa.array([_matrix(few["v"]).tobytes()], pa.binary())], ["ids", "scopes", "vectors"])
+
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"ids array<{kind}>, scopes array<string>, vectors binary")
+
+
+def _blocks(asked: DataFrame, count: int) -> DataFrame:
+    """Queries (q, v, k, scope) in blocks: names, depths, scopes, queries (doubles, row by row)."""
+    kind = asked.schema["q"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.stack(pdf["v"].to_list()).astype(np.float64)
+        return pd.DataFrame({"names": [pdf["q"].tolist()], "depths": [pdf["k"].tolist()], "asked_scopes": [pdf["scope"].tolist()], "queries": [matrix.tobytes()]})
+
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(count)))
+    return dealt.groupBy("block").applyInPandas(run, f"names array<{kind}>, depths array<int>, asked_scopes array<string>, queries binary")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int | str, metric: str = "l2", id_col: str = "vec_id", vector_col: str = "embedding",
     query_col: str = "query_id", query_vector_col: str = "query_embedding", scope_col: str | None = None, with_vectors: bool = False,
 ) -> DataFrame:
     """query, id, distance, rank of the k nearest vectors of each query; ties to the smaller id.
 
-    Queries are few beside the vectors: they come in blocks of QUERY_BLOCK, and a
-    task keeps the k best of a block over all rows that it reads, so that k rows
-    for each task and query are shuffled. k is a number or a column of queries.
-    With scope_col a query sees only vectors of its own scope. metric: l2, cosine
-    (distance) or dot (negative).
+    Vectors are read once: they are packed in shards where they are read, queries
+    in blocks, and a pair of a shard and a block is a row of its own. The blocks
+    are sent to every task while they have BROADCAST_BYTES at most; beyond it the
+    shards are numbered and both meet in a join. k rows for each shard and query
+    are shuffled. k is a number or a column of queries. With scope_col a query
+    sees only vectors of its own scope. metric: l2, cosine (distance) or dot
+    (negative). Vectors of another length than the query's are no candidates.
     """
-    scopes = [scope_col] if scope_col else []
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *[F.col(c).cast("string").alias("scope") for c in scopes]).where("v is not null")
-    asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v"), (F.lit(k) if isinstance(k, int) else F.col(k)).cast("int").alias("k"), *[F.col(c).cast("string").alias("scope") for c in scopes])
-    kinds = {"q": asked.schema["q"].dataType.simpleString(), "id": source.schema["id"].dataType.simpleString()}
-    query_type = to_arrow_type(asked.schema["q"].dataType)
-    schema = f"q {kinds['q']}, k int, id {kinds['id']}, distance double" + (f", v {source.schema['v'].dataType.simpleString()}" if with_vectors else "")
-    vector_type = to_arrow_type(source.schema["v"].dataType)
-
-    def block_search(names: list, depths: list[int], matrix: np.ndarray, own: list | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, pd.DataFrame] = {}
-            id_type = None
-            for batch in batches:
-                id_type = batch.schema.field("id").type
-                frame = batch.to_pandas()
-                if not len(frame):
-                    continue
-                for scope, part in frame.groupby("scope") if own is not None else [(None, frame)]:
-                    chosen = np.arange(len(names)) if own is None else np.array([i for i, s in enumerate(own) if s == scope], int)
-                    if not len(chosen):
-                        continue
-                    away = _distances(matrix[chosen], np.stack(part["v"].to_list()).astype(np.float64), metric)
-                    # Rounded, so that equal distances are equal in whatever batch they were computed.
-                    away = away.round(9)
-                    ids, held = part["id"].to_numpy(), part["v"].to_numpy()
-                    for row, q in enumerate(chosen):
-                        most = depths[q]
-                        near = np.flatnonzero(away[row] <= np.partition(away[row], most - 1)[most - 1]) if len(ids) > most else np.arange(len(ids))
-                        few = pd.DataFrame({"id": ids[near], "distance": away[row][near], "v": held[near]})
-                        if metric == "l2":  # of the few that stay, without the error of the expanded square
-                            few["distance"] = np.sqrt(((np.stack(few["v"].to_list()).astype(np.float64) - matrix[q]) ** 2).sum(axis=1)).round(9)
-                        few = pd.concat([best[q], few]) if q in best else few
-                        best[q] = few.sort_values(["distance", "id"], kind="stable").head(most)
-            for q, few in best.items():
-                columns = {"q": pa.array([names[q]] * len(few), query_type), "k": pa.array([depths[q]] * len(few), pa.int32()), "id": pa.array(few["id"], id_type), "distance": pa.array(few["distance"], pa.float64())}
-                if with_vectors:
-                    columns["v"] = pa.array(few["v"].to_list(), vector_type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-        return run
-
-    parts = []
-    held: list = []
-    rows = asked.where("v is not null").toLocalIterator()
-    for row in rows:
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            parts.append(held)
-            held = []
-    found = None
-    for block in [*parts, held] if held or not parts else parts:
-        matrix = np.array([r["v"] for r in block], float)
-        some = source.mapInArrow(block_search([r["q"] for r in block], [r["k"] for r in block], matrix, [r["scope"] for r in block] if scopes else None), schema)
-        found = some if found is None else found.unionByName(some)
+    scope = F.col(scope_col).cast("string") if scope_col else F.lit(None).cast("string")
+    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), scope.alias("scope")).where("v is not null and size(v) > 0")
+    asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v"), (F.lit(k) if isinstance(k, int) else F.col(k)).cast("int").alias("k"), scope.alias("scope"))
+    asked = stored(asked.where("v is not null and size(v) > 0"))
+    kinds = {n: frame.schema[n].dataType for n, frame in (("q", asked), ("id", source))}
+    element = source.schema["v"].dataType
+    count, total = asked.agg(F.count("*"), F.coalesce(F.sum(F.lit(8) * F.size("v")), F.lit(0))).first()
+    blocks = _blocks(asked, max(1, -(-count // QUERY_BLOCK)))
+    shards = _packed(source, SHARD_ROWS)
+    if total <= BROADCAST_BYTES:
+        pairs = shards.join(F.broadcast(blocks))
+    else:
+        # As many keys as fit the tables; every block meets every shard at the shard's key.
+        lanes = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keyed = stored(shards).withColumn("lane", F.pmod(F.xxhash64("vectors"), F.lit(lanes)))
+        pairs = stored(blocks).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("lane", F.col("lane").cast("long")).join(keyed, "lane")
+    types = {n: to_arrow_type(t) for n, t in (*kinds.items(), ("v", element))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {n: c[at].as_py() for n, c in _columns(batch).items()}
+                queries, rows = (np.frombuffer(row[n]).reshape(len(row[of]), -1) for n, of in (("queries", "names"), ("vectors", "ids")))
+                if queries.shape[1] == rows.shape[1]:
+                    yield from found(row, queries, rows)
+
+    def found(row: dict, queries: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Rounded, so that equal distances are equal in whatever shard they were computed.
+        away = _distances(queries, rows, metric).round(9)
+        if scope_col:
+            codes = {s: n for n, s in enumerate(dict.fromkeys(row["scopes"] + row["asked_scopes"]))}
+            own, theirs = (np.array([codes[s] if s is not None else none for s in row[n]]) for n, none in (("asked_scopes", -1), ("scopes", -2)))
+            away[own[:, None] != theirs[None, :]] = np.inf
+        best, names, depths = [], [], []
+        for q, depth in enumerate(row["depths"]):
+            near = away[q]
+            few = np.flatnonzero(near <= np.partition(near, depth - 1)[depth - 1]) if len(near) > depth else np.arange(len(near))
+            few = few[near[few] < np.inf]
+            best.append(few)
+            names += [row["names"][q]] * len(few)
+            depths += [depth] * len(few)
+        if not names:
+            return
+        place = np.concatenate(best)
+        owner = np.repeat(np.arange(len(best)), [len(b) for b in best])
+        distance = away[owner, place]
+        if metric == "l2":  # of the few that stay, without the error of the expanded square
+            distance = np.sqrt(((rows[place] - queries[owner]) ** 2).sum(axis=1)).round(9)
+        columns = {"q": pa.array(names, types["q"]), "k": pa.array(depths, pa.int32()), "id": pa.array([row["ids"][p] for p in place], types["id"]), "distance": pa.array(distance)}
+        if with_vectors:
+            columns["v"] = pa.array(list(rows[place]), pa.list_(pa.float64())).cast(types["v"])
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = f"q {kinds['q'].simpleString()}, k int, id {kinds['id'].simpleString()}, distance double" + (f", v {element.simpleString()}" if with_vectors else "")
     order = Window.partitionBy("q").orderBy("distance", "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
+    ranked = pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
     extra = [F.col("v").alias(vector_col)] if with_vectors else []
     return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "distance", "rank", *extra)
 

@@ -84,13 +84,8 @@ def ranked(found: DataFrame, sort: str, score: Column | None = None, key: str =
 
 
 def term_score(text: Column, words: list[str]) -> Column:
-    """Relevance: how often the words occur in the lower-cased text."""
-    total = F.lit(0)
+    """Relevance: how often the words, taken literally, occur in the lower-cased text."""
+    lowered, total = F.lower(F.coalesce(text, F.lit(""))), F.lit(0)
     for word in words:
-        total = total + F.size(F.split(F.lower(text), word.replace("\\", "\\\\"))) - 1
+        total = total + ((F.length(lowered) - F.length(F.replace(lowered, F.lit(word), F.lit("")))) / len(word)).cast("int")
     return total
-
-
-def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """rows with index, from 1 within each key."""
-    return rows.withColumn("index", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
-from datetime import date, datetime
+import uuid
+from datetime import UTC, date, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.rewrite import explanation, rewrite_questions
 from scholia.operators import answers, articles, retrieval, topics
-from scholia.plans.predicate import search
+from scholia.plans.predicate import relevance, search
 from scholia.plans.query_text import complete_query
 from scholia.plans.request import TopicRequest
+from scholia.session import stored
 from scholia.sources import records
 
+LOG = "topic_id string, status string, ts timestamp, event_id long, detail string"
+TURNS = "conversation_id string, turn long, role string, text string, at timestamp, topic_id string"
+
 
 def transform_query(spark: SparkSession, question: str) -> dict:
     """The query of one question and what was done to it."""
@@ -41,80 +48,173 @@ def preview(spark: SparkSession, request: TopicRequest, as_of: date) -> dict:
 
 
 def hits(source: DataFrame, spark: SparkSession, request: TopicRequest, as_of: date) -> DataFrame:
-    """The first max_results articles that a request finds, in its sort order."""
-    found = search(source, query_of(spark, request, as_of), request.filters.search_field)
-    return topics.ranked(found, request.filters.sort_by, key="pmid").limit(request.max_results)
+    """The first max_results articles that a request finds, in its sort order; by default those with most of its words."""
+    query, field = query_of(spark, request, as_of), request.filters.search_field
+    if "publication_date" in source.columns and not {"date_from", "date_to"} & set(source.columns):
+        source = articles.with_date_bounds(source)
+    return topics.ranked(search(source, query, field), request.filters.sort_by, relevance(query, field), "pmid").limit(request.max_results)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The store's log of statuses, empty where there is none yet."""
+    try:
+        return spark.read.schema(LOG).parquet(f"{path}/log")
+    except AnalysisException:
+        return spark.createDataFrame([], LOG)
+
+
+def append_status(spark: SparkSession, path: str, topic_id: str, status: str, at: datetime | None = None, event_id: int | None = None, **detail) -> None:
+    """One more entry in the log of statuses, which is never rewritten; detail is kept as JSON."""
+    number = time.time_ns() if event_id is None else event_id
+    row = (topic_id, status, at or datetime.now(UTC), number, json.dumps(detail, default=str) if detail else None)
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
-def ingest(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_id: str, path: str, as_of: date) -> dict:
+def ingest(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_id: str | None, path: str, as_of: date, timeout: float | None = None) -> dict:
     """Search, filter, store articles and chunks, and index them unless the request says not to.
 
-    path gets articles/, chunks/ and, with embeddings, index/, each by topic.
+    path gets articles/, chunks/ and, with embeddings, index/, each by topic, and
+    the log: processing at the start, then completed, failed or timeout. A job
+    that takes longer than the request allows is cancelled. A topic that did not
+    complete keeps no data. Without a topic_id a new one is made.
     """
+    topic_id = topic_id or str(uuid.uuid4())
+    context, late, ended = spark.sparkContext, threading.Event(), threading.Event()
+    seconds = request.timeout() if timeout is None else timeout
+    append_status(spark, path, topic_id, topics.PROCESSING, description=request.description(), params=request.params())
+
+    def watch() -> None:
+        if not ended.wait(seconds):
+            late.set()
+            while not ended.wait(0.2):  # a job that is being planned begins later
+                context.cancelJobGroup(topic_id)
+
+    context.setJobGroup(topic_id, request.description(), interruptOnCancel=True)
+    threading.Thread(target=watch, daemon=True).start()
+    found: dict = {}
+    try:
+        found = _store(source, spark, request, topic_id, path, as_of)
+        status = topics.COMPLETED
+    except Exception as error:  # whatever it is, the topic must not stay in processing
+        status, found = (topics.TIMEOUT if late.is_set() else topics.FAILED), {"error": str(error)[:200]}
+    finally:
+        ended.set()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
+    if status != topics.COMPLETED:
+        _drop_folders(spark, path, topic_id, ("index", "chunks", "articles"))
+    append_status(spark, path, topic_id, status, **found)
+    return {"topic_id": topic_id, "status": status, "article_count": 0, "chunk_count": 0} | found
+
+
+def _store(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_id: str, path: str, as_of: date) -> dict:
     found = hits(source, spark, request, as_of).drop("topic_id").withColumn("topic_id", F.lit(topic_id))
     good = found.where(articles.is_valid(F.col("pmid"), F.col("title"), F.col("abstract")))
     good.persist()
     try:
-        count = good.count()
+        count, pieces = good.count(), 0
         if count:
             records.write_articles(articles.stored_articles(good), f"{path}/articles")
-            pieces = articles.chunks(good)
-            records.write_chunk_store(pieces, f"{path}/chunks")
+            records.write_chunk_store(articles.chunks(good), f"{path}/chunks")
+            held = records.read_chunk_store(spark, f"{path}/chunks", topic_id)
+            pieces = held.count()
             if request.create_embeddings:
                 number = F.coalesce(F.col("metadata.chunk_index"), F.lit(-1))
-                vectors = retrieval.embed(pieces.select("content", F.col("metadata.topic_id").alias("topic_id"), F.col("metadata.pubmed_id").alias("pubmed_id"), F.col("metadata.chunk_type").alias("chunk_type"), number.alias("chunk_index")), "content")
+                vectors = retrieval.embed(held.select("content", F.col("metadata.topic_id").alias("topic_id"), F.col("metadata.pubmed_id").alias("pubmed_id"), F.col("metadata.chunk_type").alias("chunk_type"), number.alias("chunk_index")), "content")
                 records.write_index(vectors, f"{path}/index")
     finally:
         good.unpersist()
-    return {"topic_id": topic_id, "status": topics.COMPLETED, "article_count": count}
+    return {"article_count": count, "chunk_count": pieces}
+
 
+def memory(spark: SparkSession, path: str, keep: int = answers.KEPT_CONVERSATIONS) -> DataFrame:
+    """Turns of the conversations that are kept: the `keep` that began last, over all topics."""
+    try:
+        turns = spark.read.schema(TURNS).parquet(f"{path}/conversations")
+    except AnalysisException:
+        return spark.createDataFrame([], TURNS)
+    newest = answers.newest_conversations(turns, "at", "conversation_id", keep)
+    return turns.join(F.broadcast(newest.select("conversation_id")), "conversation_id", "left_semi")  # `keep` rows
+
+
+def answer(spark: SparkSession, path: str, questions: DataFrame, topic_id: str, generator: answers.Generator | None = None) -> DataFrame:
+    """query_id, conversation_id, answer for questions (query_id, text, and conversation_id if they go on with one).
 
-def answer(spark: SparkSession, path: str, questions: DataFrame, topic_id: str) -> DataFrame:
-    """query_id, answer for questions (query_id, text) about a topic's indexed articles; NotFound without an index."""
+    The topic must have completed (require_answerable) and have an index, else
+    NotFound. What a conversation said before is put before the question for the
+    retrieval, and question and answer are added to its turns.
+    """
+    require_answerable(topic_status(read_log(spark, path), topic_id))
     vectors = records.read_index(spark, f"{path}/index", topic_id).withColumn("chunk_id", F.concat_ws("_", "pubmed_id", "chunk_type", "chunk_index"))
     counts = topics.article_counts(spark.read.parquet(f"{path}/articles").where(F.col("topic_id") == topic_id))
-    asked = questions.withColumn("topic_id", F.lit(topic_id))
-    found = retrieval.retrieve(vectors, asked, counts, scope_col="topic_id").join(vectors.select("chunk_id", "content"), "chunk_id")
-    return answers.answer_questions(asked, found, counts)
+    given = F.col("conversation_id") if "conversation_id" in questions.columns else F.lit(None).cast("string")
+    asked = stored(questions.select("query_id", "text", F.coalesce(given, F.uuid()).alias("conversation_id")))
+    turns = memory(spark, path).where(F.col("topic_id") == topic_id).join(asked.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    told = answers.history(turns, "conversation_id").select("conversation_id", "history", F.col("turns").alias("before"))
+    asked = asked.join(told, "conversation_id", "left").withColumns({"topic_id": F.lit(topic_id), "standalone": answers.condensed(F.col("text"), F.col("history"))})
+    asked = stored(asked)
+    found = retrieval.retrieve(vectors, asked.select("query_id", "topic_id", F.col("standalone").alias("text")), counts, scope_col="topic_id").join(vectors.select("chunk_id", "content"), "chunk_id")
+    done = stored(answers.answer_questions(asked, found, counts, generator).join(asked.select("query_id", "conversation_id", "text", "before"), "query_id"))
+    order = Window.partitionBy("conversation_id").orderBy("query_id")
+    number = F.coalesce("before", F.lit(0)) + 2 * (F.row_number().over(order) - 1)
+    both = F.array(F.struct(F.lit(0).alias("k"), F.lit("user").alias("role"), F.col("text").alias("said")), F.struct(F.lit(1).alias("k"), F.lit("assistant").alias("role"), F.col("answer").alias("said")))
+    said = done.withColumn("turn", number).withColumn("part", F.explode(both))
+    said = said.select("conversation_id", (F.col("turn") + F.col("part.k")).cast("long").alias("turn"), "part.role", F.col("part.said").alias("text"), F.lit(datetime.now(UTC)).alias("at"), F.lit(topic_id).alias("topic_id"))
+    said.write.mode("append").partitionBy("topic_id").parquet(f"{path}/conversations")
+    return done.select("query_id", "conversation_id", "answer")
 
 
 def articles_page(spark: SparkSession, path: str, topic_id: str, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A page of a topic's stored articles, and its totals."""
-    stored, own = spark.read.parquet(f"{path}/articles"), F.col("topic_id") == topic_id
-    return topics.page(stored, own, limit, offset, "pubmed_id"), topics.page_info(stored, own, limit, offset)
+    """A page of a completed topic's stored articles, and its totals; NotFound for a topic that the log does not know."""
+    status = topic_status(read_log(spark, path), topic_id)
+    if status == topics.NOT_FOUND:
+        raise records.NotFound(topic_id)
+    stored_rows, own = spark.read.parquet(f"{path}/articles"), F.col("topic_id") == topic_id
+    if status != topics.COMPLETED:
+        own = own & F.lit(False)
+    return topics.page(stored_rows, own, limit, offset, "pubmed_id"), topics.page_info(stored_rows, own, limit, offset)
 
 
-def cleanup_topic(spark: SparkSession, path: str, topic_id: str) -> bool:
-    """Drop a topic's index and chunk folders, in whatever store they are; whether there was one."""
-    jvm = spark.sparkContext._jvm
+def _drop_folders(spark: SparkSession, path: str, topic_id: str, names: tuple[str, ...]) -> bool:
+    """Drop a topic's folders in these tables, in whatever store they are; whether there was one."""
     gone = False
-    for name in (f"{path}/index/topic_id={topic_id}", f"{path}/chunks/topic={topic_id}"):
-        place = jvm.org.apache.hadoop.fs.Path(name)
+    for name in names:
+        place = spark._jvm.org.apache.hadoop.fs.Path(records.topic_folder(spark, f"{path}/{name}", "topic" if name == "chunks" else "topic_id", topic_id))
         files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         gone = (files.exists(place) and files.delete(place, True)) or gone
     return gone
 
 
-def cleanup_old(spark: SparkSession, path: str, log: DataFrame, as_of: str, days: int = topics.RETENTION_DAYS) -> dict:
-    """Drop what expired topics keep; total, cleaned and failed. The list of topics is walked through, not held."""
+def cleanup_topic(spark: SparkSession, path: str, topic_id: str) -> dict:
+    """Drop a topic's index, chunks and conversations and say so in the log; NotFound for a topic that the log does not know."""
+    if topic_status(read_log(spark, path), topic_id) == topics.NOT_FOUND:
+        raise records.NotFound(topic_id)
+    talks = memory(spark, path).where(F.col("topic_id") == topic_id).select("conversation_id").distinct().count()
+    gone = _drop_folders(spark, path, topic_id, ("index", "chunks"))
+    _drop_folders(spark, path, topic_id, ("conversations",))
+    append_status(spark, path, topic_id, topics.CLEANED)
+    return {"topic_id": topic_id, "files_cleaned": gone, "conversations_removed": talks, "status": topics.CLEANED}
+
+
+def cleanup_old(spark: SparkSession, path: str, as_of: datetime, days: int = topics.RETENTION_DAYS) -> dict:
+    """Drop what expired topics keep; total, cleaned and failed (those without files). The list of topics is walked through, not held."""
     total = cleaned = 0
-    for row in topics.expired(log, F.to_timestamp(F.lit(as_of)), days).select("topic_id").toLocalIterator():
+    for row in topics.expired(_created(read_log(spark, path)), F.lit(as_of), days).select("topic_id").toLocalIterator():
         total += 1
-        cleaned += cleanup_topic(spark, path, row["topic_id"])
+        cleaned += cleanup_topic(spark, path, row["topic_id"])["files_cleaned"]
     return {"total": total, "cleaned": cleaned, "failed": total - cleaned}
 
 
+def _created(log: DataFrame) -> DataFrame:
+    return log.groupBy("topic_id").agg(F.min("ts").alias("created_at"), F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+
+
 def topic_status(log: DataFrame, topic_id: str) -> str:
     """The last status of a topic in the log, or not_found."""
     row = topics.latest(log.where(F.col("topic_id") == topic_id)).select("status").first()
     return row["status"] if row else topics.NOT_FOUND
 
 
-def append_status(spark: SparkSession, path: str, topic_id: str, status: str, at: datetime, event_id: int = 0) -> None:
-    """One more entry in the log of statuses, which is never rewritten."""
-    spark.createDataFrame([(topic_id, status, at, event_id)], "topic_id string, status string, ts timestamp, event_id long").write.mode("append").parquet(f"{path}/log")
-
-
 def require_answerable(status: str) -> None:
     """Questions are for completed topics."""
     if status == topics.NOT_FOUND:

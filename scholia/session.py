@@ -3,12 +3,41 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What a service can be set to; from_env() reads SCHOLIA_<NAME> and refuses what is no number of that kind."""
+
+    retention_days: int = 7
+    cleanup_interval_hours: int = 24
+    status_ttl_seconds: int = 3600
+    max_conversations: int = 100
+    max_answer_sentences: int = 3
+    embedding_dims: int = 256
+
+    def __post_init__(self) -> None:
+        for field in fields(self):
+            if not isinstance(getattr(self, field.name), int) or getattr(self, field.name) < 1:
+                raise ValueError(f"{field.name} is a whole number from 1 on")
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None) -> Settings:
+        env = os.environ if env is None else env
+        given = {field.name: env[key] for field in fields(cls) if (key := f"SCHOLIA_{field.name.upper()}") in env}
+        try:
+            return cls(**{name: int(value) for name, value in given.items()})
+        except ValueError as error:
+            raise ValueError(f"settings from the environment: {error}") from error
+
+
 def get_session(app: str = "scholia", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the library relies on: UTC, AQE, Arrow.
 
@@ -20,6 +49,8 @@ def get_session(app: str = "scholia", master: str | None = None, partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Ids in folder names stay texts: topic 007 is not topic 7.
+        .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -41,11 +72,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
     context = spark.sparkContext
     found = context.getCheckpointDir()
     if not found:
-        found = context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "scholia-checkpoints")
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            found = os.path.join(tempfile.gettempdir(), "scholia-checkpoints")
         context.setCheckpointDir(found)
     return found
 

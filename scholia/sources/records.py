@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholia.session import stored
+
 RECORD = "PubmedArticle"
 CHUNK_SCHEMA = (
     "content STRING, metadata STRUCT<topic_id: STRING, pubmed_id: STRING, title: STRING, authors: STRING, journal: STRING, publication_date: STRING,"
@@ -22,18 +24,29 @@ class NotFound(LookupError):
     """A topic's store that is not there."""
 
 
+#: Most file blocks whose offsets are sent to every task; beyond it, a shuffle join.
+BROADCAST_BLOCKS = 1_000_000
+
+
 def read_xml_records(spark: SparkSession, path: str, tag: str = RECORD) -> DataFrame:
     """xml and article_index (from 1, by file) of every record; large files are split between tasks.
 
-    The closing tag is the record separator of Spark's text reader.
+    The closing tag is the record separator of Spark's text reader. Numbers come
+    from the records' places within a block of a file and the counts of the
+    blocks before it, so that no record leaves the task that reads it.
     """
     text = spark.read.option("lineSep", f"</{tag}>").text(path)
     cut = text.select(
-        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
         F.regexp_extract("value", rf"(?s)<{tag}\b.*", 0).alias("open"),
     ).where("open <> ''")
-    order = Window.partitionBy("file").orderBy("at")
-    return cut.select("file", F.concat("open", F.lit(f"</{tag}>")).alias("xml"), F.row_number().over(order).alias("article_index"))
+    counts = stored(cut.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("low")))
+    # A file's blocks, a row for each 128 MB or so.
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "block", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    small = counts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    placed = cut.join(F.broadcast(offsets) if small else offsets, ["file", "block"])
+    return placed.select("file", F.concat("open", F.lit(f"</{tag}>")).alias("xml"), (F.col("offset") + F.col("at") - F.col("low") + 1).alias("article_index"))
 
 
 def read_search_response(spark: SparkSession, path: str) -> DataFrame:
@@ -57,15 +70,22 @@ def write_chunk_store(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("topic", F.col("metadata.topic_id")).write.mode("append").partitionBy("topic").json(path)
 
 
+def topic_folder(spark: SparkSession, base: str, column: str, topic_id: str) -> str:
+    """The folder below base that Spark's writers give a topic; an id can name no other place, whatever is in it."""
+    if not topic_id or not topic_id.strip():
+        raise ValueError("a topic has an id")
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(topic_id)
+    return f"{base}/{column}={escaped}"
+
+
 def read_chunk_store(spark: SparkSession, path: str, topic_id: str | None = None, multiline: bool = False) -> DataFrame:
-    """Chunks of a store; multiline reads files that are one JSON array each."""
-    reader = spark.read.schema(CHUNK_SCHEMA)
-    read = reader.option("multiLine", multiline).json(path)
+    """Chunks of a store, of one topic from its folder alone; multiline reads files that are one JSON array each, without folders."""
+    read = spark.read.schema(CHUNK_SCHEMA if multiline else f"{CHUNK_SCHEMA}, topic STRING").option("multiLine", multiline).json(path)
     if topic_id is not None:
-        read = read.where(F.col("metadata.topic_id") == topic_id)
+        read = read.where((F.col("metadata.topic_id") if multiline else F.col("topic")) == topic_id)
         if read.isEmpty():
             raise NotFound(topic_id)
-    return read
+    return read.drop("topic")
 
 
 def write_index(vectors: DataFrame, path: str) -> None:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scholia.operators.topics import COMPLETED, FAILED, PROCESSING, TIMEOUT
+from scholia.operators.topics import COMPLETED, FAILED, PROCESSING, TIMEOUT, TTL_SECONDS
+from scholia.plans import engine
+from scholia.plans.request import InvalidRequest, TopicRequest
 
 REQUESTS = "topic_id string, query string, max_results int, ts timestamp"
 EVENTS = "topic_id string, event string, max_results int, ts timestamp"
@@ -18,33 +21,41 @@ STATUS = "topic_id string, status string, ts timestamp"
 ENDS = {"done": COMPLETED, "error": FAILED}
 
 
-def status_machine(events: DataFrame, delay: str = "1 minute") -> DataFrame:
+def status_machine(events: DataFrame, delay: str = "1 minute", ttl: int = TTL_SECONDS) -> DataFrame:
     """topic_id, status, ts from events start, done and error, by event time.
 
     A job that has not ended 60 + 2 * max_results seconds after its start times
-    out when the watermark passes; what comes after an end changes nothing. Use
-    as a stream, appended.
+    out: when the watermark passes, or when an end arrives that is later than
+    that. What comes after an end changes nothing until ttl seconds later, when
+    the state is removed and the topic may start again. Use as a stream, appended.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = []
         status, due = state.get if state.exists else (None, None)
         if state.hasTimedOut:
-            rows.append((key[0], TIMEOUT, pd.Timestamp(due, unit="ms")))
-            state.remove()
+            if status == PROCESSING:
+                rows.append((key[0], TIMEOUT, pd.Timestamp(due, unit="ms")))
+                status, due = TIMEOUT, due + 1000 * ttl
+            else:
+                status = None
         else:
             found = pd.concat(list(batches)).sort_values("ts", kind="stable")
             for row in found.itertuples(index=False):
+                now = int(row.ts.timestamp() * 1000)
                 if row.event == "start" and status is None:
-                    status, due = PROCESSING, int(row.ts.timestamp() * 1000) + 1000 * (60 + 2 * int(row.max_results))
+                    status, due = PROCESSING, now + 1000 * (60 + 2 * int(row.max_results))
                     rows.append((key[0], PROCESSING, row.ts))
                 elif row.event in ENDS and status == PROCESSING:
-                    status = ENDS[row.event]
-                    rows.append((key[0], status, row.ts))
-            if status is not None:
-                state.update((status, due))
-                if status == PROCESSING:
-                    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+                    status, at = (ENDS[row.event], row.ts) if now <= due else (TIMEOUT, pd.Timestamp(due, unit="ms"))
+                    rows.append((key[0], status, at))
+                    # From here on, due is the time at which the state goes.
+                    due = min(now, due) + 1000 * ttl
+        if status is not None:
+            state.update((status, due))
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=["topic_id", "status", "ts"])
 
     watched = events.withWatermark("ts", delay)
@@ -59,3 +70,25 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFra
 def run_ingest(requests: DataFrame, ingest: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Every batch of requests through ingest(batch, id), once each, with what is there now."""
     return requests.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_requests(source: DataFrame, requests: DataFrame, path: str, checkpoint: str, as_of: date) -> StreamingQuery:
+    """A stream of requests (REQUESTS) as ingest jobs into a store, with the store's log of statuses.
+
+    A batch that is tried again leaves out the topics that it completed before; a
+    request that cannot be searched for is a failed topic and stops nothing.
+    """
+
+    def each(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        for row in batch.orderBy("ts").toLocalIterator():
+            if engine.topic_status(engine.read_log(spark, path), row["topic_id"]) == COMPLETED:
+                continue
+            try:
+                request = TopicRequest(advanced_query=row["query"], max_results=row["max_results"])
+            except InvalidRequest as error:
+                engine.append_status(spark, path, row["topic_id"], FAILED, error=str(error))
+                continue
+            engine.ingest(source, spark, request, row["topic_id"], path, as_of)
+
+    return run_ingest(requests, each, checkpoint)

@@ -2,27 +2,30 @@
 
 import json
 import random
+import re
 from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scholia.operators import answers, articles, retrieval, topics
 from scholia.plans import engine
+from scholia.plans.predicate import search
 from scholia.plans.request import TopicRequest
 from scholia.sources import records
 from scholia.streaming import jobs
 
-XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle Status="x"><PMID>11</PMID><ArticleTitle>Plain title <i>of</i> the thing</ArticleTitle>
+XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle Status="x"><MedlineCitation Status="MEDLINE"/><Language>eng</Language><PMID>11</PMID><ArticleTitle>Plain title <i>of</i> the thing</ArticleTitle>
 <Abstract><AbstractText Label="BACKGROUND">One &lt; two</AbstractText><AbstractText> </AbstractText><AbstractText Label="">Three <i>it</i> tail</AbstractText></Abstract>
 <AuthorList><Author><LastName>Li</LastName><ForeName>Ann</ForeName><Initials>A</Initials></Author><Author><LastName>Bo</LastName><Initials>B</Initials></Author><Author><LastName>Solo</LastName></Author><Author><ForeName>No</ForeName></Author><Author><CollectiveName> The Group </CollectiveName></Author><Author><CollectiveName/></Author></AuthorList>
 <Journal><Title/></Journal><MedlineTA>J Med</MedlineTA><PubDate><Year>2022</Year><Month>Dec</Month><Day>3</Day></PubDate><ArticleId IdType="pii">p</ArticleId><ArticleId IdType="doi">10.1/x</ArticleId>
 <MeshHeading><DescriptorName>Humans</DescriptorName></MeshHeading><MeshHeading><DescriptorName>Mice</DescriptorName></MeshHeading><Keyword>k1</Keyword><Keyword/><PublicationType>Review</PublicationType></PubmedArticle>
-<PubmedArticle><PMID>12</PMID><ArticleTitle><i>Lead</i> rest</ArticleTitle><Journal><Title>J</Title></Journal><PubDate><MedlineDate>2020 Jan-Feb</MedlineDate></PubDate></PubmedArticle>
+<PubmedArticle><MedlineCitation Status="In-Process"/><Language>lat</Language><ArticleId IdType="pmc">P1</ArticleId><ArticleId IdType="mid">N1</ArticleId><PMID>12</PMID><ArticleTitle><i>Lead</i> rest</ArticleTitle><Journal><Title>J</Title></Journal><PubDate><MedlineDate>2020 Jan-Feb</MedlineDate></PubDate></PubmedArticle>
 <PubmedArticle><PMID>13</PMID><ArticleTitle>x</bad></PubmedArticle>
 <PubmedArticle><ArticleTitle>Four</ArticleTitle><PubDate/><ArticleDate><Year>2021</Year><Month>Spring</Month></ArticleDate></PubmedArticle>
 <PubmedArticle><PMID>11</PMID><PubDate><Year>2022</Year><Day>4</Day></PubDate></PubmedArticle></PubmedArticleSet>"""
@@ -40,13 +43,32 @@ def test_extraction(extracted):
     assert sorted(rows) == [1, 2, 4, 5]
     assert rows[1] == {
         "article_index": 1, "pmid": "11", "title": "Plain title ", "abstract": "BACKGROUND: One < two Three", "authors": "Li, Ann; Bo, B; Solo; The Group", "journal": "J Med",
-        "publication_date": "2022-12-03", "doi": "10.1/x", "mesh_terms": ["Humans", "Mice"], "keywords": ["k1"], "publication_types": ["Review"],
+        "publication_date": "2022-12-03", "doi": "10.1/x", "mesh_terms": ["Humans", "Mice"], "keywords": ["k1"], "publication_types": ["Review"], "lang": "en", "subsets": ["medline", "full text"],
     }
     assert (rows[2]["title"], rows[2]["publication_date"], rows[2]["journal"], rows[2]["doi"]) == ("No Title", "Unknown Date", "J", None)
     assert (rows[4]["pmid"], rows[4]["publication_date"], rows[4]["abstract"], rows[4]["authors"]) == ("unknown", "2021-Spring", "No Abstract", "Unknown Authors")
     assert rows[5]["publication_date"] == "2022" and rows[5]["mesh_terms"] == []
+    assert (rows[2]["lang"], rows[2]["subsets"]) == ("lat", ["in process", "pmc", "full text", "free full text", "nihms"]) and (rows[4]["lang"], rows[4]["subsets"]) == (None, [])
+    found = lambda q: sorted(r["article_index"] for r in search(articles.with_date_bounds(extracted), q).collect())
+    assert found("medline[sb]") == [1] and found("full text[sb] NOT free full text[sb]") == [1] and found("english[lang]") == [1] and found("NOT medline[sb]") == [2, 4, 5]
 
 
+def test_records_are_numbered_over_blocks(spark, tmp_path):
+    """Records keep their numbers by file however many blocks and files a task reads, and no record is shuffled."""
+    for name, n in (("a", 300), ("b", 40), ("c", 0)):
+        (tmp_path / f"{name}.xml").write_text("<PubmedArticleSet>" + "\n".join(f"<PubmedArticle><PMID>{name}{i}</PMID>{'pad ' * (i % 50)}</PubmedArticle>" for i in range(1, n + 1)) + "</PubmedArticleSet>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        found = records.read_xml_records(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 5
+        got = sorted((r["file"][-5], r["article_index"], r["xml"].split("<PMID>")[1].split("<")[0]) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([("a", i, f"a{i}") for i in range(1, 301)] + [("b", i, f"b{i}") for i in range(1, 41)])
+    assert "BroadcastHashJoin" in plan
+
 @pytest.mark.parametrize(
     ("pmid", "title", "abstract", "good"),
     [("1", "t" * 10, "a" * 50, True), ("1", "t" * 9, "a" * 50, False), ("1", "t" * 49, "a" * 49, False), ("1", "t" * 50, "a" * 49, True), ("1", "t" * 50, "No Abstract", True), ("unknown", "t" * 50, "a" * 50, False), (None, "t" * 50, "a" * 50, False), ("1", "No Title", "a" * 50, False), ("1", " " * 5 + "t" * 9, "a" * 50, False), ("1", "t" * 10, None, False)],
@@ -99,8 +121,16 @@ def test_stores(spark, tmp_path):
     records.write_chunk_store(articles.chunks(base), str(tmp_path / "chunks"))
     found = records.read_chunk_store(spark, str(tmp_path / "chunks"), "s")
     assert found.count() == articles.chunks(base).where("metadata.topic_id = 's'").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*topic#\d+ = s", plan) and found.columns == ["content", "metadata"]
     with pytest.raises(records.NotFound):
         records.read_chunk_store(spark, str(tmp_path / "chunks"), "zzz")
+    odd = articles.articles_of_documents(spark.createDataFrame([(1, "A title here", "en", "x/../y"), (2, "B title", "en", "007"), (3, "C title", "en", "7")], "doc_id long, text string, lang string, source string"))
+    records.write_chunk_store(articles.chunks(odd), str(tmp_path / "odd"))
+    assert [records.read_chunk_store(spark, str(tmp_path / "odd"), t).count() for t in ("x/../y", "007", "7")] == [1, 1, 1]
+    assert records.topic_folder(spark, str(tmp_path / "odd"), "topic", "x/../y") == f"{tmp_path}/odd/topic=x%2F..%2Fy" and (tmp_path / "odd" / "topic=x%2F..%2Fy").is_dir()
+    with pytest.raises(ValueError):
+        records.topic_folder(spark, "base", "topic", " ")
     (tmp_path / "one.json").write_text(json.dumps([{"content": "c", "metadata": {"topic_id": "q", "pubmed_id": "5"}}]))
     assert records.read_chunk_store(spark, str(tmp_path / "one.json"), "q", multiline=True).first()["metadata"]["pubmed_id"] == "5"
     (tmp_path / "search.json").write_text(json.dumps({"esearchresult": {"count": "7", "idlist": ["3", "4"]}}))
@@ -121,16 +151,22 @@ def test_nearest_scopes_and_ties(spark):
     assert [r["vec_id"] for r in found] == [1, 3, 5, 7] and {r["query_id"] for r in found} == {1}
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_nearest_in_blocks(spark, monkeypatch, most):
+    """More queries than a block, more vectors than a shard, in one pass over the vectors, sent or joined."""
     rng = np.random.default_rng(0)
-    rows, asks = rng.normal(size=(200, 8)), rng.normal(size=(7, 8))
-    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    rows, asks = rng.normal(size=(500, 8)), rng.normal(size=(2000, 8))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").unionByName(spark.createDataFrame([(9000, [1.0]), (9001, None), (9002, [])], "vec_id long, embedding array<double>"))
     asked = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(asks)], "query_id long, query_embedding array<double>")
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
-    found = retrieval.nearest(frame, asked, 5).toPandas()
+    monkeypatch.setattr(retrieval, "SHARD_ROWS", 60)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", most)
+    ranked = retrieval.nearest(frame, asked, 5)
+    assert len(re.findall("MapInArrow", ranked._jdf.queryExecution().optimizedPlan().toString())) == (2 if most else 1)
+    found = ranked.toPandas()
+    assert len(found) == 10000
+    away = ((asks[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2)
     for q, part in found.groupby("query_id"):
-        want = np.argsort(np.linalg.norm(rows - asks[q], axis=1))[:5]
-        assert part.sort_values("rank")["vec_id"].tolist() == want.tolist()
+        assert part.sort_values("rank")["vec_id"].tolist() == np.argsort(away[q], kind="stable")[:5].tolist()
 
 
 def slow_mmr(query, rows, k, weight):
@@ -159,6 +195,12 @@ def test_mmr():
 def test_embedding_is_stable(spark):
     frame = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "i int, t string")
     rows = {r["i"]: np.array(r["embedding"]) for r in retrieval.embed(frame, "t").collect()}
+    assert not np.array_equal(rows[1], retrieval.hash_embedder()(["b a b"])[0])
+    slow = np.zeros(256)
+    for word in ["a", "b", "a"]:
+        code = xxhash.xxh64_intdigest(word)
+        slow[code % 256] += 1 if code >> 63 else -1
+    assert np.allclose(rows[1], slow / np.linalg.norm(slow), atol=1e-6)
     assert np.allclose(rows[1], retrieval.hash_embedder()(["a b a"])[0]) and abs(np.linalg.norm(rows[1]) - 1) < 1e-6 and not rows[2].any() and not rows[3].any()
     custom = retrieval.embed(frame, "t", lambda texts: np.ones((len(texts), 3), np.float32))
     assert custom.first()["embedding"] == [1.0, 1.0, 1.0]
@@ -194,65 +236,124 @@ def test_status_stream(spark, tmp_path):
 
     stream = jobs.status_machine(jobs.read_events(spark, str(source)), "1 second")
     query = stream.writeStream.outputMode("append").format("memory").queryName("statuses").option("checkpointLocation", str(tmp_path / "cp")).start()
+    kept = []
     try:
-        drop("1.json", ("a", "start", 1, 0), ("b", "start", 1, 0), ("c", "start", 1, 1), ("c", "error", 1, 5))
-        query.processAllAvailable()
-        drop("2.json", ("a", "done", 1, 30), ("z", "start", 1, 5000))
-        query.processAllAvailable()
-        drop("3.json", ("z", "done", 1, 5001), ("a", "error", 1, 5002))
-        query.processAllAvailable()
+        for n, events in enumerate([
+            [("a", "start", 1, 0), ("b", "start", 1, 0), ("c", "start", 1, 1), ("c", "error", 1, 5), ("d", "start", 1, 2)],
+            [("a", "done", 1, 30), ("d", "done", 1, 90)],  # d ends in time order, but after its deadline of 64
+            [("z", "start", 1, 500)], [("c", "start", 1, 600), ("z", "done", 1, 501)],  # c starts again too early
+            [("y", "start", 1, 5000)], [("c", "start", 1, 5001)], [("x", "start", 1, 20000)],
+        ]):
+            drop(f"{n}.json", *events)
+            query.processAllAvailable()
+            progress = query.lastProgress
+            kept.append(progress["stateOperators"][0]["numRowsTotal"] if progress and progress["stateOperators"] else None)
     finally:
         query.stop()
     found = {}
     for r in spark.sql("select topic_id, status from statuses").collect():
         found.setdefault(r["topic_id"], []).append(r["status"])
-    assert found["a"] == ["processing", "completed"] and found["b"] == ["processing", "timeout"] and found["c"] == ["processing", "failed"] and found["z"][0] == "processing"
+    assert found["a"] == ["processing", "completed"] and found["b"] == ["processing", "timeout"] and found["d"] == ["processing", "timeout"]
+    assert found["c"][:3] == ["processing", "failed", "processing"] and found["z"] == ["processing", "completed"] and "x" in found
+    assert kept[-1] < len(found)  # states of ended jobs go
+    told = spark.createDataFrame([("d", "start", 1, at(2), 1), ("d", "done", 1, at(90), 2), ("a", "start", 1, at(0), 3), ("a", "done", 1, at(30), 4)], "topic_id string, event string, max_results int, ts string, event_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    batch = {r["topic_id"]: r["status"] for r in topics.outcomes(told, F.lit(at(100)).cast("timestamp")).collect()}
+    assert batch == {"d": "timeout", "a": "completed"}
 
 
-def test_ingest_stream(spark, tmp_path):
+def test_ingest_stream(spark, small, tmp_path):
     source = tmp_path / "requests"
     source.mkdir()
-    (source / "1.json").write_text(json.dumps({"topic_id": "t", "query": "x", "max_results": 5, "ts": "2024-01-01T00:00:00"}))
-    seen = []
-    stream = jobs.read_events(spark, str(source), jobs.REQUESTS)
-    jobs.run_ingest(stream, lambda batch, number: seen.extend(r["topic_id"] for r in batch.collect()), str(tmp_path / "cp")).awaitTermination(60)
-    assert seen == ["t"]
+    rows = [("t", "the", 5), ("bad", "the AND", 5), ("worse", "the", 0)]
+    (source / "1.json").write_text("\n".join(json.dumps({"topic_id": t, "query": q, "max_results": n, "ts": "2024-01-01T00:00:00"}) for t, q, n in rows))
+    documents = articles.articles_of_documents(spark.read.parquet(f"{small}/documents.parquet"))
+    path = str(tmp_path / "store")
+    for _ in range(2):  # the second run finds nothing new
+        jobs.ingest_requests(documents, jobs.read_events(spark, str(source), jobs.REQUESTS), path, str(tmp_path / "cp"), date(2024, 1, 1)).awaitTermination(120)
+    log = engine.read_log(spark, path)
+    assert {t: engine.topic_status(log, t) for t, _, _ in rows} == {"t": "completed", "bad": "failed", "worse": "failed"}
+    assert log.where("topic_id = 't'").count() == 2 and spark.read.parquet(f"{path}/articles").count() == 5
+
+
+def dated_articles(spark):
+    rows = [(str(i), f"Insulin study number {i}", ("Insulin works in mice. " * (i % 4 + 1)) + "It was a long study of many sides and ends. " * (25 if i % 5 == 0 else 1), f"{2015 + i % 10}-0{i % 9 + 1}") for i in range(1, 31)]
+    base = articles.articles_of_documents(spark.createDataFrame([(int(i), t + "\n" + a, "en", "s") for i, t, a, _ in rows], "doc_id long, text string, lang string, source string"))
+    dates = spark.createDataFrame([(i, d) for i, _, _, d in rows], "pmid string, day string")
+    return base.join(dates, "pmid").withColumn("publication_date", F.col("day")).drop("day"), rows
+
+
+def test_hits_by_relevance_and_date(spark):
+    source, rows = dated_articles(spark)
+    found = [r["pmid"] for r in engine.hits(source, spark, TopicRequest(topic="mice", max_results=8), date(2024, 6, 1)).collect()]
+    assert found == [i for i, _, a, _ in sorted(rows, key=lambda r: (-r[2].lower().count("mice"), r[0]))][:8]
+    recent = engine.hits(source, spark, TopicRequest(topic="mice", max_results=100, filters={"publication_date": "1_year"}), date(2024, 6, 1)).collect()
+    assert {r["pmid"] for r in recent} == {i for i, _, _, d in rows if "2023-06" <= d <= "2024-06"} and recent
+    asked = engine.hits(source, spark, TopicRequest(topic="what is the latest treatment with insulin?", auto_transform=False, max_results=100), date(2024, 6, 1))
+    assert asked.count() == 0
+    latest = engine.query_of(spark, TopicRequest(topic="latest side effects of insulin"), date(2024, 6, 1))
+    assert latest.endswith('("2019"[Date - Publication] : "3000"[Date - Publication])')
 
 
 def test_engine_end_to_end(spark, small, tmp_path):
-    source = articles.articles_of_documents(spark.read.parquet(f"{small}/documents.parquet"))
+    """Fetch, status, ask, follow up, page, clean up."""
+    source, _ = dated_articles(spark)
     path = str(tmp_path / "store")
-    done = engine.ingest(source, spark, TopicRequest(topic="the", max_results=30), "t1", path, date(2024, 1, 1))
-    assert done["status"] == "completed" and 0 < done["article_count"] <= 30
-    bare = engine.ingest(source, spark, TopicRequest(topic="the", max_results=5, create_embeddings=False), "t2", path, date(2024, 1, 1))
+    done = engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=20), None, path, date(2024, 1, 1))
+    t1 = done["topic_id"]
+    assert len(t1) == 36 and done["status"] == "completed" and done["article_count"] == 20 and done["chunk_count"] > 20
+    bare = engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=5, create_embeddings=False), "t2", path, date(2024, 1, 1))
     none = engine.ingest(source, spark, TopicRequest(topic="qqqqqq"), "t3", path, date(2024, 1, 1))
-    assert bare["article_count"] > 0 and none["article_count"] == 0
-    rows, info = engine.articles_page(spark, path, "t1", 10, 0)
-    assert rows.count() == min(10, done["article_count"]) and info.first()["total"] == done["article_count"]
-    asked = spark.createDataFrame([(1, "tell me about the thing " + random.Random(0).choice(["thhe", "then"]))], "query_id long, text string")
-    assert engine.answer(spark, path, asked, "t1").count() == 1
+    bad = engine.ingest(source, spark, TopicRequest(advanced_query="insulin AND"), "t4", path, date(2024, 1, 1))
+    slow = engine.ingest(source.withColumn("title", F.udf(lambda t: __import__("time").sleep(2) or t)("title")), spark, TopicRequest(topic="insulin"), "t5", path, date(2024, 1, 1), timeout=1.5)
+    assert (bare["article_count"], none["article_count"], bad["status"], slow["status"]) == (5, 0, "failed", "timeout") and "too early" in bad["error"]
+    log = engine.read_log(spark, path)
+    assert [engine.topic_status(log, t) for t in (t1, "t2", "t3", "t4", "t5", "t8")] == ["completed", "completed", "completed", "failed", "timeout", "not_found"] and engine.active_tasks(log) == 0
+    assert json.loads(log.where(f"topic_id = '{t1}' and status = 'completed'").first()["detail"]) == {"article_count": 20, "chunk_count": done["chunk_count"]}
+    rows, info = engine.articles_page(spark, path, t1, 10, 15)
+    assert rows.count() == 5 and tuple(info.first()) == (20, 10, 15, False)
+    assert engine.articles_page(spark, path, "t4")[0].count() == 0
+    asked = spark.createDataFrame([(1, "Does insulin work in mice?"), (2, "What of volcanoes?")], "query_id long, text string")
+    first = {r["query_id"]: r for r in engine.answer(spark, path, asked, t1).collect()}
+    assert "Insulin works in mice." in first[1]["answer"] and first[2]["answer"].startswith("I don't have specific") and first[1]["conversation_id"] != first[2]["conversation_id"]
+    again = spark.createDataFrame([(3, "And in people?", first[1]["conversation_id"]), (4, "Any more?", first[1]["conversation_id"])], "query_id long, text string, conversation_id string")
+    seen = []
+    told = {r["query_id"]: r for r in engine.answer(spark, path, again, t1).collect()}
+    assert "Insulin works in mice." in told[3]["answer"]  # the question alone has no word of it
+    turns = engine.memory(spark, path).where(F.col("conversation_id") == first[1]["conversation_id"]).orderBy("turn").collect()
+    assert [(r["turn"], r["role"]) for r in turns] == [(n, ("user", "assistant")[n % 2]) for n in range(6)] and [r["text"] for r in turns][::2] == ["Does insulin work in mice?", "And in people?", "Any more?"]
+    assert engine.memory(spark, path, keep=1).select("conversation_id").distinct().count() == 1 and not seen
+    for topic in ("t2", "t8"):
+        with pytest.raises(records.NotFound):
+            engine.answer(spark, path, asked, topic)
+    with pytest.raises(RuntimeError):
+        engine.answer(spark, path, asked, "t4")
     with pytest.raises(records.NotFound):
-        engine.answer(spark, path, asked, "t2")
+        engine.articles_page(spark, path, "t8")
     assert engine.storage_status(spark, path)["topics"] == 1
-    engine.append_status(spark, path, "t1", "processing", datetime(2024, 1, 1))
-    engine.append_status(spark, path, "t1", "completed", datetime(2024, 1, 2))
-    engine.append_status(spark, path, "t2", "processing", datetime(2024, 1, 2))
-    kept = spark.read.parquet(f"{path}/log")
-    assert [engine.topic_status(kept, t) for t in ("t1", "t2", "t8")] == ["completed", "processing", "not_found"] and engine.active_tasks(kept) == 1
-    engine.require_answerable("completed")
-    with pytest.raises(records.NotFound):
-        engine.require_answerable("not_found")
-    with pytest.raises(RuntimeError):
-        engine.require_answerable("processing")
     found = engine.catalog_status(spark, path)
-    assert found["log"] == 3 and found["articles"] > 0 and engine.catalog_status(spark, str(tmp_path / "none"))["index"] is None
+    assert found["log"] == 10 and found["articles"] == 25 and engine.catalog_status(spark, str(tmp_path / "none"))["index"] is None
     assert engine.model_status() == {"embedder": "hashing", "dims": 256, "generator": "extractive"}
     assert engine.embedding_rate(spark, spark.createDataFrame([("a b",)], "text string"))["texts"] == 1
-    log = spark.createDataFrame([("t1", "completed", datetime(2024, 1, 1)), ("t9", "completed", datetime(2024, 1, 1)), ("t2", "cleaned", datetime(2024, 1, 1))], "topic_id string, status string, created_at timestamp")
-    assert engine.cleanup_old(spark, path, log, "2024-02-01 00:00:00") == {"total": 2, "cleaned": 1, "failed": 1}
+    with pytest.raises(records.NotFound):
+        engine.cleanup_topic(spark, path, "x/..")
+    engine.append_status(spark, path, "x/..", "completed")
+    assert engine.cleanup_topic(spark, path, "x/..")["files_cleaned"] is False and (tmp_path / "store" / "index").is_dir() and engine.storage_status(spark, path)["topics"] == 1
+    assert engine.cleanup_old(spark, path, datetime(2020, 1, 1)) == {"total": 0, "cleaned": 0, "failed": 0}
+    assert engine.cleanup_topic(spark, path, t1) == {"topic_id": t1, "files_cleaned": True, "conversations_removed": 2, "status": "cleaned"}
+    assert engine.cleanup_old(spark, path, datetime(2100, 1, 1)) == {"total": 4, "cleaned": 1, "failed": 3}
+    assert engine.topic_status(engine.read_log(spark, path), t1) == "cleaned" and engine.memory(spark, path).count() == 0
     assert engine.health(spark)["status"] == "ok"
 
 
+def test_settings(monkeypatch):
+    from scholia.session import Settings
+
+    assert Settings.from_env({}) == Settings() and Settings.from_env({"SCHOLIA_RETENTION_DAYS": "3"}).retention_days == 3
+    for env in ({"SCHOLIA_RETENTION_DAYS": "0"}, {"SCHOLIA_MAX_CONVERSATIONS": "many"}):
+        with pytest.raises(ValueError):
+            Settings.from_env(env)
+
+
 def test_newest_conversations_keep_first_seen_order(spark):
     frame = spark.createDataFrame(pd.DataFrame({"conv_id": [1, 2, 3, 1], "at": [1, 2, 3, 9]}))
     assert [r["conv_id"] for r in answers.newest_conversations(frame, "at", keep=2).collect()] == [3, 2]

@@ -353,6 +353,18 @@ def test_bpe_memo_does_not_change_ids(monkeypatch):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_columns_equal_single_texts():
+    import pyarrow as pa
+
+    rnd, codec = random.Random(3), bpe.Codec(tokenizer_path(), leaf=60)
+    for odd in ("", "\x85", "\u2003", "\x0b"):
+        texts = [rnd.choice(["", " ", "\n a", "b\t"]) + " ".join(rnd.choice([*WORDS, "Été,", "y" * 200, "İx"]) for _ in range(rnd.randint(0, 9))) + rnd.choice(["", " ", odd]) for _ in range(200)]
+        ids, ends, joins = codec.encode_column(pa.array(texts).slice(5))
+        for k, text in enumerate(texts[5:]):
+            assert ids[ends[k - 1] if k else 0 : ends[k]].tobytes() == codec.encode(text)
+        assert [n > 0 for n in joins] == ["y" * 200 in t for t in texts[5:]]
+
+
 def test_bpe_plain_runs_equal_the_library():
     rnd, tokenizer, codec = random.Random(7), library(), bpe.Codec(tokenizer_path())
     letters, marks = "abcdefgxyzABÀÉßàéèñöüÿØÞ", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

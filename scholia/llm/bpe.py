@@ -53,9 +53,9 @@ LEAF = 1 << 12
 #: First window on either side of a join; it doubles until both sides agree.
 WINDOW = 64
 #: Encoded runs a task keeps, in two generations of half as many; memory, not results, depends on it.
-MEMO = 400_000
+MEMO = 200_000
 #: Characters of texts encoded together, and runs in one call.
-TOGETHER, RUNS = 4 << 20, 200
+TOGETHER, RUNS = 1 << 20, 200
 
 #: A stretch of a run that a cut goes through: its composed text, ids and spans.
 Open = tuple[str, np.ndarray, np.ndarray]

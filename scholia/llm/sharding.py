@@ -13,8 +13,9 @@ A round: every group votes for the shard that holds most of it; its other units
 propose to move there. Proposals are pre-aggregated by (from, to, gain and group
 bucket), a table of bounded size, and accepted up to a quota for each pair of
 shards: the smaller of the two opposite flows, which swaps, plus a share of the
-room left in the target. Rounds end when no unit moves or at `max_rounds`; each
-is cut by a checkpoint.
+room left in the target. Each round is cut by a checkpoint. Rounds go on while
+they bring the rows outside their group's shard down by SETTLED or more, so that
+they end whatever the table; `max_rounds` may end them earlier.
 
 While labels move, a shard may exceed an even share by SLACK. Exact sizes: then
 linked documents keep their place up to the shard's quota of rows; the others
@@ -23,8 +24,9 @@ groups are cut. Ranks come from counts of buckets (bounded tables) and a window
 within each bucket, never from one window over a shard or over everything.
 
 Defined results: a null text counts as the empty text, of size 8; repeated rows
-are rows of their own and get slots of their own; fewer rows than shards leave
-shards empty; an empty table gives no rows.
+are rows of their own and get slots of their own, in whatever order; fewer rows
+than shards leave shards empty; an empty table gives no rows; a text of any
+length is hashed whole; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ GROUP_BUCKETS, ID_BUCKETS = 128, 16
 LARGE = 1000
 #: Share by which a shard may exceed an even one while labels move; the last step makes it even.
 SLACK = 0.5
+#: Least share by which a round has to lessen the rows outside their group's shard for another one to follow.
+SETTLED = 0.01
 
 
 def _ranked(rows: DataFrame, within: list[str], order: list[str]) -> DataFrame:
@@ -62,12 +66,14 @@ def _ranked(rows: DataFrame, within: list[str], order: list[str]) -> DataFrame:
     return placed.join(offsets, keys).withColumn("rank", F.col("offset") + F.col("place") - 1).drop("offset", "place")
 
 
-def propagate(units: DataFrame, shards: int, capacity: int, max_rounds: int = 6) -> DataFrame:
+def propagate(units: DataFrame, shards: int, capacity: int, max_rounds: int | None = None) -> DataFrame:
     """units (g, lane, n, label) with labels moved along links under quotas.
 
     A label takes rows up to about `capacity`; balanced_shards() evens the rest.
     """
-    for _ in range(max_rounds):
+    before, rounds = None, 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         cells = units.groupBy("g", "label").agg(F.sum("n").alias("held"))
         turn = F.pmod(F.col("label") - F.pmod("g", F.lit(shards)), F.lit(shards))
         best = cells.groupBy("g").agg(
@@ -78,6 +84,10 @@ def propagate(units: DataFrame, shards: int, capacity: int, max_rounds: int = 6)
         bucket = (15 - gain) * FLOW_BUCKETS + F.pmod(F.xxhash64("g"), F.lit(FLOW_BUCKETS))
         asked = units.join(best, "g").select("g", "lane", "n", "label", "goal", F.when(F.col("label") != F.col("goal"), bucket).alias("bucket"))
         asked = cut(asked)
+        away = asked.where("bucket is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if away == 0 or (before is not None and away > (1 - SETTLED) * before):
+            break
+        before = away
         flows = asked.where("bucket is not null").groupBy("label", "goal", "bucket").agg(F.sum("n").alias("n"))
         pairs = flows.groupBy("label", "goal").agg(F.sum("n").alias("flow"))
         back = pairs.select(F.col("label").alias("goal"), F.col("goal").alias("label"), F.col("flow").alias("back"))
@@ -96,23 +106,20 @@ def propagate(units: DataFrame, shards: int, capacity: int, max_rounds: int = 6)
         # At most shards * (shards - 1) rows.
         moved = asked.join(F.broadcast(accepted), ["label", "goal"], "left")
         moves = F.col("bucket").isNotNull() & (F.col("bucket") <= F.col("upto"))
-        units = cut(moved.select("g", "lane", "n", F.when(moves, F.col("goal")).otherwise(F.col("label")).alias("label"), moves.alias("moves")))
-        if units.where("moves").isEmpty():
-            break
-        units = units.drop("moves")
+        units = cut(moved.select("g", "lane", "n", F.when(moves, F.col("goal")).otherwise(F.col("label")).alias("label")))
     return units.select("g", "lane", "n", "label")
 
 
-def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, max_rounds: int = 6) -> DataFrame:
+def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, max_rounds: int | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot (gapless from 0 in its shard)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = cut(
         docs.select(
-            F.col(id_col).alias("id"),
+            F.col(f"`{id_col}`").alias("id"),
             (F.octet_length(text).cast("long") + 8).alias("size"),
             F.crc32(F.encode(text, "utf-8")).alias("crc"),
             F.xxhash64(text).alias("g"),
-            F.pmod(F.xxhash64(F.col(id_col)), F.lit(LANES)).cast("int").alias("lane"),
+            F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(LANES)).cast("int").alias("lane"),
         )
     )
     total = base.count()
@@ -152,12 +159,38 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def digest(placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """balanced_shards() with the law it keeps."""
-    return placed.select(id_col, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(F.col(f"`{id_col}`"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_edges(placed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """kept, total: links of equal texts inside one shard, and all of them (from counts, not pairs).
+
+    placed: id and shard; docs: the documents, each id once.
+    """
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("g"))
+    cells = placed.select(F.col(f"`{id_col}`").alias("id"), "shard").join(texts, "id").groupBy("g", "shard").agg(F.count("*").alias("n"))
+    links = lambda n: F.sum(n * (n - 1) / 2).cast("long")
+    groups = cells.groupBy("g").agg(F.sum("n").alias("rows"), links(F.col("n")).alias("kept"))
+    return groups.agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"), F.coalesce(links(F.col("rows")), F.lit(0)).alias("total"))
+
+
+def brute_force(groups: list[int], shards: int) -> int:
+    """The most links that any division of groups of these sizes into even shards keeps, by trying all; for tests."""
+    total = sum(groups)
+    quotas = tuple(sorted(total // shards + (k < total % shards) for k in range(shards)))
+
+    def best(at: int, room: tuple[int, ...], known: dict) -> int:
+        if at == len(groups):
+            return 0
+        if (at, room) not in known:
+            known[at, room] = max(kept + best(at + 1, tuple(sorted(left)), known) for kept, left in _divisions(groups[at], room))
+        return known[at, room]
+
+    return best(0, quotas, {})
 
 
-def cut_edges(placed: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Links of equal texts inside and across shards: kept, total (from counts, not pairs)."""
-    cells = placed.join(groups, id_col).groupBy("g", "shard").agg(F.count("*").alias("n"))
-    inside = F.sum(F.col("n") * (F.col("n") - 1) / 2)
-    whole = cells.groupBy("g").agg(F.sum("n").alias("rows"), inside.alias("kept"))
-    return whole.agg(F.sum("kept").alias("kept"), F.sum(F.col("rows") * (F.col("rows") - 1) / 2).alias("total"))
+def _divisions(size: int, room: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
+    """Links kept and room left for every way to deal `size` copies out to shards."""
+    if not room:
+        return [(0, ())] if size == 0 else []
+    return [(n * (n - 1) // 2 + kept, (room[0] - n, *left)) for n in range(min(size, room[0]) + 1) for kept, left in _divisions(size - n, room[1:])]

@@ -50,7 +50,7 @@ LANE = 32
 BYTES = 256
 ROUNDS = 4
 #: Rows, and bytes of ids, handed on at a time.
-ROWS, CHUNK = 4096, 32 << 20
+ROWS, CHUNK = 512, 4 << 20
 
 
 def _mix(x: np.ndarray, key: int, turn: int) -> np.ndarray:
@@ -227,7 +227,8 @@ def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS,
     The end marks between documents stay in, as the number past the vocabulary.
     """
     kind = f"<u{id_width(vocabulary)}"
-    table = spark.read.parquet(path)
+    # Folder names are numbers or texts, as the session has it; the cast is pruned by.
+    table = spark.read.parquet(path).withColumn("lane", F.col("lane").cast("int"))
     last = table.agg(F.max("lane")).first()[0]
     for k in range(slot // records // lane, -1 if last is None else last + 1):
         # One folder, at most `lane` rows.

@@ -17,8 +17,9 @@ it is needed, and the key alone gives the order again, in both directions.
 Slots are written in shards of `records` records of equal stride: a record is
 its number of tokens, then its ids, little-endian and of two bytes, or of four for
 a vocabulary that needs them. Slot s is record s % records of shard s // records,
-at byte (s % records) * stride of that shard's payload. Shards lie in lanes of
-`lane` neighbouring shards, a folder for each; a reader goes from lane to lane and
+at byte (s % records) * stride of that shard's payload. Files hold ranges of
+shards in order, and `lane` neighbouring shards have a number of their own, by
+which a scan passes over files and row groups: a reader goes from lane to lane and
 shard to shard from any slot on, without a sort of the table, and needs nothing
 before that slot. The ids cross the network once.
 
@@ -217,8 +218,8 @@ _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
-    """Write the shards as Parquet rows, a folder for each lane and sorted by shard in it."""
-    shards(docs, **options).write.mode("overwrite").partitionBy("lane").parquet(path)
+    """Write the shards as Parquet rows, in files of neighbouring shards in order."""
+    shards(docs, **options).write.mode("overwrite").parquet(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS, vocabulary: int = BYTES, lane: int = LANE) -> Iterator[tuple[int, bytes]]:
@@ -227,11 +228,10 @@ def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS,
     The end marks between documents stay in, as the number past the vocabulary.
     """
     kind = f"<u{id_width(vocabulary)}"
-    # Folder names are numbers or texts, as the session has it; the cast is pruned by.
-    table = spark.read.parquet(path).withColumn("lane", F.col("lane").cast("int"))
+    table = spark.read.parquet(path)
     last = table.agg(F.max("lane")).first()[0]
     for k in range(slot // records // lane, -1 if last is None else last + 1):
-        # One folder, at most `lane` rows.
+        # At most `lane` rows, of the files that have them.
         rows = table.where((F.col("lane") == k) & (F.col("shard") >= slot // records)).orderBy("shard")
         for row in rows.toLocalIterator():
             for n in range(row["n_records"]):

@@ -144,7 +144,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     tokens = places.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     total, size = -(-tokens // length), id_width(vocabulary)
     count = max(1, -(-total // records))
-    parts = max(1, min(-(-count // lane), partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(count, partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     stride = 4 + size * length
     end = np.array([vocabulary], f"<u{size}").tobytes()
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, chat, decontamination, html_text, language, lines, neighbours, sharding, simhash, training_order
+from scholia.llm import bpe, centroids, chat, decontamination, html_text, language, lexical, lines, neighbours, secrets, sharding, simhash, training_order
 from scholia.session import checkpoint_dir, spread, stored, table
 
 #: Place of the public tokenizer file; every executor reads the same one.
@@ -68,6 +68,18 @@ def op9_training_order(spark, sf_dir):
     return training_order.digest(spark.read.parquet(path))
 
 
+def op11_centroids(spark, sf_dir):
+    return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_lexical(spark, sf_dir):
+    return lexical.digest(lexical.search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")))
+
+
+def op13_secrets(spark, sf_dir):
+    return secrets.digest(secrets.secrets(spread(table(spark, sf_dir, "documents"))))
+
+
 def queries():
     return {
         "op1_decontamination": op1_decontamination,
@@ -80,6 +92,9 @@ def queries():
         "op8_sharding": op8_sharding,
         "op9_training_order": op9_training_order,
         "op10_language": op10_language,
+        "op11_centroids": op11_centroids,
+        "op12_lexical": op12_lexical,
+        "op13_secrets": op13_secrets,
     }
 
 
@@ -88,4 +103,7 @@ def oracle_sql():
         "op1_decontamination": decontamination.ORACLE,
         "op5_lines": lines.ORACLE,
         "op7_chat": chat.ORACLE,
+        "op11_centroids": centroids.ORACLE,
+        "op12_lexical": lexical.ORACLE,
+        "op13_secrets": secrets.ORACLE,
     }

@@ -47,15 +47,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of a text that one task encodes; longer texts are spread as parts.
-PART = 1 << 16
+PART = 1 << 13
 #: Characters of a run without white space that one call encodes.
 LEAF = 1 << 12
 #: First window on either side of a join; it doubles until both sides agree.
 WINDOW = 64
-#: Encoded runs a task keeps, in two generations of half as many; memory, not results, depends on it.
-MEMO = 200_000
+#: Encoded runs a task keeps, in two generations of half as many, and words, of which runs are made; memory, not results, depends on it.
+MEMO, WORDS = 400_000, 200_000
 #: Characters of texts encoded together, and runs in one call.
-TOGETHER, RUNS = 1 << 20, 200
+TOGETHER, RUNS = 8 << 20, 200
 
 #: A stretch of a run that a cut goes through: its composed text, ids and spans.
 Open = tuple[str, np.ndarray, np.ndarray]
@@ -96,7 +96,9 @@ def read_spec(path: str) -> dict:
     model = spec.get("model", {})
     if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
         wrong.append("model")
-    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", [])):
+    added = spec.get("added_tokens", [])
+    # Plain runs are not searched for added tokens.
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) or _PLAIN.fullmatch(t["content"]) for t in added):
         wrong.append("added_tokens")
     if wrong:
         raise UnsupportedTokenizer(f"{path}: {', '.join(wrong)} of another kind than this encoder splits texts for")
@@ -122,6 +124,7 @@ class Codec:
         self.compose = normalizers.NFC().normalize_str
         self.tokenize = self.tokenizer.model.tokenize
         self.marks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.joins = 0
@@ -175,35 +178,47 @@ class Codec:
             # What these texts need stays; what earlier ones needed goes on as the older generation.
             self.older, self.memo = older, memo = memo, {r: memo[r] for r in runs if r in memo}
         short, tall = [], {}
+        words, marks, plain = self.words, self.marks, _PLAIN.fullmatch
+        if len(words) > WORDS:
+            words.clear()
         for run in missing:
             if (known := older.get(run)) is not None:
                 memo[run] = known
-            elif len(run) <= self.leaf:
-                if (plain := _PLAIN.fullmatch(run)) is not None:
-                    memo[run] = self._pieces(*plain.groups())
-                else:
-                    short.append(run)
-            else:
+            elif len(run) > self.leaf:
                 before = self.joins
                 tall[run] = (self.open(run)[1].tobytes(), self.joins - before)
+            elif (found := plain(run)) is None:
+                short.append(run)
+            else:
+                # At most two pieces, which go to the model without a search for them.
+                word, rest = found.groups()
+                if (head := words.get(word)) is None:
+                    head = self._word(word)
+                if not rest:
+                    memo[run] = head
+                elif (tail := marks.get(rest)) is not None:
+                    memo[run] = head + tail
+                else:
+                    memo[run] = head + self._marks(rest)
         for at in range(0, len(short), RUNS):
             few = short[at : at + RUNS]
             memo.update(zip(few, self._encode_runs(few), strict=True))
         return tall
 
-    def _pieces(self, letters: str, marks: str) -> bytes:
-        """Ids of a plain run, whose pieces go to the model without a search for them."""
-        tail = b""
-        if marks and (tail := self.marks.get(marks)) is None:
-            tail = array("I", [t.id for t in self.tokenize(marks)]).tobytes()
-            if len(marks) < 8:  # few enough to be kept
-                self.marks[marks] = tail
-        if not letters:
-            return tail
+    def _word(self, letters: str) -> bytes:
+        """Ids of plain letters, which are kept."""
         word = letters.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTES)
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes() + tail
+        if (data := self.words.get(word)) is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            data = self.words[word] = array("I", [t.id for t in self.tokenize(shown)] if word else []).tobytes()
+        self.words[letters] = data
+        return data
+
+    def _marks(self, marks: str) -> bytes:
+        data = array("I", [t.id for t in self.tokenize(marks)]).tobytes()
+        if len(marks) < 8:  # few enough to be kept
+            self.marks[marks] = data
+        return data
 
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
         """Ids of each run, all runs in one call: white space between them ends pieces, and spans say whose a token is."""
@@ -482,4 +497,5 @@ def vocabulary(path: str) -> int:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return found.select(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+    """encode() without the ids; joins say how many windows put a text together."""
+    return found.select(id_col, "n_tokens", "ids_sha256", "decoded_sha256", "joins")

@@ -135,7 +135,7 @@ def contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
 
 
 def _items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    return bench.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.encode(F.col(f"`{text_col}`").cast("string"), "utf-8").alias("text")).where(F.length("text") > 0)
+    return bench.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.encode(F.col(f"`{text_col}`").cast("string"), "utf-8").alias("text")).where(F.length("text") > 0)
 
 
 def _sent(items: DataFrame, block_bytes: int) -> list[tuple] | None:
@@ -149,7 +149,7 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<long>"
+_FOUND = "n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>"
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _scan(source: DataFrame, items: list[tuple], window: int) -> DataFrame:
                 counts.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in got])
                 items.append(sorted(owners))
-            columns = [batch.column("id"), batch.column("tk"), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))]
+            columns = [batch.column("id"), batch.column("tk"), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "tk", "n_words", "spans", "item_ids"])
 
     return source.mapInArrow(run, T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
@@ -193,9 +193,9 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
                 count = len(words) - size + 1 if size else 0
                 for at in range(0, count, ROWS):
                     found = [b" ".join(words[k : k + size]) for k in range(at, min(count, at + ROWS))]
-                    yield pa.RecordBatch.from_arrays([pa.array([size] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([item] * len(found), pa.int64())], ["n", "words", "item"])
+                    yield pa.RecordBatch.from_arrays([pa.array([size] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())], ["n", "words", "item"])
 
-    return items.mapInArrow(run, "n int, words binary, item long").distinct()
+    return items.mapInArrow(run, "n int, words binary, item string").distinct()
 
 
 def shift_table(items: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
@@ -272,7 +272,7 @@ def _routed(source: DataFrame, items: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             spans = [[{"start": s, "end": e} for s, e in merge([(x["start"], x["end"]) for x in row or []])] for row in batch.column("spans").to_pylist()]
             items = [row or [] for row in batch.column("item_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "tk", "n_words")), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.int64()))], ["id", "tk", "n_words", "spans", "item_ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "tk", "n_words")), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))], ["id", "tk", "n_words", "spans", "item_ids"])
 
     return joined.mapInArrow(union, T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
 
@@ -342,7 +342,7 @@ def _hit() -> F.Column:
 def digest(report: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The report of contamination() as counts and a hash of the item ids."""
     hit = _hit()
-    names = F.array_sort(F.transform("item_ids", lambda item: item.cast("string")))
+    names = F.array_sort("item_ids")
     return report.select(
         F.col(f"`{id_col}`"),
         "n_words",

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from scholia.llm import bpe, centroids, chat, decontamination, html_text, language, lexical, lines, neighbours, secrets, sharding, simhash, training_order
-from scholia.session import checkpoint_dir, spread, stored, table
+from scholia.session import checkpoint_dir, spread, table
 
 #: Place of the public tokenizer file; every executor reads the same one.
 TOKENIZER = "word_bpe_49k.json"
@@ -60,11 +60,8 @@ def op7_chat(spark, sf_dir):
 def op9_training_order(spark, sf_dir):
     """Every document's ids from the encoder, written as shards and read again."""
     tokenizer = tokenizer_path()
-    size = bpe.vocabulary(tokenizer)
-    # Stored, so that a task has one Python worker at a time.
-    ids = stored(bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer, digests=False).select("doc_id", "ids"))
     path = f"{checkpoint_dir(spark)}/order-{uuid.uuid4().hex}"
-    training_order.write(ids, path, text_col="ids", width=4, vocabulary=size)
+    training_order.write(spread(table(spark, sf_dir, "documents")), path, vocabulary=bpe.vocabulary(tokenizer), tokenizer=tokenizer)
     return training_order.digest(spark.read.parquet(path))
 
 

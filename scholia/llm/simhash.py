@@ -201,18 +201,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """docs with one document of each component, that of the smallest id.
 
-    Of repeated rows of that id one stays; rows without an id stay. Ids name
-    documents: rows of one id stay or go together.
+    Of repeated rows of that id the one with the smallest text stays (null before
+    all others), of equal texts the one whose JSON is smallest; rows without an id
+    stay. Ids name documents: rows of one id stay or go together.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    packed = docs.select(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = cut(near_duplicates(docs, id_col, text_col, distance).toDF("id", "fp", "component_id"))
     gone = found.where("id <> component_id").select("id").distinct()
     kept = packed.join(gone, "id", "left_anti")
     repeated = found.groupBy("id").count().where("count > 1 and id is not null").select("id")
     if not repeated.isEmpty():
-        again = kept.join(repeated, "id", "left_semi").dropDuplicates(["id"])
-        kept = kept.join(repeated, "id", "left_anti").unionByName(again)
+        again = kept.join(repeated, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.struct("text", F.to_json(F.struct("row")))).alias("row"))
+        kept = kept.join(repeated, "id", "left_anti").select("id", "row").unionByName(again)
     return kept.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])
 
 

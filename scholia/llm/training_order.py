@@ -1,13 +1,14 @@
 """Training-order materialisation: a keyed permutation of all sequences into fixed-stride shards.
 
-Token ids come as arrays, or as little-endian binary of a stated width as op4
-gives them; a text column's ids are its bytes. The documents' ids, each followed
+Token ids are those of a tokenizer file, by op4's encoder in the task that reads a
+text; or they come as arrays, or as little-endian binary of a stated width;
+without any of these a text's ids are its bytes. The documents' ids, each followed
 by an end mark (the first number past the vocabulary), are one stream, cut into
 sequences of `length` tokens; the last one alone is padded, with end marks. A
 document's place in the stream is the sum over the tasks and rows before it, in
-the order in which documents are stored: the ids are stored once with the number
-of their task and their place in it, and only the tasks' sums, a row for each,
-are added up over the table.
+the order in which documents are stored: one pass encodes, packs and numbers, the
+packed ids are stored once with the number of their task and their place in it,
+and only the tasks' sums, a row for each, are added up over the table.
 
 Every sequence has an index from 0 without gaps; a keyed Feistel network over the
 next power of four, walked until it falls below the number of sequences
@@ -33,6 +34,7 @@ whatever their names, are not looked at.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholia.session import stored
+from scholia.llm import bpe
+from scholia.session import checkpoint_dir, stored
 
 LENGTH, RECORDS, KEY = 2048, 1024, 2024
 #: Shards of a lane: what a reader orders at a time.
@@ -99,35 +102,55 @@ def packed(ids: bytes | list | np.ndarray | None, width: int | None, vocabulary:
     return found.astype(f"<u{id_width(vocabulary)}").tobytes()
 
 
-def streamed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
+def _packed_column(column: pa.Array, width: int | None, vocabulary: int, codec: bpe.Codec | None) -> tuple[pa.Array, np.ndarray]:
+    """Packed ids of every row of a column, and how many each has."""
+    size = id_width(vocabulary)
+    if codec is not None:
+        ids, ends, _ = codec.encode_column(column)
+        bounds = np.concatenate([[0], ends]) * size
+        data = pa.py_buffer(ids.astype(f"<u{size}").tobytes())
+        return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), data]), np.diff(bounds) // size
+    rows = [packed(x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) and x.is_valid else x.as_py(), width, vocabulary) for x in column]
+    return pa.array(rows, pa.large_binary()), np.array([len(d) // size for d in rows], np.int64)
+
+
+def streamed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, vocabulary: int = BYTES, tokenizer: str | None = None) -> DataFrame:
     """id, task, first, n, data: packed ids of every document with any, its first place among its task's tokens, its tokens with the end mark. Stored.
 
-    text_col has arrays of ids, binary ids of `width` bytes each, or texts.
+    text_col has texts (encoded by the tokenizer file, or as bytes), arrays of ids, or binary ids of `width` bytes each.
     """
     kind = docs.schema[text_col].dataType
     column = F.col(f"`{text_col}`")
-    if isinstance(kind, T.BinaryType):
+    if tokenizer is not None:
+        bpe.read_spec(tokenizer)
+        column = F.coalesce(column.cast("string"), F.lit(""))
+    elif isinstance(kind, T.BinaryType):
         if width not in (1, 2, 4, 8):
             raise ValueError(f"binary ids of {width} bytes")
     elif not isinstance(kind, T.ArrayType):
         column, width = F.encode(column.cast("string"), "utf-8"), 1
-    size = id_width(vocabulary)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), column.alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at = TaskContext.get().partitionId(), 0
+        task, at, codec = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                few = batch.slice(low, ROWS)
-                data = [packed(x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) and x.is_valid else x.as_py(), width, vocabulary) for x in few.column(1)]
-                keep = [i for i, d in enumerate(data) if d]
-                counts = np.array([len(data[i]) // size + 1 for i in keep], np.int64)
+            codec = codec or (bpe.Codec(tokenizer) if tokenizer is not None else None)
+            for few in bpe.slices(batch, bpe.TOGETHER) if codec else (batch.slice(low, ROWS) for low in range(0, batch.num_rows, ROWS)):
+                data, counts = _packed_column(few.column(1), width, vocabulary, codec)
+                keep = np.flatnonzero(counts)
+                counts = counts[keep] + 1
                 firsts = at + np.concatenate([[0], np.cumsum(counts)])
                 at = int(firsts[-1])
-                columns = [few.column(0).take(pa.array(keep, pa.int32())), pa.array([task] * len(keep), pa.int32()), pa.array(firsts[:-1]), pa.array(counts), pa.array([data[i] for i in keep], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "task", "first", "n", "data"])
+                some = pa.array(keep)
+                found = [few.column(0).take(some), pa.array(np.full(len(keep), task, np.int32)), pa.array(firsts[:-1]), pa.array(counts), data.take(some).cast(pa.binary())]
+                # Handed on a few at a time, as the reader on the other side holds a batch whole.
+                whole = pa.RecordBatch.from_arrays(found, ["id", "task", "first", "n", "data"])
+                yield from (whole.slice(low, ROWS) for low in range(0, whole.num_rows, ROWS))
 
-    return stored(rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("task int, first long, n long, data binary").fields])))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("task int, first long, n long, data binary").fields])
+    path = f"{checkpoint_dir(docs.sparkSession)}/stream-{uuid.uuid4().hex}"
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def offsets(stream: DataFrame) -> DataFrame:
@@ -137,9 +160,9 @@ def offsets(stream: DataFrame) -> DataFrame:
     return sums.select("task", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"), "tokens")
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, records: int = RECORDS, key: int = KEY, lane: int = LANE, partitions: int | None = None, width: int | None = None, vocabulary: int = BYTES) -> DataFrame:
-    """lane, shard, first_slot, n_records, n_tokens, stride, payload of every shard; text_col, width and vocabulary as for streamed()."""
-    stream = streamed(docs, id_col, text_col, width, vocabulary)
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, records: int = RECORDS, key: int = KEY, lane: int = LANE, partitions: int | None = None, width: int | None = None, vocabulary: int = BYTES, tokenizer: str | None = None) -> DataFrame:
+    """lane, shard, first_slot, n_records, n_tokens, stride, payload of every shard; text_col, width, vocabulary and tokenizer as for streamed()."""
+    stream = streamed(docs, id_col, text_col, width, vocabulary, tokenizer)
     places = stored(offsets(stream))
     tokens = places.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     total, size = -(-tokens // length), id_width(vocabulary)
@@ -219,7 +242,7 @@ _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()
 
 def write(docs: DataFrame, path: str, **options) -> None:
     """Write the shards as Parquet rows, in files of neighbouring shards in order."""
-    shards(docs, **options).write.mode("overwrite").parquet(path)
+    shards(docs, **options).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, records: int = RECORDS, vocabulary: int = BYTES, lane: int = LANE) -> Iterator[tuple[int, bytes]]:

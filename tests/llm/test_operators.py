@@ -39,6 +39,16 @@ def rows_of(frame) -> list[tuple]:
     return sorted(map(tuple, frame.collect()), key=repr)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination_takes_item_ids_of_any_type(spark, block_bytes):
+    rnd = random.Random(2)
+    texts = [sentence(rnd, 20) for _ in range(3)]
+    docs = spark.createDataFrame([(1, texts[0] + " " + texts[1]), (2, texts[2]), (3, "nothing of it")], "doc_id long, text string")
+    items = [("b1", texts[0]), ("a1", texts[1]), ("10", texts[1]), ("9", texts[2]), (None, texts[2])]
+    found = {r["doc_id"]: r["item_ids"] for r in decontamination.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), block_bytes=block_bytes).collect()}
+    assert found == {1: ["10", "a1", "b1"], 2: ["9"], 3: []}
+
+
 # --- 1 --------------------------------------------------------------------------------------------------------------
 
 
@@ -311,7 +321,7 @@ def test_bpe_whole_texts(spark):
     for doc, text in docs.collect():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         want.append((doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-    assert rows_of(bpe.digest(found)) == sorted(want, key=repr)
+    assert rows_of(bpe.digest(found).drop("joins")) == sorted(want, key=repr)
     assert bpe.encode(frame, tokenizer_path()).count() == frame.count()
     assert bpe.encode(empty(frame), tokenizer_path()).count() == 0
     dotted = frame.select("doc_id", "text").toDF("doc.id", "the text").withColumn("ids", F.lit(1))
@@ -503,6 +513,15 @@ def test_hot_keys_are_looked_up_where_they_are(spark, monkeypatch):
     assert rows_of(simhash.digest(found)) == sorted(simhash.brute_force(docs), key=repr)
 
 
+def test_simhash_keeps_the_smallest_text_of_an_id(spark):
+    rnd = random.Random(8)
+    texts = sorted(sentence(rnd, 40) for _ in range(4))
+    rows = [(1, texts[2], {"k": 1}), (1, texts[0], {"k": 2}), (1, texts[1], {"k": 3}), (2, texts[3], {"k": 4}), (3, "b", {"k": 5}), (3, None, {"k": 6})]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    for n in (1, 4):
+        assert sorted((r["doc_id"], r["text"], r["extra"]["k"]) for r in simhash.deduplicate(frame.repartition(n)).collect()) == [(1, texts[0], 2), (2, texts[3], 4), (3, None, 6)]
+
+
 def test_simhash_takes_any_column_name(spark):
     docs = spark.createDataFrame(near_docs(), "`doc.id` long, `the text` string").withColumns({"meta.src": F.lit(1), "id": F.lit("x"), "row": F.lit(2), "component_id": F.lit(3)})
     kept = simhash.deduplicate(docs, "doc.id", "the text")
@@ -694,6 +713,17 @@ def test_training_order_takes_ids(spark, tmp_path, vocabulary, stride):
         assert sum(r["n_tokens"] for r in rows) == sum(len(ids) + 1 for _, ids in docs)
 
 
+def test_training_order_encodes_texts_in_one_pass(spark):
+    docs = [*awkward(spark).select("doc_id", "text").collect()]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    tokenizer, vocabulary = library(), bpe.vocabulary(tokenizer_path())
+    ids = [tokenizer.encode(r["text"] or "", add_special_tokens=False).ids for r in docs]
+    want = training_order.brute_force(ids, 64, 16, 5, vocabulary)
+    found = training_order.digest(training_order.shards(frame, length=64, records=16, key=5, vocabulary=vocabulary, tokenizer=tokenizer_path()))
+    assert {r["shard"]: r["payload_sha256"] for r in found.collect()} == want and len(want) > 10
+    assert training_order.shards(empty(frame), vocabulary=vocabulary, tokenizer=tokenizer_path()).count() == 0
+
+
 def test_training_order_refuses_other_ids(spark):
     for ids in ([-1, 2], [300], [1.0, float("nan")]):
         with pytest.raises(ValueError):

@@ -53,7 +53,9 @@ LEAF = 1 << 12
 #: First window on either side of a join; it doubles until both sides agree.
 WINDOW = 64
 #: Encoded runs a task keeps, in two generations of half as many, and words, of which runs are made; memory, not results, depends on it.
-MEMO, WORDS = 400_000, 200_000
+MEMO, WORDS = 200_000, 400_000
+#: Letters of a word, and marks, that are kept.
+LETTERS, MARKS = 64, 8
 #: Characters of texts encoded together, and runs in one call.
 TOGETHER, RUNS = 8 << 20, 200
 
@@ -65,7 +67,9 @@ _SPACE = re.compile(r"[ \t\n\r]+")
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: Runs that are two pieces at most, Latin letters in composed form and then marks: what normalizer and pre-tokenizer do to them is known.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+_LETTER_RUN, _MARK_RUN = "[A-Za-zÀ-ÖØ-öø-ÿ]*", r"[!-&(-/:-@\[-`{-~]*"
+_PLAIN = re.compile(f"({_LETTER_RUN})({_MARK_RUN})")
+_PLAIN_PARTS = f"^(?P<word>{_LETTER_RUN})(?P<marks>{_MARK_RUN})$"
 #: Bytes as the characters that stand for them in byte-level files: printable ones for themselves, the others from 256 on in order.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
@@ -153,23 +157,56 @@ class Codec:
             return np.frombuffer(b"".join(data for data, _ in found), "<u4"), np.cumsum(counts), np.array([joins for _, joins in found], np.int64)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        tall = self._learn(set(runs))
-        pieces = [tall[r][0] if r in tall else self.memo[r] for r in runs]
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        sizes = np.array([len(p) // 4 for p in pieces], np.int64)
+        flat, sizes, joins_of = self._encode_runs_apart(coded.dictionary)
         place = coded.indices.to_numpy()
         counts = sizes[place]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        starts = np.cumsum(sizes) - sizes
-        ids = flat[np.arange(ends[-1]) + np.repeat(starts[place] - ends[:-1], counts)]
+        ids = gather(flat, (np.cumsum(sizes) - sizes)[place], counts)
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         joins = np.zeros(len(texts), np.int64)
-        if tall:
-            each = np.concatenate([[0], np.cumsum(np.array([tall[r][1] if r in tall else 0 for r in runs], np.int64)[place])])
+        if joins_of.any():
+            each = np.concatenate([[0], np.cumsum(joins_of[place])])
             joins = each[bounds[1:]] - each[bounds[:-1]]
         return ids, ends[bounds[1:]], joins
 
+    def _encode_runs_apart(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different runs one after the other, the number of each, and the joins made for each.
+
+        Plain runs are a word and marks, each different one of which is encoded once; others go to _learn().
+        """
+        parts = pc.extract_regex(runs, _PLAIN_PARTS)
+        plain = pc.and_(parts.is_valid(), pc.less_equal(pc.utf8_length(runs), self.leaf)).to_numpy(zero_copy_only=False)
+        words, marks = (parts.field(n).filter(pa.array(plain)).dictionary_encode() for n in (0, 1))
+        others = runs.filter(pa.array(~plain)).to_pylist()
+        tall = self._learn(set(others))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        heads = [self._known(self.words, word, LETTERS) for word in pc.utf8_lower(words.dictionary).to_pylist()]
+        tails = [self._known(self.marks, mark, MARKS) for mark in marks.dictionary.to_pylist()]
+        rest = [tall[r][0] if r in tall else self.memo[r] for r in others]
+        pieces = [*heads, *tails, *rest]
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        # A run is a head and a tail, or one of the rest and nothing.
+        first, second = np.zeros(len(runs), np.int64), np.full(len(runs), -1)
+        first[plain], second[plain] = words.indices.to_numpy(), len(heads) + marks.indices.to_numpy()
+        first[~plain] = len(heads) + len(tails) + np.arange(len(others))
+        both = np.stack([first, second], 1).ravel()
+        counts = np.where(both < 0, 0, sizes[both])
+        joins = np.zeros(len(runs), np.int64)
+        joins[~plain] = [tall[r][1] if r in tall else 0 for r in others]
+        return gather(flat, starts[both], counts), counts.reshape(-1, 2).sum(axis=1), joins
+
+    def _known(self, held: dict[str, bytes], piece: str, most: int) -> bytes:
+        """Ids of lower-cased letters or of marks, which are kept where they are short enough."""
+        if (data := held.get(piece)) is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+            data = array("I", [t.id for t in self.tokenize(shown)] if piece else []).tobytes()
+            if len(piece) < most:
+                held[piece] = data
+        return data
+
     def _learn(self, runs: set[str]) -> dict[str, tuple[bytes, int]]:
         """Have every run in the memo, but for those too long for one call, which are returned with their ids and joins."""
         memo, older = self.memo, self.older
@@ -178,48 +215,22 @@ class Codec:
             # What these texts need stays; what earlier ones needed goes on as the older generation.
             self.older, self.memo = older, memo = memo, {r: memo[r] for r in runs if r in memo}
         short, tall = [], {}
-        words, marks, plain = self.words, self.marks, _PLAIN.fullmatch
-        if len(words) > WORDS:
-            words.clear()
         for run in missing:
             if (known := older.get(run)) is not None:
                 memo[run] = known
             elif len(run) > self.leaf:
                 before = self.joins
                 tall[run] = (self.open(run)[1].tobytes(), self.joins - before)
-            elif (found := plain(run)) is None:
-                short.append(run)
-            else:
+            elif (plain := _PLAIN.fullmatch(run)) is not None:
                 # At most two pieces, which go to the model without a search for them.
-                word, rest = found.groups()
-                if (head := words.get(word)) is None:
-                    head = self._word(word)
-                if not rest:
-                    memo[run] = head
-                elif (tail := marks.get(rest)) is not None:
-                    memo[run] = head + tail
-                else:
-                    memo[run] = head + self._marks(rest)
+                memo[run] = self._known(self.words, plain[1].lower(), LETTERS) + self._known(self.marks, plain[2], MARKS)
+            else:
+                short.append(run)
         for at in range(0, len(short), RUNS):
             few = short[at : at + RUNS]
             memo.update(zip(few, self._encode_runs(few), strict=True))
         return tall
 
-    def _word(self, letters: str) -> bytes:
-        """Ids of plain letters, which are kept."""
-        word = letters.lower()
-        if (data := self.words.get(word)) is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            data = self.words[word] = array("I", [t.id for t in self.tokenize(shown)] if word else []).tobytes()
-        self.words[letters] = data
-        return data
-
-    def _marks(self, marks: str) -> bytes:
-        data = array("I", [t.id for t in self.tokenize(marks)]).tobytes()
-        if len(marks) < 8:  # few enough to be kept
-            self.marks[marks] = data
-        return data
-
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
         """Ids of each run, all runs in one call: white space between them ends pieces, and spans say whose a token is."""
         ids, spans = self.spans(" ".join(runs))
@@ -283,6 +294,15 @@ class Codec:
         return " ".join(self.tokens[ids].tolist())
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after the other."""
+    ends = np.cumsum(counts)
+    kind = np.int32 if max(len(flat), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=kind)
+    at += np.repeat((starts - (ends - counts)).astype(kind), counts)
+    return flat[at]
+
+
 def runs_of(text: str | None) -> list[str]:
     """Runs of a text without white space, none of them empty."""
     if not text:

@@ -9,21 +9,29 @@ reports a hash of its text. Spark adds both up by host, each different page
 counted once however many copies it has:
 
 * main paths, with their share of the host's votes;
-* stock: texts that stand at the same path of at least three pages and two in a
-  hundred of the host, and classed paths four in five of whose texts are such.
+* stock: texts that stand at the same path of most of the host's different pages
+  (STOCK_SHARE of them, and STOCK_PAGES), and classed paths four in five of whose
+  texts are such. What a few pages share, copies and quotations, is no stock.
 
 Pass two parses the pages again. A page's article stands at the path with the
 largest product of squared share and score on this page, so that a path that the host's
 pages agree on beats a longer thread of comments, while a page of another kind
-has its own. Text is every block of that container in page order: character
-references decoded, white space turned into one space, blocks joined by a line
-feed. What holds the chosen container is never left out, whatever its name.
-Inside, these are: the host's stock; elements for navigation, footers, asides,
-forms, scripts and hidden parts; nested articles (readers' comments by the
-markup's definition); adverts by name; boxes by name, where names that articles
-use too (discussion, related) need links, a form or a thread to speak for them;
-and threads, which are neighbours of one kind that each have an author or a time.
-Of the article's own header its headings and paragraphs stay, bylines go.
+has its own. Stock is no article, unless nothing else on the page comes near it:
+a page whose best container is stock and whose next one has less than KEEP of its
+score keeps it whole. Text is every block of that container in page order:
+character references decoded, white space turned into one space, blocks joined by
+a line feed. What holds the chosen container is never left out, whatever its name.
+Inside, these are: the host's stock; elements for navigation, footers, asides
+without a quotation, forms, scripts and hidden parts; nested articles (readers'
+comments by the markup's definition); boxes and adverts by name; and threads.
+
+A name decides alone only if it says nothing else (sidebar, comments-area, ad-box).
+A name with other words in it (ad-hoc, notice-of-death), and words that articles
+use too (menu, commercial, discussion, related), need a second sign: mostly links,
+a form, or a thread. A thread is neighbours of one kind that each have an author
+and prose of their own, an author and a time, or a time and a way to reply; a
+list of books or of times is none. Of the article's own header its headings and
+paragraphs stay, bylines go.
 
 Defined results: null or blank html gives an empty text; pages without a valid
 url share one nameless host; hosts of fewer than three different pages have no
@@ -48,13 +56,17 @@ from pyspark.sql import types as T
 
 from scholia.session import cut
 
-#: Share of a host's votes that a main path needs, and of its pages that stock needs.
+#: Share of a host's votes that a main path needs.
 SHARE = 0.02
-#: Different pages that a stock text needs at least, and the share of a path's texts that makes the path stock.
-STOCK_PAGES, STOCK_SHARE = 3, 0.8
+#: Different pages that a stock text needs at least, as a number and as a share of the host's.
+STOCK_PAGES, STOCK_SHARE = 3, 0.6
+#: The share of a path's texts that makes the path stock.
+PATH_SHARE = 0.8
+#: Share of the best container's score that another one needs where the best is stock.
+KEEP = 0.2
 #: What a page's own best path counts for at least.
 OWN = 0.05
-#: Most paths and stock texts of all hosts that are sent to every task; beyond it, a shuffle join.
+#: Most rules (main paths and stock texts) of all hosts that are sent to every task; beyond it, a shuffle join by path.
 BROADCAST_PATHS = 200_000
 #: Elements nested deeper than this stand side by side, as in browsers.
 DEPTH = 200
@@ -76,7 +88,7 @@ BESIDE = frozenset("nav footer aside form menu dialog".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert".split())
 #: Elements that are judged by their names, and votes' regions.
 BOXES = frozenset("div section article ul ol dl table aside header footer form nav main figure td".split())
-# Names that weigh: of adverts, of what stands beside an article, and those that articles use too.
+# Names of adverts, of what stands beside an article, and those that articles use too.
 ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted commercial".split())
 BESIDE_WORDS = frozenset(
     "nav navigation navbar menu menubar breadcrumb breadcrumbs footer sidebar widget share sharing subscribe newsletter signup login cookie cookies"
@@ -86,9 +98,21 @@ DOUBTFUL_WORDS = frozenset(
     "aside related recommended social announcement disclaimer alert overlay banner reply replies respond responses discussion feedback user users"
     " visitor visitors reader readers guest posts opinions thread forum".split()
 )
+#: Of the first two, those that need a second sign even by themselves.
+AMBIGUOUS_WORDS = frozenset("menu consent commercial promotion promoted".split())
+#: Words that say nothing of what an element holds, so that a name of these and one of the above says no more than that.
+PLAIN_WORDS = frozenset(
+    "box boxes wrapper wrap container block blocks list lists item items area section region inner outer left right top bottom center middle bar row col column columns panel slot unit zone"
+    " module group header head title body main site page post posts entry article content story global primary secondary button buttons link links icon icons form msg message text small"
+    " large big mini my the is u c l m s xs sm md lg xl widget user users reader readers visitor visitors banner social feed view node block field id js".split()
+)
 #: In a name with one of these, the rest says what a page has or lacks, not what the element is.
 STATE_WORDS = frozenset("no not without with has have is open closed enabled disabled".split())
-BYLINE_WORDS = frozenset("author user username avatar byline date time timestamp posted reply permalink likes votes meta".split())
+# What items of threads have: an author, a time, a way to answer.
+AUTHOR_WORDS = frozenset("author user username avatar byline".split())
+TIME_WORDS = frozenset("date time timestamp posted".split())
+TALK_WORDS = frozenset("reply permalink likes votes".split())
+BYLINE_WORDS = AUTHOR_WORDS | TIME_WORDS | TALK_WORDS | {"meta"}
 HEADER_WORDS = frozenset(["header"])
 GOOD_WORDS = frozenset("article content entry post story text main body".split())
 #: An element that opens closes these open ones, up to the listed bounds.
@@ -229,13 +253,17 @@ def is_hidden(node: Node) -> bool:
     return bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true" or ("style" in attributes and re.search(r"display\s*:\s*none", attributes["style"]) is not None))
 
 
-def is_thread(node: Node) -> bool:
-    """Whether an element, or the one list in it, has neighbours of one kind that each have an author or a time."""
+def is_thread(node: Node, doubtful: bool = False) -> bool:
+    """Whether an element, or the one list in it, has neighbours of one kind that are what someone said.
+
+    Each has an author and prose, or an author or a way to answer and a time. In
+    an element of a doubtful name each has any of these, or begins with a name.
+    """
     tops = [node, *[c for c in node.children if isinstance(c, Node) and c.tag in BOXES]]
     for top in tops:
         kinds: dict[str, int] = {}
         for child in top.children:
-            if isinstance(child, Node) and child.tag in _ITEMS and any(n.tag in ("time", "cite") or not BYLINE_WORDS.isdisjoint(words_in(n)) for n in child.within()):
+            if isinstance(child, Node) and child.tag in _ITEMS and _is_said(child, doubtful):
                 step = step_of(child)
                 kinds[step] = kinds.get(step, 0) + 1
         if any(n > 1 for n in kinds.values()):
@@ -243,31 +271,67 @@ def is_thread(node: Node) -> bool:
     return False
 
 
-_ITEMS = frozenset("div li article section dd tr".split())
+def _is_said(item: Node, doubtful: bool) -> bool:
+    author = time = talk = named = prose = False
+    for n in item.within():
+        words = words_in(n) if n.attributes else set()
+        author = author or not AUTHOR_WORDS.isdisjoint(words)
+        time = time or n.tag == "time" or not TIME_WORDS.isdisjoint(words)
+        talk = talk or not TALK_WORDS.isdisjoint(words)
+        named = named or n.tag == "cite"
+        prose = prose or n.tag == "p" or (n.tag == "div" and n.size > n.links)
+    if (author and prose) or (time and (author or talk or named)):
+        return True
+    first = next((c for c in item.children if isinstance(c, Node) or c.strip()), None)
+    return doubtful and (author or time or talk or named or (isinstance(first, Node) and first.tag in _NAMES and 0 < first.size <= 40 and first.size < item.size))
+
+
+_ITEMS = frozenset("div li article section dd tr p".split())
+_NAMES = frozenset("b strong cite a h4 h5 h6".split())
+_QUOTES = frozenset("blockquote q".split())
+
+
+def names_of(node: Node) -> tuple[bool, bool]:
+    """Whether a class or id names an advert or something beside an article: and nothing else, or among other words."""
+    alone = among = False
+    for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        told = words & (ADVERT_WORDS | BESIDE_WORDS)
+        if told and STATE_WORDS.isdisjoint(words):
+            sure = told - AMBIGUOUS_WORDS and not words - told - PLAIN_WORDS - DOUBTFUL_WORDS
+            alone, among = alone or bool(sure), True
+    return alone, among
+
+
+def has_sign(node: Node) -> bool:
+    """What speaks for a name that may mean something else: mostly links, or a form."""
+    return 2 * node.links > node.size or any(n.tag == "form" for n in node.within())
 
 
 def is_beside(node: Node) -> bool:
     """Whether an element inside an article is no part of it, from what it is and holds."""
-    if node.tag in BESIDE or is_hidden(node) or node.attributes.get("role", "").lower() in BESIDE_ROLES:
+    if is_hidden(node) or node.attributes.get("role", "").lower() in BESIDE_ROLES:
         return True
+    alone, among = names_of(node) if node.attributes else (False, False)
+    if node.tag in BESIDE:
+        # A quotation pulled out of the text is no sidebar.
+        quoted = node.tag == "aside" and not among and (node.has(_QUOTES) or not {"quote", "pullquote"}.isdisjoint(words_in(node)))
+        return not quoted
     if node.tag == "article":
         up = node.parent
         while up is not None and up.tag != "article":
             up = up.parent
         if up is not None:
             return True
-    words = words_in(node) if node.attributes else set()
-    if not ADVERT_WORDS.isdisjoint(words):
+    if alone and (node.tag in BOXES or not ADVERT_WORDS.isdisjoint(words_in(node))):
         return True
     if node.tag not in BOXES:
-        return False
-    if not BESIDE_WORDS.isdisjoint(words):
-        return True
-    doubts = len(words & DOUBTFUL_WORDS)
+        return among and has_sign(node)
+    doubts = len(words_in(node) & DOUBTFUL_WORDS) if node.attributes else 0
     if doubts > 1:
         return True
-    thread = node.tag != "table" and is_thread(node)
-    return thread or (doubts == 1 and (2 * node.links > node.size or any(n.tag == "form" for n in node.within())))
+    doubtful = among or doubts == 1
+    return (doubtful and has_sign(node)) or (node.tag != "table" and is_thread(node, doubtful))
 
 
 def is_header(node: Node) -> bool:
@@ -301,8 +365,7 @@ class Blocks:
             return True
         if id(node) in self.safe:
             return False
-        known = self.stock.get(node.path)
-        return (known is not None and (ANY in known or signed(node.mark) in known)) or is_beside(node)
+        return is_stock(node, self.stock) or is_beside(node)
 
     def _walk(self, node: Node, header: bool) -> None:
         for child in node.children:
@@ -312,7 +375,8 @@ class Blocks:
             elif child.tag == "br":
                 self._text.append(" ")
             elif not self._dropped(child):
-                inside = (header and child.tag not in _SPOKEN) or (id(child) not in self.safe and is_header(child))
+                spoken = child.tag in _SPOKEN and not (child.tag == "p" and child.attributes and not BYLINE_WORDS.isdisjoint(words_in(child)))
+                inside = (header and not spoken) or (id(child) not in self.safe and is_header(child))
                 if child.tag in BLOCKS:
                     self._flush()
                     self._walk(child, inside)
@@ -347,8 +411,13 @@ def _weight(node: Node) -> float:
     return weight * (0.5 if node.tag == "header" else 1.0)
 
 
-def scores(root: Node) -> list[tuple[float, Node]]:
-    """Scored containers of a measured page, best first."""
+def is_stock(node: Node, stock: dict[str, set[int]]) -> bool:
+    known = stock.get(node.path)
+    return known is not None and (ANY in known or signed(node.mark) in known)
+
+
+def scores(root: Node, stock: dict[str, set[int]] | None = None) -> list[tuple[float, Node]]:
+    """Scored containers of a measured page, best first; stock counts for nothing."""
     found: dict[int, list] = {}
 
     def add(owner: Node, size: int, links: int, weight: float) -> None:
@@ -366,7 +435,7 @@ def scores(root: Node) -> list[tuple[float, Node]]:
         for child in node.children:
             if isinstance(child, str):
                 size += len(" ".join(child.split()))
-            elif child.tag in UNREAD:
+            elif child.tag in UNREAD or (stock and is_stock(child, stock)):
                 continue
             elif child.tag in BLOCKS:
                 # An article in an article is a reader's comment by the markup's definition.
@@ -429,9 +498,13 @@ def extract(html: str | None, main: dict[str, float] | None = None, stock: dict[
     if root is None:
         return ""
     main, stock = main or {}, stock or {}
-    ranked = [(score, node) for score, node in scores(root) if ANY not in stock.get(node.path, ()) and signed(node.mark) not in stock.get(node.path, ())]
-    if not ranked:
-        return "" if stock else Blocks(root, root).text()
+    every = scores(root)
+    if not every:
+        return Blocks(root, root).text()
+    ranked = scores(root, stock) if stock else every
+    if not ranked or ranked[0][0] < KEEP * every[0][0]:
+        # All that the page says, wherever else it is said.
+        ranked, stock = every, {}
     own = ranked[0][1]
     chosen = max(ranked, key=lambda x: x[0] * max(main.get(x[1].path, 0.0), OWN if x[1] is own else 0.0) ** 2)[1]
     # Neighbours of the same classes that hold as much are parts of one article.
@@ -444,7 +517,7 @@ def extract(html: str | None, main: dict[str, float] | None = None, stock: dict[
 
 
 def host_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, main (path, share), stock (path, text: its hash, or 0 for every text) of every host."""
+    """host, path, text, share: a main path with its share, or a stock text at a path (its hash, 0 for every text); a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -463,44 +536,80 @@ def host_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     texts = cut(each.groupBy("host", "path", "text").agg(F.count("*").alias("pages"), F.sum("score").alias("score")))
     hosts = texts.where("path = ''").groupBy("host").agg(F.count("*").alias("all"))
     # A row for a host; joined by size like any other table.
-    texts = texts.where("path <> ''").join(hosts, "host").withColumn("stock", F.col("pages") >= F.greatest(F.lit(STOCK_PAGES), F.ceil(SHARE * F.col("all"))))
+    least = F.greatest(F.lit(STOCK_PAGES), F.ceil(F.lit(STOCK_SHARE) * F.col("all")))
+    texts = texts.where("path <> ''").join(hosts, "host").withColumn("stock", F.col("pages") >= least)
     classed = F.contains(F.substring_index("path", ">", -1), F.lit("."))
     paths = texts.groupBy("host", "path").agg(
         F.first("all").alias("all"), F.sum("pages").alias("total"), F.sum(F.when(F.col("stock"), F.col("pages")).otherwise(0)).alias("repeated"), F.sum(F.when(F.col("stock"), 0).otherwise(F.col("score"))).alias("score")
-    ).withColumn("stock", classed & (F.col("repeated") >= STOCK_PAGES) & (F.col("repeated") >= STOCK_SHARE * F.col("total"))).withColumn("share", F.col("score") / (1000 * F.col("all")))
-    main = paths.where((F.col("share") >= SHARE) & ~F.col("stock")).groupBy("host").agg(F.collect_list(F.struct("path", "share")).alias("main"))
-    stock = texts.where("stock").select("host", "path", "text").unionByName(paths.where("stock").select("host", "path", F.lit(ANY).cast("long").alias("text")))
-    stock = stock.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("stock"))
-    return main.join(stock, "host", "full").select("host", "main", "stock")
+    ).withColumn("stock", classed & (F.col("repeated") >= STOCK_PAGES) & (F.col("repeated") >= PATH_SHARE * F.col("total"))).withColumn("share", F.col("score") / (1000 * F.col("all")))
+    none = F.lit(None)
+    main = paths.where((F.col("share") >= SHARE) & ~F.col("stock")).select("host", "path", none.cast("long").alias("text"), "share")
+    whole = paths.where("stock").select("host", "path", F.lit(ANY).cast("long").alias("text"), none.cast("double").alias("share"))
+    return texts.where("stock").select("host", "path", "text", none.cast("double").alias("share")).unionByName(whole).unionByName(main)
 
 
 def host_of(url_col: str) -> F.Column:
     return F.lower(F.coalesce(F.try_parse_url(F.col(f"`{url_col}`").cast("string"), F.lit("HOST")), F.lit("")))
 
 
+def _gathered(rules: list[tuple]) -> dict[str, tuple[dict[str, float], dict[str, set[int]]]]:
+    """Main paths and stock by host, from (host, path, text, share)."""
+    found: dict[str, tuple[dict[str, float], dict[str, set[int]]]] = {}
+    for host, path, text, share in rules:
+        main, stock = found.setdefault(host, ({}, {}))
+        if share is not None:
+            main[path] = share
+        else:
+            stock.setdefault(path, set()).add(text)
+    return found
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text."""
+    """One row per page: id, url, text.
+
+    Up to BROADCAST_PATHS rules of all hosts are sent to every task once. More of
+    them meet the pages' own regions in a join, so that a page gets the rules of
+    its regions and no others.
+    """
     rules = cut(host_rules(pages, url_col, html_col))
-    size = rules.agg(F.coalesce(F.sum(F.greatest(F.size("main"), F.lit(0)) + F.greatest(F.size("stock"), F.lit(0))), F.lit(0))).first()[0]
+    few = rules.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
     source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"), host_of(url_col).alias("host"))
-    joined = source.join(F.broadcast(rules) if size <= BROADCAST_PATHS else rules, "host", "left").select("id", "url", "html", "host", "main", "stock")
+    schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType())])
+    if few:
+        sent = pages.sparkSession.sparkContext.broadcast(_gathered([tuple(r) for r in rules.collect()]))  # BROADCAST_PATHS rows at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [extract(html.as_py(), *sent.value.get(host, ({}, {}))) for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], [id_col, "url", "text"])
+
+        return source.mapInArrow(run, schema)
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, key, html in zip(*(batch.column(n) for n in ("host", "key", "html")), strict=True):
+                own = sorted({(path, text) for path, text, _ in votes(html.as_py()) if path})
+                yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * len(own)), pa.array([key.as_py()] * len(own), pa.int64()), pa.array([p for p, _ in own], pa.string()), pa.array([t for _, t in own], pa.int64())], ["host", "key", "path", "own"])
+
+    # Pages of one text have the same regions.
+    keyed = source.withColumn("key", F.xxhash64("html"))
+    asked = keyed.select("host", "key", "html").mapInArrow(regions, "host string, key long, path string, own long").distinct()
+    for_path = rules.where(F.col("share").isNotNull() | (F.col("text") == ANY))
+    for_text = rules.where(F.col("share").isNull() & (F.col("text") != ANY))
+    met = asked.select("host", "key", "path").distinct().join(for_path, ["host", "path"]).select("host", "key", "path", "text", "share")
+    met = met.unionByName(asked.join(for_text.withColumnRenamed("text", "own"), ["host", "path", "own"]).select("host", "key", "path", F.col("own").alias("text"), "share"))
+    told = met.groupBy("host", "key").agg(F.collect_list(F.struct("path", "text", "share")).alias("rules"))  # of a page's regions
+    joined = keyed.join(told, ["host", "key"], "left").select("id", "url", "html", "host", "rules")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Rules come with every page of a host and are read once in a batch.
-            known: dict[str, tuple] = {}
             texts = []
-            for row, host in enumerate(batch.column("host").to_pylist()):
-                if host not in known:
-                    stock: dict[str, set[int]] = {}
-                    for entry in batch.column("stock")[row].as_py() or []:
-                        stock.setdefault(entry["path"], set()).add(entry["text"])
-                    known[host] = ({entry["path"]: entry["share"] for entry in batch.column("main")[row].as_py() or []}, stock)
-                texts.append(extract(batch.column("html")[row].as_py(), *known[host]))
+            for html, rows in zip(batch.column("html"), batch.column("rules"), strict=True):
+                found = _gathered([("", r["path"], r["text"], r["share"]) for r in rows.as_py() or []])
+                texts.append(extract(html.as_py(), *found.get("", ({}, {}))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], [id_col, "url", "text"])
 
-    schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType())])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(judged, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -522,14 +631,14 @@ def brute_force(pages: list[tuple]) -> dict:
             for key, score in best.items():
                 counts[key] = counts.get(key, 0) + 1
                 points[key] = points.get(key, 0) + score
-        least = max(STOCK_PAGES, -(-len(different) * SHARE // 1))
+        least = max(STOCK_PAGES, -(-len(different) * STOCK_SHARE // 1))
         stock: dict[str, set[int]] = {}
         main: dict[str, float] = {}
         for path in {p for p, _ in counts}:
             texts = {t: n for (p, t), n in counts.items() if p == path}
             repeated = {t for t, n in texts.items() if n >= least}
             stock[path] = set(repeated)
-            if "." in path.rsplit(">", 1)[-1] and (total := sum(texts[t] for t in repeated)) >= max(STOCK_PAGES, STOCK_SHARE * sum(texts.values())):
+            if "." in path.rsplit(">", 1)[-1] and (total := sum(texts[t] for t in repeated)) >= max(STOCK_PAGES, PATH_SHARE * sum(texts.values())):
                 stock[path].add(ANY)
             share = sum(points[path, t] for t in texts if t not in repeated) / (1000 * len(different))
             if share >= SHARE and ANY not in stock[path]:

@@ -14,14 +14,21 @@ nearer half first and into a half only if the triangle inequality allows a
 nearer point: a half is left out if its lower bound times `factor` is beyond the
 k-th distance found. Factor one is exact search; larger factors leave out more.
 Without a given factor the largest one of FACTORS is taken that finds RECALL of
-the true neighbours on a bounded sample of the table (SAMPLE rows of the
-smallest hashes, SAMPLE_QUERIES of them as queries), so that it fits the data.
+the true neighbours on a bounded sample, for each number of components by itself:
+SAMPLE rows and SAMPLE_QUERIES of the queries, those of the smallest hashes, so
+that it fits the data and what is asked of it.
+
+Bounds need squared lengths that are numbers. Vectors whose largest component is
+beyond EXTREME or below its inverse stand beside the trees: every query is
+compared with them, and as queries they are compared with every vector.
 
 Queries are packed in blocks; every pair of a block and a shard is a row of its
 own, and the k best of a query over all shards remain.
 
 Scores are inner products of the original vectors in double precision, summed in
-the same order for every pair; ties go to the smaller id.
+the same order for every pair; ties go to the smaller id. Products that overflow
+are infinite and equal, those that vanish are zero, and sums of both infinities
+stand as minus infinity.
 
 Defined results: null vectors, zero vectors and those with null or non-finite
 components take no part, nor do rows with a null id; vectors of different
@@ -55,9 +62,14 @@ SHARD_ROWS, QUERY_ROWS = 8192, 1024
 LEAF = 128
 #: Least length in a band, as a share of the longest.
 BAND = 0.8
+#: Points and queries compared at a time where there are no bounds.
+SCAN = 256
 #: Slack for rounding in bounds and in products that only pick candidates.
 EPS = 1e-9
 
+#: Largest magnitude of a vector's largest component, and the inverse of the smallest, for which bounds are computed.
+EXTREME = 1e75
+
 Forest = dict[str, np.ndarray]
 
 
@@ -67,10 +79,13 @@ def build(ids: np.ndarray, marks: np.ndarray, rows: np.ndarray, leaf: int = LEAF
     marks: a number for each row, by which a query knows itself.
     nodes: vantage point, first child, second child (-1: leaf), start, end.
     bounds: least and largest distance of each half to the vantage point.
-    bands: root node and longest vector of each tree, longest first.
+    bands: root node and longest vector of each tree, longest first. Points of
+    extreme magnitude come last and are in no tree.
     """
-    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    order = np.lexsort((marks, ids, -norms))
+    apart = is_extreme(rows)
+    norms = np.sqrt(np.einsum("ij,ij->i", *(np.where(apart[:, None], 0.0, rows),) * 2))
+    order = np.lexsort((marks, ids, -norms, apart))
+    order, extreme = order[: len(order) - int(apart.sum())], order[len(order) - int(apart.sum()) :]
     nodes: list[list[int]] = []
     bounds: list[list[float]] = []
     bands: list[list[float]] = []
@@ -82,6 +97,7 @@ def build(ids: np.ndarray, marks: np.ndarray, rows: np.ndarray, leaf: int = LEAF
         bands.append([len(nodes), longest])
         _grow(order, begin, end, rows, norms, longest, leaf, nodes, bounds)
         begin = end
+    order = np.concatenate([order, extreme])
     table = np.array(nodes, np.int64).reshape(-1, 5)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -115,18 +131,32 @@ def _grow(order: np.ndarray, begin: int, finish: int, rows: np.ndarray, norms: n
         stack += [(start + half, end, here, 1), (start, start + half, here, 0)]
 
 
+def is_extreme(rows: np.ndarray) -> np.ndarray:
+    """Which vectors are too large or small for squared lengths."""
+    most = np.abs(rows).max(axis=1)
+    return (most > EXTREME) | (most < 1 / EXTREME)
+
+
 class Search:
-    """The k best of a block of queries in one shard."""
+    """The k best of a block of queries in one shard: scores, ids, and which of them are real."""
 
     def __init__(self, trees: Forest, query_marks: np.ndarray, queries: np.ndarray, k: int, factor: float):
         self.tree, self.query_marks, self.queries, self.k, self.factor = trees, query_marks, queries, k, factor
-        self.norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        apart = is_extreme(queries)
+        self.norms = np.sqrt(np.einsum("ij,ij->i", *(np.where(apart[:, None], 1.0, queries),) * 2))
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.real = np.zeros((len(queries), k), bool)
         self.compared = 0
+        size = len(trees["ids"])
+        beside = int(trees["nodes"][trees["bands"][:, 0].astype(np.int64), 4].max()) if len(trees["bands"]) else 0
+        for low in range(beside, size, SCAN):
+            self._compare(low, min(size, low + SCAN), np.flatnonzero(~apart))
+        for low in range(0, size, SCAN):
+            self._compare(low, min(size, low + SCAN), np.flatnonzero(apart))
         for root, longest in trees["bands"].tolist():
             self.longest, self.scale = longest, longest / self.norms
-            able = longest * self.norms * (1 + EPS) >= self.scores[:, -1]
+            able = ~apart & (longest * self.norms * (1 + EPS) >= self.scores[:, -1])
             self._visit(int(root), np.flatnonzero(able))
 
     def _reach(self, active: np.ndarray) -> np.ndarray:
@@ -150,26 +180,42 @@ class Search:
             self._visit(child, own[low[side, group] * self.factor <= self._reach(own) + EPS])
 
     def _scan(self, start: int, end: int, active: np.ndarray) -> None:
-        rows, ids = self.tree["rows"][start:end], self.tree["ids"][start:end]
+        rows = self.tree["rows"][start:end]
         self.compared += len(active) * (end - start)
         rough = self.queries[active] @ rows.T
         slack = EPS * self.longest / self.scale[active] * self.longest
         hits, at = np.nonzero(rough >= (self.scores[active, -1] - slack)[:, None])
+        self._add(start, end, active, hits, at)
+
+    def _compare(self, start: int, end: int, active: np.ndarray) -> None:
+        """Every query of `active` with every point of a range, without bounds."""
+        self.compared += len(active) * (end - start)
+        for low in range(0, len(active), SCAN):
+            some = active[low : low + SCAN]
+            self._add(start, end, some, *np.divmod(np.arange(len(some) * (end - start)), end - start))
+
+    def _add(self, start: int, end: int, active: np.ndarray, hits: np.ndarray, at: np.ndarray) -> None:
+        """Take pairs of a query (a place in active) and a point (a place from start on) into what is held."""
+        rows, ids = self.tree["rows"][start:end], self.tree["ids"][start:end]
         other = self.query_marks[active[hits]] != self.tree["marks"][start:end][at]
         hits, at = hits[other], at[other]
         if not len(hits):
             return
-        exact = np.einsum("ij,ij->i", self.queries[active[hits]], rows[at])
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            exact = np.einsum("ij,ij->i", self.queries[active[hits]], rows[at])
+        exact[np.isnan(exact)] = -np.inf
         touched, group = np.unique(hits, return_inverse=True)
         who = active[touched]
         owner = np.concatenate([np.repeat(np.arange(len(who)), self.k), group])
         score = np.concatenate([self.scores[who].ravel(), exact])
         name = np.concatenate([self.found[who].ravel(), ids[at]])
-        order = np.lexsort((name, -score, owner))
-        owner, score, name = owner[order], score[order], name[order]
+        real = np.concatenate([self.real[who].ravel(), np.ones(len(at), bool)])
+        order = np.lexsort((name, ~real, -score, owner))
+        owner, score, name, real = owner[order], score[order], name[order], real[order]
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
         keep = rank < self.k
-        self.scores[who], self.found[who] = score[keep].reshape(-1, self.k), name[keep].reshape(-1, self.k)
+        for held, new in ((self.scores, score), (self.found, name), (self.real, real)):
+            held[who] = new[keep].reshape(-1, self.k)
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -183,28 +229,39 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["vector"].to_list()).astype(np.float64)
 
 
-def choose_factor(rows: DataFrame, k: int = K, recall: float = RECALL, leaf: int = LEAF) -> float:
-    """The largest of FACTORS with that recall on the sample; one if none has it."""
+def choose_factors(rows: DataFrame, asked: F.Column, k: int = K, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
+    """dims, factor: for each number of components the largest of FACTORS with that recall on its sample; one if none has it.
+
+    rows: id, vector, mark, dims; asked: a condition for those that are queries.
+    """
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = pdf["vector"].map(len)
-        pdf = pdf[size == size.mode().iloc[0]].sort_values("hash", kind="stable")
-        trees = build(pdf["id"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64), _matrix(pdf), leaf)
-        asked = pdf.head(SAMPLE_QUERIES)
-        marks, queries = asked["mark"].to_numpy(np.int64), _matrix(asked)
-        # Scores, not ids, so that ties are no misses.
-        least = Search(trees, marks, queries, k, 1.0).scores
-        for factor in FACTORS:
-            got = Search(trees, marks, queries, k, factor).scores
-            hits = sum(np.isin(np.round(g[g > -np.inf], 12), np.round(w, 12)).sum() for g, w in zip(got, least, strict=True))
-            if hits >= recall * (least > -np.inf).sum():
-                return pd.DataFrame({"factor": [factor]})
-        return pd.DataFrame({"factor": [1.0]})
-
-    # At most SAMPLE rows.
-    sample = rows.withColumn("hash", F.xxhash64("id", "vector")).orderBy("hash", "mark").limit(SAMPLE)
-    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(measure, "factor double").first()
-    return found["factor"] if found else 1.0
+        pdf = pdf.sort_values(["hash", "mark"], kind="stable")
+        held, wanted = pdf[pdf["place"] <= SAMPLE], pdf[pdf["query_place"] <= SAMPLE_QUERIES]
+        trees = build(held["id"].to_numpy(np.int64), held["mark"].to_numpy(np.int64), _matrix(held), leaf)
+        chosen = 1.0
+        if len(wanted):
+            marks, queries = wanted["mark"].to_numpy(np.int64), _matrix(wanted)
+            # Scores, not ids, so that ties are no misses.
+            exact = Search(trees, marks, queries, k, 1.0)
+            for factor in FACTORS:
+                got = Search(trees, marks, queries, k, factor)
+                hits = sum((g[r] >= w[r][-1] - 1e-12 * abs(w[r][-1])).sum() for g, w, r in zip(got.scores, exact.scores, exact.real, strict=True) if r.any())
+                if hits >= recall * exact.real.sum():
+                    chosen = factor
+                    break
+        return pd.DataFrame({"dims": [int(pdf["dims"].iloc[0])], "factor": [chosen]})
+
+    # At most SAMPLE rows and SAMPLE_QUERIES queries of each number of components.
+    hashed = rows.withColumn("hash", F.xxhash64("id", "vector")).withColumn("asked", F.coalesce(asked, F.lit(False)))
+    order = Window.partitionBy("dims").orderBy("hash", "mark")
+    some = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).select("mark", "place")
+    few = hashed.where("asked").withColumn("query_place", F.row_number().over(order)).where(F.col("query_place") <= SAMPLE_QUERIES).select("mark", "query_place")
+    none = F.lit(None).cast("int")
+    places = some.select("mark", "place", none.alias("query_place")).unionByName(few.select("mark", none.alias("place"), "query_place"))
+    places = places.groupBy("mark").agg(F.min("place").alias("place"), F.min("query_place").alias("query_place"))
+    sample = hashed.join(places, "mark").select("dims", "id", "mark", "vector", "hash", F.coalesce("place", F.lit(SAMPLE + 1)).alias("place"), F.coalesce("query_place", F.lit(SAMPLE_QUERIES + 1)).alias("query_place"))
+    return sample.groupBy("dims").applyInPandas(measure, "dims int, factor double")
 
 
 def neighbours(
@@ -214,13 +271,14 @@ def neighbours(
     """query_id, rank (from 1), vec_id, score of the k nearest found of each query.
 
     queries: a condition on the column `id` that picks the query rows.
-    factor: None for the one that choose_factor() measures.
+    factor: None for those that choose_factors() measures.
     """
     # Rows are numbered once: the checkpoint keeps the numbers.
     rows = cut(valid_vectors(vectors, id_col, vector_col).withColumn("mark", F.monotonically_increasing_id()).withColumn("dims", F.size("vector")))
     count, asked = rows.agg(F.count("*"), F.count_if(queries)).first()
     shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-asked // query_rows))
-    chosen = factor if factor is not None else choose_factor(rows, k, leaf=leaf)
+    # A row for each number of components.
+    factors = rows.select("dims", F.lit(factor).cast("double").alias("factor")).distinct() if factor is not None else cut(choose_factors(rows, queries, k, leaf=leaf))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         trees = build(pdf["id"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64), _matrix(pdf), leaf)
@@ -235,7 +293,7 @@ def neighbours(
     trees = cut(dealt.groupBy("dims", "shard").applyInPandas(index, "dims int, shard int, " + ", ".join(f"{n} binary" for n in _FOREST)))
     packed = rows.where(queries).withColumn("block", F.pmod(F.xxhash64("mark", F.lit(7)), F.lit(blocks)).cast("int"))
     packed = packed.groupBy("dims", "block").applyInPandas(pack, "dims int, query_ids binary, query_marks binary, queries binary")
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dims", "shard"])
+    pairs = packed.join(factors, "dims").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dims", "shard"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +302,9 @@ def neighbours(
                 dims = row["dims"]
                 found = {n: np.frombuffer(row[n], kind).reshape(shape(dims)) for n, (kind, shape) in _FOREST.items()}
                 names, marks = (np.frombuffer(row[n], np.int64) for n in ("query_ids", "query_marks"))
-                done = Search(found, marks, np.frombuffer(row["queries"]).reshape(-1, dims), k, chosen)
-                real = done.scores > -np.inf
-                owner, mark = (np.repeat(x, k).reshape(-1, k)[real] for x in (names, marks))
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(mark), pa.array(done.found[real]), pa.array(done.scores[real])], ["query_id", "mark", "vec_id", "score"])
+                done = Search(found, marks, np.frombuffer(row["queries"]).reshape(-1, dims), k, row["factor"])
+                owner, mark = (np.repeat(x, k).reshape(-1, k)[done.real] for x in (names, marks))
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(mark), pa.array(done.found[done.real]), pa.array(done.scores[done.real])], ["query_id", "mark", "vec_id", "score"])
 
     found = pairs.mapInArrow(search, "query_id long, mark long, vec_id long, score double")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
@@ -267,7 +324,8 @@ def brute_force(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, k: int
     wanted = set(query_ids.tolist())
     for place, q in enumerate(ids.tolist()):
         if q in wanted:
-            scores = np.einsum("ij,j->i", rows, rows[place])
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.nan_to_num(np.einsum("ij,j->i", rows, rows[place]), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
             order = [n for n in np.lexsort((ids, -scores)) if n != place][:k]
             out.setdefault(q, []).append([(int(ids[n]), float(scores[n])) for n in order])
     return out

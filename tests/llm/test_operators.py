@@ -152,6 +152,13 @@ LONG, P = " ".join(PROSE.split()), f"<p>{PROSE}</p>"
         (f"<article><h1>T</h1>{P}<article>{P * 4}</article></article>", "T\nLONG"),
         (f'<div class="post">{P}<p class="ad">Buy this.</p><ul class="share"><li>Share</ul><ul><li>One<li>Two</ul><table><tr><td>a<td>b</table></div>', "LONG\nOne\nTwo\na\nb"),
         (f'<div class="liveblog"><div class=e><time>9:00</time>{P}</div><div class=e><time>9:30</time>{P}</div></div>', "9:00\nLONG\n9:30\nLONG"),
+        # Names with other words in them, and those that articles use too, need a second sign.
+        (f'<article><h1>T</h1>{P}<p class="ad-hoc">An ad hoc committee met.</p><p class="commercial-law">Law of trade.</p><ul class="menu"><li>Soup<li>Fish</ul><section class="notice-of-death"><p>He died.</p></section></article>', "T\nLONG\nAn ad hoc committee met.\nLaw of trade.\nSoup\nFish\nHe died."),
+        (f'<article><h1>T</h1>{P}<ul class="menu"><li><a href="/a">One</a><li><a href="/b">Two</a></ul><div class="promoted"><form>x</form></div><div class="sidebar-left"><p>Side.</p></div><div class="comments-area">{P}</div></article>', "T\nLONG"),
+        (f'<article><h1>T</h1>{P}<aside><blockquote>Said so.</blockquote></aside><aside><p>Other news</p></aside></article>', "T\nLONG\nSaid so."),
+        (f'<article><h1>T</h1>{P}<ul><li><cite>Emma</cite> by Austen<li><cite>Ulysses</cite> by Joyce</ul><ol><li><time>1914</time> War.<li><time>1918</time> Peace.</ol></article>', "T\nLONG\nEmma by Austen\nUlysses by Joyce\n1914 War.\n1918 Peace."),
+        (f'<article><h1>T</h1>{P}<div class="visitor-notes"><div><b>Al</b> I liked it.</div><div><b>Bo</b> I did not.</div></div></article>', "T\nLONG"),
+        (f'<article><header><h1>T</h1><p class="byline">By Al, 3 May</p><span>x</span></header>{P}</article>', "T\nLONG"),
     ],
 )
 def test_html_text_names_weigh_and_do_not_decide(html, want):
@@ -182,11 +189,45 @@ def test_html_text_follows_the_host(spark):
     assert got[200].endswith("An odd page.") and got[201] == got[202] == "" and got[401] == got[402] == LONG
 
 
+def repeated_pages(framed: str) -> list[tuple]:
+    """Ten articles of one host: three framed anew from one, and a lede, a list and a quotation that others share."""
+    pages = []
+    for i in range(10):
+        own = 2 if i in (2, 5, 7) else i
+        body = f"<h1>Title {own}</h1>" + ("<p class='lede'>A lede that some share.</p>" if own in (2, 3, 4) else "") + f"<p>{'Text of article number %d goes on. ' % own * 12}</p>"
+        body += ("<ul><li>Salt<li>Water</ul>" if own in (0, 1, 3) else "") + ("<blockquote><p>To be or not to be.</p></blockquote>" if own in (4, 6, 8) else "")
+        nav = "".join(f"<li><a href='/{i}{k}'>link {i} {k}</a>" for k in range(i + 2))
+        pages.append((i, "r.example", f"<html><body><nav><ul>{nav}</ul></nav>" + framed.format(body) + "<div class='foot'><p>Imprint of the host.</p></div></body></html>"))
+    return pages
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("framed", ["<article>{}</article>", "<article><div class='body'>{}</div></article>", "<div class='body'>{}</div>"])
+def test_html_text_keeps_what_a_few_pages_share(spark, monkeypatch, framed, most):
+    monkeypatch.setattr(html_text, "BROADCAST_PATHS", most)
+    pages = repeated_pages(framed)
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", html) for i, h, html in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    article = lambda n: " ".join(("Text of article number %d goes on. " % n * 12).split())
+    assert got == html_text.brute_force(pages)
+    assert got[2] == got[5] == got[7] == "Title 2\nA lede that some share.\n" + article(2)
+    assert got[3] == "Title 3\nA lede that some share.\n" + article(3) + "\nSalt\nWater" and got[0] == "Title 0\n" + article(0) + "\nSalt\nWater"
+    assert got[4].endswith("\nTo be or not to be.") and got[9] == "Title 9\n" + article(9)
+
+
+def test_html_text_keeps_an_article_that_most_pages_repeat(spark):
+    """Where one article is most of a host, nothing else on those pages comes near it."""
+    pages = [(i, "http://m.example/x", f"<nav><a href='/{i}'>go to {i}</a></nav><article><h1>T</h1>{P}</article>") for i in range(6)]
+    got = {r["text"].replace(LONG, "LONG") for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {"T\nLONG"}
+
+
 def test_html_text_share_of_votes_decides(monkeypatch):
     html = f"<div class='a'><p>{'Few words. ' * 8}</p></div><div class='b'><p>{'Many more words. ' * 20}</p></div>"
     assert html_text.extract(html).startswith("Many") and html_text.extract(html, {"div.a": 0.9, "div.b": 0.02}).startswith("Few")
     assert html_text.extract(html, {"div.a": 0.1, "div.b": 0.9}).startswith("Many")
     assert html_text.extract(html, {"div.a": 0.9}, {"div.a": {html_text.ANY}}).startswith("Many")
+    assert html_text.extract(html, {}, {"div.b": {html_text.ANY}}).startswith("Few")
 
 
 def test_html_text_broken_markup_and_depth(spark):
@@ -286,6 +327,38 @@ def test_neighbours_recall_where_norms_differ(spark, kind):
     assert recall_of(neighbours.neighbours(frame, F.col("id") % 20 == 0, shard_rows=1500), want) >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200])
+@pytest.mark.parametrize("factor", [None, 1.0])
+def test_neighbours_of_extreme_magnitudes(spark, scale, factor):
+    """Every finite vector takes part: products that overflow are infinite, those that vanish are zero, ties go to the smaller id."""
+    extreme = [(i, [scale * (i + 1), scale]) for i in range(30)]
+    frame = spark.createDataFrame(extreme, "vec_id long, embedding array<double>")
+    ids, rows = np.arange(30), np.array([v for _, v in extreme])
+    got, want = grouped(neighbours.neighbours(frame, F.col("id") % 20 == 0, factor=factor, shard_rows=8)), neighbours.brute_force(ids, rows, np.array([0, 20]))
+    assert sum(map(len, got.values())) == 40 and all(got[q] == want[q][0] for q in want)
+    rng = np.random.default_rng(3)
+    mixed = np.concatenate([rng.normal(size=(40, 2)), rng.normal(size=(20, 2)) * 1e160, rng.normal(size=(20, 2)) * 1e-170, [[1e300, -1e300], [1e300, 1e300]]])
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(mixed)], "vec_id long, embedding array<double>")
+    got, want = grouped(neighbours.neighbours(frame, F.col("id") % 3 == 0, factor=1.0, shard_rows=16, leaf=4)), neighbours.brute_force(np.arange(len(mixed)), mixed, np.arange(0, len(mixed), 3))
+    assert got == {q: ranks[0] for q, ranks in want.items()}
+
+
+def test_neighbours_choose_a_factor_for_each_length_and_for_the_queries(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(5000)] + [(10_000 + i, (rng.normal(size=(40, 3))[i % 40] * 5 + rng.normal(size=3)).tolist()) for i in range(3000)]
+    # Queries of both lengths that are unlike the table.
+    rows += [(20_000 + 20 * i, (rng.exponential(size=64) * 3).tolist()) for i in range(60)] + [(30_000 + 20 * i, rng.exponential(size=3).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = grouped(neighbours.neighbours(frame, F.col("id") >= 20_000, shard_rows=4096))
+    hits = total = 0
+    for dims in (64, 3):
+        own = [(i, v) for i, v in rows if len(v) == dims]
+        ids = np.array([i for i, _ in own])
+        for q, lists in neighbours.brute_force(ids, np.array([v for _, v in own]), ids[ids >= 20_000]).items():
+            hits, total = hits + len({v for v, _ in found[q]} & {v for v, _ in lists[0]}), total + len(lists[0])
+    assert hits >= 0.9 * total
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 

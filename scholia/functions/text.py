@@ -34,15 +34,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
-def two_digits(text: Column) -> Column:
-    """Left-padded with zeros to two characters, longer texts as they are."""
-    return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
-
-
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether the lower-cased text contains one of the words."""
     return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words])

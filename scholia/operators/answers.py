@@ -43,10 +43,10 @@ def chat_role(role: Column) -> Column:
     return F.when(role.isin("human", "user"), "user").when(role.isin("ai", "assistant"), "assistant").otherwise("system")
 
 
-def generate(prompts: DataFrame, generator: Generator | None = None, prompt_col: str = "context", out_col: str = "answer") -> DataFrame:
-    """prompts with answers of a batch model; by default the first three sentences of the prompt."""
+def generate(prompts: DataFrame, generator: Generator | None = None, prompt_col: str = "context", out_col: str = "answer", sentences: int = 3) -> DataFrame:
+    """prompts with answers of a batch model; by default the first sentences of the prompt."""
     if generator is None:
-        return prompts.withColumn(out_col, F.array_join(F.slice(F.split(prompt_col, r"(?<=[.!?])\s+|\n+"), 1, 3), " "))
+        return prompts.withColumn(out_col, F.array_join(F.slice(F.split(prompt_col, r"(?<=[.!?])\s+|\n+"), 1, sentences), " "))
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -56,7 +56,7 @@ def generate(prompts: DataFrame, generator: Generator | None = None, prompt_col:
     return prompts.withColumn(out_col, run(prompt_col))
 
 
-def answer_questions(questions: DataFrame, passages: DataFrame, counts: DataFrame, generator: Generator | None = None) -> DataFrame:
+def answer_questions(questions: DataFrame, passages: DataFrame, counts: DataFrame, generator: Generator | None = None, sentences: int = 3) -> DataFrame:
     """query_id, answer for questions (query_id, topic_id, text); without passages, the sentence that says so.
 
     questions may have `standalone`, the question with what a conversation said
@@ -65,7 +65,7 @@ def answer_questions(questions: DataFrame, passages: DataFrame, counts: DataFram
     """
     asked = questions if "standalone" in questions.columns else questions.withColumn("standalone", F.col("text"))
     context = stuffed(compress(passages.join(asked.select("query_id", F.col("standalone").alias("question")), "query_id")))
-    drafted = generate(asked.join(context, "query_id", "left").join(counts, "topic_id", "left"), generator)
+    drafted = generate(asked.join(context, "query_id", "left").join(counts, "topic_id", "left"), generator, sentences=sentences)
     raw = F.when(F.coalesce("passages", F.lit(0)) == 0, F.lit(NO_DOCUMENTS)).otherwise(F.col("answer"))
     return drafted.select("query_id", with_coverage_note(F.col("text"), raw, F.coalesce("articles", F.lit(0))).alias("answer"))
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from scholia.functions.text import blank_to_null, strip, two_digits
+from scholia.functions.text import strip
 
 # What stands in an article for a missing field.
 UNKNOWN_ID, NO_TITLE, NO_ABSTRACT = "unknown", "No Title", "No Abstract"
@@ -26,120 +30,109 @@ RECORD_STATES = {"MEDLINE": "medline", "PubMed-not-MEDLINE": "pubmed not medline
 CHUNK_SIZE, CHUNK_OVERLAP, SEPARATORS, SPLIT_FROM = 400, 50, ("\n\n", "\n", ".", " "), 800
 
 
-def _tag(name: str) -> str:
-    """A pattern for an element's start; group 1 is the text before any child, empty for one without an end tag."""
-    return rf"<{name}(?:\s[^>]*?)?(?:/>|>([^<]*))"
+#: What is read of a record, in this order.
+FIELDS = (
+    "pmid string, title string, abstract string, authors string, journal string, publication_date string, doi string,"
+    " mesh_terms array<string>, keywords array<string>, publication_types array<string>, lang string, subsets array<string>"
+)
 
 
-def _unescaped(text: Column) -> Column:
-    """Text with its character references decoded; the XML reader is asked for those few that have any."""
-    return F.when(F.contains(text, F.lit("&")), F.xpath_string(F.concat(F.lit("<t>"), text, F.lit("</t>")), F.lit("/t"))).otherwise(text)
+def _text(element: ElementTree.Element, name: str) -> str:
+    """What stands before any child in the first element of that name; empty without one."""
+    found = next(element.iter(name), None)
+    return "" if found is None else found.text or ""
 
 
-def _first_text(xml: Column, name: str) -> Column:
-    """The text before any child of the first element of that name; null if there is none."""
-    return blank_to_null(F.regexp_extract(xml, _tag(name), 1))
-
-
-def _texts(xml: Column, name: str) -> Column:
-    """Leading texts of all elements of that name, in document order."""
-    return F.filter(F.regexp_extract_all(xml, F.lit(_tag(name)), 1), lambda t: t != "")
-
-
-def _elements(xml: Column, name: str) -> Column:
-    """The elements of a name as XML texts of their own."""
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?:\s[^>]*?)?(?:/>|>.*?</{name}\s*>)"), 0)
-
-
-def _element(xml: Column, name: str) -> Column:
-    return F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*?)?(?:/>|>.*?</{name}\s*>)", 0)
-
-
-def _abstract(xml: Column) -> Column:
-    def part(element: Column) -> Column:
-        label = F.regexp_extract(element, r"""^<[^>]*?\sLabel\s*=\s*["']([^"']*)""", 1)
-        text = F.coalesce(_first_text(element, "AbstractText"), F.lit(""))
-        return F.when(strip(text) != "", F.when(label != "", F.concat(label, F.lit(": "), text)).otherwise(text))
-
-    parts = F.filter(F.transform(_elements(xml, "AbstractText"), part), lambda p: p.isNotNull())
-    return F.coalesce(blank_to_null(strip(F.array_join(parts, " "))), F.lit(NO_ABSTRACT))
-
-
-def _authors(xml: Column) -> Column:
-    def name(element: Column) -> Column:
-        field = lambda tag: strip(F.coalesce(_first_text(element, tag), F.lit("")))
-        last, given = field("LastName"), F.coalesce(blank_to_null(field("ForeName")), blank_to_null(field("Initials")))
-        person = F.when(last != "", F.concat_ws(", ", last, given))
-        return F.when(F.rlike(element, F.lit(r"<CollectiveName[\s/>]")), blank_to_null(field("CollectiveName"))).otherwise(person)
-
-    names = F.filter(F.transform(_elements(xml, "Author"), name), lambda n: n.isNotNull())
-    return F.coalesce(blank_to_null(F.array_join(names, "; ")), F.lit(UNKNOWN_AUTHORS))
-
-
-def _date(xml: Column) -> Column:
-    def dated(tag: str) -> Column:
-        element = _element(xml, tag)
-        field = lambda name: F.coalesce(_first_text(element, name), F.lit(""))
-        return F.when(F.rlike(element, F.lit(r"^<[^>]*>[^<]*<[^/]")), F.struct(field("Year").alias("y"), field("Month").alias("m"), field("Day").alias("d")))
-
-    found = F.coalesce(dated("PubDate"), dated("ArticleDate"), dated("DateCompleted"))
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(found["m"], 1, 3))
-    named = F.when(F.rlike(found["m"], F.lit("^[0-9]+$")) | (number == 0), found["m"]).otherwise(number.cast("string"))
-    month, day = two_digits(named), two_digits(found["d"])
-    value = F.when(found["m"] == "", found["y"]).when(found["d"] == "", F.concat_ws("-", found["y"], month)).otherwise(F.concat_ws("-", found["y"], month, day))
-    return F.coalesce(F.when(found["y"] != "", value), F.lit(UNKNOWN_DATE))
-
-
-def _language(xml: Column) -> Column:
-    """The search's code of the first language, its own code where there is none; null without one."""
-    code = F.lower(_first_text(xml, "Language"))
-    return F.coalesce(F.get(F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LANGUAGE_CODES.items()]), lambda e: e["a"] == code), F.lit(0))["b"], code)
-
-
-def _subsets(xml: Column) -> Column:
-    """Which subsets of the catalogue a record is in: its state, and full texts that its identifiers speak of."""
-    state = F.regexp_extract(xml, r"""<MedlineCitation\s[^>]*?Status\s*=\s*["']([^"']*)""", 1)
-    has = lambda kind: F.rlike(xml, F.lit(rf"""<ArticleId\s[^>]*?IdType\s*=\s*["']{kind}["']"""))
-    named = [F.when(state == name, F.lit(value)) for name, value in RECORD_STATES.items()]
-    free = [F.when(has("pmc"), F.lit(value)) for value in ("pmc", "full text", "free full text")]
-    others = [F.when(has("doi"), F.lit("full text")), F.when(has("mid"), F.lit("nihms"))]
-    return F.array_distinct(F.array_compact(F.array(*named, *free, *others)))
+class Record:
+    """The fields of one XML record, as an XML parser reads it: entities, CDATA sections, comments and attributes included.
 
+    The text of an element is what stands before its first child; the first
+    element of a name counts, and an empty one is as good as none.
+    """
 
-def well_formed(xml: Column) -> Column:
-    """Whether a record is XML; others are passed over."""
-    return F.from_xml(xml, "PMID STRING, _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNull()
+    def __init__(self, xml: str):
+        self.root = ElementTree.fromstring(xml)
+
+    def all(self, name: str) -> list[str]:
+        return [e.text for e in self.root.iter(name) if e.text]
+
+    def abstract(self) -> str:
+        parts = [(e.get("Label"), e.text) for e in self.root.iter("AbstractText") if e.text and e.text.strip()]
+        return " ".join(f"{label}: {text}" if label else text for label, text in parts).strip() or NO_ABSTRACT
+
+    def authors(self) -> str:
+        return "; ".join(filter(None, map(self._author, self.root.iter("Author")))) or UNKNOWN_AUTHORS
+
+    @staticmethod
+    def _author(element: ElementTree.Element) -> str:
+        """A group's name; else last and given name or initials; empty without a last name."""
+        if next(element.iter("CollectiveName"), None) is not None:
+            return _text(element, "CollectiveName").strip()
+        last, *given = (_text(element, name).strip() for name in ("LastName", "ForeName", "Initials"))
+        given = next(filter(None, given), "")
+        return f"{last}, {given}" if last and given else last
+
+    def journal(self) -> str:
+        named = next(self.root.iter("Journal"), None)
+        return (named is not None and _text(named, "Title")) or _text(self.root, "MedlineTA") or UNKNOWN_JOURNAL
+
+    def date(self) -> str:
+        """year, year-month or year-month-day of the first of three dates that has parts."""
+        dates = (next(self.root.iter(kind), None) for kind in ("PubDate", "ArticleDate", "DateCompleted"))
+        found = next((d for d in dates if d is not None and len(d)), None)
+        year, month, day = ("" if found is None else _text(found, part) for part in ("Year", "Month", "Day"))
+        if not re.fullmatch("[0-9]+", month) and month[:3] in MONTHS:
+            month = str(MONTHS.index(month[:3]) + 1)
+        if not year:
+            return UNKNOWN_DATE
+        known = [year, *([month.zfill(2), *([day.zfill(2)] if day else [])] if month else [])]
+        return "-".join(known)
+
+    def doi(self) -> str | None:
+        return next((e.text for e in self.root.iter("ArticleId") if e.get("IdType") == "doi"), None) or None
+
+    def language(self) -> str | None:
+        """The search's code of the first language, its own code where there is none; null without one."""
+        code = _text(self.root, "Language").lower()
+        return LANGUAGE_CODES.get(code, code) or None
+
+    def subsets(self) -> list[str]:
+        """Which subsets of the catalogue a record is in: its state, and full texts that its identifiers speak of."""
+        citation = next(self.root.iter("MedlineCitation"), None)
+        ids = {e.get("IdType") for e in self.root.iter("ArticleId")}
+        found = [RECORD_STATES.get(citation.get("Status")) if citation is not None else None]
+        found += ["pmc", "full text", "free full text"] if "pmc" in ids else []
+        found += (["full text"] if "doi" in ids else []) + (["nihms"] if "mid" in ids else [])
+        return list(dict.fromkeys(filter(None, found)))
+
+    def fields(self) -> tuple:
+        one = lambda name: _text(self.root, name)
+        return (
+            one("PMID") or UNKNOWN_ID, one("ArticleTitle") or NO_TITLE, self.abstract(), self.authors(), self.journal(), self.date(), self.doi(),
+            self.all("DescriptorName"), self.all("Keyword"), self.all("PublicationType"), self.language(), self.subsets(),
+        )
 
 
 def extract_articles(records: DataFrame, xml_col: str = "xml", index_col: str = "article_index") -> DataFrame:
     """The eleven fields of every well-formed record, its language and subsets; others go, and keep their number.
 
-    Spark's XML reader judges a record once; its fields are then found by
-    patterns, which takes a small part of the time of an XPath for each. Comments
-    are left out first; the records have no CDATA sections.
+    A record is parsed once, in the task that reads it.
     """
-    xml = F.col("_xml")
-    checked = F.when(well_formed(F.col(xml_col)), F.when(F.contains(F.col(xml_col), F.lit("<!--")), F.regexp_replace(F.col(xml_col), r"(?s)<!--.*?-->", "")).otherwise(F.col(xml_col)))
-    good = records.where(F.col(xml_col).isNotNull()).withColumn("_xml", checked).where("_xml is not null")
-    doi = blank_to_null(F.regexp_extract(xml, r"""<ArticleId\s(?=[^>]*?IdType\s*=\s*["']doi["'])[^>]*>([^<]*)""", 1))
-    found = good.select(
-        F.col(index_col).cast("int").alias("article_index"),
-        F.coalesce(_first_text(xml, "PMID"), F.lit(UNKNOWN_ID)).alias("pmid"),
-        F.coalesce(_first_text(xml, "ArticleTitle"), F.lit(NO_TITLE)).alias("title"),
-        _abstract(xml).alias("abstract"),
-        _authors(xml).alias("authors"),
-        F.coalesce(_first_text(_element(xml, "Journal"), "Title"), _first_text(xml, "MedlineTA"), F.lit(UNKNOWN_JOURNAL)).alias("journal"),
-        _date(xml).alias("publication_date"),
-        doi.alias("doi"),
-        _texts(xml, "DescriptorName").alias("mesh_terms"),
-        _texts(xml, "Keyword").alias("keywords"),
-        _texts(xml, "PublicationType").alias("publication_types"),
-        _language(xml).alias("lang"),
-        _subsets(xml).alias("subsets"),
-    )
-    # A projection of its own, so that what is found is not found again for each look at it.
-    texts, lists = ["pmid", "title", "abstract", "authors", "journal", "doi"], ["mesh_terms", "keywords", "publication_types"]
-    return found.withColumns({c: _unescaped(F.col(c)) for c in texts} | {c: F.transform(c, _unescaped) for c in lists})
+    schema = T.StructType.fromDDL(f"article_index int, {FIELDS}")
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for number, xml in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    rows.append((number, *Record(xml.as_py()).fields()))
+                except ElementTree.ParseError:
+                    continue
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema.fieldNames())
+
+    return records.where(F.col(xml_col).isNotNull()).select(F.col(index_col).cast("int"), F.col(xml_col).cast("string")).mapInArrow(run, schema)
 
 
 def with_date_bounds(articles: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from scholia.functions.text import contains_any
+from scholia.operators import vector_index
 from scholia.session import stored
 
 DIMS = 256
@@ -88,10 +90,13 @@ def _packed(source: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, size):
-                few = _columns(batch.slice(low, size))
-                held = [pa.array([few[n].to_pylist()], pa.list_(few[n].type)) for n in ("id", "scope")]
-                yield pa.RecordBatch.from_arrays([*held, pa.array([_matrix(few["v"]).tobytes()], pa.binary())], ["ids", "scopes", "vectors"])
+            lengths = pc.list_value_length(batch.column("v"))
+            for length in pc.unique(lengths):  # a shard has vectors of one length
+                own = batch.filter(pc.equal(lengths, length))
+                for low in range(0, own.num_rows, size):
+                    few = _columns(own.slice(low, size))
+                    held = [pa.array([few[n].to_pylist()], pa.list_(few[n].type)) for n in ("id", "scope")]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array([_matrix(few["v"]).tobytes()], pa.binary())], ["ids", "scopes", "vectors"])
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"ids array<{kind}>, scopes array<string>, vectors binary")
@@ -106,7 +111,7 @@ def _blocks(asked: DataFrame, count: int) -> DataFrame:
         return pd.DataFrame({"names": [pdf["q"].tolist()], "depths": [pdf["k"].tolist()], "asked_scopes": [pdf["scope"].tolist()], "queries": [matrix.tobytes()]})
 
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(count)))
-    return dealt.groupBy("block").applyInPandas(run, f"names array<{kind}>, depths array<int>, asked_scopes array<string>, queries binary")
+    return dealt.groupBy("block", F.size("v")).applyInPandas(run, f"names array<{kind}>, depths array<int>, asked_scopes array<string>, queries binary")
 
 
 def nearest(
@@ -223,11 +228,13 @@ def depth(question: Column, articles: Column) -> Column:
     return F.when(contains_any(question, COMPREHENSIVE), F.least(known * PER_ARTICLE, F.lit(MOST_K))).otherwise(FOCUSED_K).cast("int")
 
 
-def retrieve(chunk_vectors: DataFrame, questions: DataFrame, counts: DataFrame | None = None, embedder: Embedder | None = None, metric: str = "l2", scope_col: str | None = None, weight: float = LAMBDA) -> DataFrame:
+def retrieve(chunk_vectors: DataFrame, questions: DataFrame, counts: DataFrame | None = None, embedder: Embedder | None = None, metric: str = "l2", scope_col: str | None = None, weight: float = LAMBDA, index: str | None = None) -> DataFrame:
     """query_id, chunk_id, position for questions (query_id, text and the scope column).
 
     Twice the wanted number of nearest chunks are re-ranked for difference.
-    counts: scope and `articles`, the number of articles of each.
+    counts: scope and `articles`, the number of articles of each. With an index (of
+    vector_index.build(), by chunk_id) it is searched; else chunk_vectors are, all
+    of them.
     """
     asked = questions
     if counts is not None and scope_col:
@@ -236,5 +243,8 @@ def retrieve(chunk_vectors: DataFrame, questions: DataFrame, counts: DataFrame |
         asked = asked.withColumn("articles", F.lit(None).cast("long"))
     asked = embed(asked, "text", embedder).withColumnRenamed("embedding", "query_embedding").withColumn("k", depth(F.col("text"), F.col("articles")))
     asked = asked.withColumn("fetch", 2 * F.col("k"))
-    found = nearest(chunk_vectors, asked, "fetch", metric, "chunk_id", scope_col=scope_col, with_vectors=True)
+    if index is not None:
+        found = vector_index.search(asked.sparkSession, index, asked, "fetch", id_col="chunk_id", scope_col=scope_col, with_vectors=True)
+    else:
+        found = nearest(chunk_vectors, asked, "fetch", metric, "chunk_id", scope_col=scope_col, with_vectors=True)
     return rerank(found, asked, "k", weight, "chunk_id")

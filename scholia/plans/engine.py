@@ -9,7 +9,7 @@ import uuid
 from datetime import UTC, date, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.rewrite import explanation, rewrite_questions
@@ -17,10 +17,10 @@ from scholia.operators import answers, articles, retrieval, topics
 from scholia.plans.predicate import relevance, search
 from scholia.plans.query_text import complete_query
 from scholia.plans.request import TopicRequest
-from scholia.session import stored
-from scholia.sources import records
+from scholia.session import Settings, stored
+from scholia.sources import generations, records
+from scholia.sources.generations import LOG, read_log
 
-LOG = "topic_id string, status string, ts timestamp, event_id long, detail string"
 TURNS = "conversation_id string, turn long, role string, text string, at timestamp, topic_id string"
 
 
@@ -55,30 +55,27 @@ def hits(source: DataFrame, spark: SparkSession, request: TopicRequest, as_of: d
     return topics.ranked(search(source, query, field), request.filters.sort_by, relevance(query, field), "pmid").limit(request.max_results)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The store's log of statuses, empty where there is none yet."""
-    try:
-        return spark.read.schema(LOG).parquet(f"{path}/log")
-    except AnalysisException:
-        return spark.createDataFrame([], LOG)
-
-
-def append_status(spark: SparkSession, path: str, topic_id: str, status: str, at: datetime | None = None, event_id: int | None = None, **detail) -> None:
+def append_status(spark: SparkSession, path: str, topic_id: str, status: str, at: datetime | None = None, event_id: int | None = None, generation: str | None = None, **detail) -> None:
     """One more entry in the log of statuses, which is never rewritten; detail is kept as JSON."""
     number = time.time_ns() if event_id is None else event_id
-    row = (topic_id, status, at or datetime.now(UTC), number, json.dumps(detail, default=str) if detail else None)
-    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    row = (topic_id, status, at or datetime.now(UTC), number, json.dumps(detail, default=str) if detail else None, generation)
+    generations.append(spark.createDataFrame([row], LOG), path)
 
 
-def ingest(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_id: str | None, path: str, as_of: date, timeout: float | None = None) -> dict:
+def ingest(
+    source: DataFrame, spark: SparkSession, request: TopicRequest, topic_id: str | None, path: str, as_of: date, timeout: float | None = None,
+    generation: str | None = None, settings: Settings | None = None,
+) -> dict:
     """Search, filter, store articles and chunks, and index them unless the request says not to.
 
-    path gets articles/, chunks/ and, with embeddings, index/, each by topic, and
-    the log: processing at the start, then completed, failed or timeout. A job
-    that takes longer than the request allows is cancelled. A topic that did not
-    complete keeps no data. Without a topic_id a new one is made.
+    path gets articles/, chunks/ and, with embeddings, index/, each by topic and
+    generation, and the log: processing at the start, then completed, failed or
+    timeout. A job that takes longer than the request allows is cancelled. What
+    was fetched before stays until the new generation is completed, and for good
+    if it does not. A generation's name is given by a job that may be tried again,
+    else it is new. Without a topic_id a new one is made.
     """
-    topic_id = topic_id or str(uuid.uuid4())
+    topic_id, generation = topic_id or str(uuid.uuid4()), generation or uuid.uuid4().hex
     context, late, ended = spark.sparkContext, threading.Event(), threading.Event()
     seconds = request.timeout() if timeout is None else timeout
     append_status(spark, path, topic_id, topics.PROCESSING, description=request.description(), params=request.params())
@@ -87,13 +84,13 @@ def ingest(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_
         if not ended.wait(seconds):
             late.set()
             while not ended.wait(0.2):  # a job that is being planned begins later
-                context.cancelJobGroup(topic_id)
+                context.cancelJobGroup(generation)
 
-    context.setJobGroup(topic_id, request.description(), interruptOnCancel=True)
+    context.setJobGroup(generation, request.description(), interruptOnCancel=True)
     threading.Thread(target=watch, daemon=True).start()
     found: dict = {}
     try:
-        found = _store(source, spark, request, topic_id, path, as_of)
+        found = _store(source, spark, request, topic_id, path, as_of, generation, settings or Settings.from_env())
         status = topics.COMPLETED
     except Exception as error:  # whatever it is, the topic must not stay in processing
         status, found = (topics.TIMEOUT if late.is_set() else topics.FAILED), {"error": str(error)[:200]}
@@ -101,34 +98,45 @@ def ingest(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_
         ended.set()
         for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
             context.setLocalProperty(name, None)
-    if status != topics.COMPLETED:
-        _drop_folders(spark, path, topic_id, ("index", "chunks", "articles"))
-    append_status(spark, path, topic_id, status, **found)
+    if status == topics.COMPLETED:
+        append_status(spark, path, topic_id, status, generation=generation, **found)
+        for row in generations.replaced(read_log(spark, path).where(F.col("topic_id") == topic_id)).collect():  # of one topic
+            _drop_folders(spark, path, topic_id, TABLES, row["generation"])
+    else:
+        _drop_folders(spark, path, topic_id, TABLES, generation)
+        append_status(spark, path, topic_id, status, **found)
     return {"topic_id": topic_id, "status": status, "article_count": 0, "chunk_count": 0} | found
 
 
-def _store(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_id: str, path: str, as_of: date) -> dict:
-    found = hits(source, spark, request, as_of).drop("topic_id").withColumn("topic_id", F.lit(topic_id))
-    good = found.where(articles.is_valid(F.col("pmid"), F.col("title"), F.col("abstract")))
-    good.persist()
-    try:
-        count, pieces = good.count(), 0
-        if count:
-            records.write_articles(articles.stored_articles(good), f"{path}/articles")
-            records.write_chunk_store(articles.chunks(good), f"{path}/chunks")
-            held = records.read_chunk_store(spark, f"{path}/chunks", topic_id)
-            pieces = held.count()
-            if request.create_embeddings:
-                number = F.coalesce(F.col("metadata.chunk_index"), F.lit(-1))
-                vectors = retrieval.embed(held.select("content", F.col("metadata.topic_id").alias("topic_id"), F.col("metadata.pubmed_id").alias("pubmed_id"), F.col("metadata.chunk_type").alias("chunk_type"), number.alias("chunk_index")), "content")
-                records.write_index(vectors, f"{path}/index")
-    finally:
-        good.unpersist()
-    return {"article_count": count, "chunk_count": pieces}
+#: The tables that have generations, and the column that names the topic in each.
+TABLES = {"index": "topic_id", "chunks": "topic", "articles": "topic_id"}
 
 
-def memory(spark: SparkSession, path: str, keep: int = answers.KEPT_CONVERSATIONS) -> DataFrame:
+def _store(source: DataFrame, spark: SparkSession, request: TopicRequest, topic_id: str, path: str, as_of: date, generation: str, settings: Settings) -> dict:
+    """Write a generation; its numbers are observed while it is written, without a pass of their own."""
+    found = hits(source, spark, request, as_of).drop("topic_id").withColumn("topic_id", F.lit(topic_id))
+    good = stored(found.where(articles.is_valid(F.col("pmid"), F.col("title"), F.col("abstract"))))
+    written, cut = Observation(), Observation()
+    generations.write(articles.stored_articles(good).observe(written, F.count(F.lit(1)).alias("n")), f"{path}/articles", generation)
+    count = written.get["n"]
+    if not count:
+        return {"article_count": 0, "chunk_count": 0}
+    pieces = articles.chunks(good).withColumn("topic", F.col("metadata.topic_id"))
+    generations.write(pieces.observe(cut, F.count(F.lit(1)).alias("n")), f"{path}/chunks", generation, "topic", "json")
+    if request.create_embeddings:
+        held = generations.of_topic(records.read_chunks(spark, f"{path}/chunks"), generation, topic_id, "topic")
+        number = F.coalesce(F.col("metadata.chunk_index"), F.lit(-1))
+        vectors = retrieval.embed(
+            held.select("content", F.col("metadata.topic_id").alias("topic_id"), F.col("metadata.pubmed_id").alias("pubmed_id"), F.col("metadata.chunk_type").alias("chunk_type"), number.alias("chunk_index")),
+            "content", retrieval.hash_embedder(settings.embedding_dims),
+        )
+        generations.write(vectors, f"{path}/index", generation)
+    return {"article_count": count, "chunk_count": cut.get["n"]}
+
+
+def memory(spark: SparkSession, path: str, keep: int | None = None) -> DataFrame:
     """Turns of the conversations that are kept: the `keep` that began last, over all topics."""
+    keep = Settings.from_env().max_conversations if keep is None else keep
     try:
         turns = spark.read.schema(TURNS).parquet(f"{path}/conversations")
     except AnalysisException:
@@ -137,24 +145,28 @@ def memory(spark: SparkSession, path: str, keep: int = answers.KEPT_CONVERSATION
     return turns.join(F.broadcast(newest.select("conversation_id")), "conversation_id", "left_semi")  # `keep` rows
 
 
-def answer(spark: SparkSession, path: str, questions: DataFrame, topic_id: str, generator: answers.Generator | None = None) -> DataFrame:
+def answer(spark: SparkSession, path: str, questions: DataFrame, topic_id: str, generator: answers.Generator | None = None, settings: Settings | None = None) -> DataFrame:
     """query_id, conversation_id, answer for questions (query_id, text, and conversation_id if they go on with one).
 
-    The topic must have completed (require_answerable) and have an index, else
-    NotFound. What a conversation said before is put before the question for the
+    The topic must have a generation that holds (require_answerable) and an index,
+    else NotFound; all is read from that one generation. What a conversation said before is put before the question for the
     retrieval, and question and answer are added to its turns.
     """
-    require_answerable(topic_status(read_log(spark, path), topic_id))
-    vectors = records.read_index(spark, f"{path}/index", topic_id).withColumn("chunk_id", F.concat_ws("_", "pubmed_id", "chunk_type", "chunk_index"))
-    counts = topics.article_counts(spark.read.parquet(f"{path}/articles").where(F.col("topic_id") == topic_id))
+    settings = settings or Settings.from_env()
+    log = read_log(spark, path)
+    generation = valid_generation(log, topic_id)
+    if generation is None:
+        require_answerable(topic_status(log, topic_id))
+    vectors = records.read_index(spark, f"{path}/index", topic_id, generation).withColumn("chunk_id", F.concat_ws("_", "pubmed_id", "chunk_type", "chunk_index"))
+    counts = topics.article_counts(generations.of_topic(spark.read.parquet(f"{path}/articles"), generation, topic_id))
     given = F.col("conversation_id") if "conversation_id" in questions.columns else F.lit(None).cast("string")
     asked = stored(questions.select("query_id", "text", F.coalesce(given, F.uuid()).alias("conversation_id")))
-    turns = memory(spark, path).where(F.col("topic_id") == topic_id).join(asked.select("conversation_id").distinct(), "conversation_id", "left_semi")
+    turns = memory(spark, path, settings.max_conversations).where(F.col("topic_id") == topic_id).join(asked.select("conversation_id").distinct(), "conversation_id", "left_semi")
     told = answers.history(turns, "conversation_id").select("conversation_id", "history", F.col("turns").alias("before"))
     asked = asked.join(told, "conversation_id", "left").withColumns({"topic_id": F.lit(topic_id), "standalone": answers.condensed(F.col("text"), F.col("history"))})
     asked = stored(asked)
-    found = retrieval.retrieve(vectors, asked.select("query_id", "topic_id", F.col("standalone").alias("text")), counts, scope_col="topic_id").join(vectors.select("chunk_id", "content"), "chunk_id")
-    done = stored(answers.answer_questions(asked, found, counts, generator).join(asked.select("query_id", "conversation_id", "text", "before"), "query_id"))
+    found = retrieval.retrieve(vectors, asked.select("query_id", "topic_id", F.col("standalone").alias("text")), counts, retrieval.hash_embedder(settings.embedding_dims), scope_col="topic_id").join(vectors.select("chunk_id", "content"), "chunk_id")
+    done = stored(answers.answer_questions(asked, found, counts, generator, settings.max_answer_sentences).join(asked.select("query_id", "conversation_id", "text", "before"), "query_id"))
     order = Window.partitionBy("conversation_id").orderBy("query_id")
     number = F.coalesce("before", F.lit(0)) + 2 * (F.row_number().over(order) - 1)
     both = F.array(F.struct(F.lit(0).alias("k"), F.lit("user").alias("role"), F.col("text").alias("said")), F.struct(F.lit(1).alias("k"), F.lit("assistant").alias("role"), F.col("answer").alias("said")))
@@ -165,43 +177,59 @@ def answer(spark: SparkSession, path: str, questions: DataFrame, topic_id: str,
 
 
 def articles_page(spark: SparkSession, path: str, topic_id: str, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """A page of a completed topic's stored articles, and its totals; NotFound for a topic that the log does not know."""
-    status = topic_status(read_log(spark, path), topic_id)
-    if status == topics.NOT_FOUND:
+    """A page of a topic's stored articles in the generation that holds, and its totals; NotFound for a topic that the log does not know."""
+    log = read_log(spark, path)
+    if topic_status(log, topic_id) == topics.NOT_FOUND:
         raise records.NotFound(topic_id)
-    stored_rows, own = spark.read.parquet(f"{path}/articles"), F.col("topic_id") == topic_id
-    if status != topics.COMPLETED:
-        own = own & F.lit(False)
-    return topics.page(stored_rows, own, limit, offset, "pubmed_id"), topics.page_info(stored_rows, own, limit, offset)
+    rows = generations.of_topic(spark.read.parquet(f"{path}/articles"), valid_generation(log, topic_id), topic_id)
+    return topics.page(rows, F.lit(True), limit, offset, "pubmed_id"), topics.page_info(rows, F.lit(True), limit, offset)
 
 
-def _drop_folders(spark: SparkSession, path: str, topic_id: str, names: tuple[str, ...]) -> bool:
-    """Drop a topic's folders in these tables, in whatever store they are; whether there was one."""
+def _drop_folders(spark: SparkSession, path: str, topic_id: str, names: dict[str, str], generation: str | None = None) -> bool:
+    """Drop a topic's folders in these tables, or those of one generation, in whatever store they are; whether there was one."""
     gone = False
-    for name in names:
-        place = spark._jvm.org.apache.hadoop.fs.Path(records.topic_folder(spark, f"{path}/{name}", "topic" if name == "chunks" else "topic_id", topic_id))
+    for name, column in names.items():
+        folder = records.topic_folder(spark, f"{path}/{name}", column, topic_id)
+        if generation is not None:
+            folder = records.topic_folder(spark, folder, "generation", generation)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
         files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         gone = (files.exists(place) and files.delete(place, True)) or gone
     return gone
 
 
+#: What a cleanup drops.
+CLEANED_TABLES = {"index": "topic_id", "chunks": "topic"}
+
+
 def cleanup_topic(spark: SparkSession, path: str, topic_id: str) -> dict:
     """Drop a topic's index, chunks and conversations and say so in the log; NotFound for a topic that the log does not know."""
     if topic_status(read_log(spark, path), topic_id) == topics.NOT_FOUND:
         raise records.NotFound(topic_id)
     talks = memory(spark, path).where(F.col("topic_id") == topic_id).select("conversation_id").distinct().count()
-    gone = _drop_folders(spark, path, topic_id, ("index", "chunks"))
-    _drop_folders(spark, path, topic_id, ("conversations",))
+    # Logged first, so that no reader looks for what is being dropped.
     append_status(spark, path, topic_id, topics.CLEANED)
+    gone = _drop_folders(spark, path, topic_id, CLEANED_TABLES)
+    _drop_folders(spark, path, topic_id, {"conversations": "topic_id"})
     return {"topic_id": topic_id, "files_cleaned": gone, "conversations_removed": talks, "status": topics.CLEANED}
 
 
-def cleanup_old(spark: SparkSession, path: str, as_of: datetime, days: int = topics.RETENTION_DAYS) -> dict:
-    """Drop what expired topics keep; total, cleaned and failed (those without files). The list of topics is walked through, not held."""
+def cleanup_old(spark: SparkSession, path: str, as_of: datetime, days: int | None = None) -> dict:
+    """Drop what expired topics keep; total, cleaned and failed (those without files).
+
+    One job lists the expired topics and one writes their log entries, however
+    many they are; what is left for each is to drop its folders.
+    """
+    days = Settings.from_env().retention_days if days is None else days
+    gone = stored(topics.expired(_created(read_log(spark, path)), F.lit(as_of), days).select("topic_id"))
+    none = F.lit(None).cast("string")
+    number = F.lit(time.time_ns()) + F.monotonically_increasing_id()
+    generations.append(gone.select("topic_id", F.lit(topics.CLEANED).alias("status"), F.lit(datetime.now(UTC)).alias("ts"), number.alias("event_id"), none.alias("detail"), none.alias("generation")), path)
     total = cleaned = 0
-    for row in topics.expired(_created(read_log(spark, path)), F.lit(as_of), days).select("topic_id").toLocalIterator():
+    for row in gone.toLocalIterator():  # the list is walked through, not held
         total += 1
-        cleaned += cleanup_topic(spark, path, row["topic_id"])["files_cleaned"]
+        cleaned += _drop_folders(spark, path, row["topic_id"], CLEANED_TABLES)
+        _drop_folders(spark, path, row["topic_id"], {"conversations": "topic_id"})
     return {"total": total, "cleaned": cleaned, "failed": total - cleaned}
 
 
@@ -215,6 +243,12 @@ def topic_status(log: DataFrame, topic_id: str) -> str:
     return row["status"] if row else topics.NOT_FOUND
 
 
+def valid_generation(log: DataFrame, topic_id: str) -> str | None:
+    """The generation of a topic that holds; a later fetch that failed or goes on changes nothing."""
+    row = generations.valid(log.where(F.col("topic_id") == topic_id)).first()
+    return row["generation"] if row else None
+
+
 def require_answerable(status: str) -> None:
     """Questions are for completed topics."""
     if status == topics.NOT_FOUND:
@@ -229,12 +263,13 @@ def active_tasks(log: DataFrame) -> int:
 
 
 def catalog_status(spark: SparkSession, path: str) -> dict:
-    """Which of the store's tables can be read, with their rows."""
-    found = {}
-    for name in ("articles", "chunks", "index", "log"):
+    """Which of the store's tables can be read, with their rows that hold."""
+    found: dict = {}
+    log = read_log(spark, path)
+    for name, column in {"log": None, **TABLES}.items():
         try:
-            reader = spark.read.schema(records.CHUNK_SCHEMA).json if name == "chunks" else spark.read.parquet
-            found[name] = reader(f"{path}/{name}").count()
+            rows = log if column is None else generations.whole(records.read_chunks(spark, f"{path}/{name}") if name == "chunks" else spark.read.parquet(f"{path}/{name}"), log, column)
+            found[name] = rows.count()
         except AnalysisException:
             found[name] = None
     return found

@@ -19,7 +19,7 @@ that a table lacks are added empty by with_search_columns().
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -111,44 +111,57 @@ def _pieces(query: str) -> Iterator[tuple[str, re.Match]]:
             at = span.end()
 
 
-def condition_sql(query: str, search_field: str = "title/abstract") -> str:
-    """The SQL condition of a normalised boolean query; InvalidRequest if it is not one."""
+def read(query: str, search_field: str, term: Callable, dates: Callable, both: Callable, either: Callable, negated: Callable):
+    """A query folded from left to right: term(text, tag, is_phrase, columns) and dates(first, last) give values, the others combine them."""
     columns = _SEARCHED[search_field]
     # What was read on each level of parentheses, the operator that waits for an operand, and whether it is negated.
-    levels: list[list] = [["", "", False]]
+    levels: list[list] = [[None, "", False]]
 
-    def operand(condition: str) -> None:
-        read, word, negated = levels[-1]
-        condition = f"NOT {condition}" if negated else condition
-        levels[-1] = [f"({read} {word or 'AND'} {condition})" if read else condition, "", False]
+    def operand(value) -> None:
+        held, word, minus = levels[-1]
+        value = negated(value) if minus else value
+        levels[-1] = [value if held is None else (either if word == "OR" else both)(held, value), "", False]
 
     for kind, piece in _pieces(_tagged_groups(query)):
-        read, word, negated = levels[-1]
+        held, word, minus = levels[-1]
         if kind in ("AND", "OR"):
-            if not read or word or negated:
+            if held is None or word or minus:
                 raise InvalidRequest(f"{kind} without a term before it")
             levels[-1][1] = kind
         elif kind == "NOT":
-            levels[-1][2] = not negated
+            levels[-1][2] = not minus
         elif kind == "open":
-            levels.append(["", "", False])
+            levels.append([None, "", False])
         elif kind == "close":
-            if len(levels) == 1 or not read or word or negated:
+            if len(levels) == 1 or held is None or word or minus:
                 raise InvalidRequest("a closing parenthesis without a group or a term before it")
             levels.pop()
-            operand(read)
+            operand(held)
         elif kind == "range":
-            first, last = _day(piece[2], False), _day(piece[4], True)
-            operand(f"(date_to IS NOT NULL AND date_from IS NOT NULL AND date_to >= {first} AND date_from <= {last})")
+            operand(dates(_day(piece[2], False), _day(piece[4], True)))
         else:
-            phrase, phrase_tag, _, _, _, term, tag = piece.groups()
+            phrase, phrase_tag, _, _, _, text, tag = piece.groups()
             if phrase is not None and not phrase.strip():
                 raise InvalidRequest("an empty phrase")
-            operand(_condition(phrase if phrase is not None else term, phrase_tag if phrase is not None else tag, phrase is not None, columns))
-    read, word, negated = levels[-1]
-    if len(levels) > 1 or word or negated or not read:
-        raise InvalidRequest("a query that ends too early" if read else "a query without terms")
-    return read
+            operand(term(phrase if phrase is not None else text, phrase_tag if phrase is not None else tag, phrase is not None, columns))
+    held, word, minus = levels[-1]
+    if len(levels) > 1 or word or minus or held is None:
+        raise InvalidRequest("a query that ends too early" if held is not None else "a query without terms")
+    return held
+
+
+def condition_sql(query: str, search_field: str = "title/abstract") -> str:
+    """The SQL condition of a normalised boolean query; InvalidRequest if it is not one."""
+    return read(
+        query, search_field, _condition, lambda first, last: f"(date_to IS NOT NULL AND date_from IS NOT NULL AND date_to >= {first} AND date_from <= {last})",
+        "({} AND {})".format, "({} OR {})".format, "NOT {}".format,
+    )
+
+
+def searched_columns(tag: str | None, columns: list[str]) -> list[str] | None:
+    """The columns whose texts a term with that tag is looked for in; None for tags of another kind."""
+    kind = (tag or "").strip().lower()
+    return None if kind in _ARRAYS or kind in ("lang", "text", "sb") else _SEARCHED.get(kind, columns)
 
 
 def compile_query(query: str, search_field: str = "title/abstract") -> Column:

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,11 @@ def topic_folder(spark: SparkSession, base: str, column: str, topic_id: str) ->
     return f"{base}/{column}={escaped}"
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of all topics and generations, with both."""
+    return spark.read.schema(f"{CHUNK_SCHEMA}, topic STRING, generation STRING").json(path)
+
+
 def read_chunk_store(spark: SparkSession, path: str, topic_id: str | None = None, multiline: bool = False) -> DataFrame:
     """Chunks of a store, of one topic from its folder alone; multiline reads files that are one JSON array each, without folders."""
     read = spark.read.schema(CHUNK_SCHEMA if multiline else f"{CHUNK_SCHEMA}, topic STRING").option("multiLine", multiline).json(path)
@@ -93,9 +99,14 @@ def write_index(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("append").partitionBy("topic_id").parquet(path)
 
 
-def read_index(spark: SparkSession, path: str, topic_id: str) -> DataFrame:
-    """The vectors of a topic; NotFound if it has none."""
-    found = spark.read.parquet(path).where(F.col("topic_id") == topic_id)
+def read_index(spark: SparkSession, path: str, topic_id: str, generation: str | None = None) -> DataFrame:
+    """The vectors of a topic, of one generation where the index has them; NotFound if it has none."""
+    try:
+        found = spark.read.parquet(path).where(F.col("topic_id") == topic_id)
+    except AnalysisException as error:
+        raise NotFound(topic_id) from error
+    if generation is not None:
+        found = found.where(F.col("generation") == generation).drop("generation")
     if found.isEmpty():
         raise NotFound(topic_id)
     return found
@@ -104,7 +115,9 @@ def read_index(spark: SparkSession, path: str, topic_id: str) -> DataFrame:
 def folder_sizes(spark: SparkSession, path: str) -> DataFrame:
     """topics (first folders below path) and bytes below it, from file listings alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    below = F.regexp_extract("path", r"/([^/]+=[^/]+|[^/]+)/[^/]+$", 1)
+    # The first of a file's partition folders, or the folder it is in.
+    below = F.regexp_extract("path", r"/([^/=]+=[^/]+)(?:/[^/=]+=[^/]+)*/[^/]+$|/([^/]+)/[^/]+$", 0)
+    below = F.coalesce(F.nullif(F.regexp_extract(below, r"^/([^/=]+=[^/]+)/", 1), F.lit("")), F.regexp_extract(below, r"/([^/]+)/[^/]+$", 1))
     return files.agg(F.count_distinct(below).alias("topics"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 

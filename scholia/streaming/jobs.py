@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import date
+from datetime import UTC, date, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scholia.operators.topics import COMPLETED, FAILED, PROCESSING, TIMEOUT, TTL_SECONDS
 from scholia.plans import engine
 from scholia.plans.request import InvalidRequest, TopicRequest
+from scholia.session import Settings, stored
 
 REQUESTS = "topic_id string, query string, max_results int, ts timestamp"
 EVENTS = "topic_id string, event string, max_results int, ts timestamp"
@@ -75,20 +77,35 @@ def run_ingest(requests: DataFrame, ingest: Callable[[DataFrame, int], None], ch
 def ingest_requests(source: DataFrame, requests: DataFrame, path: str, checkpoint: str, as_of: date) -> StreamingQuery:
     """A stream of requests (REQUESTS) as ingest jobs into a store, with the store's log of statuses.
 
-    A batch that is tried again leaves out the topics that it completed before; a
-    request that cannot be searched for is a failed topic and stops nothing.
+    Each request of a batch is a generation named by both, so that a batch that is
+    tried again leaves out what it completed before and replaces what it began; a
+    topic asked for again in a later batch is fetched again. A request that cannot
+    be searched for is a failed topic and stops nothing.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        for row in batch.orderBy("ts").toLocalIterator():
-            if engine.topic_status(engine.read_log(spark, path), row["topic_id"]) == COMPLETED:
-                continue
+        name = F.sha2(F.concat_ws("|", F.lit(str(number)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("topic_id", "query", "max_results", "ts")]), 256)
+        named = stored(batch.withColumn("generation", name).dropDuplicates(["generation"]))
+        done = engine.read_log(spark, path).where(F.col("status") == COMPLETED).select("generation")
+        for row in named.join(done, "generation", "left_anti").orderBy("ts", "generation").toLocalIterator():
             try:
                 request = TopicRequest(advanced_query=row["query"], max_results=row["max_results"])
             except InvalidRequest as error:
                 engine.append_status(spark, path, row["topic_id"], FAILED, error=str(error))
                 continue
-            engine.ingest(source, spark, request, row["topic_id"], path, as_of)
+            engine.ingest(source, spark, request, row["topic_id"], path, as_of, generation=row["generation"])
 
     return run_ingest(requests, each, checkpoint)
+
+
+def run_retention(spark: SparkSession, path: str, checkpoint: str, settings: Settings | None = None, seconds: int | None = None) -> StreamingQuery:
+    """Clean up expired topics again and again, every cleanup_interval_hours of the settings (or so many seconds)."""
+    settings = settings or Settings.from_env()
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    every = f"{seconds} seconds" if seconds else f"{settings.cleanup_interval_hours} hours"
+
+    def clean(_: DataFrame, __: int) -> None:
+        engine.cleanup_old(spark, path, datetime.now(UTC), settings.retention_days)
+
+    return ticks.writeStream.foreachBatch(clean).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -17,7 +17,7 @@ from scholia.operators import answers, articles, retrieval, topics
 from scholia.plans import engine
 from scholia.plans.predicate import search
 from scholia.plans.request import TopicRequest
-from scholia.sources import records
+from scholia.sources import generations, records
 from scholia.streaming import jobs
 
 XML = """<?xml version="1.0"?><PubmedArticleSet><PubmedArticle Status="x"><MedlineCitation Status="MEDLINE"/><Language>eng</Language><PMID>11</PMID><ArticleTitle>Plain title <i>of</i> the thing</ArticleTitle>
@@ -53,6 +53,22 @@ def test_extraction(extracted):
     assert found("medline[sb]") == [1] and found("full text[sb] NOT free full text[sb]") == [1] and found("english[lang]") == [1] and found("NOT medline[sb]") == [2, 4, 5]
 
 
+def test_records_are_read_as_xml_is(spark):
+    """What patterns get wrong: markup in attributes, CDATA, comments, entities, names that begin alike."""
+    texts = [
+        """<PubmedArticle><PMID Version="1>0">1</PMID><ArticleTitle><![CDATA[A <b>title</b> & more]]></ArticleTitle><AbstractText NlmCategory='a>b' Label="BMI > 30">First</AbstractText><AbstractText Label='"q" &lt;x&gt; &#38;'>Second</AbstractText></PubmedArticle>""",
+        """<PubmedArticle><PMIDList>9</PMIDList><PMID>2</PMID><!-- <ArticleTitle>no</ArticleTitle> > --><ArticleTitle>One<!-- > --> two</ArticleTitle><AbstractText><![CDATA[]]></AbstractText><Author><LastName>O&apos;B&#x65;</LastName><ForeName> </ForeName><Initials>C</Initials></Author>
+        <ArticleId IdType='doi' Note="a>b">10/x</ArticleId><PubDate>\n<Year>2020</Year><Month>07</Month></PubDate></PubmedArticle>""",
+        "<PubmedArticle><PMID>3</PMID><ArticleTitle>&undefined;</ArticleTitle></PubmedArticle>", "<PubmedArticle><PMID>4</PMID>", "", " \n", "<PubmedArticle/>",
+    ]
+    frame = spark.createDataFrame([*enumerate(texts), (99, None)], "article_index int, xml string")
+    rows = {r["article_index"]: r for r in articles.extract_articles(frame).collect()}
+    assert sorted(rows) == [0, 1, 6]
+    assert (rows[0]["pmid"], rows[0]["title"], rows[0]["abstract"]) == ("1", "A <b>title</b> & more", 'BMI > 30: First "q" <x> &: Second')
+    assert (rows[1]["pmid"], rows[1]["title"], rows[1]["abstract"], rows[1]["authors"], rows[1]["doi"], rows[1]["publication_date"]) == ("2", "One two", "No Abstract", "O'Be, C", "10/x", "2020-07")
+    assert (rows[6]["pmid"], rows[6]["title"], rows[6]["lang"], rows[6]["subsets"]) == ("unknown", "No Title", None, [])
+
+
 def test_records_are_numbered_over_blocks(spark, tmp_path):
     """Records keep their numbers by file however many blocks and files a task reads, and no record is shuffled."""
     for name, n in (("a", 300), ("b", 40), ("c", 0)):
@@ -345,6 +361,84 @@ def test_engine_end_to_end(spark, small, tmp_path):
     assert engine.health(spark)["status"] == "ok"
 
 
+def test_ingest_in_generations(spark, tmp_path):
+    """A topic fetched twice is there once, a fetch that fails changes nothing, and readers keep what they began with."""
+    source, _ = dated_articles(spark)
+    path, day = str(tmp_path / "store"), date(2024, 1, 1)
+    first = engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=20), "t", path, day)
+    reading, _ = engine.articles_page(spark, path, "t", 100)
+    for _ in range(2):
+        again = engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=20), "t", path, day)
+        assert again == first
+    rows, info = engine.articles_page(spark, path, "t", 100)
+    assert rows.count() == 20 and info.first()["total"] == 20 and sorted(rows.columns) == sorted(reading.columns) and "generation" not in rows.columns
+    found = engine.catalog_status(spark, path)
+    assert (found["articles"], found["chunks"], found["log"]) == (20, first["chunk_count"], 6) and found["index"] == first["chunk_count"]
+    # One generation is kept for readers who began with it, older ones are gone.
+    folders = sorted(p.name for p in (tmp_path / "store" / "articles" / "topic_id=t").iterdir())
+    valid = engine.valid_generation(engine.read_log(spark, path), "t")
+    assert len(folders) == 2 and f"generation={valid}" in folders
+    reading, _ = engine.articles_page(spark, path, "t", 100)
+    failed = engine.ingest(source, spark, TopicRequest(advanced_query="insulin AND"), "t", path, day)
+    broken = engine.ingest(source.withColumn("abstract", F.raise_error(F.lit("gone"))), spark, TopicRequest(topic="insulin"), "t", path, day)
+    log = engine.read_log(spark, path)
+    assert failed["status"] == broken["status"] == "failed" == engine.topic_status(log, "t") and engine.valid_generation(log, "t") == valid
+    assert engine.articles_page(spark, path, "t", 100)[0].count() == 20 and len(list((tmp_path / "store" / "articles" / "topic_id=t").iterdir())) == 2
+    asked = spark.createDataFrame([(1, "Does insulin work in mice?")], "query_id long, text string")
+    assert "Insulin works in mice." in engine.answer(spark, path, asked, "t").first()["answer"]
+    smaller = engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=5), "t", path, day)
+    assert smaller["article_count"] == 5 and engine.articles_page(spark, path, "t", 100)[0].count() == 5 and reading.count() == 20
+    # The same generation written again replaces itself.
+    for n in (7, 3):
+        engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=n), "u", path, day, generation="g1")
+    assert engine.articles_page(spark, path, "u", 100)[0].count() == 3
+    engine.cleanup_topic(spark, path, "t")
+    assert engine.valid_generation(engine.read_log(spark, path), "t") is None
+    before = engine.read_log(spark, path).orderBy("event_id").collect()
+    generations.compact(spark, path, date(2100, 1, 1))
+    days = list((tmp_path / "store" / "log").glob("day=*"))
+    assert engine.read_log(spark, path).orderBy("event_id").collect() == before and all(len(list(d.glob("part-*"))) == 1 for d in days)
+
+
+def test_numbers_of_an_ingest_are_observed(spark, tmp_path):
+    """No job counts what was written; the store's numbers come with the writing."""
+    source, _ = dated_articles(spark)
+    done = engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=9), "t", str(tmp_path / "s"), date(2024, 1, 1))
+    assert done["article_count"] == 9 and done["chunk_count"] == spark.read.json(f"{tmp_path}/s/chunks").count()
+
+
+def test_cleanup_is_one_job_for_all_topics(spark, tmp_path):
+    path = str(tmp_path / "store")
+    old = datetime(2020, 1, 1)
+    log = spark.createDataFrame([(f"t{i}", "completed", old, i, None, f"g{i}") for i in range(30)] + [("new", "completed", datetime(2100, 1, 1), 99, None, "g")], generations.LOG)
+    generations.append(log, path)
+    vectors = spark.createDataFrame([(f"t{i}", [1.0]) for i in range(0, 30, 3)] + [("new", [1.0])], "topic_id string, embedding array<double>")
+    generations.write(vectors, f"{path}/index", "g")
+    assert engine.cleanup_old(spark, path, datetime(2024, 1, 1), 7) == {"total": 30, "cleaned": 10, "failed": 20}
+    found = engine.read_log(spark, path)
+    assert found.where("status = 'cleaned'").count() == 30 and engine.topic_status(found, "new") == "completed" and engine.storage_status(spark, path)["topics"] == 1
+    assert len(list((tmp_path / "store" / "log").glob("day=*/part-*"))) <= 3
+    assert engine.cleanup_old(spark, path, datetime(2024, 1, 1), 7)["total"] == 0
+
+
+def test_settings_have_an_effect(spark, tmp_path, monkeypatch):
+    from scholia.session import Settings
+
+    source, _ = dated_articles(spark)
+    path = str(tmp_path / "store")
+    few = Settings(embedding_dims=32, max_answer_sentences=1)
+    engine.ingest(source, spark, TopicRequest(topic="insulin", max_results=9), "t", path, date(2024, 1, 1), settings=few)
+    assert spark.read.parquet(f"{path}/index").select(F.max(F.size("embedding"))).first()[0] == 32
+    asked = spark.createDataFrame([(1, "Does insulin work in mice?")], "query_id long, text string")
+    answer = engine.answer(spark, path, asked, "t", settings=few).first()["answer"]
+    assert len(re.findall(r"[.!?](?:\s|$)", answer.split("\n\n")[0])) == 1
+    monkeypatch.setenv("SCHOLIA_MAX_CONVERSATIONS", "1")
+    engine.answer(spark, path, spark.createDataFrame([(2, "And rats?"), (3, "And men?")], "query_id long, text string"), "t", settings=few)
+    assert engine.memory(spark, path).select("conversation_id").distinct().count() == 1
+    monkeypatch.setenv("SCHOLIA_RETENTION_DAYS", "100000")
+    assert engine.cleanup_old(spark, path, datetime(2100, 1, 1))["total"] == 0
+
+
 def test_settings(monkeypatch):
     from scholia.session import Settings
 

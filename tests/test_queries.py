@@ -59,7 +59,7 @@ def test_boolean_normalisation_of_every_item(spark, tmp_path):
             out = re.sub(rf"\s*\b{word}\b\s*", f" {word} ", out, flags=re.IGNORECASE)
         return out
 
-    got = {r["item_id"]: r["query"] for r in entry.queries()["parse_boolean_normalize_all"](spark, str(tmp_path)).collect()}
+    got = {r["item_id"]: r["query"] for r in entry.queries()["parse_boolean_normalize"](spark, str(tmp_path)).collect()}
     assert got == {i: normal(t) for i, t in enumerate(texts)}
     assert got[0] == "été AND hiver" and got[3] == "caféand thé AND eau" and got[4] == "éor orée andá"
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions.rewrite import rewrite_questions
-from scholia.functions.text import APOLOGY, clean_answer, normalize_boolean, sanitize_topic, strip, two_digits, with_coverage_note
+from scholia.functions.text import APOLOGY, clean_answer, normalize_boolean, sanitize_topic, strip, with_coverage_note
 from scholia.plans import engine
 from scholia.plans.predicate import compile_query, condition_sql, query_words, relevance, search
 from scholia.plans.query_text import complete_query, date_clause, normalize, sanitize, topics_query
@@ -164,7 +164,6 @@ def test_empty_query_is_an_error():
 def test_text_functions(spark):
     frame = spark.createDataFrame([("  x\n",)], "t string")
     assert frame.select(strip(F.col("t"))).first()[0] == "x"
-    assert [frame.select(two_digits(F.lit(v))).first()[0] for v in ("3", "12", "Spring")] == ["03", "12", "Spring"]
     told = spark.createDataFrame([("Question: a long enough answer\n\n\n\nend Remember:",), ("short",), (None,)], "t string")
     assert [r[0] for r in told.select(clean_answer(F.col("t"))).collect()] == ["a long enough answer\n\nend", APOLOGY, APOLOGY]
     note = frame.select(with_coverage_note(F.lit("A Comprehensive view"), F.lit("See PMID: 1, PMID:1 and PMID: 22."), F.lit(6))).first()[0]

@@ -58,6 +58,8 @@ K = 20
 FACTORS = (16.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5)
 RECALL = 0.97
 SAMPLE, SAMPLE_QUERIES = 4096, 128
+#: Rows of the smallest hashes that are ranked for one that is taken.
+SPARE = 4
 SHARD_ROWS, QUERY_ROWS = 8192, 1024
 LEAF = 128
 #: Least length in a band, as a share of the longest.
@@ -255,8 +257,12 @@ def choose_factors(rows: DataFrame, asked: F.Column, k: int = K, recall: float =
     # At most SAMPLE rows and SAMPLE_QUERIES queries of each number of components.
     hashed = rows.withColumn("hash", F.xxhash64("id", "vector")).withColumn("asked", F.coalesce(asked, F.lit(False)))
     order = Window.partitionBy("dims").orderBy("hash", "mark")
-    some = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).select("mark", "place")
-    few = hashed.where("asked").withColumn("query_place", F.row_number().over(order)).where(F.col("query_place") <= SAMPLE_QUERIES).select("mark", "query_place")
+    sizes = hashed.groupBy("dims").agg(F.count("*").alias("rows"), F.count_if("asked").alias("queries"))  # a row for each number of components
+    # Hashes are even, so that those below a few times the wanted share hold the smallest ones; only these are ranked.
+    share = F.pmod(F.shiftrightunsigned("hash", 11), F.lit(1 << 53)) / float(1 << 53)
+    near = hashed.join(sizes, "dims").select("dims", "mark", "asked", F.shiftrightunsigned("hash", 11).alias("hash"), share.alias("share"), "rows", "queries")
+    some = near.where(F.col("share") * F.col("rows") <= SPARE * SAMPLE).withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).select("mark", "place")
+    few = near.where(F.col("asked") & (F.col("share") * F.col("queries") <= SPARE * SAMPLE_QUERIES)).withColumn("query_place", F.row_number().over(order)).where(F.col("query_place") <= SAMPLE_QUERIES).select("mark", "query_place")
     none = F.lit(None).cast("int")
     places = some.select("mark", "place", none.alias("query_place")).unionByName(few.select("mark", none.alias("place"), "query_place"))
     places = places.groupBy("mark").agg(F.min("place").alias("place"), F.min("query_place").alias("query_place"))

@@ -53,6 +53,9 @@ class Record:
     def __init__(self, xml: str):
         self.root = ElementTree.fromstring(xml)
 
+    def pmid(self) -> str:
+        return _text(self.root, "PMID") or UNKNOWN_ID
+
     def all(self, name: str) -> list[str]:
         return [e.text for e in self.root.iter(name) if e.text]
 
@@ -108,7 +111,7 @@ class Record:
     def fields(self) -> tuple:
         one = lambda name: _text(self.root, name)
         return (
-            one("PMID") or UNKNOWN_ID, one("ArticleTitle") or NO_TITLE, self.abstract(), self.authors(), self.journal(), self.date(), self.doi(),
+            self.pmid(), one("ArticleTitle") or NO_TITLE, self.abstract(), self.authors(), self.journal(), self.date(), self.doi(),
             self.all("DescriptorName"), self.all("Keyword"), self.all("PublicationType"), self.language(), self.subsets(),
         )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions.rewrite import explanation, rewrite_questions
-from scholia.operators import answers, articles, retrieval, topics
+from scholia.operators import answers, articles, gram_index, ranking, retrieval, topics
 from scholia.plans.predicate import relevance, search
 from scholia.plans.query_text import complete_query
 from scholia.plans.request import TopicRequest
@@ -47,12 +47,21 @@ def preview(spark: SparkSession, request: TopicRequest, as_of: date) -> dict:
     return {"search_method": method, "description": request.description(), "inputs": request.params(), "final_query": query_of(spark, request, as_of)}
 
 
-def hits(source: DataFrame, spark: SparkSession, request: TopicRequest, as_of: date) -> DataFrame:
-    """The first max_results articles that a request finds, in its sort order; by default those with most of its words."""
+def hits(source: DataFrame, spark: SparkSession, request: TopicRequest, as_of: date, index: str | None = None, statistics: str | None = None) -> DataFrame:
+    """The first max_results articles that a request finds, in its sort order; by default those with most of its words.
+
+    With an index (gram_index.build() of the source) texts are not read to search
+    them; with statistics (ranking.statistics()) relevance is BM25.
+    """
     query, field = query_of(spark, request, as_of), request.filters.search_field
-    if "publication_date" in source.columns and not {"date_from", "date_to"} & set(source.columns):
-        source = articles.with_date_bounds(source)
-    return topics.ranked(search(source, query, field), request.filters.sort_by, relevance(query, field), "pmid").limit(request.max_results)
+    if index is not None:
+        found = gram_index.search(spark, index, query, field)
+    else:
+        if "publication_date" in source.columns and not {"date_from", "date_to"} & set(source.columns):
+            source = articles.with_date_bounds(source)
+        found = search(source, query, field)
+    score = relevance(query, field) if statistics is None else ranking.score(spark, statistics, query)
+    return topics.ranked(found, request.filters.sort_by, score, "pmid").limit(request.max_results)
 
 
 def append_status(spark: SparkSession, path: str, topic_id: str, status: str, at: datetime | None = None, event_id: int | None = None, generation: str | None = None, **detail) -> None:

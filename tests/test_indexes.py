@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from scholia.operators import articles, gram_index, retrieval, vector_index
+from scholia.operators import articles, gram_index, ranking, retrieval, vector_index
 from scholia.plans import predicate
 from scholia.plans.request import InvalidRequest
 
@@ -154,3 +154,44 @@ def test_indexed_passages_are_mostly_those_of_the_scan(spark, small):
     exact = {(r["query_id"], r["chunk_id"]) for r in entry.queries()["rag_retrieve"](spark, small).collect()}
     found = {(r["query_id"], r["chunk_id"]) for r in entry.queries()["rag_retrieve_indexed"](spark, small).collect()}
     assert len(found) == len(exact) and len(found & exact) >= 0.85 * len(exact)
+
+
+# --- ranking and pages ----------------------------------------------------------------------------------------------
+
+
+def test_pages_of_ranges_part_the_whole(spark, tmp_path):
+    rnd = random.Random(2)
+    keys = [rnd.randrange(1000) for _ in range(95)]  # with repeats
+    frame = spark.createDataFrame([(k, f"t{k}") for k in keys], "doc_id long, title string").repartition(4)
+    path = str(tmp_path / "r")
+    ranking.write_ranges(frame, path, "doc_id", 10)
+    assert spark.read.parquet(f"{path}/counts").count() > 5
+    for limit, offset in ((20, 0), (7, 33), (10, 90), (5, 95), (5, 200)):
+        assert [r["doc_id"] for r in ranking.page(spark, path, "doc_id", limit, offset).collect()] == sorted(keys)[offset : offset + limit]
+    plan = ranking.page(spark, path, "doc_id", 3, 50)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*range", plan)
+
+
+def test_bm25_of_requests(spark, indexed, tmp_path):
+    """hits() through the index and by BM25, against the formula."""
+    import math
+    from datetime import date
+
+    from scholia.plans import engine
+    from scholia.plans.request import Filters, TopicRequest
+
+    base, _ = indexed
+    path, grams = str(tmp_path / "s"), str(tmp_path / "g")
+    ranking.statistics(base, path)
+    gram_index.build(articles.with_date_bounds(base), grams)
+    request = TopicRequest(advanced_query='insulin OR "heart attack"', max_results=15)
+    got = [r["pmid"] for r in engine.hits(base, spark, request, date(2024, 1, 1), index=grams, statistics=path).collect()]
+    held = {r["pmid"]: re.findall(r"[^\W_]+", f"{r['title'] or ''}\n{r['abstract'] or ''}".lower()) for r in base.select("pmid", "title", "abstract").collect()}
+    mean = sum(map(len, held.values())) / len(held)
+    df = {w: sum(w in own for own in held.values()) for w in ("insulin", "heart", "attack")}
+
+    def score(own):
+        return round(sum(math.log(1 + (len(held) - n + 0.5) / (n + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, n in df.items()), 6)
+
+    found = [p for p, own in held.items() if "insulin" in own or "heart attack" in " ".join(own)]
+    assert got == sorted(found, key=lambda p: (-score(held[p]), p))[:15]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions.text import NO_DOCUMENTS, cited_ids, with_coverage_note
+from scholia.operators import ranking
 
 #: Takes prompts, gives answers; a batch model in a task.
 Generator = Callable[[list[str]], list[str]]
@@ -56,6 +58,74 @@ def generate(prompts: DataFrame, generator: Generator | None = None, prompt_col:
     return prompts.withColumn(out_col, run(prompt_col))
 
 
+#: How much of a sentence's rank comes from the question itself, rounds of the ranking, and the likeness from which a sentence repeats another.
+RESTART, RANK_ROUNDS, REPEATS = 0.3, 50, 0.8
+
+
+def rank_sentences(vectors: np.ndarray, question: np.ndarray, restart: float = RESTART, rounds: int = RANK_ROUNDS) -> np.ndarray:
+    """Rank of sentences (rows of word weights) by their likeness to each other and to the question: power iteration with restart."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+    like = unit @ unit.T
+    np.fill_diagonal(like, 0.0)
+    asked = unit @ (question / max(np.linalg.norm(question), 1e-30))
+    start = asked / asked.sum() if asked.sum() > 0 else np.full(len(unit), 1 / max(1, len(unit)))
+    out = like.sum(axis=1)
+    rank = start
+    for _ in range(rounds):
+        # A sentence that is like no other hands its rank back to the start.
+        spread = like.T @ np.divide(rank, out, out=np.zeros_like(rank), where=out > 0) + rank[out == 0].sum() * start
+        rank = restart * start + (1 - restart) * spread
+    return rank
+
+
+def pick_sentences(rank: np.ndarray, vectors: np.ndarray, k: int, repeats: float = REPEATS) -> list[int]:
+    """The k best sentences in their own order, none of which repeats a better one; ties to the earlier one."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+    chosen: list[int] = []
+    for n in np.lexsort((np.arange(len(rank)), -rank.round(12))).tolist():
+        if len(chosen) < k and all(unit[n] @ unit[c] < repeats for c in chosen):
+            chosen.append(n)
+    return sorted(chosen)
+
+
+def extracted(questions: DataFrame, passages: DataFrame, statistics: str, k: int = 3, key: str = "query_id", text_col: str = "text", position: str = "position", content: str = "content") -> DataFrame:
+    """key and answer: the k sentences of a question's passages that its sentence graph ranks highest.
+
+    Words weigh by the corpus (ranking.statistics()). A group is the sentences of
+    one question's passages, of bounded number. Questions without passages, or
+    whose passages have no words, have no row.
+    """
+    spark = questions.sparkSession
+    total = spark.read.parquet(f"{statistics}/totals").first()["articles"]
+    parts = passages.select(key, position, F.posexplode(F.split(content, r"(?<=[.!?])\s+|\n+")).alias("n", "sentence")).where(F.trim("sentence") != "")
+    asked = questions.join(passages.select(key).distinct(), key, "left_semi").select(key, F.lit(-1).alias(position), F.lit(-1).alias("n"), F.col(text_col).alias("sentence"))
+    split = parts.unionByName(asked).withColumn("word", F.explode(ranking.words_of(("sentence",))))
+    counts = split.groupBy(key, position, "n", "sentence", "word").agg(F.count("*").alias("tf"))
+    known = spark.read.parquet(f"{statistics}/words").select("word", "articles")
+    df = F.coalesce("articles", F.lit(0))
+    weighed = counts.join(known, "word", "left").withColumn("weight", F.col("tf") * F.log(1 + (F.lit(total) - df + 0.5) / (df + 0.5)))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values([position, "n", "word"], kind="stable")
+        words = {w: i for i, w in enumerate(sorted(set(rows["word"])))}
+        places = rows.drop_duplicates([position, "n"])
+        number = {at: i for i, at in enumerate(zip(places[position], places["n"], strict=True))}
+        matrix = np.zeros((len(number), len(words)))
+        for at, n, word, weight in zip(rows[position], rows["n"], rows["word"], rows["weight"], strict=True):
+            matrix[number[at, n], words[word]] = weight
+        asked = number.get((-1, -1))
+        held = [i for i in range(len(number)) if i != asked]
+        if not held:
+            return pd.DataFrame({key: [], "answer": []})
+        vectors = matrix[held]
+        rank = rank_sentences(vectors, matrix[asked] if asked is not None else np.zeros(len(words)))
+        texts = places["sentence"].to_list()
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "answer": [" ".join(texts[held[i]].strip() for i in pick_sentences(rank, vectors, k))]})
+
+    kind = dict(questions.dtypes)[key]
+    return weighed.select(key, position, "n", "sentence", "word", "weight").groupBy(key).applyInPandas(pick, f"{key} {kind}, answer string")
+
+
 def answer_questions(questions: DataFrame, passages: DataFrame, counts: DataFrame, generator: Generator | None = None, sentences: int = 3) -> DataFrame:
     """query_id, answer for questions (query_id, topic_id, text); without passages, the sentence that says so.
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from scholia.operators import articles, gram_index, ranking, retrieval, vector_index
+from scholia.operators import answers, articles, gram_index, ranking, retrieval, vector_index
 from scholia.plans import predicate
 from scholia.plans.request import InvalidRequest
 
@@ -195,3 +195,50 @@ def test_bm25_of_requests(spark, indexed, tmp_path):
 
     found = [p for p, own in held.items() if "insulin" in own or "heart attack" in " ".join(own)]
     assert got == sorted(found, key=lambda p: (-score(held[p]), p))[:15]
+
+
+def test_extracted_sentences_match_brute_force(spark, tmp_path):
+    import math
+
+    rnd = random.Random(7)
+    words = "insulin glucose mice rats trial dose heart attack renal".split()
+    sentence = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 7))).capitalize() + "."
+    corpus = [" ".join(sentence() for _ in range(4)) for _ in range(40)]
+    base = articles.articles_of_documents(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(corpus)], "doc_id long, text string, lang string, source string"))
+    path = str(tmp_path / "s")
+    ranking.statistics(base, path, ("abstract",))
+    questions = [(1, "insulin in mice?"), (2, "heart attack dose"), (3, "no passages"), (4, "unknown words"), (5, None)]
+    passages = [(q, p, corpus[(7 * q + 3 * p) % 40] + (" " + corpus[5] if p == 2 else "")) for q in (1, 2, 4, 5) for p in range(1, 6)] + [(2, 6, ""), (2, 7, None), (1, 6, corpus[8])]
+    got = {r["query_id"]: r["answer"] for r in answers.extracted(spark.createDataFrame(questions, "query_id long, text string"), spark.createDataFrame(passages, "query_id long, position int, content string"), path).collect()}
+
+    def split(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    df = {w: sum(w in split(t) for t in corpus) for w in words}
+
+    def vector(text):
+        own = split(text)
+        return {w: own.count(w) * math.log(1 + (40 - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in set(own)}
+
+    def cosine(a, b):
+        size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / max(size(a) * size(b), 1e-30)
+
+    for q, text in questions:
+        lines = [s for p in sorted(x for x in passages if x[0] == q) for s in re.split(r"(?<=[.!?])\s+|\n+", p[2] or "") if s.strip()]
+        if not lines:
+            assert q not in got
+            continue
+        vectors = [vector(s) for s in lines]
+        like = [[0.0 if i == j else cosine(a, b) for j, b in enumerate(vectors)] for i, a in enumerate(vectors)]
+        start = [cosine(v, vector(text)) for v in vectors]
+        start = [x / sum(start) for x in start] if sum(start) > 0 else [1 / len(lines)] * len(lines)
+        rank = start
+        for _ in range(50):
+            lost = sum(r for r, row in zip(rank, like, strict=True) if sum(row) == 0)
+            rank = [0.3 * s + 0.7 * (sum(rank[i] * like[i][j] / sum(like[i]) for i in range(len(lines)) if sum(like[i]) > 0) + lost * s) for j, s in enumerate(start)]
+        chosen = []
+        for n in sorted(range(len(lines)), key=lambda n: (-round(rank[n], 12), n)):
+            if len(chosen) < 3 and all(cosine(vectors[n], vectors[c]) < 0.8 for c in chosen):
+                chosen.append(n)
+        assert got[q] == " ".join(lines[n] for n in sorted(chosen))

@@ -1,12 +1,13 @@
-"""The index of grams and the index of vectors against searches without them."""
+"""Indexes of grams and of vectors against searches without them; ranking, pages, answers and learned vectors against plain versions."""
 
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from scholia.operators import answers, articles, gram_index, ranking, retrieval, vector_index
+from scholia.operators import answers, articles, gram_index, latent, ranking, retrieval, vector_index
 from scholia.plans import predicate
 from scholia.plans.request import InvalidRequest
 
@@ -242,3 +243,43 @@ def test_extracted_sentences_match_brute_force(spark, tmp_path):
             if len(chosen) < 3 and all(cosine(vectors[n], vectors[c]) < 0.8 for c in chosen):
                 chosen.append(n)
         assert got[q] == " ".join(lines[n] for n in sorted(chosen))
+
+
+def test_directions_are_those_of_a_decomposition(spark, tmp_path):
+    """Equal to numpy's up to sign on a small table; a stored model is the same model."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(words[10 * (i % 5) : 10 * (i % 5) + 20] or words) for _ in range(15)) for i in range(120)] + [None, "", "..."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    model = latent.fit(frame, dims=6, features=256, passes=12)
+    rows = latent.Batch.of(texts, model.idf)
+    matrix = np.zeros((len(texts), 256))
+    matrix[rows.rows, rows.features] = rows.values
+    _, strengths, right = np.linalg.svd(matrix, full_matrices=False)
+    assert np.allclose(model.strengths, strengths[:6], atol=1e-6)
+    assert np.allclose(np.abs((model.directions * right[:6].T).sum(axis=0)), 1, atol=1e-4)
+    df = {w: sum(w in (t or "").split() for t in texts) for w in words}
+    assert abs(model.idf[latent.counts_of(["w3"], 256)[1][0]] - (np.log((1 + len(texts)) / (1 + sum(df[w] for w in words if latent.counts_of([w], 256)[1][0] == latent.counts_of(["w3"], 256)[1][0]))) + 1)) < 0.2
+    latent.save(model, spark, str(tmp_path / "m"))
+    again = latent.load(spark, str(tmp_path / "m"))
+    assert np.array_equal(again(texts), model(texts)) and np.allclose(np.linalg.norm(model(texts), axis=1), [1] * 120 + [0] * 3)
+    assert retrieval.embed(frame, "text", again).where(F.size("embedding") == 6).count() == len(texts)
+    assert latent.fit(frame.limit(0), dims=4, features=64)(["w1"]).shape == (1, 4)
+
+
+def test_learned_vectors_find_more_near_copies_than_hashing(spark):
+    """Held-out texts of the same themes, in other words of the theme: hashing sees only the words that both have."""
+    rnd = random.Random(12)
+    themes = [[f"t{n}w{i}" for i in range(40)] for n in range(12)]
+    common = [f"c{i}" for i in range(30)]
+    text = lambda n, k: " ".join([rnd.choice(themes[n]) for _ in range(k)] + [rnd.choice(common) for _ in range(12)])
+    corpus = [(n, text(n, 10)) for n in range(12) for _ in range(40)]
+    held_out = [(n, text(n, 3)) for n in range(12) for _ in range(5)]
+    model = latent.fit(spark.createDataFrame(corpus, "theme long, text string"), dims=16, features=4096)
+
+    def hits(embedder):
+        rows, asked = embedder([t for _, t in corpus]), embedder([t for _, t in held_out])
+        near = np.argsort(-(asked @ rows.T), axis=1, kind="stable")[:, :10]
+        return sum(corpus[i][0] == n for (n, _), own in zip(held_out, near, strict=True) for i in own)
+
+    assert hits(model) > 1.2 * hits(retrieval.hash_embedder(256))

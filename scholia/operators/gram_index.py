@@ -35,8 +35,6 @@ from scholia.session import stored
 
 #: Characters of a gram, articles of a block, buckets of grams, and grams of a term that are looked up.
 GRAM, BLOCK, BUCKETS, RAREST = 3, 4096, 64, 3
-#: Files of a bucket that are written at a time.
-SPREAD = 4
 #: Most blocks with candidates that are named to the reader of the articles; beyond it, a join alone.
 NAMED_BLOCKS = 10_000
 #: The columns that are indexed.
@@ -118,10 +116,10 @@ def build(articles: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, bu
             yield from flush()
 
     postings = lowered.mapInArrow(post, "bucket int, gram string, block long, places array<int>")
-    # A block that two tasks read has a row of each.
-    postings.repartition("bucket", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # A block that two tasks read has a row of each. Ranges, so that a frequent gram is written by as many tasks as it needs.
+    postings.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     counted = spark.read.parquet(f"{path}/postings").groupBy("bucket", "gram").agg(F.sum(F.size("places")).alias("articles"))
-    counted.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/grams")
+    counted.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/grams")
 
 
 def plan_of(query: str, search_field: str = "title/abstract", columns: tuple[str, ...] = COLUMNS):

@@ -44,9 +44,9 @@ def statistics(articles: DataFrame, path: str, columns: tuple[str, ...] = ("titl
     split = articles.select(words_of(columns).alias("words"))
     split.agg(F.count("*").alias("articles"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).write.parquet(f"{path}/totals")
     counted = split.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("articles"))
-    # Frequent words are added up where they are read; a bucket has words, not their places.
+    # Frequent words are added up where they are read. Ranges, as a bucket may have more words than a task should write.
     kept = counted.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    kept.repartition("bucket").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{path}/words")
+    kept.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{path}/words")
 
 
 def known_words(spark: SparkSession, path: str, words: list[str], buckets: int = BUCKETS) -> tuple[int, float, dict[str, int]]:

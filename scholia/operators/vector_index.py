@@ -144,8 +144,8 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), pa.array(own, pa.int32())], schema.fieldNames())
 
     coded = rows.where(F.size("v") == dims).mapInArrow(code, schema) if len(held) else spark.createDataFrame([], schema)
-    # A cell is written by as many tasks as its vectors are read by, with a file of each.
-    coded.write.partitionBy("cell").parquet(f"{path}/cells")
+    # Ranges of cells and hashes: a task writes few cells, and a large cell is written by several.
+    coded.repartitionByRange("cell", F.xxhash64("id")).write.partitionBy("cell").parquet(f"{path}/cells")
 
 
 def _cells(spark: SparkSession, path: str) -> DataFrame:

@@ -68,7 +68,7 @@ def append_status(spark: SparkSession, path: str, topic_id: str, status: str, at
     """One more entry in the log of statuses, which is never rewritten; detail is kept as JSON."""
     number = time.time_ns() if event_id is None else event_id
     row = (topic_id, status, at or datetime.now(UTC), number, json.dumps(detail, default=str) if detail else None, generation)
-    generations.append(spark.createDataFrame([row], LOG), path)
+    generations.append(spark.createDataFrame([row], LOG).coalesce(1), path)
 
 
 def ingest(

@@ -41,9 +41,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(entries: DataFrame, path: str) -> None:
-    """Add entries to the log, all of them in one file for each day of theirs."""
+    """Add entries to the log, in a file for each day of theirs and task that has any."""
     dated = entries.select(*[F.col(c) for c in entries.columns], F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    dated.repartition(1).write.mode("append").partitionBy("day").parquet(f"{path}/log")
+    dated.write.mode("append").partitionBy("day").parquet(f"{path}/log")
 
 
 def compact(spark: SparkSession, path: str, before: date) -> None:

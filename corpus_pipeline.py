@@ -1,6 +1,6 @@
 """The corpus pipeline: documents through five operators, each stage on all that the one before kept.
 
-language       documents whose language is rejected go
+language       documents whose language is rejected go: noise, other scripts, texts without letters; of sf0.01 none does
 lines          repeated and nearly repeated lines go from the texts
 near_duplicates one document of each group of near-duplicates stays
 decontamination documents with passages of the benchmark go

@@ -54,6 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.llm.simhash import lookup
 from scholia.session import cut
 
 #: Share of a host's votes that a main path needs.
@@ -535,9 +536,9 @@ def host_rules(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     each = found.groupBy("host", "path", "text", "page").agg(F.max("score").alias("score"))
     texts = cut(each.groupBy("host", "path", "text").agg(F.count("*").alias("pages"), F.sum("score").alias("score")))
     hosts = texts.where("path = ''").groupBy("host").agg(F.count("*").alias("all"))
-    # A row for a host; joined by size like any other table.
+    # A row for a host; hosts with a large share of the texts are looked up where the texts are.
     least = F.greatest(F.lit(STOCK_PAGES), F.ceil(F.lit(STOCK_SHARE) * F.col("all")))
-    texts = texts.where("path <> ''").join(hosts, "host").withColumn("stock", F.col("pages") >= least)
+    texts = lookup(texts.where("path <> ''"), hosts, "host").withColumn("stock", F.col("pages") >= least)
     classed = F.contains(F.substring_index("path", ">", -1), F.lit("."))
     paths = texts.groupBy("host", "path").agg(
         F.first("all").alias("all"), F.sum("pages").alias("total"), F.sum(F.when(F.col("stock"), F.col("pages")).otherwise(0)).alias("repeated"), F.sum(F.when(F.col("stock"), 0).otherwise(F.col("score"))).alias("score")

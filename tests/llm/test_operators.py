@@ -247,9 +247,6 @@ def test_html_text_joins_hosts_either_way(spark, small, monkeypatch):
     want = rows_of(html_text.main_text(pages))
     monkeypatch.setattr(html_text, "BROADCAST_PATHS", 0)
     assert rows_of(html_text.main_text(pages)) == want
-    # Hosts with a large share of the texts, looked up apart.
-    monkeypatch.setattr(simhash, "HOT_ROWS", 0)
-    assert rows_of(html_text.main_text(pages)) == want
 
 
 # --- 3 --------------------------------------------------------------------------------------------------------------

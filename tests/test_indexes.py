@@ -26,8 +26,8 @@ def indexed(spark, tmp_path_factory):
 
 
 QUERIES = [
-    "insulin OR STROKE", '"heart attack" OR "the of"', "insulin NOT mice", "NOT insulin", "a AND insulin", "café OR ärzte", "naïve AND ß", "i̇stanbul", "insulin AND (mice OR rats) NOT the",
-    "(insulin OR heart)[title] AND trial[abstract]", "unheardof OR insulin", "insulin OR english[lang]", "insulin AND unheardof", 'insulin NOT ("2019"[Date - Publication] : "3000"[Date - Publication])', "insulin[author]", "mic",
+    '"heart attack" OR "the of"', "insulin NOT mice", "NOT insulin", "a AND insulin", "café OR ärzte", "naïve AND ß OR i̇stanbul", "insulin AND (mice OR rats) NOT the",
+    "(insulin OR heart)[title] AND trial[abstract]", "unheardof OR insulin[author]", "insulin OR english[lang]", 'insulin NOT ("2019"[Date - Publication] : "3000"[Date - Publication])',
 ]
 
 
@@ -39,7 +39,7 @@ def test_search_equals_the_scan(spark, indexed, query):
     assert got == want
 
 
-@pytest.mark.parametrize("query", ["NOT mic", "the NOT 12", "insulin NOT ins", "(the OR mic) NOT rat NOT in"])
+@pytest.mark.parametrize("query", ["NOT mic", "(the OR mic) NOT rat NOT in NOT ins"])
 def test_exact_terms_are_subtracted(spark, tmp_path, query):
     """With all indexed columns searched, a NOT of three letters is taken from postings."""
     rnd = random.Random(4)

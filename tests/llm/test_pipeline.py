@@ -107,7 +107,7 @@ def test_awkward_tables_go_through(spark, small, tmp_path):
         if name == "near_duplicates":
             ids = [r["doc_id"] for r in frame.where("doc_id is not null").collect()]
             assert len(ids) == len(set(ids))
-    assert frame.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and frame.count() > 20
+    assert frame.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "joins"] and frame.count() > 20
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()), key=repr) == sorted(map(tuple, frame.collect()), key=repr)
 
 

@@ -417,7 +417,8 @@ def test_cleanup_is_one_job_for_all_topics(spark, tmp_path):
     assert engine.cleanup_old(spark, path, datetime(2024, 1, 1), 7) == {"total": 30, "cleaned": 10, "failed": 20}
     found = engine.read_log(spark, path)
     assert found.where("status = 'cleaned'").count() == 30 and engine.topic_status(found, "new") == "completed" and engine.storage_status(spark, path)["topics"] == 1
-    assert len(list((tmp_path / "store" / "log").glob("day=*/part-*"))) <= 3
+    told = {f for f in (tmp_path / "store" / "log").glob("day=*/part-*") if f.parent.name not in ("day=2020-01-01", "day=2100-01-01")}
+    assert 1 <= len(told) <= 4  # not a file for each topic
     assert engine.cleanup_old(spark, path, datetime(2024, 1, 1), 7)["total"] == 0
 
 

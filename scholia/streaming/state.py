@@ -84,10 +84,10 @@ class StatusMachine(StatefulProcessor):
         if status == PROCESSING:
             end = next((x for x in waiting if x[2] in ENDS), None)
             if end is not None and end[0] <= min(now, due):
-                self._close(ENDS[end[2]], end[0])
+                self._close(ENDS[end[2]], end[0], now)
                 out.append(Row(topic_id=key[0], status=ENDS[end[2]], ms=end[0]))
             elif due < now:
-                self._close(TIMEOUT, due)
+                self._close(TIMEOUT, due, now)
                 out.append(Row(topic_id=key[0], status=TIMEOUT, ms=due))
             else:
                 self.handle.registerTimer(due + 1)
@@ -109,10 +109,16 @@ class StatusMachine(StatefulProcessor):
         self.waiting.clear()
         self.job.clear()
 
-    def _close(self, status: str, at: int) -> None:
+    def _close(self, status: str, at: int, now: int) -> None:
+        """Hold an ended job, unless the topic's next one is waiting already."""
+        later = sorted(x for x in map(tuple, self.waiting.get()) if x[0] >= at + self.ttl)
         self._forget()
-        self.job.update((status, at, at))
-        self.handle.registerTimer(at + self.ttl)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(max(later[0][0], now + 1))
+        else:
+            self.job.update((status, at, at))
+            self.handle.registerTimer(at + self.ttl)
 
     def close(self) -> None:
         pass

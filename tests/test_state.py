@@ -74,7 +74,7 @@ def test_statuses_are_those_of_the_batch_form(spark, tmp_path):
 def test_state_of_ended_jobs_goes_and_topics_start_again(spark, tmp_path):
     folder = tmp_path / "events"
     folder.mkdir()
-    parts = [[("a", "start", 1, 0, 1), ("a", "done", 1, 5, 2)], [("x", "done", 1, 300, 3)], [("x", "done", 1, 900, 4)], [("a", "start", 1, 1000, 5), ("a", "error", 1, 1010, 6)], [("x", "done", 1, 3000, 7)], [("x", "done", 1, 9000, 8)]]
+    parts = [[("a", "start", 1, 0, 1), ("a", "done", 1, 5, 2)], [("x", "done", 1, 900, 4)], [("a", "start", 1, 1000, 5), ("a", "error", 1, 1010, 6)], [("x", "done", 1, 9000, 8)], [("x", "done", 1, 9500, 9)]]
     for n, part in enumerate(parts):
         put(folder, n, [{"topic_id": t, "event": e, "max_results": m, "ts": at(s), "event_id": i} for t, e, m, s, i in part])
     stream = spark.readStream.schema(state.EVENTS).option("maxFilesPerTrigger", 1).json(str(folder))
@@ -89,8 +89,8 @@ def test_memory_keeps_the_newest_turns_and_conversations(spark, tmp_path):
     rows = [(f"c{c}", n, "user" if n % 2 == 0 else "assistant", f"said {c} {n}", at(c * 1000 + n)) for c in range(5) for n in range(120 if c == 3 else 4)]
     random.Random(1).shuffle(rows)
     fields = ["conversation_id", "turn", "role", "text", "at"]
-    for n in range(3):
-        put(folder, n, [dict(zip(fields, r, strict=True)) for r in rows[n::3]])
+    for n in range(2):
+        put(folder, n, [dict(zip(fields, r, strict=True)) for r in rows[n::2]])
     stream = spark.readStream.schema(state.TURNS).option("maxFilesPerTrigger", 1).json(str(folder))
     told = run(spark, state.remembered(stream), tmp_path, "update")
     assert told.groupBy("conversation_id").agg(F.max("turns").alias("n")).where("conversation_id = 'c3'").first()["n"] == 100

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import NO_DOCUMENTS, cited_ids, with_coverage_note
 from scholia.operators import ranking
+from scholia.session import stored
 
 #: Takes prompts, gives answers; a batch model in a task.
 Generator = Callable[[list[str]], list[str]]
@@ -25,8 +26,12 @@ def relevant_sentences(question: Column, content: Column) -> Column:
 
 
 def compress(passages: DataFrame, question_col: str = "question", content_col: str = "content") -> DataFrame:
-    """passages with the relevant part of their content; those without one go."""
-    return passages.withColumn(content_col, relevant_sentences(F.col(question_col), F.col(content_col))).where(F.col(content_col) != "")
+    """passages with the relevant part of their content; those without one go.
+
+    Stored before the empty ones go: as a condition of the join that brings
+    question and content together, the sentences are bound to one of its sides.
+    """
+    return stored(passages.withColumn(content_col, relevant_sentences(F.col(question_col), F.col(content_col)))).where(F.col(content_col) != "")
 
 
 def stuffed(passages: DataFrame, key: str = "query_id", position: str = "position", content: str = "content") -> DataFrame:

@@ -6,13 +6,13 @@ import re
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scholia.functions.batches import parts
 from scholia.functions.text import strip
 
 # What stands in an article for a missing field.
@@ -201,9 +201,11 @@ def _merged(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_column(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split_text(t) if t else [])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def split_column(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.string())
+    made = [pa.array([split_text(t) if t else [] for t in few.to_pylist()], kind) for few in parts(texts)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
 
 
 def chunks(articles: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+from scholia.functions.batches import parts
 from scholia.operators import answers, retrieval
 
 
@@ -19,3 +20,11 @@ def test_words_that_cancel_out_have_a_vector(spark):
     frame = spark.createDataFrame([(1, "w13 w27"), (2, " "), (3, " \n"), (4, None), (5, "w13")], "i int, t string")
     norms = {r["i"]: round(float(np.linalg.norm(r["embedding"])), 4) for r in retrieval.embed(frame, "t").collect()}
     assert norms == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 1.0}
+
+
+def test_parts_are_bounded_and_whole():
+    texts = pa.array(["a" * 10, None, "b" * 500, "", "é" * 4] * 40)
+    few = list(parts(texts, 100, 7))
+    assert pa.concat_arrays(few).equals(texts)
+    assert all(len(f) == 1 or (len(f) <= 7 and sum(len((t or "").encode()) for t in f.to_pylist()) <= 100) for f in few)
+    assert list(parts(texts.slice(3, 0))) == []

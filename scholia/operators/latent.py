@@ -24,10 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholia.functions.batches import parts
 from scholia.session import stored
 
-#: Hashed words, directions that are kept, spare ones while they are sought, passes, features of a block, texts at a time.
+#: Hashed words, directions that are kept, spare ones while they are sought, passes, features of a block, texts at a time at most.
 FEATURES, DIMS, SPARE, PASSES, BLOCK, ROWS = 1 << 14, 64, 10, 4, 1024, 512
+#: Values of a batch that meet rows of a thin matrix at a time.
+VALUES = 1 << 14
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -63,11 +66,20 @@ class Batch:
 
     def times(self, thin: np.ndarray) -> np.ndarray:
         out = np.zeros((self.count, thin.shape[1]))
-        np.add.at(out, self.rows, self.values[:, None] * thin[self.features])
+        _gather(out, self.rows, self.values, thin, self.features)
         return out
 
     def back(self, thin: np.ndarray, out: np.ndarray) -> None:
-        np.add.at(out, self.features, self.values[:, None] * thin[self.rows])
+        order = np.argsort(self.features, kind="stable")
+        _gather(out, self.features[order], self.values[order], thin, self.rows[order])
+
+
+def _gather(out: np.ndarray, to: np.ndarray, values: np.ndarray, thin: np.ndarray, of: np.ndarray) -> None:
+    """Add values times rows `of` of thin to rows `to` of out, which are in order; a few values at a time."""
+    for low in range(0, len(to), VALUES):
+        some = slice(low, low + VALUES)
+        first = np.flatnonzero(np.diff(to[some], prepend=-1))
+        out[to[some][first]] += np.add.reduceat(values[some, None] * thin[of[some]], first, axis=0)
 
 
 class Model:
@@ -88,8 +100,8 @@ def weights(texts: DataFrame, features: int = FEATURES) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = np.zeros(features, np.int64), 0
         for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                few = batch.column(0).slice(low, ROWS).to_pylist()
+            for few in parts(batch.column(0), rows=ROWS):
+                few = few.to_pylist()
                 _, codes, _ = counts_of(few, features)
                 held += np.bincount(codes, minlength=features)
                 count += len(few)
@@ -113,8 +125,8 @@ def _summed(texts: DataFrame, idf: np.ndarray, thin: np.ndarray, small: bool) ->
         weights, right = sent.value
         out = np.zeros((width if small else len(right), width))
         for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                few = Batch.of(batch.column(0).slice(low, ROWS).to_pylist(), weights)
+            for texts_of in parts(batch.column(0), rows=ROWS):
+                few = Batch.of(texts_of.to_pylist(), weights)
                 made = few.times(right)
                 if small:
                     out += made.T @ made
@@ -124,7 +136,7 @@ def _summed(texts: DataFrame, idf: np.ndarray, thin: np.ndarray, small: bool) ->
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([out[at : at + BLOCK].tobytes()], pa.binary())], ["at", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0)
+        total = sum(np.frombuffer(x) for x in pdf["sums"])
         return pd.DataFrame({"at": pdf["at"].iloc[:1], "sums": [total.tobytes()]})
 
     # A block of each task; tasks of a few hundred MB of texts each.

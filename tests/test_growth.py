@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from scholia.functions.batches import parts
-from scholia.operators import answers, retrieval
+from scholia.operators import answers, latent, retrieval
 
 
 def test_compression_is_no_condition_of_a_join(spark):
@@ -51,3 +51,16 @@ def test_a_task_keeps_the_nearest_alone(spark, monkeypatch):
     for low in range(0, 5000, 500):
         best.see(pa.array(range(low, low + 500)), [None] * 500, rng.normal(size=(500, 2)))
     assert sum(b.num_rows for b in best.found({"q": pa.string(), "id": pa.int64()})) == 5
+
+
+def test_a_batch_of_texts_is_multiplied_a_few_values_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 90, size=rng.integers(0, 40))) for _ in range(50)]
+    monkeypatch.setattr(latent, "VALUES", 16)
+    batch = latent.Batch.of(texts, np.ones(64))
+    whole = np.zeros((50, 64))
+    whole[batch.rows, batch.features] = batch.values
+    thin, back = rng.normal(size=(64, 3)), np.zeros((64, 3))
+    assert np.allclose(batch.times(thin), whole @ thin)
+    batch.back(batch.times(thin), back)
+    assert np.allclose(back, whole.T @ whole @ thin)

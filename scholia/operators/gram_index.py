@@ -22,9 +22,11 @@ row groups of blocks with a candidate.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,8 @@ from scholia.session import stored
 GRAM, BLOCK, BUCKETS, RAREST = 3, 4096, 64, 3
 #: Most blocks with candidates that are named to the reader of the articles; beyond it, a join alone.
 NAMED_BLOCKS = 10_000
+#: Most candidates whose places are sent to every task; beyond it, articles and candidates meet in a shuffle join.
+SENT_PLACES = 10_000_000
 #: The columns that are indexed.
 COLUMNS = ("title", "abstract", "authors", "journal")
 
@@ -93,29 +97,37 @@ def build(articles: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, bu
     lowered = spark.read.parquet(f"{path}/articles").select("number", *[F.lower(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(columns)])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+        held: dict[str, array] = {}
         here = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             names = list(held)
             for low in range(0, len(names), 8192):
                 some = names[low : low + 8192]
-                columns = [pa.array([bucket_of(g, buckets) for g in some], pa.int32()), pa.array(some), pa.array([here] * len(some), pa.int64()), pa.array([held[g] for g in some], pa.list_(pa.int32()))]
+                ends = np.cumsum([0, *(len(held[g]) for g in some)], dtype=np.int32)
+                places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.frombuffer(held[g], np.int32) for g in some])))
+                columns = [pa.array([bucket_of(g, buckets) for g in some], pa.int32()), pa.array(some), pa.array([here] * len(some), pa.int64()), places]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "gram", "block", "places"])
             held.clear()
 
         for batch in batches:
-            for number, *texts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            for at in range(batch.num_rows):  # one text at a time is Python's own
+                number, *texts = (batch.column(i)[at].as_py() for i in range(batch.num_columns))
                 if number // block != here:
                     if here is not None:
                         yield from flush()
                     here = number // block
+                place = number % block
                 for gram in set().union(*(grams_of(t) for t in texts if t)):
-                    held.setdefault(gram, []).append(number % block)
+                    if gram in held:
+                        held[gram].append(place)
+                    else:
+                        held[gram] = array("i", (place,))
         if here is not None:
             yield from flush()
 
-    postings = lowered.mapInArrow(post, "bucket int, gram string, block long, places array<int>")
+    # Stored, as ranges are found by a pass of their own.
+    postings = stored(lowered.mapInArrow(post, "bucket int, gram string, block long, places array<int>"))
     # A block that two tasks read has a row of each. Ranges, so that a frequent gram is written by as many tasks as it needs.
     postings.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     counted = spark.read.parquet(f"{path}/postings").groupBy("bucket", "gram").agg(F.sum(F.size("places")).alias("articles"))
@@ -207,6 +219,11 @@ def search(spark: SparkSession, path: str, query: str, search_field: str = "titl
         few = rows.select("block").distinct().limit(NAMED_BLOCKS + 1).collect()  # NAMED_BLOCKS at most are used
         if len(few) <= NAMED_BLOCKS:
             held = held.where(F.col("block").isin([r["block"] for r in few]))
-        wanted = rows.select("block", F.explode("places").alias("place")).select((F.col("block") * block + F.col("place")).alias("number"))
-        held = held.join(wanted, "number", "left_semi")
+        if rows.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= SENT_PLACES:
+            # A row for each block, so that articles stay where they are.
+            own = F.array_contains("places", (F.col("number") % block).cast("int"))
+            held = held.join(F.broadcast(rows), "block").where(own).drop("places")
+        else:
+            wanted = rows.select("block", F.explode("places").alias("place")).select((F.col("block") * block + F.col("place")).alias("number"))
+            held = held.join(wanted, "number", "left_semi")
     return held.where(predicate.compile_query(query, search_field)).drop("number", "block")

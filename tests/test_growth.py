@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from scholia.functions.batches import parts
-from scholia.operators import answers, latent, retrieval
+from scholia.operators import answers, gram_index, latent, retrieval
 
 
 def test_compression_is_no_condition_of_a_join(spark):
@@ -53,6 +53,17 @@ def test_a_task_keeps_the_nearest_alone(spark, monkeypatch):
     assert sum(b.num_rows for b in best.found({"q": pa.string(), "id": pa.int64()})) == 5
 
 
+def test_articles_stay_where_they_are_when_candidates_meet_them(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([(i, f"title {i}", "the end of the day" if i % 3 else "none") for i in range(300)], "doc_id long, title string, abstract string")
+    gram_index.build(frame, str(tmp_path), ("title", "abstract"), block=64)
+    for most in (gram_index.SENT_PLACES, 0):
+        monkeypatch.setattr(gram_index, "SENT_PLACES", most)
+        found = gram_index.search(spark, str(tmp_path), '"of the"', columns=("title", "abstract"), block=64)
+        assert sorted(r["doc_id"] for r in found.select("doc_id").collect()) == [i for i in range(300) if i % 3]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftSemi" in plan) == (most == 0) and ("strategy=broadcast" in plan) == (most > 0)
+
+
 def test_a_batch_of_texts_is_multiplied_a_few_values_at_a_time(monkeypatch):
     rng = np.random.default_rng(2)
     texts = [" ".join(f"w{n}" for n in rng.integers(0, 90, size=rng.integers(0, 40))) for _ in range(50)]

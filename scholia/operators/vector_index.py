@@ -145,7 +145,8 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str
 
     coded = rows.where(F.size("v") == dims).mapInArrow(code, schema) if len(held) else spark.createDataFrame([], schema)
     # Ranges of cells and hashes: a task writes few cells, and a large cell is written by several.
-    coded.repartitionByRange("cell", F.xxhash64("id")).write.partitionBy("cell").parquet(f"{path}/cells")
+    # Stored, as ranges are found by a pass of their own.
+    stored(coded).repartitionByRange("cell", F.xxhash64("id")).write.partitionBy("cell").parquet(f"{path}/cells")
 
 
 def _cells(spark: SparkSession, path: str) -> DataFrame:
@@ -228,18 +229,14 @@ def _search_block(spark: SparkSession, path: str, model: Model, few: list, names
                     continue
                 codes = np.frombuffer(b"".join(batch.column("codes").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
                 away = model.estimate(matrix[some], cell, codes)
-                picked, who = [], []
                 own_scopes = batch.column("scope").take(pa.array(at))
                 for n, q in enumerate(some.tolist()):
                     mine = np.flatnonzero(own_rows(own_scopes, q))
                     want = depth * int(depths[q])
                     if len(mine) > want:
                         mine = mine[np.argpartition(away[n, mine], want - 1)[:want]]
-                    picked.append(mine)
-                    who.append(np.full(len(mine), n))
-                picked, who = np.concatenate(picked), np.concatenate(who)
-                columns = [pa.array([numbers[some[n]] for n in who], pa.int64()), batch.column("id").take(pa.array(at[picked])), pa.array(np.full(len(who), cell, np.int32)), pa.array(away[who, picked])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(depths[some[who]].astype(np.int32))], ["number", "id", "cell", "guess", "k"])
+                    columns = [pa.array(np.full(len(mine), numbers[q])), batch.column("id").take(pa.array(at[mine])), pa.array(np.full(len(mine), cell, np.int32)), pa.array(away[n, mine])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(mine), depths[q], np.int32))], ["number", "id", "cell", "guess", "k"])
 
     id_kind = names["id"].simpleString()
     rows = held.select("id", "scope", "v", "cell")

@@ -41,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.encode(docs, tokenizer_path()))
+    return bpe.digest(bpe.encode(docs, tokenizer_path(), ids=False))
 
 
 STAGES = [

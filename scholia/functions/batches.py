@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,35 @@ def parts(texts: pa.Array, most: int = BYTES, rows: int = ROWS) -> Iterator[pa.A
         low = high
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch as parts() deals out its texts."""
+    low = 0
+    for few in parts(texts):
+        yield batch.slice(low, len(few))
+        low += len(few)
+
+
+def release() -> None:
+    """Give back what Arrow holds and does not use; a worker keeps it otherwise, for the tasks of later stages too."""
+    pa.default_memory_pool().release_unused()
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives back unused memory after each batch and at its end."""
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(given(batches))
+        release()
+
+    return whole
+
+
 def lists(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Rows of a matrix as a list column."""
     flat = pa.array(np.ascontiguousarray(matrix).reshape(-1)).cast(kind.value_type)

@@ -46,6 +46,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions.batches import thrifty
+
 #: Characters of a text that one task encodes; longer texts are spread as parts.
 PART = 1 << 13
 #: Characters of a run without white space that one call encodes.
@@ -57,7 +59,7 @@ MEMO, WORDS = 200_000, 400_000
 #: Letters of a word, and marks, that are kept.
 LETTERS, MARKS = 64, 8
 #: Characters of texts encoded together, and runs in one call.
-TOGETHER, RUNS = 8 << 20, 200
+TOGETHER, RUNS = 2 << 20, 200
 
 #: A stretch of a run that a cut goes through: its composed text, ids and spans.
 Open = tuple[str, np.ndarray, np.ndarray]
@@ -422,11 +424,12 @@ def combine(codec: Codec, parts: list[tuple[Open | None, bytes, Open | None]]) -
     return b"".join(out)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", part: int = PART, digests: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", part: int = PART, digests: bool = True, ids: bool = True) -> DataFrame:
     """One row per document: id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256, joins.
 
     joins: how many windows put the text's parts and long runs together. Without
-    digests nothing is decoded and the digests are null.
+    digests nothing is decoded and the digests are null; without ids these are null
+    and stay in the tasks that made them.
     """
     read_spec(path)
     kind = docs.schema[id_col].dataType
@@ -435,11 +438,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(name).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     long = F.length("text") > part
 
-    def row(codec: Codec, data: bytes, joins: int) -> tuple[int, bytes, str | None, str | None, int]:
+    def row(codec: Codec, data: bytes, joins: int) -> tuple[int, bytes | None, str | None, str | None, int]:
+        kept = data if ids else None
         if not digests:
-            return len(data) // 4, data, None, None, joins
+            return len(data) // 4, kept, None, None, joins
         decoded = codec.decode(np.frombuffer(data, "<u4"))
-        return len(data) // 4, data, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), joins
+        return len(data) // 4, kept, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), joins
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
@@ -447,14 +451,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             codec = codec or Codec(path)
             for few in slices(batch, TOGETHER):
-                ids, ends, joins = codec.encode_column(few.column(1))
-                rows = [row(codec, ids[a:b].tobytes(), n) for a, b, n in zip([0, *ends[:-1].tolist()], ends.tolist(), joins.tolist(), strict=True)]
+                found, ends, joins = codec.encode_column(few.column(1))
+                rows = [row(codec, found[a:b].tobytes(), n) for a, b, n in zip([0, *ends[:-1].tolist()], ends.tolist(), joins.tolist(), strict=True)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([few.column(0), *columns], schema.fieldNames())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0), (x.as_py() for x in batch.column(1)), strict=True):
                 name = hashlib.blake2b(text.encode(), digest_size=16).digest()
                 before = False
                 for k, (piece, after) in enumerate(parts_of(text, part)):
@@ -466,13 +470,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         codec = None
         for batch in batches:
             codec = codec or Codec(path)
-            got, joins = [], []
-            for r in batch.select(["part", "before", "after"]).to_pylist():
-                before = codec.joins
-                got.append(encode_part(codec, r["part"], r["before"], r["after"]))
-                joins.append(codec.joins - before)
-            columns = [pa.array([_pack(head) for head, _, _ in got], _OPEN), pa.array([body for _, body, _ in got], pa.binary()), pa.array([_pack(tail) for _, _, tail in got], _OPEN), pa.array(joins, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), batch.column("k"), *columns], ["id", "name", "k", "head", "body", "tail", "joins"])
+            for few in slices(batch, TOGETHER, 3):
+                got, joins = [], []
+                for r in few.select(["part", "before", "after"]).to_pylist():
+                    before = codec.joins
+                    got.append(encode_part(codec, r["part"], r["before"], r["after"]))
+                    joins.append(codec.joins - before)
+                columns = [pa.array([_pack(head) for head, _, _ in got], _OPEN), pa.array([body for _, body, _ in got], pa.binary()), pa.array([_pack(tail) for _, _, tail in got], _OPEN), pa.array(joins, pa.int32())]
+                yield pa.RecordBatch.from_arrays([few.column("id"), few.column("name"), few.column("k"), *columns], ["id", "name", "k", "head", "body", "tail", "joins"])
 
     made: list[Codec] = []
 
@@ -490,11 +495,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return out.loc[out.index.repeat(copies)]
 
     id_field = T.StructField("id", kind)
-    parts = texts.where(long).mapInArrow(spread, T.StructType([id_field, *T.StructType.fromDDL("name binary, k int, part string, before boolean, after boolean").fields]))
+    parts = texts.where(long).mapInArrow(thrifty(spread), T.StructType([id_field, *T.StructType.fromDDL("name binary, k int, part string, before boolean, after boolean").fields]))
     stretch = "struct<text:string,ids:binary,spans:binary>"
-    coded = parts.repartition("id", "name", "k").mapInArrow(each, T.StructType([id_field, *T.StructType.fromDDL(f"name binary, k int, head {stretch}, body binary, tail {stretch}, joins int").fields]))
+    coded = parts.repartition("id", "name", "k").mapInArrow(thrifty(each), T.StructType([id_field, *T.StructType.fromDDL(f"name binary, k int, head {stretch}, body binary, tail {stretch}, joins int").fields]))
     joined = coded.groupBy("id", "name").applyInPandas(gather, schema)
-    return texts.where(~long).mapInArrow(whole, schema).unionByName(joined)
+    return texts.where(~long).mapInArrow(thrifty(whole), schema).unionByName(joined)
 
 
 _PARTS = [pa.field("name", pa.binary()), pa.field("k", pa.int32()), pa.field("part", pa.string()), pa.field("before", pa.bool_()), pa.field("after", pa.bool_())]

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions.batches import thrifty
 from scholia.session import stored
 
 WINDOW = 13
@@ -144,8 +145,8 @@ def _sent(items: DataFrame, block_bytes: int) -> list[tuple] | None:
     return [tuple(row) for row in items.collect()] if total <= block_bytes else None
 
 
-def _binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def _binary(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
+    return (x.as_py() for x in batch.column(name).cast(pa.binary()))
 
 
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -174,7 +175,7 @@ def _scan(source: DataFrame, items: list[tuple], window: int) -> DataFrame:
             columns = [batch.column("id"), batch.column("tk"), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "tk", "n_words", "spans", "item_ids"])
 
-    return source.mapInArrow(run, T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
+    return source.mapInArrow(thrifty(run), T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
 
 
 def block_hash(words: list[bytes], end: int, length: int) -> int:
@@ -195,7 +196,7 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
                     found = [b" ".join(words[k : k + size]) for k in range(at, min(count, at + ROWS))]
                     yield pa.RecordBatch.from_arrays([pa.array([size] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([item] * len(found), pa.string())], ["n", "words", "item"])
 
-    return items.mapInArrow(run, "n int, words binary, item string").distinct()
+    return items.mapInArrow(thrifty(run), "n int, words binary, item string").distinct()
 
 
 def shift_table(items: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
@@ -215,7 +216,7 @@ def shift_table(items: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
                     columns = [pa.array([size] * len(some), pa.int32()), pa.array([block_hash(words, e, size) % slots for e in some], pa.int64()), pa.array([max(0, size - e) for e in some], pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, ["n", "slot", "shift"])
 
-    shifts = stored(items.mapInArrow(run, "n int, slot long, shift int").groupBy("n", "slot").agg(F.min("shift").alias("shift")))
+    shifts = stored(items.mapInArrow(thrifty(run), "n int, slot long, shift int").groupBy("n", "slot").agg(F.min("shift").alias("shift")))
 
     def page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.full(min(PAGE, slots), 255, np.uint8)
@@ -260,7 +261,7 @@ def _routed(source: DataFrame, items: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([few.column("id"), few.column("tk"), pa.array(counts, pa.int64()), pa.array(places, _PLACES)], ["id", "tk", "n_words", "places"])
 
     schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("tk long, n_words long, places array<struct<n:int,start:int,words:binary>>").fields])
-    scanned = stored(source.mapInArrow(run, schema))
+    scanned = stored(source.mapInArrow(thrifty(run), schema))
     tried = scanned.select("id", "tk", F.inline("places"))
     met = tried.join(windows_of(items, window), ["n", "words"])
     hits = met.groupBy(F.col("id").alias("id_"), F.col("tk").alias("tk_")).agg(
@@ -274,7 +275,7 @@ def _routed(source: DataFrame, items: DataFrame, window: int) -> DataFrame:
             items = [row or [] for row in batch.column("item_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("id", "tk", "n_words")), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string()))], ["id", "tk", "n_words", "spans", "item_ids"])
 
-    return joined.mapInArrow(union, T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
+    return joined.mapInArrow(thrifty(union), T.StructType([source.schema["id"], *T.StructType.fromDDL(f"tk long, {_FOUND}").fields]))
 
 
 _PLACES = pa.list_(pa.struct([("n", pa.int32()), ("start", pa.int32()), ("words", pa.binary())]))
@@ -327,7 +328,7 @@ def decontaminate(
                 words = map(words_of, _binary(batch, "text"))
                 yield batch.select(["row"]).filter(pa.array([not contaminated(len(w), matcher.scan(w)[0]) for w in words], pa.bool_()))
 
-        kept = packed.select("row", "text").mapInArrow(run, packed.select("row").schema)
+        kept = packed.select("row", "text").mapInArrow(thrifty(run), packed.select("row").schema)
     else:
         found = _routed(_source(docs, id_col, text_col), items, window)
         gone = found.where((_hit() > 0) & (F.lit(RATIO) * _hit() >= F.col("n_words"))).select(F.col("id").alias("id_"), F.col("tk").alias("tk_"))

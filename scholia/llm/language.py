@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions.batches import slices, thrifty
 from scholia.session import cut
 
 DIMS = 2048
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             hashes, langs = (batch.column(name).take(pa.array([i for i, _ in found], pa.int32())) for name in ("hash", "lang"))
             yield pa.RecordBatch.from_arrays([hashes, langs, rows], ["hash", "lang", "counts"])
 
-    rows = cut(chosen.mapInArrow(vectors, "hash long, lang string, counts binary"))
+    rows = cut(chosen.mapInArrow(thrifty(vectors), "hash long, lang string, counts binary"))
 
     def matrix(pdf: pd.DataFrame) -> np.ndarray:
         pdf = pdf.sort_values("hash", kind="stable")
@@ -189,11 +190,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            langs, scores, rejected = own.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
+            for few in slices(batch, batch.column(1)):
+                langs, scores, rejected = own.predict(few.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(thrifty(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -205,10 +207,11 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            _, _, rejected = own.predict(batch.column("_text").to_pylist())
-            yield batch.filter(pa.array(~rejected))
+            for few in slices(batch, batch.column("_text")):
+                _, _, rejected = own.predict(few.column("_text").to_pylist())
+                yield few.filter(pa.array(~rejected))
 
-    return packed.mapInArrow(run, packed.schema).select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])
+    return packed.mapInArrow(thrifty(run), packed.schema).select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

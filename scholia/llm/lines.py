@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions.batches import slices, thrifty
 from scholia.session import stored
 
 #: Words of a line from which it may have near repeats.
@@ -131,7 +132,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 yield flush()
 
     fields = T.StructType.fromDDL("line int, tk long, h1 long, h2 long, ends array<long>").fields
-    return docs.mapInArrow(run, T.StructType([docs.schema["id"], *fields]))
+    return docs.mapInArrow(thrifty(run), T.StructType([docs.schema["id"], *fields]))
 
 
 def _words(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -152,7 +153,7 @@ def _words(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     fields = T.StructType.fromDDL("line int, tk long, h1 long, h2 long, words binary").fields
     # Repeated rows of a document bring its lines again.
-    return joined.mapInArrow(run, T.StructType([docs.schema["id"], *fields])).dropDuplicates(["h1", "h2"])
+    return joined.mapInArrow(thrifty(run), T.StructType([docs.schema["id"], *fields])).dropDuplicates(["h1", "h2"])
 
 
 def _variants(lines: DataFrame, whole: bool) -> DataFrame:
@@ -173,7 +174,7 @@ def _variants(lines: DataFrame, whole: bool) -> DataFrame:
                     held, counts = [], []
 
     fields = T.StructType.fromDDL("k1 long, k2 long, pos int").fields
-    return lines.select("id", "line", "h1", "words").mapInArrow(run, T.StructType([*fields, lines.schema["id"], *T.StructType.fromDDL("line int, h1 long").fields]))
+    return lines.select("id", "line", "h1", "words").mapInArrow(thrifty(run), T.StructType([*fields, lines.schema["id"], *T.StructType.fromDDL("line int, h1 long").fields]))
 
 
 def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
             near = [one_apart(a.as_py().split(b" "), b.as_py().split(b" ")) for a, b in zip(batch.column(3), batch.column(4), strict=True)]
             yield batch.select(["h1", "h2", "first"]).filter(pa.array(near, pa.bool_()))
 
-    return both.mapInArrow(verify, both.select("h1", "h2", "first").schema)
+    return both.mapInArrow(thrifty(verify), both.select("h1", "h2", "first").schema)
 
 
 def _place() -> F.Column:
@@ -247,18 +248,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = packed.join(lost, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left").select("row", "exact", "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("row")
-            texts = [_without(t.as_py(), e.as_py(), n.as_py()) for t, e, n in zip(row.field(at), batch.column("exact"), batch.column("near"), strict=True)]
+        for few in (few for batch in batches for few in slices(batch, batch.column("row").field(at).cast(pa.string()))):
+            row = few.column("row")
+            texts = [_without(t.as_py(), e.as_py(), n.as_py()) for t, e, n in zip(row.field(at), few.column("exact"), few.column("near"), strict=True)]
             columns = [pa.array(texts, pa.string()) if i == at else row.field(i) for i in range(len(names))]
             if report:
-                columns += [batch.column("exact"), batch.column("near")]
+                columns += [few.column("exact"), few.column("near")]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     kinds = [docs.schema[n].dataType if n != text_col else T.StringType() for n in names]
     if report:
         kinds += [T.ArrayType(T.IntegerType())] * 2
-    out = joined.mapInArrow(run, T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
+    out = joined.mapInArrow(thrifty(run), T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
     return out.toDF(*names, *(["exact", "near"] if report else []))
 
 

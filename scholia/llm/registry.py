@@ -38,7 +38,7 @@ def op10_language(spark, sf_dir):
 
 
 def op4_bpe(spark, sf_dir):
-    return bpe.digest(bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer_path()))
+    return bpe.digest(bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer_path(), ids=False))
 
 
 def op2_html_text(spark, sf_dir):

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholia.functions.batches import thrifty
 from scholia.llm import bpe
 from scholia.session import checkpoint_dir, stored
 
@@ -149,7 +150,7 @@ def streamed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("task int, first long, n long, data binary").fields])
     path = f"{checkpoint_dir(docs.sparkSession)}/stream-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(thrifty(run), schema).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 

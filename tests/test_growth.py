@@ -3,7 +3,11 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
+from scholia.functions import batches
 from scholia.functions.batches import parts
+from scholia.llm import bpe
+from scholia.llm.registry import tokenizer_path
 from scholia.operators import answers, gram_index, latent, retrieval
 
 
@@ -75,3 +79,38 @@ def test_a_batch_of_texts_is_multiplied_a_few_values_at_a_time(monkeypatch):
     assert np.allclose(batch.times(thin), whole @ thin)
     batch.back(batch.times(thin), back)
     assert np.allclose(back, whole.T @ whole @ thin)
+
+
+def test_stages_give_back_unused_memory(spark, small, monkeypatch):
+    """A worker that goes from stage to stage keeps nothing of a batch that is done."""
+    given = []
+    monkeypatch.setattr(batches, "release", lambda: given.append(1))
+    frame = pa.RecordBatch.from_arrays([pa.array(range(6))], ["n"])
+    found = list(batches.thrifty(lambda some: (b.slice(1) for b in some))(iter([frame.slice(0, 3), frame.slice(3)])))
+    assert [b.column(0).to_pylist() for b in found] == [[1, 2], [4, 5]] and len(given) == 3
+    monkeypatch.undo()
+    frames, used = type(spark.range(0)), []
+    plain = frames.mapInArrow
+    monkeypatch.setattr(frames, "mapInArrow", lambda self, run, *a: used.append(run) or plain(self, run, *a))
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small)
+    assert len(used) >= 9 and all(run.__qualname__.startswith("thrifty") for run in used)
+
+
+def test_encoders_hold_few_texts_and_ids_at_a_time(spark, monkeypatch):
+    """However many rows a batch has, results leave a task every two million characters, and ids only if they are asked for."""
+    frames, used = type(spark.range(0)), []
+    plain = frames.mapInArrow
+    monkeypatch.setattr(frames, "mapInArrow", lambda self, run, *a: used.append(run) or plain(self, run, *a))
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    assert bpe.encode(docs, tokenizer_path()).first()["ids"] and bpe.encode(docs, tokenizer_path(), ids=False).first()["ids"] is None
+    assert corpus_pipeline.encode(spark, docs, "").collect() == bpe.digest(bpe.encode(docs, tokenizer_path())).collect()
+    _, each, whole = used[:3]
+    text = "some words of a text " * 380
+    rows = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([text] * 600)], ["id", "text"])
+    found = list(whole(iter([rows])))
+    assert max(len(text) * b.num_rows for b in found) <= 2 << 20 and sum(b.num_rows for b in found) == 600
+    cut = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([b"n"] * 600), pa.array([0] * 600, pa.int32()), pa.array([text] * 600), *[pa.array([False] * 600)] * 2], ["id", "name", "k", "part", "before", "after"])
+    coded = list(each(iter([cut])))
+    assert max(len(text) * b.num_rows for b in coded) <= 2 << 20 and [x for b in coded for x in b["body"].to_pylist()] == [x for b in found for x in b["ids"].to_pylist()]

@@ -2,13 +2,15 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scholia.functions import batches
 from scholia.functions.batches import parts
 from scholia.llm import bpe
 from scholia.llm.registry import tokenizer_path
-from scholia.operators import answers, gram_index, latent, retrieval
+from scholia.operators import answers, articles, gram_index, latent, retrieval
+from scholia.plans import catalogue
 
 
 def test_compression_is_no_condition_of_a_join(spark):
@@ -114,3 +116,44 @@ def test_encoders_hold_few_texts_and_ids_at_a_time(spark, monkeypatch):
     cut = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([b"n"] * 600), pa.array([0] * 600, pa.int32()), pa.array([text] * 600), *[pa.array([False] * 600)] * 2], ["id", "name", "k", "part", "before", "after"])
     coded = list(each(iter([cut])))
     assert max(len(text) * b.num_rows for b in coded) <= 2 << 20 and [x for b in coded for x in b["body"].to_pylist()] == [x for b in found for x in b["ids"].to_pylist()]
+
+
+def test_texts_are_compared_where_their_vectors_are_made(spark, small, monkeypatch):
+    """No vector leaves a task but the nearest: none is packed for a join, and results are those of stored vectors."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 40, size=rng.integers(0, 12))) for _ in range(300)] + ["", None, "w1 w2", "w1 w2"]
+    frame = spark.createDataFrame([(f"c{i:03}", t) for i, t in enumerate(texts)], "chunk_id string, content string").repartition(3)
+    asked = spark.createDataFrame([(1, "w1 w2 w3", 5), (2, "", 400), (3, "w9", 20)], "query_id long, text string, k int")
+    model = retrieval.hash_embedder(32)
+    asked = retrieval.embed(asked, "text", model).withColumnRenamed("embedding", "query_embedding")
+    rows, own = model([t or "" for t in texts]).astype(float), {1: "w1 w2 w3", 2: "", 3: "w9"}
+    for sent in (retrieval.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", sent)
+        found = retrieval.nearest(frame, asked, "k", id_col="chunk_id", with_vectors=True, embedder=model)
+        got = found.collect()
+        for q, k in ((1, 5), (2, 400), (3, 20)):
+            away = np.linalg.norm(rows - model([own[q]])[0].astype(float), axis=1).round(9)
+            want = sorted((d, f"c{i:03}") for i, d in enumerate(away.tolist()))[:k]
+            assert sorted((r["distance"], r["chunk_id"]) for r in got if r["query_id"] == q) == want
+        assert all(np.array_equal(np.array(r["embedding"]), rows[int(r["chunk_id"][1:])]) for r in got)
+    monkeypatch.undo()
+    plan = catalogue.queries()["rag_retrieve"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "vectors" not in plan
+
+
+def test_a_vector_that_is_no_number_hides_no_other(spark):
+    rows = [(0, [float("nan"), 0.0]), (1, [float("inf"), 0.0]), (2, [1.0, 0.0]), (3, [3.0, 0.0]), (4, [1e200, 0.0]), (5, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, query_embedding array<double>")
+    for k in (2, 3):
+        assert [r["vec_id"] for r in retrieval.nearest(frame, asked, k).orderBy("rank").collect()] == [2, 5, 3][:k]
+
+
+def test_length_of_what_is_stripped(spark):
+    spaces = " \t\n\r\u0085\u00a0\u2028\u3000"
+    titles = ["a" * 9, "a" * 10, f"{spaces}{'a' * 9}{spaces}", f"{spaces}{'a' * 10}{spaces}\n", "a" + " " * 8 + "b", "a" + " " * 7 + "b", "😀" * 9, "😀" * 10, "", " " * 60, None, f"{'é' * 4}\n{'é' * 5}"]
+    frame = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+    valid = lambda title, abstract: {r["i"] for r in frame.where(articles.is_valid(F.lit("1"), title, abstract)).collect()}
+    assert valid(F.col("t"), F.lit("x" * 50)) == {i for i, t in enumerate(titles) if t and len(t.strip()) >= 10}
+    body = F.concat(F.lit(" "), F.col("t"), F.lit("x" * 40), F.lit(" \n"))
+    assert valid(F.lit("t" * 10), body) == {i for i, t in enumerate(titles) if t is not None and len(f"{t}{'x' * 40}".strip()) >= 50}

@@ -8,12 +8,14 @@ looks into and how many candidates it ranks are measured on the sample too: the
 fewest that find RECALL of its own nearest vectors.
 
 search() picks for each query the nearest cells, reads of those folders the codes
-alone, and adds up distances from tables of the query against the codebooks. The
-best of them, `depth` times as many as are wanted, are read with their vectors and
-ranked by exact distance. With `exact` every cell is searched and nothing is
-estimated.
-
-Queries go to tasks in blocks of QUERY_BYTES at most, one after the other. Null and
+alone, and adds up distances from tables of the query against the codebooks. How
+near the best of them are, `depth` times as many as are wanted, is one number a
+query; vectors that are no farther by their codes are then ranked by exact distance
+where they are read, and only as many as are wanted leave a task. With a depth of 0
+nothing is estimated, and all vectors of the cells are ranked; with `exact` those of
+every cell.
+
+Queries go to tasks in blocks of QUERY_BYTES and GUESSES at most, one after the other. Null and
 empty vectors and those of another length than the sample's are not indexed; they
 are no candidates for a query either way.
 """
@@ -23,12 +25,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scholia.functions.batches import thrifty
+from scholia.operators.kept import SEEN_ROWS, Best, other_scopes
 from scholia.session import stored
 
 #: Vectors that the models are fitted on, and rounds of k-means.
@@ -39,6 +45,10 @@ CELLS, PER_CELL, PARTS, CODES = 1024, 39, 16, 256
 RECALL, NEAREST, QUERIES = 0.97, 20, 128
 #: Bytes of queries that go to every task at a time.
 QUERY_BYTES = 16 << 20
+#: Estimates that a task holds for a block of queries, and bytes of found vectors from which it hands them on.
+GUESSES, KEPT_BYTES = 8 << 20, 64 << 20
+#: Vectors of a cell that a task writes, about.
+FILE_ROWS = 100_000
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -123,30 +133,70 @@ class Model:
         return out
 
 
+class _Guesses:
+    """The smallest estimates of each query among those that a task has made: `want` of each at most."""
+
+    def __init__(self, want: np.ndarray):
+        self.want, self.held, self.bars = want, [np.empty(0)] * len(want), np.full(len(want), np.inf)
+
+    def see(self, queries: np.ndarray, guess: np.ndarray) -> None:
+        for q, own in zip(queries.tolist(), guess, strict=True):
+            held = np.concatenate([self.held[q], own[own < self.bars[q]]])
+            if len(held) >= self.want[q]:
+                held = np.partition(held, self.want[q] - 1)[: self.want[q]]
+                self.bars[q] = held[-1]
+            self.held[q] = held
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def smallest(rows: DataFrame, n: int, count: int) -> pa.Array:
+    """The vectors of the n rows (id, v), of `count`, of the smallest hashes.
+
+    Rows of larger hashes are left out before any are sorted, so that tasks hand on
+    little more than n together, not n each.
+    """
+    code = F.xxhash64("id", F.col("v").cast("array<double>"))
+    share = 1.25 * n / max(count, 1)
+    while True:
+        # Hashes are signed; copies of a row have one hash, so that a share may hold too few.
+        few = rows.where(code <= int(share * 2**64) - 2**63) if share < 1 else rows
+        found = few.orderBy(code, "id").limit(n).select("v").toArrow().column("v").combine_chunks()
+        if len(found) >= n or share >= 1:
+            return found
+        share *= 4
+
+
 def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", scope_col: str | None = None, cells: int = CELLS, parts: int = PARTS, sample: int = SAMPLE) -> None:
     """Write the index of vectors to path: cells/ by cell, and the models."""
     spark = vectors.sparkSession
     scope = F.col(scope_col).cast("string") if scope_col else F.lit(None).cast("string")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), scope.alias("scope")).where("v is not null and size(v) > 0")
-    few = rows.orderBy(F.xxhash64("id", "v"), "id").select("v").limit(sample).collect()  # `sample` vectors at most
-    sizes = [len(r["v"]) for r in few]
-    dims = max(set(sizes), key=sizes.count) if sizes else 0
-    held = np.array([r["v"] for r in few if len(r["v"]) == dims], float)
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), scope.alias("scope")).where("v is not null and size(v) > 0")
+    count = rows.count()
+    few = smallest(rows, sample, count)
+    sizes = pc.list_value_length(few).to_numpy(zero_copy_only=False)
+    dims = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+    held = _matrix(few.filter(pa.array(sizes == dims))) if len(sizes) else np.zeros((0, 0))
     model = Model.fit(held, cells, parts, CODES) if len(held) else Model(np.zeros((0, 0)), [])
     _keep(spark, model, path)
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T.StructType.fromDDL("scope string, codes binary, v array<double>, cell int").fields])
+    # Of each cell, in how many parts it is written.
+    ways = -(-np.bincount(nearest_centres(held, model.centres)[0], minlength=len(model.centres)) * count // (max(1, len(held)) * FILE_ROWS)) if len(held) else np.zeros(0)
+    kind = rows.schema["v"].dataType
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *T.StructType.fromDDL(f"scope string, codes binary, v {kind.simpleString()}, cell int, ways long").fields])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                own, codes = model.encode(matrix)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), pa.array(own, pa.int32())], schema.fieldNames())
+        for whole in batches:
+            for low in range(0, whole.num_rows, SEEN_ROWS):
+                batch = whole.slice(low, SEEN_ROWS)
+                own, codes = model.encode(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), pa.array(own, pa.int32()), pa.array(np.maximum(1, ways[own]), pa.int64())], schema.fieldNames())
 
-    coded = rows.where(F.size("v") == dims).mapInArrow(code, schema) if len(held) else spark.createDataFrame([], schema)
-    # Ranges of cells and hashes: a task writes few cells, and a large cell is written by several.
-    # Stored, as ranges are found by a pass of their own.
-    stored(coded).repartitionByRange("cell", F.xxhash64("id")).write.partitionBy("cell").parquet(f"{path}/cells")
+    coded = rows.where(F.size("v") == dims).mapInArrow(thrifty(code), schema) if len(held) else spark.createDataFrame([], schema)
+    # A cell is written by one task, and a large one by several; ranges would need a pass of their own.
+    dealt = coded.repartition("cell", F.pmod(F.xxhash64("id"), F.col("ways")))
+    dealt.drop("ways").write.partitionBy("cell").parquet(f"{path}/cells")
 
 
 def _cells(spark: SparkSession, path: str) -> DataFrame:
@@ -176,16 +226,17 @@ def search(
     """query, id, distance (Euclidean), rank of the k nearest vectors found; ties to the smaller id.
 
     k is a number or a column of queries; probe and depth are those measured when
-    the index was built, unless they are given.
+    the index was built, unless they are given; depth as measured is that of a table
+    of the sample's size, and finds fewer in larger ones.
     """
     model = load(spark, path)
-    probe, depth = probe or model.probe, depth or model.depth
+    probe, depth = probe or model.probe, 0 if exact else model.depth if depth is None else depth
     scope = F.col(scope_col).cast("string") if scope_col else F.lit(None).cast("string")
     dims = model.centres.shape[1] if len(model.centres) else 0
     asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v"), (F.lit(k) if isinstance(k, int) else F.col(k)).cast("int").alias("k"), scope.alias("scope"))
     asked = stored(asked.where(F.col("v").isNotNull() & (F.size("v") == dims)).withColumn("number", F.monotonically_increasing_id()))
-    count = asked.count()
-    blocks = max(1, -(-count * dims * 8 // QUERY_BYTES))
+    count, wanted = asked.agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
+    blocks = max(1, -(-count * dims * 8 // QUERY_BYTES), -(-wanted * depth // GUESSES))
     # An index of nothing has no files to tell the type of its ids.
     names = {"q": queries.schema[query_col].dataType, "id": _cells(spark, path).schema["id"].dataType if dims else T.StringType()}
     found = None
@@ -198,82 +249,87 @@ def search(
     found = spark.createDataFrame([], schema) if found is None else found
     order = Window.partitionBy("number").orderBy("distance", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
-    extra = [F.col("v").alias(vector_col)] if with_vectors else []
+    extra = [F.col("v").cast("array<double>").alias(vector_col)] if with_vectors else []
     return ranked.select(F.col("q").alias(query_col), F.col("id").alias(id_col), "distance", "rank", *extra)
 
 
 def _search_block(spark: SparkSession, path: str, model: Model, few: list, names: dict, probe: int, depth: int, exact: bool, scoped: bool) -> DataFrame:
-    """q, k, number, id, distance, v of candidates, exactly ranked, for a block of queries."""
+    """q, k, number, id, distance, v of the nearest of each task, exactly ranked, for a block of queries."""
     matrix = np.array([r["v"] for r in few], float)
-    depths, scopes, numbers = np.array([r["k"] for r in few]), np.array([r["scope"] for r in few], object), [r["number"] for r in few]
-    keys = [r["q"] for r in few]
+    depths, scopes, numbers = [r["k"] for r in few], [r["scope"] for r in few], [r["number"] for r in few]
     cells = len(model.centres)
     near = np.argsort(squared(matrix, model.centres), axis=1, kind="stable")[:, : cells if exact else probe]
     looks: dict[int, np.ndarray] = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near).tolist()}
     index = _cells(spark, path)
     # As many cells as there are at most.
     held = index if exact else index.where(F.col("cell").isin(sorted(looks)))
-    place = {n: i for i, n in enumerate(numbers)}
+    keys, place = {r["number"]: r["q"] for r in few}, {n: q for q, n in enumerate(numbers)}
     kinds = {n: to_arrow_type(t) for n, t in names.items()}
+    kind = index.schema["v"].dataType
+    types = {"q": pa.int64(), "id": kinds["id"], "v": to_arrow_type(kind)}
 
-    def own_rows(own_scopes: pa.Array, q: int) -> np.ndarray:
-        return np.array(own_scopes.to_pylist(), object) == scopes[q] if scoped else np.ones(len(own_scopes), bool)
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell_of = batch.column("cell").to_numpy()
-            for cell in np.unique(cell_of).tolist():
-                at = np.flatnonzero(cell_of == cell)
-                some = looks.get(cell, np.zeros(0, int))
-                if not len(some):
-                    continue
-                codes = np.frombuffer(b"".join(batch.column("codes").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-                away = model.estimate(matrix[some], cell, codes)
-                own_scopes = batch.column("scope").take(pa.array(at))
-                for n, q in enumerate(some.tolist()):
-                    mine = np.flatnonzero(own_rows(own_scopes, q))
-                    want = depth * int(depths[q])
-                    if len(mine) > want:
-                        mine = mine[np.argpartition(away[n, mine], want - 1)[:want]]
-                    columns = [pa.array(np.full(len(mine), numbers[q])), batch.column("id").take(pa.array(at[mine])), pa.array(np.full(len(mine), cell, np.int32)), pa.array(away[n, mine])]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(mine), depths[q], np.int32))], ["number", "id", "cell", "guess", "k"])
-
-    id_kind = names["id"].simpleString()
-    rows = held.select("id", "scope", "v", "cell")
-    if not exact:
-        guesses = held.select("id", "scope", "codes", "cell").mapInArrow(estimate, f"number long, id {id_kind}, cell int, guess double, k int")
-        order = Window.partitionBy("number").orderBy("guess", "id")
-        best = guesses.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth * F.col("k")).select("number", "id", "cell")
-        # Candidates with their vectors; a row of an id for each query that wants it.
-        rows = rows.join(stored(best), ["cell", "id"]).select("id", "scope", "v", "cell", "number")
-    else:
-        rows = rows.withColumn("number", F.lit(None).cast("long"))
+            number = batch.column("q")
+            columns = [pa.array([keys[n] for n in number.to_pylist()], kinds["q"]), batch.column("k"), number, batch.column("id"), batch.column("distance"), batch.column("v")]
+            yield pa.RecordBatch.from_arrays(columns, ["q", "k", "number", "id", "distance", "v"])
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    want = np.maximum(1, depth * np.array(depths))
+
+    def estimates(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By cell: queries that look into it, places of its vectors, and their estimates; infinite in other scopes."""
+        cell_of, own_scopes = batch.column("cell").to_numpy(), batch.column("scope").to_pylist() if scoped else None
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        for cell in np.unique(cell_of).tolist():
+            some = looks.get(cell, np.zeros(0, int))
+            if len(some):
+                at = np.flatnonzero(cell_of == cell)
+                # Rounded, so that equal codes are equally near in whatever batch they are.
+                guess = model.estimate(matrix[some], cell, codes[at]).round(9)
+                if scoped:
+                    guess[other_scopes([scopes[q] for q in some], [own_scopes[n] for n in at])] = np.inf
+                yield some, at, guess
+
+    def guessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesses = _Guesses(want)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if exact:
-                away = squared(matrix, vectors)
-                slack = 1e-9 * ((matrix**2).sum(1) + (vectors**2).sum(1).max())  # of the expanded square
-                who, at = [], []
-                for q in range(len(matrix)):
-                    mine = np.flatnonzero(own_rows(batch.column("scope"), q))
-                    want = int(depths[q])
-                    if len(mine) > want:
-                        mine = mine[away[q, mine] <= np.partition(away[q, mine], want - 1)[want - 1] + slack[q]]
-                    who.append(np.full(len(mine), q))
-                    at.append(mine)
-                who, at = np.concatenate(who), np.concatenate(at)
-            else:
-                who, at = np.array([place[n] for n in batch.column("number").to_pylist()], int), np.arange(batch.num_rows)
-            distance = np.sqrt(((vectors[at] - matrix[who]) ** 2).sum(axis=1)).round(9)
-            taken = pa.array(at)
-            columns = [
-                pa.array([keys[q] for q in who.tolist()], kinds["q"]), pa.array(depths[who].astype(np.int32)), pa.array([numbers[q] for q in who.tolist()], pa.int64()),
-                batch.column("id").take(taken), pa.array(distance), batch.column("v").take(taken),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["q", "k", "number", "id", "distance", "v"])
+            for low in range(0, batch.num_rows, SEEN_ROWS):
+                for some, _, guess in estimates(batch.slice(low, SEEN_ROWS)):
+                    guesses.see(some, guess)
+        for number, q in place.items():
+            if len(guesses.held[q]):
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([guesses.held[q].tobytes()], pa.binary())], ["number", "guesses"])
+
+    def bar(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = int(pdf["number"].iloc[0])
+        held, most = np.concatenate([np.frombuffer(g) for g in pdf["guesses"]]), want[place[number]]
+        return pd.DataFrame({"number": [number], "bar": [np.partition(held, most - 1)[most - 1] if len(held) > most else np.inf]})
+
+    bars = np.full(len(few), np.inf)
+    if depth:
+        dealt = held.select("scope", "codes", "cell").mapInArrow(thrifty(guessed), "number long, guesses binary")
+        # One number a query.
+        for number, most in dealt.groupBy("number").applyInPandas(bar, "number long, bar double").collect():
+            bars[place[number]] = most
 
-    return rows.mapInArrow(rank, f"q {names['q'].simpleString()}, k int, number long, id {id_kind}, distance double, v array<double>")
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(matrix.tobytes(), numbers, depths, scopes, "l2", scoped, True)
+        for whole in batches:
+            for low in range(0, whole.num_rows, SEEN_ROWS):
+                batch, apart = whole.slice(low, SEEN_ROWS), None
+                if not exact:
+                    apart = np.ones((len(matrix), batch.num_rows), bool)
+                    if depth:
+                        for some, at, guess in estimates(batch):
+                            apart[np.ix_(some, at)] = (guess > bars[some][:, None]) | np.isinf(guess)
+                    else:
+                        cell_of = batch.column("cell").to_numpy()
+                        for cell in np.unique(cell_of).tolist():
+                            apart[np.ix_(looks.get(cell, np.zeros(0, int)), np.flatnonzero(cell_of == cell))] = False
+                best.see(batch.column("id"), batch.column("scope").to_pylist(), _matrix(batch.column("v")), apart)
+                if best.size() > KEPT_BYTES:
+                    yield from named(best.found(types))
+        yield from named(best.found(types))
+
+    rows = held.select("id", "scope", "v", "cell", *(["codes"] if depth else []))
+    return rows.mapInArrow(thrifty(rank), f"q {names['q'].simpleString()}, k int, number long, id {names['id'].simpleString()}, distance double, v {kind.simpleString()}")

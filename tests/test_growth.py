@@ -9,7 +9,7 @@ from scholia.functions import batches
 from scholia.functions.batches import parts
 from scholia.llm import bpe
 from scholia.llm.registry import tokenizer_path
-from scholia.operators import answers, articles, gram_index, latent, retrieval
+from scholia.operators import answers, articles, gram_index, latent, retrieval, vector_index
 from scholia.plans import catalogue
 
 
@@ -157,3 +157,54 @@ def test_length_of_what_is_stripped(spark):
     assert valid(F.col("t"), F.lit("x" * 50)) == {i for i, t in enumerate(titles) if t and len(t.strip()) >= 10}
     body = F.concat(F.lit(" "), F.col("t"), F.lit("x" * 40), F.lit(" \n"))
     assert valid(F.lit("t" * 10), body) == {i for i, t in enumerate(titles) if t is not None and len(f"{t}{'x' * 40}".strip()) >= 50}
+
+
+def test_the_sample_of_an_index_is_taken_before_it_is_sorted(spark, monkeypatch):
+    """A task hands on its share of the sample, not as many vectors as the whole sample has."""
+    frame = spark.createDataFrame([(f"v{i:05}", [float(i), 1.0]) for i in range(20_000)] + [("same", [5.0, 5.0])] * 50, "id string, v array<double>").repartition(20)
+    sorted_rows = []
+    frames = type(spark.range(0))
+    plain = frames.orderBy
+    monkeypatch.setattr(frames, "orderBy", lambda self, *a, **b: sorted_rows.append(self.count()) or plain(self, *a, **b))
+    got = vector_index.smallest(frame, 500, 20_050)
+    assert len(sorted_rows) == 1 and 500 <= sorted_rows[0] < 800
+    want = plain(frame, F.xxhash64("id", "v"), "id").limit(500).collect()
+    assert got.to_pylist() == [r["v"] for r in want]
+    copies = spark.createDataFrame([("same", [5.0, 5.0])] * 90 + [("other", [1.0, 1.0])], "id string, v array<double>")
+    assert len(vector_index.smallest(copies, 40, 91)) == 40 and len(vector_index.smallest(copies, 400, 91)) == 91
+
+
+def test_a_search_hands_on_the_nearest_of_a_task(spark, tmp_path, monkeypatch):
+    """Neither estimates nor vectors of all candidates are shuffled, and cells are written without being stored before."""
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(6000, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    held = []
+    plain = vector_index.stored
+    monkeypatch.setattr(vector_index, "stored", lambda df: held.append(df.columns) or plain(df))
+    monkeypatch.setattr(vector_index, "FILE_ROWS", 20)
+    path = str(tmp_path / "i")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    vector_index.build(frame, path, sample=500)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    cells = spark.read.parquet(f"{path}/cells")
+    assert not held and cells.count() == 6000 and dict(cells.dtypes)["v"] == "array<float>"
+    assert cells.select("cell", F.input_file_name()).distinct().groupBy("cell").count().agg(F.min("count")).first()[0] > 1
+    asked = spark.createDataFrame([(q, rows[q].tolist()) for q in range(9)], "query_id long, query_embedding array<double>")
+    found = vector_index.search(spark, path, asked, 7, depth=4, with_vectors=True)
+    assert held == [["q", "v", "k", "scope", "number"]] and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    near = [set(np.linalg.norm(rows - rows[q], axis=1).argsort()[:7].tolist()) for q in range(9)]
+    got = found.collect()
+    assert len(got) == 63 and sum(r["vec_id"] in near[r["query_id"]] for r in got) >= 0.8 * 63
+    # However the cells are dealt to tasks, the same vectors are found.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    again = vector_index.search(spark, path, asked, 7, depth=4, with_vectors=True).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(again) == sorted(got)
+    whole = vector_index.search(spark, path, asked, 7, depth=0).collect()
+    assert len(whole) == 63 and sum(r["vec_id"] in near[r["query_id"]] for r in whole) >= sum(r["vec_id"] in near[r["query_id"]] for r in got)
+    guesses = vector_index._Guesses(np.array([3, 5]))
+    first = rng.normal(size=(2, 10))
+    guesses.see(np.array([0, 1]), first)
+    guesses.see(np.array([1]), first[1:] + 100)
+    assert [sorted(h) for h in guesses.held] == [sorted(first[0])[:3], sorted(first[1])[:5]]
